@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from trackloom.llm import records
+from trackloom.llm import records, token_counts
 
 
 def queries() -> dict:
-    return {"op3_binary_records": records.op3_binary_records}
+    return {
+        "op3_binary_records": records.op3_binary_records,
+        "op4_token_counts": token_counts.op4_token_counts,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
