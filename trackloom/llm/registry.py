@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from trackloom.llm import near_dedup, records, token_counts
+from trackloom.llm import near_dedup, quality, records, token_counts
 
 
 def queries() -> dict:
     return {
         "op3_binary_records": records.op3_binary_records,
         "op4_token_counts": token_counts.op4_token_counts,
+        "op5_quality_rules": quality.op5_quality_rules,
         "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
     }
 
