@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from trackloom.llm import near_dedup, quality, records, token_counts
+from trackloom.llm import near_dedup, pii, quality, records, token_counts
 
 
 def queries() -> dict:
     return {
+        "op2_pii_semi_crf": pii.op2_pii_semi_crf,
         "op3_binary_records": records.op3_binary_records,
         "op4_token_counts": token_counts.op4_token_counts,
         "op5_quality_rules": quality.op5_quality_rules,
