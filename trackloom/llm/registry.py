@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trackloom.llm import near_dedup, pii, quality, records, token_counts, unigram
+from trackloom.llm import near_dedup, pii, quality, records, token_counts, unigram, url_rules
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_binary_records": records.op3_binary_records,
         "op4_token_counts": token_counts.op4_token_counts,
         "op5_quality_rules": quality.op5_quality_rules,
+        "op6_url_association_rules": url_rules.op6_url_association_rules,
         "op8_unigram_viterbi": unigram.op8_unigram_viterbi,
         "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
     }
