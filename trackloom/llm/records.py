@@ -23,7 +23,7 @@ import json
 import re
 import struct
 import uuid
-import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -105,15 +105,19 @@ class PretokenEncoder:
     """Encodes whole texts with a tokenizer file of the tokenizers library, remembering the ids of each chunk.
 
     A byte-level pre-tokenizer splits at every edge between white space and other characters, but for one blank that
-    goes with what follows; so a text is encoded chunk by chunk and each new chunk goes through the library once.
+    goes with what follows, and between letters and such marks as a comma; so a text is encoded chunk by chunk and each
+    new chunk goes through the library once. A chunk of Latin letters is one pre-token, so the library's merge model
+    takes it as it is; other chunks go through the library's whole chain.
     Texts that hold an added token's string, or one of the control characters that ``re`` and the library class
     differently, and tokenizers of any other kind go through the library whole.
     """
 
-    CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+    LETTERS = " ?[A-Za-zÀ-ÖØ-öø-ɏ]+"
+    CHUNK = re.compile(LETTERS + r"(?=[\s.,|!&%$*#]|\Z)| ?\S+|\s+(?!\S)|\s+")
+    PLAIN = re.compile(LETTERS)
     ODD = re.compile("[\x1c-\x1f]")
 
-    def __init__(self, path: str, cached: int = 400_000):
+    def __init__(self, path: str, cached: int = 500_000):
         from tokenizers import Tokenizer
 
         self.lib, spec = Tokenizer.from_file(path), json.load(open(path))
@@ -122,12 +126,26 @@ class PretokenEncoder:
         added = [x["content"] for x in spec.get("added_tokens", [])]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.dtype = np.dtype("<u2") if self.lib.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.kind = "H" if self.dtype.itemsize == 2 else "I"
+        own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]  # bytes that stand for themselves
+        self.alias = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in own)}  # the others, in order
+        self.model = self.lib.model
         self.seen: dict[str, bytes] = {}
         self.cached = cached
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _chunks(self, new: list[str]) -> None:
+        rest = []
+        for c in new:
+            if self.PLAIN.fullmatch(c):
+                self.seen[c] = array(self.kind, [t.id for t in self.model.tokenize(c.encode().decode("latin-1").translate(self.alias))]).tobytes()
+            else:
+                rest.append(c)
+        for k in range(0, len(rest), 4096):
+            self.seen.update(zip(rest[k : k + 4096], self._library(rest[k : k + 4096])))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes of ``dtype``."""
         whole = [i for i, t in enumerate(texts) if not self.chunked or self.ODD.search(t) or (self.added and self.added.search(t))]
@@ -136,9 +154,8 @@ class PretokenEncoder:
             chunks[i] = None
         if len(self.seen) > self.cached:
             self.seen = {}
-        new = list(set().union(*(c for c in chunks if c)).difference(self.seen)) if self.chunked else []
-        for k in range(0, len(new), 4096):
-            self.seen.update(zip(new[k : k + 4096], self._library(new[k : k + 4096])))
+        if self.chunked:
+            self._chunks(list(set().union(*(c for c in chunks if c)).difference(self.seen)))
         get = self.seen.__getitem__
         out = [b"" if c is None else b"".join(map(get, c)) for c in chunks]
         if whole:

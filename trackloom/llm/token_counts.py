@@ -3,7 +3,8 @@
 A sentencepiece model without pieces that hold a white-space marker after another character encodes a text word by
 word: a word is a run of markers and what follows up to the next marker. So the count of a text is the sum over its
 words. Tier one is a broadcast table of the most frequent words' counts. They come from one pass over all texts with
-``approx_top_k``, an aggregate of bounded size: each task sends one sketch, and the last step merges sketches. Tier two
+``approx_top_k``, an aggregate of bounded size: each task sends one sketch, sketches are merged in ``GROUPS`` groups,
+and those in a last step, so no task gets more sketches than about a GROUPS-th of the tasks. Tier two
 is a cache in each Python worker; words in neither go through the library, a batch at a time. The table only saves
 time: any word's count is the library's, whichever tier gives it.
 
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from trackloom.llm import common
 
 MARK = "▁"
+GROUPS = 64
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _STATE: dict = {}
 
@@ -75,10 +77,11 @@ class WordCounter:
         return [sum(map(get, w)) for w in words]
 
 
-def frequent_words(docs: DataFrame, k: int = 4000, tracked: int = 16_384) -> list[str]:
+def frequent_words(docs: DataFrame, k: int = 4000, tracked: int = 8192) -> list[str]:
     """The ``k`` most frequent blank-separated words of all texts, about; at most ``k`` short strings reach the driver."""
     words = common.texts(docs).select(F.explode(F.split("text", " ")).alias("w")).where(F.length("w").between(1, 24))
-    row = words.agg(F.expr(f"approx_top_k(w, {k}, {tracked})").alias("top")).select("top.item").first()
+    groups = words.groupBy(F.pmod(F.spark_partition_id(), F.lit(GROUPS))).agg(F.expr(f"approx_top_k_accumulate(w, {tracked})").alias("s"))
+    row = groups.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {tracked}), {k})").alias("top")).select("top.item").first()
     return [w for w in row[0] or [] if w is not None and MARK not in w]
 
 
