@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trackloom.llm import near_dedup, pii, quality, records, token_counts, unigram, url_rules
+from trackloom.llm import near_dedup, pii, quality, records, token_counts, toxicity, unigram, url_rules
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_quality_rules": quality.op5_quality_rules,
         "op6_url_association_rules": url_rules.op6_url_association_rules,
         "op8_unigram_viterbi": unigram.op8_unigram_viterbi,
+        "op9_weak_supervision_toxicity": toxicity.op9_weak_supervision_toxicity,
         "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
     }
 
