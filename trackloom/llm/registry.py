@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trackloom.llm import near_dedup, pii, quality, records, token_counts, toxicity, unigram, url_rules
+from trackloom.llm import language_model, near_dedup, pii, quality, records, token_counts, toxicity, unigram, url_rules
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_token_counts": token_counts.op4_token_counts,
         "op5_quality_rules": quality.op5_quality_rules,
         "op6_url_association_rules": url_rules.op6_url_association_rules,
+        "op7_cross_entropy_difference": language_model.op7_cross_entropy_difference,
         "op8_unigram_viterbi": unigram.op8_unigram_viterbi,
         "op9_weak_supervision_toxicity": toxicity.op9_weak_supervision_toxicity,
         "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
