@@ -9,7 +9,7 @@
    that the similarity reaches the threshold is P(Binomial(m + 1, threshold) <= k); a pair is pruned once this falls
    under ``miss``. Survivors are settled on their full shingle sets, hashed to 64 bits.
 4. Components of the links so far; then the pairs of a bucket that lie in different components and weren't compared
-   are verified too. A bucket's largest component meets only the others' members, so a large group of near copies
+   are verified too, after a first look at one-bit minima inside the join. A bucket's largest component meets only the others' members, so a large group of near copies
    costs a row per member. After this each pair of a bucket is in one component or was compared, as if all pairs had
    been.
 Chance to miss a pair at the threshold: (1 - t^rows)^bands, 5e-6 for 40 bands of 6 at 0.8, plus ``miss``.
@@ -37,7 +37,9 @@ from trackloom.llm.shingles import mix, shingle_set
 SEED = 7
 #: Ids that one broadcast may hold; beyond that the join shuffles.
 BROADCAST_ROWS = 1_000_000
-SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary"
+SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary, b0 long, b1 long"
+#: One-bit minima in the two bit columns: the first batch of the sequential test, made where candidates are joined.
+BITS = 128
 
 
 def _hashes(bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +85,9 @@ def _signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * bands)]), pa.int32()), pa.array(key[full].ravel()))
             cut = m.astype("<u2")
             sig = pa.array([row.tobytes() if f else None for row, f in zip(cut, full)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists, sig], ["doc_id", "n_shingles", "set_key", "bands", "sig"])
+            bits = np.packbits(m[:, :BITS] & 1, axis=1)
+            bits = np.pad(bits, ((0, 0), (0, BITS // 8 - bits.shape[1]))).view("<i8")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists, sig, pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy())], ["doc_id", "n_shingles", "set_key", "bands", "sig", "b0", "b1"])
 
     return common.texts(docs).mapInArrow(sign, SIGNED)
 
@@ -137,6 +141,14 @@ def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, shingle: int
     return common.materialize(with_both(live, full, "set").mapInArrow(exact, "lo long, hi long").distinct(), "links")
 
 
+def _open_buckets(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, label, major): members of the buckets that hold several components, written out; ``major`` has most members."""
+    marked = common.materialize(shared.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")).distinct(), "marked")
+    counts = marked.groupBy("key", "label").agg(F.count("*").alias("n"))
+    major = common.materialize(counts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("labels")).where("labels > 1").select("key", "major"), "major")
+    return common.materialize(marked.join(major, "key"), "open")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, bands: int = 40, rows: int = 6, miss: float = 1e-6) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs`` (doc_id, text)."""
     common.small_batches(docs.sparkSession)
@@ -150,14 +162,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     stars = common.materialize(shared.where("node > head").select(F.col("head").alias("lo"), F.col("node").alias("hi")).distinct(), "stars")
     links = _verified(stars, signed, docs, shingle, num, den, miss)
 
-    labels = components(links)
-    marked = common.materialize(shared.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")).distinct(), "marked")
-    counts = marked.groupBy("key", "label").agg(F.count("*").alias("n"))
-    major = common.materialize(counts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("labels")).where("labels > 1").select("key", "major"), "major")
-    open_rows = common.materialize(marked.join(major, "key"), "open")
-    minor = open_rows.where("label <> major").select("key", F.col("node").alias("p"), F.col("label").alias("p_label"))
-    cross = minor.join(open_rows, "key").where("p_label <> label and (label = major or p < node)")
-    rest = cross.select(F.least("p", "node").alias("lo"), F.greatest("p", "node").alias("hi")).distinct().join(stars, ["lo", "hi"], "left_anti")
+    labels, compared = components(links), stars
+
+    # all pairs of a bucket that are still in different components and weren't compared
+    open_rows = _open_buckets(shared, labels)
+    of = _restricted(signed.select("doc_id", "b0", "b1"), open_rows.select(F.col("node").alias("doc_id")).distinct())
+    open_rows = common.materialize(open_rows.join(of.withColumnRenamed("doc_id", "node").dropDuplicates(["node"]), "node"), "open-bits")
+    # one-bit minima of a pair differ with chance (1 - similarity) / 2 each; most pairs that merely share a passage stop here
+    bits = min(BITS, bands * rows)
+    apart = bits - least_matches(bits, (1 + num / den) / 2, miss)
+    minor = open_rows.where("label <> major").select("key", F.col("node").alias("p"), F.col("label").alias("p_label"), F.col("b0").alias("p0"), F.col("b1").alias("p1"))
+    close = F.bit_count(F.col("p0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("p1").bitwiseXOR(F.col("b1"))) <= apart
+    cross = minor.join(open_rows, (minor.key == open_rows.key) & (F.col("p_label") != F.col("label")) & ((F.col("label") == F.col("major")) | (F.col("p") < F.col("node"))) & close)
+    rest = cross.select(F.least("p", "node").alias("lo"), F.greatest("p", "node").alias("hi")).distinct().join(compared, ["lo", "hi"], "left_anti")
     rest = common.materialize(rest, "rest")
     if not rest.isEmpty():
         more = _verified(rest, signed, docs, shingle, num, den, miss)
@@ -174,3 +191,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets have similarity 0.8 or more."""
     return near_duplicates(common.table(spark, sf_dir, "documents"), shingle=4)
+
+
+def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` without the documents that are not their component's smallest id; all columns stay."""
+    gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = common.materialize(gone, "gone")
+    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if few else gone, docs.doc_id == F.col("__gone"), "left_anti")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from trackloom.llm import language_model, near_dedup, pii, quality, records, token_counts, toxicity, unigram, url_rules
+import corpus_pipeline
+from trackloom.llm import decontaminate, language_model, near_dedup, pii, quality, records, token_counts, toxicity, unigram, url_rules
 
 
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.run,
+        "op1_latent_decontamination": decontaminate.op1_latent_decontamination,
         "op2_pii_semi_crf": pii.op2_pii_semi_crf,
         "op3_binary_records": records.op3_binary_records,
         "op4_token_counts": token_counts.op4_token_counts,
