@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from trackloom.functions import keys
+from trackloom.operators import planning
 from trackloom.sources.views import with_views
 
 TOL = "greatest(5.0, least(20.0, {ms} / 1000.0 * 0.05))"
@@ -99,6 +100,31 @@ _SQL = {
     "vec_knn_vote": f"WITH u AS ({UNIT}), s AS (SELECT a.vec_id, b.label, list_dot_product(a.v, b.v) AS sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.v, b.v) DESC, b.vec_id) AS r FROM u a JOIN u b ON b.vec_id % 100 = 0 AND a.vec_id <> b.vec_id), v AS (SELECT vec_id, label, sum(sim) AS votes FROM s WHERE r <= 5 GROUP BY 1, 2) SELECT vec_id, label FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY votes DESC, label DESC) AS r FROM v) WHERE r = 1",
     "str_throughput": "WITH w AS (SELECT time_bucket(INTERVAL 10 MINUTE, t) - to_minutes(unnest([0, 10, 20])) AS start FROM event WHERE type = 'mp3_verified') SELECT start, count(*) AS done, round(count(*) / 30.0, 6) AS rate FROM w GROUP BY 1",
     "str_change_batches": "WITH g AS (SELECT \"key\", t, CASE WHEN t < lag(t) OVER w + INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS new FROM event WINDOW w AS (PARTITION BY \"key\" ORDER BY t)), s AS (SELECT *, sum(new) OVER (PARTITION BY \"key\" ORDER BY t ROWS UNBOUNDED PRECEDING) AS n FROM g) SELECT \"key\", min(t) AS start, count(*) AS notices FROM s GROUP BY \"key\", n",
+    "ingest_skip_done": "SELECT doc_id, sha256(concat(doc_id, '|', length(text), '|v1')) AS mark FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "fn_excluded_name": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN true WHEN 1 THEN true ELSE regexp_matches(trim(substr(text, 1, 20)), '(?i)^(daily mix(es)?(\\s.*)?|dj|discover weekly|release radar|on repeat|repeat rewind|(your )?daily drive)$') END AS excluded FROM documents",
+    "fn_genre_bucket": "SELECT doc_id, CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + f" THEN '{name}'" for name, words in planning.GENRES.items()) + " END AS bucket FROM documents",
+    "fn_retry_class": "SELECT doc_id, " + " OR ".join(f"contains(text, '{w}')" for w in planning.TRANSIENT) + " AS transient FROM documents",
+    "fn_tempo_match": "WITH o AS (SELECT p_partkey AS song_id, abs(p_size * 40.0 / p_retailprice - 1) * 100 AS one, abs(p_size * 40.0 / (0.5 * p_retailprice) - 1) * 100 AS half, abs(p_size * 40.0 / (2 * p_retailprice) - 1) * 100 AS two FROM part) SELECT song_id, CASE WHEN one <= least(half, two) + 0.5 THEN 1.0 WHEN half <= two THEN 0.5 ELSE 2.0 END AS ratio, round(CASE WHEN one <= least(half, two) + 0.5 THEN one ELSE least(half, two) END, 6) AS stretch FROM o",
+    "fn_e_star": "WITH p AS (SELECT * FROM (VALUES (0.0, 0.25, 0.35, 0.55), (0.25, 0.6, 0.55, 0.9), (0.6, 0.85, 0.9, 1.0), (0.85, 1.0, 1.0, 0.7)) v(x0, x1, y0, y1)), n AS (SELECT DISTINCT l_linenumber AS n FROM lineitem) SELECT n, round(CAST(y0 AS DOUBLE) + (n / 7.0 - x0) * (y1 - y0) / (x1 - x0), 6) AS target FROM n JOIN p ON n / 7.0 > x0 AND n / 7.0 <= x1",
+    "fn_request_hash": "SELECT \"key\", sha256(string_agg(DISTINCT type, ',' ORDER BY type)) AS hash FROM event GROUP BY 1",
+    "fn_query_variants": "SELECT song_id, concat(artist, ' ', name, '|', artist, ' ', name, ' ', bucket) AS variants FROM song",
+    "fn_camelot_distance": "SELECT p_partkey AS song_id, CASE WHEN p_partkey % 5 = 0 THEN 6 ELSE least(abs(p_partkey % 12 - 7), 12 - abs(p_partkey % 12 - 7)) + CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 1 END END AS distance FROM part",
+    "flt_playlist_view": "SELECT playlist_id, name FROM playlist WHERE name ILIKE '%#00000001%' AND status <> 4",
+    "flt_eligibility": "SELECT doc_id, CASE WHEN n_chars IS NULL THEN 'needs_prep' WHEN n_chars < 200 THEN 'too_short' WHEN n_chars > 20000 THEN 'too_long' WHEN strpos(text, chr(10)) = 0 THEN 'no_excerpt' END AS reason FROM documents",
+    "flt_block_assign": f"WITH {ITEMS}, b AS (SELECT song_id, concat(artist, '/', CASE WHEN tempo < 105 THEN 'slow' WHEN tempo < 130 THEN 'mid' ELSE 'fast' END) AS block FROM items) SELECT song_id, CASE WHEN count(*) OVER (PARTITION BY block) < 3 THEN 'close' ELSE block END AS block FROM b",
+    "flt_fast_skip": "SELECT playlist_id FROM playlist WHERE status = 5 AND rank % 7 <> 0 AND NOT skipped",
+    "join_review_status": "WITH w AS (SELECT doc_id, max(CASE WHEN toxic = 1 THEN 2 WHEN quality = 1 THEN 0 ELSE 1 END) AS r FROM labels GROUP BY 1) SELECT d.doc_id, CASE r WHEN 2 THEN 'needs-repair' WHEN 1 THEN 'needs-review' WHEN 0 THEN 'resolved' ELSE 'none' END AS status FROM documents d LEFT JOIN w ON w.doc_id = d.doc_id",
+    "join_nearest_grid": "WITH p AS (SELECT e.event_id, e.\"key\", epoch_us(g.t) - epoch_us(e.t) AS gap FROM event e JOIN event g ON g.\"key\" = e.\"key\" AND g.type = 'download_start' WHERE e.type <> 'download_start'), r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY abs(gap), gap) AS r FROM p) SELECT \"key\", event_id, round(gap / 1e6, 6) AS shift_s FROM r WHERE r = 1 AND abs(gap) <= 36000000000",
+    "agg_review_metrics": "WITH w AS (SELECT d.doc_id, max(CASE WHEN toxic = 1 THEN 2 WHEN quality = 1 THEN 0 WHEN quality IS NOT NULL THEN 1 END) AS r FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1) SELECT count(*) FILTER (r >= 1) AS open, count(*) FILTER (r = 2) AS repair, count(*) FILTER (r = 0) AS resolved, count(*) FILTER (r IS NULL) AS unreviewed FROM w",
+    "agg_resume_plan": "SELECT CASE WHEN status = 4 THEN 'saved' WHEN skipped THEN 'missing' WHEN status = 5 AND rank % 3 <> 0 THEN 'error' WHEN rank % 11 < 5 THEN 'ready' ELSE 'pending' END AS state, count(*) AS n FROM playlist GROUP BY 1",
+    "set_snapshot_drift": "WITH a AS (SELECT playlist_id, string_agg(CAST(song_id AS VARCHAR), ',' ORDER BY seq) AS h, count(*) AS n FROM occurrence WHERE playlist_id % 9 <> 0 GROUP BY 1), b AS (SELECT playlist_id, string_agg(CAST(song_id AS VARCHAR), ',' ORDER BY seq) AS h, count(*) AS n FROM occurrence WHERE quantity > 3 GROUP BY 1) SELECT b.playlist_id, concat_ws(',', CASE WHEN a.h IS NULL THEN 'no-baseline' END, CASE WHEN a.h <> b.h THEN 'snapshot-changed' END, CASE WHEN a.n <> b.n THEN 'count-changed' END) AS reasons FROM b LEFT JOIN a ON a.playlist_id = b.playlist_id WHERE a.h IS NULL OR a.h <> b.h OR a.n <> b.n",
+    "set_removed_work": "SELECT playlist_id, song_id, seq FROM occurrence WHERE song_id IN (SELECT song_id FROM occurrence WHERE quantity < 10) AND song_id NOT IN (SELECT song_id FROM occurrence WHERE quantity > 45)",
+    "set_affected_rows": "SELECT playlist_id, song_id, seq FROM occurrence WHERE song_id IN (SELECT song_id FROM occurrence WHERE quantity = 50 AND song_id % 7 = 0)",
+    "win_curve_bins": "WITH f AS (SELECT \"key\", CAST(floor(epoch_us(t) / 43200e6) AS BIGINT) AS bin, avg(value) AS mean FROM event GROUP BY 1, 2), s AS (SELECT \"key\", unnest(range(min(bin), max(bin) + 1)) AS bin FROM f GROUP BY 1) SELECT s.\"key\", s.bin, round(mean, 6) AS mean FROM s LEFT JOIN f ON f.\"key\" = s.\"key\" AND f.bin = s.bin",
+    "top_metadata_priority": "SELECT song_id, CASE WHEN coalesce(expected_ms, 0) < 60000 THEN 0 ELSE 1 END AS tier, coalesce(expected_ms, 0) AS ms FROM song ORDER BY tier, ms DESC, song_id LIMIT 100",
+    "top_ready_order": "SELECT playlist_id, rank FROM playlist WHERE status = 0 AND NOT skipped ORDER BY last_played DESC, rank, playlist_id LIMIT 50",
+    "vec_cosine_distance": f"WITH u AS ({UNIT}) SELECT a.vec_id AS a, b.vec_id AS b, round(1 - list_dot_product(a.v, b.v), 5) AS distance FROM u a JOIN u b ON a.label = b.label WHERE a.vec_id % 100 = 0",
+    "vec_kernel_regression": f"WITH u AS ({UNIT}) SELECT a.vec_id, round(sum(exp(-(1 - list_dot_product(a.v, b.v)) / 0.2) * b.label) / sum(exp(-(1 - list_dot_product(a.v, b.v)) / 0.2)), 6) AS value FROM u a, u b WHERE b.vec_id % 100 = 0 GROUP BY 1",
 }
 
 SQL = {name: with_views(sql) for name, sql in _SQL.items()}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.functions import keys
-from trackloom.operators import catalog, events, features, matching
+from trackloom.operators import catalog, events, features, matching, planning
 from trackloom.sources import views
 from trackloom.streaming import live
 
@@ -136,4 +136,29 @@ QUERIES = {
     "vec_knn_vote": lambda s, d: features.knn_vote(_vectors(s, d), _vectors(s, d).where("vec_id % 100 = 0")),
     "str_throughput": lambda s, d: live.throughput(views.event(s, d)),
     "str_change_batches": lambda s, d: live.change_batches(views.event(s, d)),
+    "ingest_skip_done": lambda s, d: planning.skip_done(views.table(s, d, "documents"), views.table(s, d, "documents").join(views.table(s, d, "labels").select("doc_id"), "doc_id", "left_semi").select(F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), F.length("text").cast("string"), F.lit("v1")), 256).alias("mark")), "v1"),
+    "fn_excluded_name": lambda s, d: views.table(s, d, "documents").select("doc_id", planning.excluded_name(F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Daily Mix "), "doc_id")).when(F.col("doc_id") % 4 == 1, " dj ").otherwise(F.substring("text", 1, 20))).alias("excluded")),
+    "fn_genre_bucket": lambda s, d: views.table(s, d, "documents").select("doc_id", planning.genre_bucket(F.col("text")).alias("bucket")),
+    "fn_retry_class": lambda s, d: views.table(s, d, "documents").select("doc_id", planning.is_transient(F.col("text")).alias("transient")),
+    "fn_tempo_match": lambda s, d: views.table(s, d, "part").select(F.col("p_partkey").alias("song_id"), planning.tempo_match(F.col("p_retailprice"), F.col("p_size") * 40.0).alias("m")).select("song_id", "m.ratio", F.round("m.stretch", 6).alias("stretch")),
+    "fn_e_star": lambda s, d: views.table(s, d, "lineitem").select(F.col("l_linenumber").alias("n")).distinct().select("n", F.round(planning.interpolate(F.col("n") / 7.0, planning.TARGET), 6).alias("target")),
+    "fn_request_hash": lambda s, d: views.event(s, d).groupBy("key").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("type")), ","), 256).alias("hash")),
+    "fn_query_variants": lambda s, d: views.song(s, d).select("song_id", F.array_join(F.slice(F.array_distinct(F.array(F.concat_ws(" ", "artist", "name"), F.concat_ws(" ", "artist", "name", "bucket"), F.concat_ws(" ", "artist", "name"))), 1, 3), "|").alias("variants")),
+    "fn_camelot_distance": lambda s, d: _items(s, d).select("song_id", keys.camelot_distance(F.col("camelot"), F.when(F.col("song_id") % 5 == 0, "?").otherwise("8A")).alias("distance")),
+    "flt_playlist_view": lambda s, d: views.playlist(s, d).where(F.contains(F.lower("name"), F.lit("#00000001")) & (F.col("status") != 4)).select("playlist_id", "name"),
+    "flt_eligibility": lambda s, d: planning.eligibility(views.table(s, d, "documents")),
+    "flt_block_assign": lambda s, d: planning.block_assign(_items(s, d)),
+    "flt_fast_skip": lambda s, d: views.playlist(s, d).where((F.col("status") == 5) & ~((F.col("rank") % 7 == 0) | F.col("skipped"))).select("playlist_id"),
+    "join_review_status": lambda s, d: planning.review_status(views.table(s, d, "documents"), views.table(s, d, "labels")),
+    "join_nearest_grid": lambda s, d: planning.nearest_grid(views.event(s, d).where("type <> 'download_start'"), views.event(s, d).where("type = 'download_start'"), 36_000.0),
+    "agg_review_metrics": lambda s, d: planning.review_metrics(planning.review_status(views.table(s, d, "documents"), views.table(s, d, "labels"))),
+    "agg_resume_plan": lambda s, d: planning.resume_plan(views.playlist(s, d)),
+    "set_snapshot_drift": lambda s, d: planning.snapshot_drift(catalog.ordered_hash(views.occurrence(s, d).where("playlist_id % 9 <> 0")), catalog.ordered_hash(views.occurrence(s, d).where("quantity > 3"))),
+    "set_removed_work": lambda s, d: planning.removed_work(views.occurrence(s, d).select("playlist_id", "song_id", "seq"), views.occurrence(s, d).where("quantity < 10"), views.occurrence(s, d).where("quantity > 45")),
+    "set_affected_rows": lambda s, d: planning.affected(views.occurrence(s, d).select("playlist_id", "song_id", "seq"), views.occurrence(s, d).where("quantity = 50 and song_id % 7 = 0"), "song_id"),
+    "win_curve_bins": lambda s, d: planning.curve_bins(views.event(s, d)),
+    "top_metadata_priority": lambda s, d: planning.metadata_priority(views.song(s, d)),
+    "top_ready_order": lambda s, d: planning.ready_order(views.playlist(s, d)),
+    "vec_cosine_distance": lambda s, d: _vectors(s, d).where("vec_id % 100 = 0").select(F.col("label"), F.col("vec_id").alias("a"), F.col("embedding").alias("ea")).join(_vectors(s, d).select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("eb")), "label").select("a", "b", F.round(1 - features.dot(features.unit(F.col("ea")), features.unit(F.col("eb"))), 5).alias("distance")),
+    "vec_kernel_regression": lambda s, d: planning.kernel_regression(_vectors(s, d), _vectors(s, d).where("vec_id % 100 = 0")),
 }
