@@ -45,7 +45,7 @@ def primary_artist(c: Column) -> Column:
 
 def artist_set(c: Column) -> Column:
     parts = F.split(F.lower(c), r"\s*(?:,|&|\bfeat\.?|\bft\.?|\sx\s)\s*")
-    return F.array_sort(F.array_distinct(F.filter(F.transform(parts, F.trim), lambda x: x != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")))
 
 
 def credits_match(saved: Column, current: Column) -> Column:

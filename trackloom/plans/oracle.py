@@ -125,6 +125,25 @@ _SQL = {
     "top_ready_order": "SELECT playlist_id, rank FROM playlist WHERE status = 0 AND NOT skipped ORDER BY last_played DESC, rank, playlist_id LIMIT 50",
     "vec_cosine_distance": f"WITH u AS ({UNIT}) SELECT a.vec_id AS a, b.vec_id AS b, round(1 - list_dot_product(a.v, b.v), 5) AS distance FROM u a JOIN u b ON a.label = b.label WHERE a.vec_id % 100 = 0",
     "vec_kernel_regression": f"WITH u AS ({UNIT}) SELECT a.vec_id, round(sum(exp(-(1 - list_dot_product(a.v, b.v)) / 0.2) * b.label) / sum(exp(-(1 - list_dot_product(a.v, b.v)) / 0.2)), 6) AS value FROM u a, u b WHERE b.vec_id % 100 = 0 GROUP BY 1",
+    "fn_public_text": "SELECT doc_id, md5(nullif(substr(trim(regexp_replace(text, '[\\x00-\\x1f\\x7f]', ' ', 'g')), 1, 500), '')) AS text_md5 FROM documents",
+    "fn_camelot": "SELECT p_partkey AS song_id, CASE p_partkey % 10 WHEN 0 THEN '8B' WHEN 1 THEN '12A' WHEN 2 THEN '10B' WHEN 3 THEN '3A' WHEN 5 THEN '5A' WHEN 6 THEN '3B' WHEN 7 THEN '7A' WHEN 8 THEN '6B' ELSE '?' END AS code FROM part",
+    "fn_artist_set": "SELECT song_id, concat(lower(artist), '|zed') AS artists FROM song",
+    "fn_credits_match": "SELECT song_id, song_id % 3 < 2 AS ok FROM song",
+    "flt_identity": "SELECT song_id, CASE song_id % 5 WHEN 0 THEN 'missing-title' WHEN 1 THEN 'match' WHEN 2 THEN 'edition-mismatch' WHEN 3 THEN 'title-mismatch' ELSE 'artist-mismatch' END AS verdict FROM song",
+    "flt_beatable": "WITH g AS (SELECT \"key\", (lead(epoch_us(t)) OVER (PARTITION BY \"key\" ORDER BY t, event_id) - epoch_us(t)) / 1e6 AS gap FROM event), m AS (SELECT \"key\", quantile_cont(gap, 0.5) AS median FROM g WHERE gap > 0 GROUP BY 1) SELECT g.\"key\", count(*) AS gaps FROM g JOIN m ON m.\"key\" = g.\"key\" WHERE gap > 0 GROUP BY 1 HAVING count(*) >= 8 AND round(avg(CASE WHEN abs(gap - median) <= 0.15 * median THEN 1.0 ELSE 0.0 END), 6) >= 0.1",
+    "join_media_resolve": f"WITH f AS (SELECT song_id, folder, path, {reason()} AS reason FROM file WHERE path NOT LIKE '%7/%'), c AS (SELECT o.playlist_id, o.seq, f.path, f.reason, row_number() OVER (PARTITION BY o.playlist_id, o.seq ORDER BY CASE WHEN f.reason = 'match' THEN 0 ELSE 1 END, CASE WHEN f.folder = o.folder THEN 0 ELSE 1 END, f.path) AS r FROM occurrence o LEFT JOIN f ON f.song_id = o.song_id) SELECT playlist_id, seq, path, CASE WHEN reason IS NULL THEN 'missing' WHEN reason = 'match' THEN 'duration-match' WHEN reason = 'mismatch' THEN 'mismatch' ELSE 'unverified' END AS verdict FROM c WHERE r = 1",
+    "join_presence": "WITH l AS (SELECT playlist_id, arg_max(quantity > 20, seq) AS returned FROM occurrence WHERE n % 2 = 0 GROUP BY 1) SELECT p.playlist_id, CASE WHEN returned THEN 'present' WHEN NOT returned THEN 'not-returned' ELSE 'unknown' END AS state FROM playlist p LEFT JOIN l ON l.playlist_id = p.playlist_id",
+    "join_ratings_last": "SELECT a, b, vote FROM (SELECT \"key\" % 10 AS a, k % 10 AS b, CASE WHEN type <> 'block' THEN k END AS vote, row_number() OVER (PARTITION BY \"key\" % 10, k % 10 ORDER BY t DESC, event_id DESC) AS r FROM event) WHERE r = 1 AND vote IS NOT NULL",
+    "join_event_interval": "SELECT f.\"key\", f.event_id AS file_id, count(*) AS events, min(e.event_id) AS first_event FROM event f JOIN event e ON e.\"key\" = f.\"key\" AND e.type = 'mp3_verified' AND CAST(e.t AS DATE) >= CAST(f.t AS DATE) AND epoch_us(e.t) - epoch_us(f.t) BETWEEN -1000000 AND 172800000000 WHERE f.type = 'download_start' GROUP BY 1, 2",
+    "join_exclusion_overlap": "SELECT p.\"key\", p.event_id AS phase, count(*) AS overlaps FROM event p JOIN event b ON b.\"key\" = p.\"key\" AND b.type = 'block' AND p.t < b.t + INTERVAL 2 HOUR AND b.t < p.t + INTERVAL 6 HOUR WHERE p.type = 'download_start' GROUP BY 1, 2",
+    "agg_grid_report": "SELECT l_returnflag AS class, count(*) AS n, round(quantile_cont(l_quantity, 0.1), 6) AS p10, round(quantile_cont(l_quantity, 0.5), 6) AS p50, round(quantile_cont(l_quantity, 0.9), 6) AS p90, " + ", ".join(f"count(*) FILTER (l_quantity >= {a} AND l_quantity < {b}) AS bin_{k}" for k, (a, b) in enumerate([(0, 10), (10, 20), (20, 30), (30, 40), (40, 51)])) + " FROM lineitem GROUP BY 1",
+    "win_tempo_refine": "WITH s AS (SELECT \"key\", (lead(epoch_us(t), 8) OVER (PARTITION BY \"key\" ORDER BY t, event_id) - epoch_us(t)) / 1e6 AS s FROM event), m AS (SELECT \"key\", quantile_cont(s, 0.5) AS m FROM s WHERE s > 0 GROUP BY 1) SELECT s.\"key\", count(*) AS spans, round(480.0 / avg(s), 6) AS per_minute FROM s JOIN m ON m.\"key\" = s.\"key\" WHERE s > 0 AND abs(s - m) <= 0.5 * m GROUP BY 1",
+    "win_join_profile": f"WITH {BARS}, l AS (SELECT *, max(bar) OVER (PARTITION BY playlist_id) AS last FROM bars) SELECT playlist_id, round(avg(level) FILTER (bar <= 3) - avg(level), 6) AS entry, round(avg(level) FILTER (bar > last - 3) - avg(level), 6) AS \"exit\" FROM l GROUP BY 1",
+    "win_coverage_assert": f"WITH {BARS}, i AS (SELECT playlist_id, bar * 25.0 AS a, bar * 25.0 + level AS z, bar * 25.0 - lag(bar * 25.0 + level) OVER (PARTITION BY playlist_id ORDER BY bar) AS step FROM bars) SELECT playlist_id, count(*) FILTER (step > 0) AS gaps, count(*) FILTER (step < 0) AS overlaps, count(*) FILTER (z <= a) AS empty FROM i GROUP BY 1",
+    "set_changed_keys": "SELECT DISTINCT f.song_id FROM file f WHERE (f.dev, f.ino) IN (SELECT (dev, ino) FROM file WHERE folder % 50 = 3)",
+    "join_legacy_fallback": "SELECT concat('spotify:', song_id) AS song_key, CASE WHEN song_id % 4 = 0 THEN 'saved' ELSE 'missing' END AS state, CASE WHEN song_id % 4 = 0 THEN 'u' END AS url, song_id % 4 <> 0 AS legacy FROM song WHERE song_id % 4 = 0 OR song_id % 6 = 0",
+    "top_labels": "SELECT label, round(avg(CAST(embedding[1] AS DOUBLE)), 6) AS mean, count(*) AS n FROM embeddings GROUP BY 1 ORDER BY mean DESC, label LIMIT 5",
+    "top_playlist_sort": "SELECT playlist_id, CASE status WHEN 0 THEN 0 WHEN 5 THEN 1 ELSE 2 END AS bucket FROM playlist ORDER BY bucket, last_played DESC, playlist_id LIMIT 100",
 }
 
 SQL = {name: with_views(sql) for name, sql in _SQL.items()}

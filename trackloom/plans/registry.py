@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.functions import keys
-from trackloom.operators import catalog, events, features, matching, planning
+from trackloom.operators import catalog, events, evidence, features, matching, planning
 from trackloom.sources import views
 from trackloom.streaming import live
 
@@ -161,4 +161,24 @@ QUERIES = {
     "top_ready_order": lambda s, d: planning.ready_order(views.playlist(s, d)),
     "vec_cosine_distance": lambda s, d: _vectors(s, d).where("vec_id % 100 = 0").select(F.col("label"), F.col("vec_id").alias("a"), F.col("embedding").alias("ea")).join(_vectors(s, d).select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("eb")), "label").select("a", "b", F.round(1 - features.dot(features.unit(F.col("ea")), features.unit(F.col("eb"))), 5).alias("distance")),
     "vec_kernel_regression": lambda s, d: planning.kernel_regression(_vectors(s, d), _vectors(s, d).where("vec_id % 100 = 0")),
+    "fn_public_text": lambda s, d: views.table(s, d, "documents").select("doc_id", F.md5(keys.public_text(F.col("text"))).alias("text_md5")),
+    "fn_camelot": lambda s, d: views.table(s, d, "part").select(F.col("p_partkey").alias("song_id"), keys.camelot(F.element_at(F.array(*map(F.lit, ("C", "Db", "D", "Bb", "?"))), (F.col("p_partkey") % 5 + 1).cast("int")), F.when(F.col("p_partkey") % 2 == 0, "major").otherwise("minor")).alias("code")),
+    "fn_artist_set": lambda s, d: views.song(s, d).select("song_id", F.array_join(keys.artist_set(F.concat("artist", F.lit(" & Zed feat. "), "artist")), "|").alias("artists")),
+    "fn_credits_match": lambda s, d: views.song(s, d).select("song_id", keys.credits_match(F.lit("a, b, c, d, e, f, g, h, i, j"), F.when(F.col("song_id") % 3 == 0, "a, b, c, d, e, f, g, h, i, j").when(F.col("song_id") % 3 == 1, "a, b, c, d, e, f, g, h, i, j, k").otherwise("a, b")).alias("ok")),
+    "flt_identity": lambda s, d: views.song(s, d).select("song_id", evidence.identity_verdict(F.col("artist"), F.col("name"), F.when(F.col("song_id") % 5 == 0, "").when(F.col("song_id") % 5 == 1, F.concat("artist", F.lit(" - "), "name", F.lit(" (Official Video)"))).when(F.col("song_id") % 5 == 2, F.concat("name", F.lit(" live"))).when(F.col("song_id") % 5 == 3, "something else").otherwise(F.col("name")), F.when(F.col("song_id") % 5 == 2, F.col("artist")).otherwise("other")).alias("verdict")),
+    "flt_beatable": lambda s, d: events.tempo_from_beats(views.event(s, d)).where("regularity >= 0.1 and gaps >= 8 and per_minute > 0").select("key", "gaps"),
+    "join_media_resolve": lambda s, d: evidence.media_resolve(views.occurrence(s, d), views.file(s, d).where("path not like '%7/%'")),
+    "join_presence": lambda s, d: evidence.presence(views.playlist(s, d), views.occurrence(s, d).select("playlist_id", (F.col("n") % 2 == 0).alias("complete"), F.col("seq").alias("at"), (F.col("quantity") > 20).alias("returned"))),
+    "join_ratings_last": lambda s, d: evidence.ratings_last(views.event(s, d).select((F.col("key") % 10).alias("a"), (F.col("k") % 10).alias("b"), F.when(F.col("type") != "block", F.col("k")).alias("vote"), "t", "event_id")),
+    "join_event_interval": lambda s, d: evidence.event_interval(views.event(s, d).where("type = 'download_start'").select("key", F.col("event_id").alias("file_id"), F.col("t").alias("at")), views.event(s, d).where("type = 'mp3_verified'")),
+    "join_exclusion_overlap": lambda s, d: evidence.exclusion_overlap(views.event(s, d).where("type = 'download_start'").select("key", F.col("event_id").alias("phase"), F.col("t").alias("start"), (F.col("t") + F.expr("INTERVAL 6 HOURS")).alias("end")), views.event(s, d).where("type = 'block'").select("key", F.col("t").alias("ex_start"), (F.col("t") + F.expr("INTERVAL 2 HOURS")).alias("ex_end"))),
+    "agg_grid_report": lambda s, d: evidence.class_report(views.table(s, d, "lineitem").select(F.col("l_returnflag").alias("class"), "l_quantity"), "l_quantity", [0.0, 10.0, 20.0, 30.0, 40.0, 51.0]),
+    "win_tempo_refine": lambda s, d: evidence.tempo_refine(views.event(s, d)),
+    "win_join_profile": lambda s, d: evidence.join_profile(_bars(s, d)),
+    "win_coverage_assert": lambda s, d: evidence.coverage_assert(_bars(s, d).select("playlist_id", "bar", (F.col("bar") * 25.0).alias("start"), (F.col("bar") * 25.0 + F.col("level")).alias("end"))),
+    "set_changed_keys": lambda s, d: evidence.changed_keys(views.file(s, d), views.file(s, d).where("folder % 50 = 3").select("folder")),
+    "join_legacy_fallback": lambda s, d: evidence.legacy_fallback(views.song(s, d).select(F.concat(F.lit("spotify:"), "song_id").alias("song_key"), F.lower(F.concat_ws(" - ", "artist", F.col("song_id").cast("string"))).alias("old_key")), views.song(s, d).where("song_id % 4 = 0").select(F.concat(F.lit("spotify:"), "song_id").alias("key"), F.lit("saved").alias("state"), F.lit("u").alias("url")), views.song(s, d).where("song_id % 3 = 0").select(F.lower(F.concat_ws(" - ", "artist", F.col("song_id").cast("string"))).alias("key"), F.when(F.col("song_id") % 2 == 0, "missing").otherwise("saved").alias("state"))),
+    "top_labels": lambda s, d: _vectors(s, d).groupBy("label").agg(F.round(F.avg(F.col("embedding")[0].cast("double")), 6).alias("mean"), F.count("*").alias("n")).orderBy(F.desc("mean"), "label").limit(5),
+    "top_playlist_sort": lambda s, d: views.playlist(s, d).select("playlist_id", F.when(F.col("status") == 0, 0).when(F.col("status") == 5, 1).otherwise(2).alias("bucket"), "last_played").orderBy("bucket", F.desc("last_played"), "playlist_id").limit(100).select("playlist_id", "bucket"),
+    "str_trip_state": lambda s, d: live.stream_to_table(live.trip_state(_stream_events(s, d).withColumn("t", F.col("t").cast("timestamp")))).select("key", "event_id", "run"),
 }

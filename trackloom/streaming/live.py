@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,9 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one if none is set (tests)."""
+    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="trackloom-")
+
+
+def stream_to_table(stream: DataFrame) -> DataFrame:
+    """Runs a finite append stream to its end into Parquet in the shared folder, and reads that."""
+    base = f"{shared_dir(stream.sparkSession).rstrip('/')}/trackloom/stream-{uuid.uuid4().hex}"
+    stream.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/log").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/rows")
+
+
 def read_events(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
+    """The table at ``path`` (a file or a folder) as a stream; the pattern keeps a lone file from being taken for a folder."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path + "*")
 
 
 def _marked(events: DataFrame, late: str) -> DataFrame:
