@@ -119,3 +119,51 @@ def legacy_fallback(jobs: DataFrame, exact: DataFrame, legacy: DataFrame) -> Dat
     old = legacy.where("state in ('missing', 'error')").select(F.col("key").alias("old_key"), F.col("state").alias("l_state"))
     both = jobs.join(e, "song_key", "left").join(old, "old_key", "left").where("e_state is not null or l_state is not null")
     return both.select("song_key", F.coalesce("e_state", "l_state").alias("state"), F.col("e_url").alias("url"), F.col("e_state").isNull().alias("legacy"))
+
+
+def job_table(jobs: DataFrame, parents: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Jobs with their parent's name; a column that an older table lacks is read as null."""
+    have = [F.col(c) if c in jobs.columns else F.lit(None).cast("string").alias(c) for c in columns]
+    return jobs.select(key, *have).join(parents, key, "left")
+
+
+def display_name(path: Column) -> Column:
+    """A file name as a struct (artist, title): without folder, extension and id note; no dash, no artist."""
+    stem = F.regexp_replace(F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\.[^.]*$", ""), r"\s*\[sp-[A-Za-z0-9]{22}\]$", "")
+    at = F.instr(stem, " - ")
+    return F.struct(F.when(at > 0, F.trim(F.substring(stem, F.lit(1), at - 1))).otherwise("").alias("artist"), F.when(at > 0, F.trim(F.substring(stem, at + 3, F.length(stem)))).otherwise(stem).alias("title"))
+
+
+def queue_prune(jobs: DataFrame, files: DataFrame) -> DataFrame:
+    """Jobs by whether a file of the song already satisfies them: counts a playlist."""
+    have = files.select("song_id").distinct().withColumn("ok", F.lit(True))
+    out = jobs.join(have, "song_id", "left")
+    return out.groupBy("playlist_id").agg(F.count_if(F.col("ok")).alias("satisfied"), F.count_if(F.col("ok").isNull()).alias("open"))
+
+
+def conflict_files(songs: DataFrame, files: DataFrame) -> DataFrame:
+    """For keys whose songs have several known lengths: files by verdict against their own song."""
+    mixed = songs.groupBy("artist", "name").agg(F.count_distinct("expected_ms").alias("lengths")).where("lengths > 1").select("artist", "name")
+    own = songs.join(mixed, ["artist", "name"], "left_semi").select("song_id", "artist", "name")
+    reason = keys.length_reason(F.col("expected_ms"), F.col("seconds"))
+    rows = own.join(files.select("song_id", "path", reason.alias("reason")), "song_id", "left")
+    return rows.groupBy(F.coalesce("reason", F.lit("no-file")).alias("verdict")).agg(F.count("*").alias("n"), F.count_distinct("song_id").alias("songs"))
+
+
+def zero_shot(vectors: DataFrame, prompts: DataFrame, scale: float = 10.0) -> DataFrame:
+    """The prompt with the largest share of a scaled softmax over cosines; prompts are a stated small set, met through a constant key."""
+    from trackloom.operators.features import dot, unit
+
+    ask = prompts.select(F.col("vec_id").alias("prompt"), unit(F.col("embedding")).alias("p"), F.explode(F.array(*(F.lit(b) for b in range(8)))).alias("block"))
+    mine = vectors.select("vec_id", unit(F.col("embedding")).alias("u"), F.pmod(F.xxhash64("vec_id"), F.lit(8)).cast("int").alias("block"))
+    rows = mine.join(ask, "block").select("vec_id", "prompt", F.exp(scale * dot(F.col("u"), F.col("p"))).alias("e"))
+    out = rows.groupBy("vec_id").agg(F.max_by("prompt", F.struct("e", "prompt")).alias("prompt"), F.max("e").alias("top"), F.sum("e").alias("all"))
+    return out.select("vec_id", "prompt", F.round(F.col("top") / F.col("all"), 6).alias("share"))
+
+
+def nearest_section(pooled: DataFrame) -> DataFrame:
+    """Largest similarity of each group's pooled unit vector to another group's: rows (label, place, x), one row a dimension."""
+    a = pooled.select(F.col("label").alias("a"), "place", "x")
+    b = pooled.select(F.col("label").alias("b"), "place", F.col("x").alias("y"))
+    sims = a.join(b, "place").where("a <> b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("sim"))
+    return sims.groupBy(F.col("a").alias("label")).agg(F.round(1 - F.max("sim"), 4).alias("distance"))

@@ -144,6 +144,13 @@ _SQL = {
     "join_legacy_fallback": "SELECT concat('spotify:', song_id) AS song_key, CASE WHEN song_id % 4 = 0 THEN 'saved' ELSE 'missing' END AS state, CASE WHEN song_id % 4 = 0 THEN 'u' END AS url, song_id % 4 <> 0 AS legacy FROM song WHERE song_id % 4 = 0 OR song_id % 6 = 0",
     "top_labels": "SELECT label, round(avg(CAST(embedding[1] AS DOUBLE)), 6) AS mean, count(*) AS n FROM embeddings GROUP BY 1 ORDER BY mean DESC, label LIMIT 5",
     "top_playlist_sort": "SELECT playlist_id, CASE status WHEN 0 THEN 0 WHEN 5 THEN 1 ELSE 2 END AS bucket FROM playlist ORDER BY bucket, last_played DESC, playlist_id LIMIT 100",
+    "src_job_table": "SELECT playlist_id, status, CAST(NULL AS VARCHAR) AS error, name FROM playlist",
+    "fn_source_id": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN lpad(CAST(page_id AS VARCHAR), 22, 'a') END AS source_id FROM pages",
+    "fn_display_name": "SELECT song_id, CASE WHEN song_id % 2 = 0 THEN artist ELSE '' END AS artist, name AS title FROM song",
+    "join_queue_prune": "SELECT o.playlist_id, count(f.song_id) AS satisfied, count(*) - count(f.song_id) AS open FROM occurrence o LEFT JOIN (SELECT DISTINCT song_id FROM file WHERE seconds > 300) f ON f.song_id = o.song_id GROUP BY 1",
+    "agg_conflict_files": f"WITH m AS (SELECT artist, name FROM song GROUP BY 1, 2 HAVING count(DISTINCT expected_ms) > 1) SELECT CASE WHEN f.path IS NULL THEN 'no-file' ELSE {reason('f.expected_ms', 'f.seconds')} END AS verdict, count(*) AS n, count(DISTINCT s.song_id) AS songs FROM song s JOIN m ON m.artist = s.artist AND m.name = s.name LEFT JOIN file f ON f.song_id = s.song_id AND f.song_id % 13 <> 0 GROUP BY 1",
+    "vec_zero_shot": f"WITH u AS ({UNIT}), e AS (SELECT a.vec_id, b.vec_id AS prompt, exp(10 * list_dot_product(a.v, b.v)) AS e FROM u a JOIN u b ON b.vec_id < 4) SELECT vec_id, arg_max(prompt, e) AS prompt, round(max(e) / sum(e), 6) AS share FROM e GROUP BY 1",
+    "win_nearest_section": f"WITH u AS ({UNIT}), p AS (SELECT label, i AS place, avg(v[i]) AS x FROM u, range(1, 65) r(i) GROUP BY 1, 2), q AS (SELECT label, place, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 6) AS x FROM p), s AS (SELECT a.label, b.label AS other, sum(a.x * b.x) AS sim FROM q a JOIN q b ON a.place = b.place AND a.label <> b.label GROUP BY 1, 2) SELECT label, round(1 - max(sim), 4) AS distance FROM s GROUP BY 1",
 }
 
 SQL = {name: with_views(sql) for name, sql in _SQL.items()}

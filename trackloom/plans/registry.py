@@ -181,4 +181,11 @@ QUERIES = {
     "top_labels": lambda s, d: _vectors(s, d).groupBy("label").agg(F.round(F.avg(F.col("embedding")[0].cast("double")), 6).alias("mean"), F.count("*").alias("n")).orderBy(F.desc("mean"), "label").limit(5),
     "top_playlist_sort": lambda s, d: views.playlist(s, d).select("playlist_id", F.when(F.col("status") == 0, 0).when(F.col("status") == 5, 1).otherwise(2).alias("bucket"), "last_played").orderBy("bucket", F.desc("last_played"), "playlist_id").limit(100).select("playlist_id", "bucket"),
     "str_trip_state": lambda s, d: live.stream_to_table(live.trip_state(_stream_events(s, d).withColumn("t", F.col("t").cast("timestamp")))).select("key", "event_id", "run"),
+    "src_job_table": lambda s, d: evidence.job_table(views.playlist(s, d).select("playlist_id", F.col("rank").alias("owner"), "status"), views.playlist(s, d).select("playlist_id", "name"), "playlist_id", ["status", "error"]),
+    "fn_source_id": lambda s, d: views.table(s, d, "pages").select("page_id", keys.source_id(F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://open.spotify.com/track/"), F.lpad(F.col("page_id").cast("string"), 22, "a"), F.lit("?si=1"))).otherwise(F.col("url"))).alias("source_id")),
+    "fn_display_name": lambda s, d: views.song(s, d).select("song_id", evidence.display_name(F.concat(F.lit("music/x/"), F.when(F.col("song_id") % 2 == 0, F.concat("artist", F.lit(" - "))).otherwise(""), F.col("name"), F.lit(" [sp-1234567890123456789012].mp3"))).alias("n")).select("song_id", "n.artist", "n.title"),
+    "join_queue_prune": lambda s, d: evidence.queue_prune(views.occurrence(s, d), views.file(s, d).where("seconds > 300")),
+    "agg_conflict_files": lambda s, d: evidence.conflict_files(views.song(s, d), views.file(s, d).where("song_id % 13 <> 0")),
+    "vec_zero_shot": lambda s, d: evidence.zero_shot(_vectors(s, d), _vectors(s, d).where("vec_id < 4")),
+    "win_nearest_section": lambda s, d: evidence.nearest_section(features.pool(_vectors(s, d), "label")),
 }
