@@ -1,7 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval, with sequence and answer checks.
 
-1. Terms are the words of the benchmark items (lower-cased, outer punctuation off). One pass over all documents counts in
-   how many passages each occurs; passages are windows of ``WINDOW`` words, half a window apart.
+1. Terms are the words of the benchmark items (lower-cased, outer punctuation off). One pass over all documents counts how
+   often each occurs. Retrieval uses the terms that are rarer than one in ``COMMON`` passages, and each item's
+   ``RAREST`` rarest whatever their counts; passages are windows of ``WINDOW`` words, half a window apart.
 2. A randomised SVD gives the latent basis: with A the TF-IDF rows of the benchmark's passages and of a bounded sample
    of the corpus's (documents with the ``SAMPLE_DOCS`` smallest hashes of their ids), tasks add up A'(A G) for a random G
    and later A'(A Q); only matrices of terms x RANK are summed, and orthonormalised on the driver.
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 
 from trackloom.llm import common
 
-WINDOW, RANK, COSINE = 48, 64, 0.35
+WINDOW, RANK, COSINE = 48, 64, 0.55
+COMMON, RAREST = 50, 6
 LEAK, PARAPHRASE, ANSWER, RARE = 0.75, 0.5, 0.75, 0.5
 BLOCK, SAMPLE_DOCS, BROADCAST_ROWS = 2000, 4000, 1_000_000
 HALF = WINDOW // 2
@@ -49,6 +51,7 @@ class Item:
     item_id: int | None
     words: list[bytes]
     answer: list[bytes]
+    distinct: frozenset[bytes]
 
 
 @dataclass
@@ -57,6 +60,7 @@ class Index:
 
     items: list[Item]
     terms: dict[bytes, int]
+    weight: dict[bytes, float] = field(default_factory=dict)  # of every item word
     idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
     basis: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     passages: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
@@ -73,7 +77,7 @@ def make_items(rows: list) -> list[Item]:
         words = [w for w in tokens(text or "") if w]
         if words:
             parts = [p for p in re.split(r"[.\n]+", text) if p.split()]
-            out.append(Item(item_id, words, [w for w in tokens(parts[-1] if len(parts) > 1 else "") if w]))
+            out.append(Item(item_id, words, [w for w in tokens(parts[-1] if len(parts) > 1 else "") if w], frozenset(words)))
     return out
 
 
@@ -134,16 +138,16 @@ def _gram_times(index: Index, batch_ids: list[np.ndarray], m: np.ndarray) -> np.
     return out
 
 
-def _document_frequency(docs: DataFrame, terms: dict[bytes, int]) -> tuple[np.ndarray, int]:
+def _frequency(docs: DataFrame, terms: dict[bytes, int]) -> tuple[np.ndarray, int]:
     n_terms, shared = len(terms), docs.sparkSession.sparkContext.broadcast(terms)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, index = np.zeros(n_terms, np.int64), 0, Index([], shared.value)
         for batch in batches:
-            flat, half, first = halves([index.ids(tokens(t)) for t in batch.column("text").to_pylist()])
-            pairs = np.unique(half * n_terms + flat)  # half windows: a term of a passage is in one of its two halves
-            df += np.bincount(pairs % n_terms, minlength=n_terms)
-            n += int(first[-1])
+            for t in batch.column("text").to_pylist():
+                x = index.ids(tokens(t))
+                df += np.bincount(x[x >= 0], minlength=n_terms)
+                n += -(-len(x) // HALF)
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], ["term", "n"])
 
@@ -180,9 +184,13 @@ def _sum_over(docs: DataFrame, index: Index, m: np.ndarray) -> np.ndarray:
 
 def build_index(docs: DataFrame, items: list[Item]) -> Index:
     """Term weights over all documents, and the latent basis by randomised SVD."""
-    terms = {w: k for k, w in enumerate(dict.fromkeys(w for i in items for w in i.words))}
-    df, n = _document_frequency(docs, terms)
-    index = Index(items, terms, idf=np.log((n + 1) / (df + 1)))
+    every = {w: k for k, w in enumerate(dict.fromkeys(w for i in items for w in i.words))}
+    count, n = _frequency(docs, every)
+    weight = np.log((n + 1) / (np.minimum(count, n) + 1)) + 1e-3
+    rare = {w for w, k in every.items() if count[k] * COMMON <= n}
+    rare |= {w for i in items for w in sorted(set(i.words), key=lambda w: (count[every[w]], w))[:RAREST]}
+    terms = {w: k for k, w in enumerate(w for w in every if w in rare)}
+    index = Index(items, terms, {w: float(weight[k]) for w, k in every.items()}, np.array([weight[every[w]] for w in terms]))
     ids = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).distinct()
     sample = common.materialize(docs.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text"), "lsi-sample")
     own = [index.ids(i.words) for i in items]
@@ -221,11 +229,12 @@ def check(item: Item, words: list[bytes], at: int, index: Index) -> tuple[float,
     """(share of the item in sequence, share of its answer) if the document leaks the item around word ``at``."""
     n = len(item.words)
     region = words[max(0, at - n) : at + WINDOW + n]
-    own = set(item.words)
+    own = item.distinct
     found = own.intersection(region)
-    idf = index.idf
-    rare = sum(idf[index.terms[w]] for w in found) / max(sum(idf[index.terms[w]] for w in own), 1e-9)
-    if len(found) < PARAPHRASE * len(own) or rare < RARE:
+    if len(found) < PARAPHRASE * len(own):
+        return None
+    weight = index.weight
+    if sum(weight[w] for w in found) < RARE * sum(weight[w] for w in own):
         return None
     places: dict[bytes, int] = {}
     for k, w in enumerate(item.words):
