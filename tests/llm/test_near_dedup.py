@@ -57,6 +57,24 @@ def test_equals_brute_force(spark, k):
     assert got == brute(rows, k)
 
 
+def test_large_component_with_near_misses(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LARGE", 5)
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(5000)]
+    base = [rng.choice(words) for _ in range(120)]
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.randint(0, 7)):
+            w[rng.randrange(120)] = rng.choice(words)
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs, 4).collect()}
+    want = brute(rows, 4)
+    assert got == want and len({c for _, c, _ in want.values()}) > 3
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "A b"), (5, "a\tB"), (6, "a b c d"), (None, "a b"), (7, "a b c d"), (7, "a b c d")]
     got = sorted(map(tuple, near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()), key=str)

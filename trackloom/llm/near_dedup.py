@@ -9,7 +9,8 @@
    that the similarity reaches the threshold is P(Binomial(m + 1, threshold) <= k); a pair is pruned once this falls
    under ``miss``. Survivors are settled on their full shingle sets, hashed to 64 bits.
 4. Components of the links so far; then the pairs of a bucket that lie in different components and weren't compared
-   are verified too, after a first look at one-bit minima inside the join. A bucket's largest component meets only the others' members, so a large group of near copies
+   are verified too, after a first look at one-bit minima inside the join; a large component and the documents beside
+   it are compared block against block. A bucket's largest component meets only the others' members, so a large group of near copies
    costs a row per member. After this each pair of a bucket is in one component or was compared, as if all pairs had
    been.
 Chance to miss a pair at the threshold: (1 - t^rows)^bands, 5e-6 for 40 bands of 6 at 0.8, plus ``miss``.
@@ -37,6 +38,8 @@ from trackloom.llm.shingles import mix, shingle_set
 SEED = 7
 #: Ids that one broadcast may hold; beyond that the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Components of at least LARGE members in unsettled buckets are compared block by block, in blocks of about BLOCK.
+LARGE, BLOCK = 32, 64
 SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary, b0 long, b1 long"
 #: One-bit minima in the two bit columns: the first batch of the sequential test, made where candidates are joined.
 BITS = 128
@@ -122,11 +125,6 @@ def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, shingle: int
                     keep.append(i)
             yield batch.select(["lo", "hi"]).take(pa.array(keep, pa.int64()))
 
-    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = [shingle_set(t, shingle).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s, pa.binary())], ["doc_id", "of"])
-
     def with_both(p: DataFrame, of: DataFrame, name: str) -> DataFrame:
         for side in ("lo", "hi"):
             p = p.join(of.select(F.col("doc_id").alias(side), F.col("of").alias(f"{name}_{side}")), side)
@@ -137,7 +135,7 @@ def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, shingle: int
 
     sigs = common.materialize(_restricted(signed.select("doc_id", F.col("sig").alias("of")), ends(pairs)), "sigs")
     live = common.materialize(with_both(pairs, sigs, "sig").mapInArrow(prune, "lo long, hi long"), "live")
-    full = common.materialize(_restricted(common.texts(docs), ends(live)).mapInArrow(sets, "doc_id long, of binary"), "sets")
+    full = common.materialize(_restricted(common.texts(docs), ends(live)).mapInArrow(_sets(shingle), "doc_id long, of binary"), "sets")
     return common.materialize(with_both(live, full, "set").mapInArrow(exact, "lo long, hi long").distinct(), "links")
 
 
@@ -149,6 +147,69 @@ def _open_buckets(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return common.materialize(marked.join(major, "key"), "open")
 
 
+def _sets(shingle: int):
+    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = [shingle_set(t, shingle).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s, pa.binary())], ["doc_id", "of"])
+
+    return sets
+
+
+def _beside_large(open_rows: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(label, node) of the ``large`` components' members, and of the nodes of others that share a bucket with them."""
+    members = open_rows.join(large, "label").select("label", "node").distinct()
+    held = open_rows.join(large, "label").select("key", F.col("label").alias("big")).distinct()
+    other = open_rows.select("key", "node", "label").join(large.select("label", F.lit(True).alias("is_big")), "label", "left")
+    beside = other.join(held, "key").where("label <> big and (is_big is null or big < label)").select(F.col("big").alias("label"), "node").distinct()
+    return common.materialize(members, "members"), common.materialize(beside, "beside")
+
+
+def _against_large(members: DataFrame, beside: DataFrame, signed: DataFrame, docs: DataFrame, shingle: int, num: int, den: int, miss: float) -> DataFrame:
+    """Links of the nodes ``beside`` large components with the ``members`` and with each other.
+
+    Members and nodes are dealt into blocks of about BLOCK; a row holds two blocks, whose pairs are compared by
+    signature and then by set in one go. So a large component and its many near misses cost a row for each pair of
+    blocks, not for each pair of documents.
+    """
+    spark = docs.sparkSession
+    members = common.materialize(members.union(beside).distinct(), "members")
+    need = members.select(F.col("node").alias("doc_id")).union(beside.select("node")).distinct()
+    need = common.materialize(need, "need")
+    full = _restricted(common.texts(docs), need).mapInArrow(_sets(shingle), "doc_id long, of binary")
+    of = common.materialize(full.join(_restricted(signed.select("doc_id", "sig"), need), "doc_id").select(F.col("doc_id").alias("node"), "sig", "of"), "block-sets")
+    parts = lambda df, n: df.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(n))
+    count = common.materialize(parts(members, "m_parts").join(parts(beside, "x_parts"), "label"), "block-counts")
+
+    def blocks(df: DataFrame, n: str, no: str, name: str) -> DataFrame:
+        rows = df.join(count, "label").join(of, "node").withColumn(no, F.pmod(F.xxhash64("node"), F.col(n)).cast("int"))
+        return rows.groupBy("label", no, "m_parts").agg(F.collect_list(F.struct("node", "sig", "of")).alias(name))
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for xs, ms in zip(batch.column("xs").to_pylist(), batch.column("ms").to_pylist()):
+                sig = np.frombuffer(b"".join(m["sig"] for m in ms), "<u2").reshape(len(ms), -1)
+                least = least_matches(sig.shape[1], num / den, miss)
+                sets = [np.frombuffer(m["of"], np.uint64) for m in ms]
+                for x in xs:
+                    own = np.frombuffer(x["of"], np.uint64)
+                    for j in np.flatnonzero((sig == np.frombuffer(x["sig"], "<u2")).sum(axis=1) >= least):
+                        both = np.intersect1d(own, sets[j], assume_unique=True).size
+                        if x["node"] != ms[j]["node"] and den * both >= num * (own.size + sets[j].size - both):
+                            out.append(sorted((x["node"], ms[j]["node"])))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["lo", "hi"])
+
+    ms = common.materialize(blocks(members, "m_parts", "m_no", "ms").drop("m_parts"), "m-blocks")
+    xs = common.materialize(blocks(beside, "x_parts", "x_no", "xs"), "x-blocks")
+    pairs = xs.select("label", "xs", F.explode(F.sequence(F.lit(0), F.col("m_parts") - 1)).alias("m_no")).join(ms, ["label", "m_no"])
+    try:
+        common.small_batches(spark, 4)  # a row holds two blocks
+        return common.materialize(pairs.select("xs", "ms").mapInArrow(compare, "lo long, hi long").distinct(), "links")
+    finally:
+        common.small_batches(spark)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, bands: int = 40, rows: int = 6, miss: float = 1e-6) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs`` (doc_id, text)."""
     common.small_batches(docs.sparkSession)
@@ -166,20 +227,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
 
     # all pairs of a bucket that are still in different components and weren't compared
     open_rows = _open_buckets(shared, labels)
+    large = common.materialize(open_rows.groupBy("label").agg(F.count_distinct("node").alias("n")).where(F.col("n") >= LARGE).select("label"), "large")
+    all_open, open_rows = open_rows, open_rows.join(large, "label", "left_anti")
+    members, beside = _beside_large(all_open, large)
+    near = beside.groupBy("node").agg(F.min("label").alias("big"))
     of = _restricted(signed.select("doc_id", "b0", "b1"), open_rows.select(F.col("node").alias("doc_id")).distinct())
-    open_rows = common.materialize(open_rows.join(of.withColumnRenamed("doc_id", "node").dropDuplicates(["node"]), "node"), "open-bits")
+    open_rows = common.materialize(open_rows.join(of.withColumnRenamed("doc_id", "node").dropDuplicates(["node"]), "node").join(near, "node", "left"), "open-bits")
     # one-bit minima of a pair differ with chance (1 - similarity) / 2 each; most pairs that merely share a passage stop here
     bits = min(BITS, bands * rows)
     apart = bits - least_matches(bits, (1 + num / den) / 2, miss)
-    minor = open_rows.where("label <> major").select("key", F.col("node").alias("p"), F.col("label").alias("p_label"), F.col("b0").alias("p0"), F.col("b1").alias("p1"))
+    # two nodes beside one large component meet in its blocks
+    minor = open_rows.where("label <> major").select("key", F.col("node").alias("p"), F.col("label").alias("p_label"), F.col("b0").alias("p0"), F.col("b1").alias("p1"), F.col("big").alias("p_big"))
     close = F.bit_count(F.col("p0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("p1").bitwiseXOR(F.col("b1"))) <= apart
-    cross = minor.join(open_rows, (minor.key == open_rows.key) & (F.col("p_label") != F.col("label")) & ((F.col("label") == F.col("major")) | (F.col("p") < F.col("node"))) & close)
+    cross = minor.join(open_rows, (minor.key == open_rows.key) & (F.col("p_label") != F.col("label")) & ((F.col("label") == F.col("major")) | (F.col("p") < F.col("node"))) & F.coalesce(F.col("p_big") != F.col("big"), F.lit(True)) & close)
     rest = cross.select(F.least("p", "node").alias("lo"), F.greatest("p", "node").alias("hi")).distinct().join(compared, ["lo", "hi"], "left_anti")
     rest = common.materialize(rest, "rest")
+    before = links
     if not rest.isEmpty():
-        more = _verified(rest, signed, docs, shingle, num, den, miss)
-        if not more.isEmpty():
-            labels = components(links.union(more))
+        links = links.union(_verified(rest, signed, docs, shingle, num, den, miss))
+    if not large.isEmpty():
+        links = links.union(_against_large(members, beside, signed, docs, shingle, num, den, miss))
+    if links is not before:
+        labels = components(links)
 
     named_class = common.materialize(classes.join(labels, "node", "left").select("set_key", F.coalesce("label", "node").alias("component_id")), "named")
     out = signed.select("doc_id", "n_shingles", "set_key").join(named_class, "set_key", "left")
