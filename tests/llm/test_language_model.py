@@ -48,3 +48,29 @@ def test_equals_brute_force(spark):
     by = {r.doc_id: r.loss_difference for r in got if r.n_tokens > 5 and r.doc_id is not None and r.doc_id < 60}
     assert max(v for i, v in by.items() if i in target) < min(v for i, v in by.items() if i not in target)
     assert lm.score(d.limit(0), spark.createDataFrame([], "doc_id long")).count() == 0
+
+
+def exact(docs, target):
+    """The same losses from counts of word tuples, without any function of the operator."""
+    texts = [(i, ["", *(t or "").encode().lower().split()]) for i, t in docs]
+    n = len({w for _, t in texts for w in t[1:]}) + 1
+    sides = []
+    for own in ([t for i, t in texts if i in target], [t for _, t in texts]):
+        one, two, first = (collections.Counter(x) for x in ((w for t in own for w in t[1:]), (p for t in own for p in zip(t, t[1:])), (w for t in own for w in t[:-1])))
+        total = max(one.total(), 1)
+        sides.append(lambda b, w, one=one, two=two, first=first, total=total: -math.log(0.6 * two[b, w] / max(first[b], 1) + 0.39 * one[w] / total + 0.01 / n))
+    return {i: (len(t) - 1, *(sum(f(b, w) for b, w in zip(t, t[1:])) / (len(t) - 1) for f in sides)) for i, t in texts}
+
+
+def test_many_words_and_bigrams_are_counted_exactly(spark, monkeypatch):
+    monkeypatch.setattr(lm, "FREQUENT_WORD", 300, raising=False)
+    monkeypatch.setattr(lm, "FREQUENT_BIGRAM", 300, raising=False)
+    rng = random.Random(8)
+    docs = [(i, " ".join("the of" if rng.random() < 0.05 else f"w{rng.randrange(60_000)}{'x' * (70 * (rng.random() < 0.01))}" for _ in range(600))) for i in range(400)]
+    target = set(range(0, 400, 5))
+    got = lm.score(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i,) for i in target], "doc_id long")).collect()
+    want = exact(docs, target)
+    assert len(got) == len(want)
+    for r in got:
+        n, a, b = want[r.doc_id]
+        assert r.n_tokens == n and abs(r.loss_target - a) < 1e-9 and abs(r.loss_background - b) < 1e-9

@@ -1,13 +1,16 @@
 """Language-model scoring by cross-entropy difference of two matched n-gram models.
 
-Both models are interpolated bigram models with one vocabulary, one table size, one pair of weights and one unknown
-class; the target model is counted over the documents named as target, the background model over all documents. A
-document's score is its mean loss per token under the target model less that under the background model: the lower,
-the more it is like the target.
-
-The vocabulary is the ``VOCABULARY`` most frequent words of all documents (lower-cased, ASCII white space). Bigram counts
-live in ``BUCKETS`` hashed cells, so a model's size is fixed whatever the corpus; two bigrams that share a cell share it
-in both models. Counting covers all tokens of all documents: a task adds up its cells and sends each once.
+Both models are interpolated bigram models with one vocabulary, one pair of weights and one unknown class; the target
+model is counted over the documents named as target, the background model over all documents. A document's score is its
+mean loss per token under the target model less that under the background model: the lower, the more it is like the
+target.
+
+The vocabulary is all words of all documents (lower-cased, ASCII white space), and every bigram has a count of its own:
+words and bigrams are told apart by 64-bit hashes, and the tables grow with the corpus. A task adds up its bigrams a
+chunk of tokens at a time; Spark adds up the rest, joins each bigram with the counts of its words and writes the losses
+to the shared folder. Documents meet the losses by a join on the bigram. Words and bigrams above a fixed share of all
+tokens, of which there can only be so many, go by broadcast instead, so that no key of a join is hot; this decides speed
+only.
 
 Defined results: a text without words has no tokens and null losses and score; without target documents the target
 model is uniform over the vocabulary; a null ``doc_id`` is scored and never a target; repeated rows each count and each
@@ -18,105 +21,127 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import common
+from trackloom.llm import common, shingles
 
-VOCABULARY, BUCKETS, LONGEST_WORD = 32_768, 1 << 20, 64
 #: Interpolation weights of bigram and unigram; the rest goes to the uniform distribution.
 BIGRAM, UNIGRAM = 0.6, 0.39
 BROADCAST_ROWS = 1_000_000
+#: A word or bigram is frequent from one in so many tokens; there are no more than that of them.
+FREQUENT_WORD, FREQUENT_BIGRAM = 1 << 16, 1 << 18
+#: Tokens that a task adds up at a time, and words whose hashes a worker keeps.
+CHUNK, CACHE = 2_000_000, 400_000
 _STATE: dict = {}
 
 
-def words(text: str) -> list[bytes]:
-    return text.encode("utf-8", "replace").lower().split()
-
-
-def cells(ids: np.ndarray) -> np.ndarray:
-    """The hashed cell of each bigram of ``ids``; the document starts with the id 0."""
-    before = np.concatenate([[0], ids[:-1]]).astype(np.uint64)
-    h = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (ids.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((h >> np.uint64(32)) % np.uint64(BUCKETS)).astype(np.int64)
-
-
-class _Ids(dict):
-    """Word bytes to id; a word outside the vocabulary is unknown, id 1."""
+class _Hashes(dict):
+    """Word bytes to 64-bit hash, filled as words come."""
 
     def __missing__(self, word: bytes) -> int:
-        return 1
-
-
-@dataclass
-class Model:
-    """Counts of one model: unigram by id, bigram by cell, and the count of an id as a bigram's first part."""
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
 
-    unigram: np.ndarray
-    bigram: np.ndarray
-    first: np.ndarray
 
-    def losses(self, ids: np.ndarray) -> np.ndarray:
-        """-log p of each token."""
-        before = np.concatenate([[0], ids[:-1]])
-        total = max(self.unigram.sum(), 1.0)
-        known = len(self.unigram) - 1  # all ids but the start
-        two = np.minimum(self.bigram[cells(ids)] / np.maximum(self.first[before], 1.0), 1.0)
-        return -np.log(BIGRAM * two + UNIGRAM * self.unigram[ids] / total + (1 - BIGRAM - UNIGRAM) / known)
+_HASHES = _Hashes()
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> dict[bytes, int]:
-    """The most frequent words of all documents to ids from 2; 0 starts a document, 1 is the unknown word."""
-    w = docs.select(F.explode(F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+")).alias("w"))
-    top = w.where(F.length("w").between(1, LONGEST_WORD)).groupBy("w").count().orderBy(F.desc("count"), "w").limit(size)
-    return {r.w.encode("utf-8", "replace"): k for k, r in enumerate(top.collect(), 2)}
+def words(text: str) -> list[bytes]:
+    return text.encode("utf-8", "replace").lower().split()
 
 
-def _sparse(kind: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    at = np.flatnonzero(counts.any(axis=0))
+def befores(ids: np.ndarray, starts=0) -> np.ndarray:
+    """The word before each of ``ids``; 0 at the places ``starts``, where documents start."""
+    before = np.empty(len(ids), np.uint64)
+    before[1:] = ids[:-1]
+    before[starts] = 0
+    return before
+
+
+def cells(ids: np.ndarray, starts=0) -> np.ndarray:
+    """The 64-bit hash of each bigram of ``ids``."""
+    before = befores(ids, starts)
+    h = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (shingles.mix(ids.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return shingles.mix(h).view(np.int64)
+
+
+def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of all words, words of each text, places where texts with words start)."""
+    if len(_HASHES) > CACHE:
+        _HASHES.clear()
+    own = [np.fromiter(map(_HASHES.__getitem__, w), np.uint64, len(w)) for w in map(words, texts)]
+    lengths = np.array([len(x) for x in own], np.int64)
+    starts = (np.cumsum(lengths) - lengths)[lengths > 0]
+    return np.concatenate([np.zeros(0, np.uint64), *own]), lengths, starts
+
+
+def _sums(chunk: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """The distinct bigrams of ``chunk`` (cell, before, word, is_target) with their counts."""
+    cell, before, word, target = (np.concatenate(x) for x in zip(*chunk))
+    order = np.argsort(cell)
+    cell = cell[order]
+    at = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    background = np.diff(np.append(at, len(cell)))
+    target = np.add.reduceat(target[order].astype(np.int64), at)
+    columns = [cell[at], before[order[at]].view(np.int64), word[order[at]].view(np.int64), target, background]
     for k in range(0, len(at), 50_000):
-        part = at[k : k + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part.astype(np.int32)), pa.array(counts[0, part]), pa.array(counts[1, part])], ["kind", "cell", "target", "background"])
+        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 50_000]) for c in columns], ["cell", "before", "word", "target", "background"])
 
 
-def train(docs: DataFrame, ids) -> tuple[Model, Model]:
-    """Target and background model from ``docs`` (text, is_target); ``ids`` is the broadcast vocabulary."""
-    n_ids = len(ids.value) + 2
+def bigrams(docs: DataFrame) -> DataFrame:
+    """(cell, before, word, target, background): the counts of every bigram of ``docs`` (text, is_target), written out."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two, first = (np.zeros((2, n), np.int64) for n in (n_ids, BUCKETS, n_ids))
-        get = _Ids(ids.value).__getitem__
+        chunk, n = [], 0
         for batch in batches:
-            for target in (True, False):
-                own = [np.fromiter(map(get, w), np.int64, len(w)) for t, g in zip(batch.column("text").to_pylist(), batch.column("is_target").to_pylist()) if g == target and (w := words(t))]
-                if own:
-                    flat = np.concatenate(own)
-                    add = [np.bincount(flat, minlength=n_ids), np.bincount(np.concatenate([cells(x) for x in own]), minlength=BUCKETS), np.bincount(np.concatenate([np.concatenate([[0], x[:-1]]) for x in own]), minlength=n_ids)]
-                    for counts, more in zip((one, two, first), add):
-                        counts[1] += more
-                        if target:
-                            counts[0] += more
-        for kind, counts in enumerate((one, two, first)):
-            yield from _sparse(kind, counts)
-
-    parts = docs.mapInArrow(count, "kind int, cell int, target long, background long")
-    total = common.materialize(parts.groupBy("kind", "cell").agg(F.sum("target").alias("target"), F.sum("background").alias("background")), "ngrams")
-    got = total.toArrow()  # BUCKETS and two vocabularies' rows at most
-    kind, cell = (np.asarray(got.column(c)) for c in ("kind", "cell"))
-    models = []
-    for side in ("target", "background"):
-        value, arrays = np.asarray(got.column(side)), []
-        for k, n in enumerate((n_ids, BUCKETS, n_ids)):
-            a = np.zeros(n, np.float32)
-            a[cell[kind == k]] = value[kind == k]
-            arrays.append(a)
-        models.append(Model(*arrays))
-    return models[0], models[1]
+            ids, lengths, starts = _tokens(batch.column("text").to_pylist())
+            if not len(ids):
+                continue
+            chunk.append((cells(ids, starts), befores(ids, starts), ids, np.repeat(np.array(batch.column("is_target").to_pylist(), bool), lengths)))
+            n += len(ids)
+            if n >= CHUNK:
+                yield from _sums(chunk)
+                chunk, n = [], 0
+        if chunk:
+            yield from _sums(chunk)
+
+    parts = docs.mapInArrow(count, "cell long, before long, word long, target long, background long")
+    total = parts.groupBy("cell").agg(F.min("before").alias("before"), F.min("word").alias("word"), F.sum("target").alias("target"), F.sum("background").alias("background"))
+    return common.materialize(total, "bigrams")
+
+
+def _with_counts(found: DataFrame, word: str, counts: DataFrame, tokens: int) -> DataFrame:
+    """``found`` with the columns of ``counts`` (id, ...) of its column ``word``: by broadcast if frequent, else by a join."""
+    names = [c for c in counts.columns if c != "id"]
+    often = F.col(names[-1]) * FREQUENT_WORD >= tokens  # the background count
+    hot = counts.where(often).select(F.col("id").alias(word), *(F.col(c).alias(f"hot_{c}") for c in names))
+    cold = counts.where(~often).withColumnRenamed("id", "_id")
+    near = found.join(F.broadcast(hot), word, "left")
+    # a row that is served takes its cell along as key, to any task
+    key = F.when(F.col(f"hot_{names[-1]}").isNull(), F.col(word)).otherwise(F.col("cell"))
+    out = near.withColumn("_key", key).join(cold, F.col("_key") == F.col("_id"), "left")
+    return out.select(*found.columns, *(F.coalesce(f"hot_{c}", c).alias(c) for c in names))
+
+
+def losses(found: DataFrame) -> tuple[DataFrame, int]:
+    """(cell, background, loss_target, loss_background) of every bigram of ``found``, written out; and the tokens of all documents."""
+    n_target, tokens = found.agg(F.coalesce(F.sum("target"), F.lit(0)), F.coalesce(F.sum("background"), F.lit(0))).first()
+    one = common.materialize(found.groupBy(F.col("word").alias("id")).agg(F.sum("target").alias("one_target"), F.sum("background").alias("one_background")), "words")
+    first = common.materialize(found.groupBy(F.col("before").alias("id")).agg(F.sum("target").alias("first_target"), F.sum("background").alias("first_background")), "firsts")
+    known = one.count() + 1  # all words and the unknown class
+
+    def loss(side: str, total: int) -> Column:
+        two = F.col(side) / F.greatest(F.col(f"first_{side}"), F.lit(1))
+        return -F.log(BIGRAM * two + UNIGRAM * F.col(f"one_{side}") / max(total, 1) + (1 - BIGRAM - UNIGRAM) / known)
+
+    both = _with_counts(_with_counts(found, "word", one, tokens), "before", first, tokens)
+    out = both.select("cell", "background", loss("target", n_target).alias("loss_target"), loss("background", tokens).alias("loss_background"))
+    return common.materialize(out, "losses"), tokens
 
 
 def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
@@ -124,27 +149,44 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     common.small_batches(spark)
     docs = common.texts(docs)
-    ids = spark.sparkContext.broadcast(vocabulary(docs))  # VOCABULARY words of bounded length
     marks = target_ids.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("_t", F.lit(True))
     marks = F.broadcast(marks) if marks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else marks
-    flagged = docs.join(marks, "doc_id", "left").select("text", F.coalesce("_t", F.lit(False)).alias("is_target"))
-    models = spark.sparkContext.broadcast(train(flagged, ids))  # two tables of fixed size, 9 MB
+    table, tokens = losses(bigrams(docs.join(marks, "doc_id", "left").select("text", F.coalesce("_t", F.lit(False)).alias("is_target"))))
+    got = table.where(F.col("background") * FREQUENT_BIGRAM >= tokens).toArrow()  # FREQUENT_BIGRAM rows at most
+    cell = np.asarray(got.column("cell"))
+    order = np.argsort(cell)
+    frequent = spark.sparkContext.broadcast([cell[order], *(np.asarray(got.column(c))[order] for c in ("loss_target", "loss_background"))])
     key = uuid.uuid4().hex
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if _STATE.get("key") != key:
-            _STATE.update(key=key, ids=_Ids(ids.value), models=models.value)
-        get, (target, background) = _STATE["ids"].__getitem__, _STATE["models"]
+            _STATE.update(key=key, frequent=frequent.value)
+        known, *values = _STATE["frequent"]
         for batch in batches:
-            rows = []
-            for text in batch.column("text").to_pylist():
-                w = words(text)
-                x = np.fromiter(map(get, w), np.int64, len(w))
-                rows.append((len(w), float(target.losses(x).mean()), float(background.losses(x).mean())) if w else (0, None, None))
-            a, b = [r[1] for r in rows], [r[2] for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array(a, pa.float64()), pa.array(b, pa.float64())], ["doc_id", "n_tokens", "loss_target", "loss_background"])
-
-    out = docs.mapInArrow(run, "doc_id long, n_tokens long, loss_target double, loss_background double")
+            ids, lengths, starts = _tokens(batch.column("text").to_pylist())
+            row = np.asarray(batch.column("row"))
+            cell, n, full = cells(ids, starts), len(row), lengths > 0
+            at = np.minimum(np.searchsorted(known, cell), max(len(known) - 1, 0))
+            hit = known[at] == cell if len(known) else np.zeros(len(cell), bool)
+            sums = []
+            for value in values:
+                s = np.zeros(n)
+                if len(ids):
+                    s[full] = np.add.reduceat(np.where(hit, value[at], 0.0) if len(known) else np.zeros(len(ids)), starts)
+                sums.append(pa.array(s))
+            # one row a document with what the frequent bigrams give, then a row for each other token
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(shingles.mix(row.astype(np.uint64)).view(np.int64)), batch.column("doc_id"), pa.array(lengths), *sums], ["row", "cell", "doc_id", "n_tokens", "sum_target", "sum_background"])
+            rare, of = cell[~hit], np.repeat(row, lengths)[~hit]
+            for k in range(0, len(rare), 50_000):
+                c = rare[k : k + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(of[k : k + 50_000]), pa.array(c), *(pa.nulls(len(c), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], ["row", "cell", "doc_id", "n_tokens", "sum_target", "sum_background"])
+
+    numbered = docs.withColumn("row", F.monotonically_increasing_id())
+    parts = numbered.mapInArrow(run, "row long, cell long, doc_id long, n_tokens long, sum_target double, sum_background double")
+    met = parts.join(table.where(F.col("background") * FREQUENT_BIGRAM < tokens).drop("background"), "cell", "left")
+    sides = ("target", "background")
+    total = met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), *(F.sum(F.coalesce(f"sum_{s}", f"loss_{s}")).alias(f"sum_{s}") for s in sides))
+    out = total.select("doc_id", "n_tokens", *(F.when(F.col("n_tokens") > 0, F.col(f"sum_{s}") / F.col("n_tokens")).alias(f"loss_{s}") for s in sides))
     return out.withColumn("loss_difference", F.col("loss_target") - F.col("loss_background"))
 
 
