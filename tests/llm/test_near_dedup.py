@@ -91,3 +91,16 @@ def test_long_chain(spark):
 def test_bounds_keep_true_pairs():
     for m in (16, 64, 240):
         assert 0 <= near_dedup.least_matches(m, 0.8, 1e-6) < 0.8 * m
+
+
+@pytest.mark.parametrize("order", ["shuffled", "inward"])
+def test_chains_of_any_order(spark, order):
+    n = 1000
+    ids = list(range(n))
+    if order == "shuffled":
+        random.Random(3).shuffle(ids)
+    else:  # the smallest id's neighbour is the largest
+        ids = [0, *range(n - 1, 0, -1)]
+    links = [tuple(sorted(p)) for p in zip(ids, ids[1:])] + [(n + 5, n + 7), (n + 6, n + 7), (n + 9, n + 9)]
+    got = {r.node: r.label for r in components(spark.createDataFrame(links, "lo long, hi long")).collect()}
+    assert got == dict.fromkeys(range(n), 0) | {n + 5: n + 5, n + 6: n + 5, n + 7: n + 5, n + 9: n + 9}

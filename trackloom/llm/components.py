@@ -8,22 +8,37 @@ from pyspark.sql import functions as F
 from trackloom.llm import common
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def _roots(nodes: DataFrame) -> DataFrame:
+    """(node, up) with ``up`` the end of each node's path by ``up``: doubled until nothing changes. No path has a cycle."""
+    while True:
+        over = nodes.select(F.col("node").alias("up"), F.col("up").alias("over"))
+        after = common.materialize(nodes.join(over, "up").select("node", F.col("over").alias("up"), (F.col("over") != F.col("up")).alias("moved")), "roots")
+        nodes = after.drop("moved")
+        if after.where("moved").isEmpty():
+            return nodes
+
+
+def components(links: DataFrame) -> DataFrame:
     """(node, label) for every node of ``links`` (lo, hi): ``label`` is the smallest node that it reaches.
 
-    Each round gives a node the smallest label among itself and its neighbours, then the label of that label, so a
-    label moves twice as far each round. Each round's table is written to the shared folder. An empty input gives an
-    empty result.
+    Each round draws every node to the smallest of its neighbours and itself, and on along such steps to their end; each
+    end then stands for all that came to it, and the links between ends are the next round's. The first round's order is
+    that of the ids, which settles stars at once; each later round has a hash order of its own, in which a linked node is
+    an end with a chance of a half at most, so rounds grow with the logarithm of the nodes whatever the ids. Each
+    round's tables are written to the shared folder. An empty input gives an empty result.
     """
     edges = common.materialize(links.select("lo", "hi").union(links.select(F.col("hi"), F.col("lo"))).distinct(), "edges")
-    labels = common.materialize(edges.groupBy(F.col("lo").alias("node")).agg(F.min(F.least("lo", "hi")).alias("label")), "labels")
-    for _ in range(rounds):
-        near = edges.join(labels, edges.hi == labels.node).groupBy(F.col("lo").alias("node")).agg(F.min("label").alias("near"))
-        met = labels.join(near, "node").select("node", F.least("label", "near").alias("at"), F.col("label").alias("was"))
-        jump = labels.select(F.col("node").alias("at"), F.col("label").alias("jump"))
-        after = common.materialize(met.join(jump, "at", "left").select("node", F.least("at", "jump").alias("label"), "was"), "labels")
-        done = after.where("label <> was").isEmpty()
-        labels = after.drop("was")
-        if done:
-            return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    ends = common.materialize(edges.select(F.col("lo").alias("node")).distinct().withColumn("end", F.col("node")), "ends")
+    turn = 0
+    edges = edges.where("lo <> hi")
+    while not edges.isEmpty():
+        key = lambda c: F.struct((F.xxhash64(F.lit(turn), c) if turn else F.lit(0)).alias("at"), F.col(c).alias("node"))  # noqa: B023, E731
+        least = edges.groupBy(F.col("lo").alias("node")).agg(F.min(key("hi")).alias("least"))
+        up = common.materialize(least.select("node", F.least("least", key("node"))["node"].alias("up")), "up")
+        roots = _roots(up)
+        ends = common.materialize(ends.join(roots.withColumnRenamed("node", "end"), "end", "left").select("node", F.coalesce("up", "end").alias("end")), "ends")
+        lo, hi = (roots.select(F.col("node").alias(c), F.col("up").alias(f"{c}_up")) for c in ("lo", "hi"))
+        edges = common.materialize(edges.join(lo, "lo").join(hi, "hi").where("lo_up <> hi_up").select(F.col("lo_up").alias("lo"), F.col("hi_up").alias("hi")).distinct(), "edges")
+        turn += 1
+    smallest = ends.groupBy("end").agg(F.min("node").alias("label"))
+    return common.materialize(ends.join(smallest, "end").select("node", "label"), "labels")
