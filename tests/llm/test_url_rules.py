@@ -43,3 +43,39 @@ def test_rules_are_pruned(spark):
     rows = [("http://a.b.c/x/y", True)] * 40 + [("http://d.b.c/x/z", False)] * 40
     rules = url_rules.mine(spark.createDataFrame(rows, "url string, blocked boolean")).collect()
     assert rules and all(len(r["items"]) == 1 for r in rules)
+
+
+def test_every_family_of_urls_keeps_its_rules(spark):
+    rows, labels = [], []
+    for f, n in enumerate((40, 30, 20, 12)):  # ten items in common: 1,023 rules each, all as sure
+        for i in range(n + 3):
+            rows.append((len(rows), f"http://a{'xyzw'[f]}.b{'xyzw'[f]}.c{'xyzw'[f]}.d{'xyzw'[f]}/p{'xyzw'[f]}/q{'xyzw'[f]}/r{'xyzw'[f]}?k{'xyzw'[f]}={i}&l{'xyzw'[f]}=1"))
+            if i < n:
+                labels.append((rows[-1][0], 0))
+    bad = len(rows)
+    for i in range(150):
+        rows.append((len(rows), f"http://good.site/{'abc'[i % 3]}/{i}"))
+        labels.append((rows[-1][0], 1))
+    got = url_rules.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert {r.page_id for r in got if r.verdict == "block"} == set(range(bad))
+
+
+def test_rules_equal_pruning_by_brute_force(spark):
+    rng = random.Random(5)
+    rows = []
+    for _ in range(400):
+        path = "/".join(x for x in "abcde" if rng.random() < 0.5)
+        rows.append((f"http://h.{rng.choice('uv')}/{path}", rng.random() < 0.5 + 0.12 * (path.count("a") + path.count("c") - path.count("e"))))
+    baskets = spark.createDataFrame(rows, "url string, blocked boolean").select(url_rules.items(url_rules.F.col("url")), "blocked").collect()
+    count = {}
+    for has, blocked in baskets:
+        has = sorted(has)
+        for m in range(1, 1 << len(has)):
+            both = count.setdefault(tuple(x for k, x in enumerate(has) if m >> k & 1), [0, 0])
+            both[0] += 1
+            both[1] += blocked
+    least = max(url_rules.MIN_SUPPORT * len(rows), url_rules.MIN_ROWS)
+    sure = {frozenset(s): b / n for s, (n, b) in count.items() if b >= least and b / n >= url_rules.MIN_CONFIDENCE}
+    want = {s: c for s, c in sure.items() if not any(p < s and q >= c for p, q in sure.items())}
+    got = url_rules.mine(spark.createDataFrame(rows, "url string, blocked boolean")).collect()
+    assert len(want) > 5 and {frozenset(r["items"]): r["confidence"] for r in got} == want

@@ -2,8 +2,8 @@
 
 A url's items are its host's names, its last two names together, path parts (digits as ``#``) and query keys. FP-growth
 runs over the items of labelled urls with the label as one more item; rules that lead to it are pruned by support,
-confidence, and by shorter rules that are as sure, to ``MAX_RULES`` at most. Matching goes through an inverted index:
-each rule stands under its rarest item, so a url meets only rules whose rarest item it holds, and then all of a rule's
+confidence, and by shorter rules that are as sure; all others count. Matching goes through an inverted index: each rule
+stands under its rarest item, so a url meets only rules whose rarest item it holds, and then all of a rule's
 items are looked for. Only built-in expressions run on executors.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule, and the verdict allow; a null
@@ -24,7 +24,7 @@ from trackloom.llm import common
 #: (host, path, verdict): a rule fits its host and all subdomains where the path starts with the rule's; the longest wins.
 FIXED = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 BLOCK = "label=block"
-MAX_RULES, MIN_SUPPORT, MIN_CONFIDENCE, MIN_ROWS = 2000, 0.002, 0.6, 8
+BROADCAST_RULES, MIN_SUPPORT, MIN_CONFIDENCE, MIN_ROWS = 2000, 0.002, 0.6, 8
 
 
 def host(url: Column) -> Column:
@@ -45,8 +45,32 @@ def items(url: Column) -> Column:
     return F.when(host(url) == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.filter(both, lambda x: ~x.isin("h:", "p:", "q:", "d:"))))
 
 
+def _uncovered(rules: DataFrame) -> DataFrame:
+    """The rows of ``rules`` (items, n, sure, ...) without those that a smaller set of some of their items is as sure as.
+
+    With every set, all its subsets are in ``rules``. So a set's surest subset is the surest of what the sets with one item
+    less are or have in them: a round a size, and each round joins a set only with the sets that lack one of its items.
+    """
+    spark = rules.sparkSession
+    longest = rules.agg(F.max("n")).first()[0] or 0
+    kept = below = None
+    for n in range(1, longest + 1):
+        own = rules.where(F.col("n") == n)
+        if below is None:
+            met = own.withColumn("best", F.lit(0.0))
+        else:
+            less = own.select("items", F.explode("items").alias("of")).select("items", F.array_remove("items", F.col("of")).alias("part"))
+            best = less.join(below, "part").groupBy("items").agg(F.max("best").alias("best"))
+            met = own.join(best, "items")
+        met = common.materialize(met, "covered")
+        below = met.select(F.col("items").alias("part"), F.greatest("sure", "best").alias("best"))
+        new = met.where("sure > best").drop("best")
+        kept = new if kept is None else kept.union(new)
+    return kept if kept is not None else spark.createDataFrame([], rules.schema)
+
+
 def mine(labelled: DataFrame) -> DataFrame:
-    """(items, key, confidence, support): pruned rules for blocking from ``labelled`` (url, blocked), at most MAX_RULES rows, written out."""
+    """(items, key, confidence, support): pruned rules for blocking from ``labelled`` (url, blocked), written out."""
     spark = labelled.sparkSession
     rows = labelled.select(F.concat(items(F.col("url")), F.when(F.col("blocked"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items")).where("size(items) > 0")
     rows = common.materialize(rows, "baskets")
@@ -54,14 +78,12 @@ def mine(labelled: DataFrame) -> DataFrame:
     if not n:
         return spark.createDataFrame([], "items array<string>, key string, confidence double, support double")
     model = FPGrowth(itemsCol="items", minSupport=max(MIN_SUPPORT, MIN_ROWS / n), minConfidence=MIN_CONFIDENCE).fit(rows)
-    found = model.associationRules.where(F.array_contains("consequent", BLOCK)).select(F.array_sort("antecedent").alias("items"), "confidence", "support")
-    best = common.materialize(found.orderBy(F.desc("confidence"), F.desc("support"), "items").limit(MAX_RULES), "rules")
-    shorter = best.select(F.col("items").alias("part"), F.col("confidence").alias("sure"), F.explode("items").alias("of"))
-    longer = best.select("items", "confidence", F.explode("items").alias("of"))
-    covered = longer.join(shorter, "of").where((F.size("part") < F.size("items")) & (F.col("sure") >= F.col("confidence")) & (F.size(F.array_except("part", "items")) == 0)).select("items").distinct()
-    kept = best.join(covered, "items", "left_anti")
+    sets = common.materialize(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "itemsets")
+    bad = sets.where(F.array_contains("items", BLOCK) & (F.size("items") > 1)).select(F.array_remove("items", BLOCK).alias("items"), F.col("freq").alias("both"))
+    sure = common.materialize(bad.join(sets, "items").select("items", F.size("items").alias("n"), (F.col("both") / F.col("freq")).alias("sure"), (F.col("both") / n).alias("support")), "rules")
+    kept = _uncovered(sure).where(F.col("sure") >= MIN_CONFIDENCE).withColumnRenamed("sure", "confidence")
     # the rarest item by its frequency among the baskets
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.element_at("items", 1).alias("of"), "freq")
+    single = sets.where(F.size("items") == 1).select(F.element_at("items", 1).alias("of"), "freq")
     keyed = kept.select("*", F.explode("items").alias("of")).join(single, "of").groupBy("items", "confidence", "support").agg(F.min_by("of", F.struct("freq", "of")).alias("key"))
     return common.materialize(keyed.select("items", "key", "confidence", "support"), "rules")
 
@@ -69,7 +91,9 @@ def mine(labelled: DataFrame) -> DataFrame:
 def blocked_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """The distinct ``url`` values that some rule fits."""
     held = urls.where("url is not null").distinct().select("url", items(F.col("url")).alias("has")).select("*", F.explode("has").alias("key"))
-    met = held.join(F.broadcast(rules.select("key", "items")), "key")  # MAX_RULES rows at most
+    index = rules.select("key", "items")
+    index = F.broadcast(index) if index.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES else index
+    met = held.join(index, "key")
     return met.where(F.size(F.array_except("items", "has")) == 0).select("url").distinct()
 
 
