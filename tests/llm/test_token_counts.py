@@ -24,3 +24,19 @@ def test_query_shape(spark):
     want = [(i, len((t or "").encode()), len(LIB.encode(t or ""))) for i, t, *_ in rows]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert token_counts.token_counts(docs.limit(0), MODEL).count() == 0
+
+
+def test_empty_partitions(spark):
+    """Frequent words are found where most partitions of the sketches are empty, and none where all are."""
+    keys = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        docs = spark.createDataFrame([(i, "the the of") for i in range(20)], "doc_id long, text string").repartition(5)
+        assert token_counts.frequent_words(docs) == ["the", "of"]
+        assert token_counts.frequent_words(docs.limit(0)) == []
+        assert {r.n_tokens for r in token_counts.token_counts(docs, MODEL).collect()} == {len(LIB.encode("the the of"))}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -1,22 +1,32 @@
-"""Helpers shared by the training-data operators: shared storage, written intermediate tables, safe column names."""
+"""Helpers shared by the training-data operators: shared storage, written intermediate tables, bounded worker memory."""
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Ids that one broadcast may hold; beyond that a join shuffles.
+BROADCAST_ROWS = 1_000_000
 _LOCAL: dict[str, str] = {}
+_WORKER: dict = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one if it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master (tests) gets a temporary folder; on a cluster this raises, for no local folder is shared.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         os.makedirs("/tmp/checkpoints", exist_ok=True)
@@ -36,15 +46,50 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of materialized ``tables`` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if name.startswith(shared_dir(spark)) or name.replace("file:///", "file:/").startswith(shared_dir(spark).replace("file:///", "file:/")):
+                _delete(spark, name)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Deletes all intermediate tables of this library; call it once results are saved."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/trackloom")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/trackloom")
+
 
+def small_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 8) -> None:
+    """Bounds the Arrow batches sent to Python by rows and by bytes, so that long texts don't add up in a worker.
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the Arrow batches sent to Python, so that long texts don't add up in a worker."""
+    Spark reads both settings when a plan runs, not when it is made, so they stay set in the session.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+
+
+def worker_state(key: str, make: Callable):
+    """What this Python worker keeps between batches and tasks under ``key``. Another key replaces it: a reused worker holds
+    the caches of one operator at a time."""
+    if _WORKER.get("key") != key:
+        _WORKER.clear()
+        _WORKER.update(key=key, value=make())
+    return _WORKER["value"]
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``ids`` (doc_id): by broadcast if those are few enough, else by a
+    shuffle. Rows go as one struct, so that no name of their columns matters."""
+    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    ids = ids.select(F.col("doc_id").alias("id"))
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"))
+    return rows.join(F.broadcast(ids) if few else ids, "id", "left_anti").select("doc.*")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,7 +4,8 @@ A sentencepiece model without pieces that hold a white-space marker after anothe
 word: a word is a run of markers and what follows up to the next marker. So the count of a text is the sum over its
 words. Tier one is a broadcast table of the most frequent words' counts. They come from one pass over all texts with
 ``approx_top_k``, an aggregate of bounded size: each task sends one sketch, sketches are merged in ``GROUPS`` groups,
-and those in a last step, so no task gets more sketches than about a GROUPS-th of the tasks. Tier two
+and those in a last step, so no task gets more sketches than about a GROUPS-th of the tasks. The last step has a group
+key too, as the aggregate can't take an input partition without rows. Tier two
 is a cache in each Python worker; words in neither go through the library, a batch at a time. The table only saves
 time: any word's count is the library's, whichever tier gives it.
 
@@ -27,13 +28,12 @@ from trackloom.llm import common
 MARK = "▁"
 GROUPS = 64
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-_STATE: dict = {}
 
 
 class WordCounter:
     """Counts tokens of texts with one model: ``table`` is the first tier, ``seen`` the worker's cache behind it."""
 
-    def __init__(self, path: str, table: dict[str, int], cached: int = 400_000):
+    def __init__(self, path: str, table: dict[str, int], cached: int = 200_000):
         import sentencepiece
 
         class Tiers(dict):
@@ -81,8 +81,9 @@ def frequent_words(docs: DataFrame, k: int = 4000, tracked: int = 8192) -> list[
     """The ``k`` most frequent blank-separated words of all texts, about; at most ``k`` short strings reach the driver."""
     words = common.texts(docs).select(F.explode(F.split("text", " ")).alias("w")).where(F.length("w").between(1, 24))
     groups = words.groupBy(F.pmod(F.spark_partition_id(), F.lit(GROUPS))).agg(F.expr(f"approx_top_k_accumulate(w, {tracked})").alias("s"))
-    row = groups.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {tracked}), {k})").alias("top")).select("top.item").first()
-    return [w for w in row[0] or [] if w is not None and MARK not in w]
+    last = groups.groupBy(F.col("s").isNull()).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {tracked}), {k})").alias("top"))
+    row = last.select("top.item").first()
+    return [w for w in (row[0] or [] if row else []) if w is not None and MARK not in w]
 
 
 def token_counts(docs: DataFrame, model: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -95,10 +96,9 @@ def token_counts(docs: DataFrame, model: str, keep: tuple[str, ...] = ()) -> Dat
     key = uuid.uuid4().hex
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _STATE.get("key") != key:
-            _STATE.update(key=key, counter=WordCounter(model, table.value))
+        counter = common.worker_state(key, lambda: WordCounter(model, table.value))
         for batch in batches:
-            n = pa.array(_STATE["counter"].count(batch.column("text").to_pylist()), pa.int64())
+            n = pa.array(counter.count(batch.column("text").to_pylist()), pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), n], [*names, "n_tokens"])
 
     rows = common.texts(docs, *keep).withColumn("n_bytes", F.octet_length("text").cast("long"))
