@@ -35,7 +35,7 @@ from trackloom.llm import common
 WINDOW, RANK, COSINE = 48, 64, 0.55
 COMMON, RAREST = 50, 6
 LEAK, PARAPHRASE, ANSWER, RARE = 0.75, 0.5, 0.75, 0.5
-BLOCK, SAMPLE_DOCS, BROADCAST_ROWS = 2000, 4000, 1_000_000
+BLOCK, SAMPLE_DOCS = 2000, 4000
 HALF = WINDOW // 2
 EDGES = ".,;:!?\"'()[]|*#$%&<>"
 _STRIP = EDGES.encode()
@@ -301,9 +301,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that leak an item; all columns stay."""
-    bad = common.materialize(find_leaks(docs, benchmark).where("doc_id is not null").select(F.col("doc_id").alias("__leaked")).distinct(), "leaks")
-    few = bad.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(bad) if few else bad, docs.doc_id == F.col("__leaked"), "left_anti")
+    bad = common.materialize(find_leaks(docs, benchmark).where("doc_id is not null").select("doc_id").distinct(), "leaks")
+    return common.without(docs, bad)
 
 
 def op1_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

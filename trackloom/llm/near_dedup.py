@@ -36,8 +36,6 @@ from trackloom.llm.components import components
 from trackloom.llm.shingles import mix, shingle_set
 
 SEED = 7
-#: Ids that one broadcast may hold; beyond that the join shuffles.
-BROADCAST_ROWS = 1_000_000
 #: Components of at least LARGE members in unsettled buckets are compared block by block, in blocks of about BLOCK.
 LARGE, BLOCK = 32, 64
 SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary, b0 long, b1 long"
@@ -97,7 +95,7 @@ def _signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
 
 def _restricted(big: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``big`` whose doc_id is in ``ids``: by broadcast if those are few enough, else by a shuffle."""
-    small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    small = ids.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS
     return big.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
 
 
@@ -264,7 +262,5 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that are not their component's smallest id; all columns stay."""
-    gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    gone = common.materialize(gone, "gone")
-    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, docs.doc_id == F.col("__gone"), "left_anti")
+    gone = near_duplicates(docs, **options).where("not kept").select("doc_id").distinct()
+    return common.without(docs, common.materialize(gone, "gone"))

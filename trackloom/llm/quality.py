@@ -31,32 +31,31 @@ def _removed(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
-def with_statistics(df: DataFrame, text: str) -> DataFrame:
-    """Adds the struct column ``__stats`` with COUNTS and FEATURES of the column ``text``."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    df = _step(df, __t=t, __w=F.filter(F.split(t, SPACE), lambda x: x != ""), __l=F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    n = F.size("__w")
-    window = F.transform(F.slice("__w", 1, F.greatest(n - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get("__w", i + 1), F.get("__w", i + 2)))
-    df = _step(df, __n=n, __h=window)
-    repeats = F.size(F.array_distinct("__h")) < F.size("__h")
-    df = _step(df, __s=F.when(repeats, F.sort_array(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    same = lambda e, j: e["h"] == F.get("__s", j)["h"]
-    df = _step(df, __p=F.sort_array(F.transform(F.filter("__s", lambda e, j: F.coalesce(same(e, j - 1), F.lit(False)) | F.coalesce(same(e, j + 1), F.lit(False))), lambda e: e["i"])))
-    step = F.transform("__p", lambda p, j: F.when(j == 0, F.lit(3)).otherwise(F.least(F.lit(3), p - F.get("__p", j - 1))))
+def with_statistics(df: DataFrame, text: str, keep: str | Column = "*") -> DataFrame:
+    """(doc, stats): what to ``keep`` of each row as a struct, and the struct of COUNTS and FEATURES of the column ``text``."""
+    df = _step(df.select(F.struct(keep).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("t")), w=F.filter(F.split("t", SPACE), lambda x: x != ""), l=F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    n = F.size("w")
+    window = F.transform(F.slice("w", 1, F.greatest(n - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2)))
+    df = _step(df, n=n, h=window)
+    repeats = F.size(F.array_distinct("h")) < F.size("h")
+    df = _step(df, s=F.when(repeats, F.sort_array(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    same = lambda e, j: e["h"] == F.get("s", j)["h"]
+    df = _step(df, p=F.sort_array(F.transform(F.filter("s", lambda e, j: F.coalesce(same(e, j - 1), F.lit(False)) | F.coalesce(same(e, j + 1), F.lit(False))), lambda e: e["i"])))
+    step = F.transform("p", lambda p, j: F.when(j == 0, F.lit(3)).otherwise(F.least(F.lit(3), p - F.get("p", j - 1))))
     df = _step(
         df,
-        __c=F.struct(
-            F.col("__n").cast("long").alias("n_words"),
-            _removed(F.col("__t"), r"[^\x20\x09-\x0D]+").cast("long").alias("word_chars"),
-            _removed(F.col("__t"), r"[#*$%&|<>]").cast("long").alias("n_symbols"),
-            (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
+        c=F.struct(
+            F.col("n").cast("long").alias("n_words"),
+            _removed(F.col("t"), r"[^\x20\x09-\x0D]+").cast("long").alias("word_chars"),
+            _removed(F.col("t"), r"[#*$%&|<>]").cast("long").alias("n_symbols"),
+            (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
             F.coalesce(F.aggregate(step, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long").alias("n_repeat_words"),
-            F.size("__l").alias("lines"),
-            _removed(F.col("__t"), r"\p{Lu}+").alias("upper"),
-            _removed(F.col("__t"), "!").alias("bangs"),
+            F.size("l").alias("lines"),
+            _removed(F.col("t"), r"\p{Lu}+").alias("upper"),
+            _removed(F.col("t"), "!").alias("bangs"),
         ),
     )
-    c, words = F.col("__c"), F.greatest(F.col("__c.n_words"), F.lit(1))
+    c, words = F.col("c"), F.greatest(F.col("c.n_words"), F.lit(1))
     features = {
         "words": c.n_words,
         "mean_word": c.word_chars / words,
@@ -67,7 +66,7 @@ def with_statistics(df: DataFrame, text: str) -> DataFrame:
         "repeat_rate": c.n_repeat_words / words,
     }
     stats = F.struct(*(c[k].alias(k) for k in COUNTS), *(v.cast("double").alias(k) for k, v in features.items()))
-    return df.withColumn("__stats", stats).drop("__t", "__w", "__l", "__n", "__h", "__s", "__p", "__c")
+    return df.select("doc", stats.alias("stats"))
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
@@ -76,8 +75,8 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
 
 def statistics(docs: DataFrame) -> DataFrame:
     """(doc_id, COUNTS, FEATURES), written to the shared folder: texts are read once."""
-    got = with_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text")
-    return common.materialize(got.select("doc_id", "__stats.*"), "quality")
+    got = with_statistics(docs, "text", F.col("doc_id").cast("long").alias("doc_id"))
+    return common.materialize(got.select("doc.doc_id", "stats.*"), "quality")
 
 
 def learn_rules(stats: DataFrame, labels: DataFrame) -> list[decision_list.Rule]:
@@ -89,10 +88,11 @@ def learn_rules(stats: DataFrame, labels: DataFrame) -> list[decision_list.Rule]
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns."""
-    rules = learn_rules(statistics(docs), labels)
-    got = with_statistics(docs, "text").withColumn("__kept", _kept(rules, lambda f: F.col("__stats")[f]))
-    return got.where("__kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of ``docs`` that are kept, with their columns. Rows are written once with their statistics and read back,
+    so texts are looked through once whatever the rules turn out to be."""
+    got = common.materialize(with_statistics(docs, "text"), "quality")
+    stats = got.select(F.col("doc.doc_id").cast("long").alias("doc_id"), "stats.*")
+    return got.where(_kept(learn_rules(stats, labels), lambda f: F.col("stats")[f])).select("doc.*")
 
 
 def _kept(rules: list, of) -> Column:

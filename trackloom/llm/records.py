@@ -166,9 +166,7 @@ class PretokenEncoder:
 
 def encoder(path: str) -> PretokenEncoder:
     """One encoder per Python worker and tokenizer."""
-    if ("encoder", path) not in _STATE:
-        _STATE["encoder", path] = PretokenEncoder(path)
-    return _STATE["encoder", path]
+    return common.worker_state(f"encoder {path}", lambda: PretokenEncoder(path))
 
 
 def frames(doc_ids: list, bodies: list[bytes], width: int) -> tuple[bytes, list[int]]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from trackloom.llm import common
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -16,7 +18,8 @@ class _Words(dict):
         return h
 
 
-_WORDS = _Words()
+#: Words whose hashes a worker keeps.
+CACHE = 200_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,9 +37,10 @@ def shingle_set(text: str, k: int) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: lower() and split() know ASCII only
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_WORDS) > 400_000:
-        _WORDS.clear()
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    known = common.worker_state("shingles", _Words)
+    if len(known) > CACHE:
+        known.clear()
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     n, k = max(1, len(h) - k + 1), min(k, len(h))
     x = np.full(n, np.uint64(k))
     for j in range(k):

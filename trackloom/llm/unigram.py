@@ -1,6 +1,7 @@
 """Sentencepiece-style encoding by unigram Viterbi over a double-array trie, and decoding.
 
-Pieces and their log scores come from a sentencepiece model file. Blanks become the white-space marker, and a text gets
+Pieces and their scores come from a sentencepiece model file: log probabilities if it holds a unigram model. The scores of
+a BPE model (as the queries use) are negated merge ranks, which order pieces as the model does but aren't probabilities. Blanks become the white-space marker, and a text gets
 one marker in front. The best segmentation has the largest sum of scores (exact in double precision); of equal sums
 the one whose last piece starts first wins, position by position. A character that no one-character piece covers costs
 the least score less ten and becomes its UTF-8 byte pieces.
@@ -28,12 +29,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from trackloom.llm import common
 from trackloom.llm.token_counts import MARK, WORDS
 
 LONG = 96
-_STATE: dict = {}
 
 
 class DoubleArray:
@@ -88,12 +89,13 @@ class Vocabulary:
         self.score = np.array([lib.get_score(i) for i in range(n)], np.float64)
         self.unknown = self.score[normal].min() - 10.0
         self.trie = DoubleArray({pieces[i].encode(): i for i in normal})
-        self.bytes = np.array([lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.uint16)
+        self.width = np.uint16 if n <= 1 << 16 else np.int32
+        self.bytes = np.array([lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)], self.width)
         self.out = [bytes([int(p[3:5], 16)]) if lib.is_byte(i) else b"" if lib.is_control(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
 
 
 class Encoder:
-    def __init__(self, vocabulary: Vocabulary, cached: int = 400_000):
+    def __init__(self, vocabulary: Vocabulary, cached: int = 150_000):
         self.v, self.seen, self.cached = vocabulary, {}, cached
         t = vocabulary.trie
         self.base, self.check, self.value, self.score = t.base, t.check, t.value, vocabulary.score
@@ -149,8 +151,8 @@ class Encoder:
         for i in range(n):
             row = ids[i, : count[i]][::-1]
             if unknown[i]:
-                row = np.concatenate([self.v.bytes[np.frombuffer(words[i], np.uint8)[(-x - 1) % 256 : (-x - 1) // 256]] if x < 0 else np.array([x], np.uint16) for x in row])
-            out.append(row.astype(np.uint16))
+                row = np.concatenate([self.v.bytes[np.frombuffer(words[i], np.uint8)[(-x - 1) % 256 : (-x - 1) // 256]] if x < 0 else np.array([x], self.v.width) for x in row])
+            out.append(row.astype(self.v.width))
         return out
 
     def _alone(self, word: bytes) -> np.ndarray:
@@ -183,7 +185,7 @@ class Encoder:
         while e:
             out.append([piece[e]] if piece[e] >= 0 else self.v.bytes[np.frombuffer(word[back[e] : e], np.uint8)].tolist())
             e = back[e]
-        return np.array([x for part in reversed(out) for x in part], np.uint16)
+        return np.array([x for part in reversed(out) for x in part], self.v.width)
 
     def _learn(self, words: list[str]) -> None:
         raw = sorted(((len(b), b, w) for w in words if (b := (MARK + w).encode("utf-8", "replace"))), key=lambda x: x[0])
@@ -206,57 +208,91 @@ class Encoder:
             self.seen = {}
         self._learn(list(set().union(*words).difference(self.seen)))
         get = self.seen.__getitem__
-        return [np.frombuffer(b"".join(map(get, w)), np.uint16) for w in words]
+        return [np.frombuffer(b"".join(map(get, w)), self.v.width) for w in words]
 
 
 def decode_ids(ids: np.ndarray, out: list[bytes]) -> str:
     return b"".join(map(out.__getitem__, ids.tolist())).decode("utf-8", "replace").removeprefix(" ")
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def _vocabulary(spark: SparkSession, model: str):
     """(broadcast vocabulary, key for the workers' cache): a few MB, bounded by the vocabulary's size."""
     return spark.sparkContext.broadcast(Vocabulary(model)), uuid.uuid4().hex
 
 
+def _encoded(texts: list[str | None], enc: Encoder) -> tuple[list[np.ndarray], list[pa.Array]]:
+    """Ids of each text, and the columns ids, n_byte_ids and ids_crc32."""
+    ids = enc.encode([t or "" for t in texts])
+    flat = np.concatenate([*ids, np.zeros(0, enc.v.width)])
+    edges = np.cumsum([0, *map(len, ids)])
+    is_byte = np.zeros(len(enc.score), bool)
+    is_byte[enc.v.bytes] = True
+    of_bytes = np.concatenate([[0], np.cumsum(is_byte[flat])])
+    lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(flat.astype(np.int32)))
+    sums = pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())
+    return ids, [lists, pa.array(of_bytes[edges[1:]] - of_bytes[edges[:-1]], pa.int64()), sums]
+
+
+IDS, SUMS = StructField("ids", ArrayType(IntegerType())), [StructField("n_byte_ids", LongType()), StructField("ids_crc32", LongType())]
+
+
 def encode(docs: DataFrame, model: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, the columns ``keep``, ids array<int>, n_byte_ids, ids_crc32) per row; the checksum is of the ids as little-endian uint32."""
     common.small_batches(docs.sparkSession)
     shared, key = _vocabulary(docs.sparkSession, model)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(_quoted(c)) for c in keep if c != "doc_id"), F.col("text").alias("text of a row"))
+    names, codes_of = rows.columns[:-1], [IDS, *SUMS]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = common.worker_state(key, lambda: Encoder(shared.value))
+        for batch in batches:
+            _, codes = _encoded(batch.column(len(names)).to_pylist(), enc)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *codes], [*names, *(f.name for f in codes_of)])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], *codes_of]))
+
+
+def round_trip(docs: DataFrame, model: str, keep_ids: bool = True) -> DataFrame:
+    """``docs`` with ids array<int> (if ``keep_ids``), n_ids, n_byte_ids, ids_crc32 and round_trip: whether decoding the
+    ids gives the text back, markers as blanks. Both ways in one step, so a task has one Python worker with one
+    vocabulary. Columns of ``docs`` under these names are replaced."""
+    common.small_batches(docs.sparkSession)
+    shared, key = _vocabulary(docs.sparkSession, model)
+    new = [*([IDS] if keep_ids else []), StructField("n_ids", LongType()), *SUMS, StructField("round_trip", BooleanType())]
+    mine = {f.name for f in new}
+    rows = docs.select(*(F.col(_quoted(c)) for c in docs.columns if c.lower() not in mine))
+    names, at = rows.columns, rows.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _STATE.get("key") != key:
-            _STATE.update(key=key, encoder=Encoder(shared.value))
-        enc = _STATE["encoder"]
-        is_byte = np.zeros(len(enc.score), bool)
-        is_byte[enc.v.bytes] = True
+        enc = common.worker_state(key, lambda: Encoder(shared.value))
         for batch in batches:
-            ids = enc.encode([t or "" for t in batch.column("text").to_pylist()])
-            flat = np.concatenate([*ids, np.zeros(0, np.uint16)])
-            edges = np.cumsum([0, *map(len, ids)])
-            of_bytes = np.concatenate([[0], np.cumsum(is_byte[flat])])
-            lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(flat.astype(np.int32)))
-            sums = pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), lists, pa.array(of_bytes[edges[1:]] - of_bytes[edges[:-1]], pa.int64()), sums], [*names, "ids", "n_byte_ids", "ids_crc32"])
+            texts = batch.column(at).to_pylist()
+            ids, (lists, n_bytes, sums) = _encoded(texts, enc)
+            same = [decode_ids(x, enc.v.out) == (t or "").replace(MARK, " ") for x, t in zip(ids, texts)]
+            n = pa.array([len(x) for x in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *([lists] if keep_ids else []), n, n_bytes, sums, pa.array(same, pa.bool_())], [*names, *(f.name for f in new)])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(c for c in keep if c not in ("doc_id", "text")))
-    kept = rows.select("doc_id", *keep)
-    names = kept.columns
-    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", ids array<int>, n_byte_ids long, ids_crc32 long")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, *new]))
 
 
 def decode(encoded: DataFrame, model: str, into: str = "decoded") -> DataFrame:
     """``encoded`` with the column ``into``: the text of ``ids``."""
     shared, _ = _vocabulary(encoded.sparkSession, model)
+    at = encoded.columns.index("ids")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = shared.value.out
         for batch in batches:
-            ids = batch.column("ids")
+            ids = batch.column(at)
             flat, edges = np.asarray(ids.flatten()), np.concatenate([[0], np.cumsum([0 if n is None else n for n in ids.value_lengths().to_pylist()])]).astype(int)
             texts = [decode_ids(flat[a:b], out) for a, b in zip(edges, edges[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, into])
 
-    return encoded.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + f", `{into}` string")
+    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField(into, StringType())]))
 
 
 def op8_unigram_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,6 +300,5 @@ def op8_unigram_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    both = decode(encode(common.table(spark, sf_dir, "documents"), model, keep=("text",)), model)
-    same = F.col("decoded") == F.regexp_replace(F.coalesce("text", F.lit("")), MARK, " ")
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "n_byte_ids", "ids_crc32", same.alias("round_trip"))
+    got = round_trip(common.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, keep_ids=False)
+    return got.drop("text")
