@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,13 +66,27 @@ def drop_scratch(spark: SparkSession) -> None:
     _delete(spark, f"{shared_dir(spark)}/trackloom")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 8) -> None:
-    """Bounds the Arrow batches sent to Python by rows and by bytes, so that long texts don't add up in a worker.
+#: Bounds of the Arrow batches sent to Python, by rows and by bytes, so that long texts don't add up in a worker.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
-    Spark reads both settings when a plan runs, not when it is made, so they stay set in the session.
-    """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold while tables are written, and what was there before afterwards."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets ``BATCHES`` for good, for results that run after an operator returned: Spark reads them when a plan runs, not when it is made."""
+    for k, v in BATCHES.items():
+        spark.conf.set(k, v)
 
 
 def worker_state(key: str, make: Callable):

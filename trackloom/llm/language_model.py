@@ -6,21 +6,28 @@ mean loss per token under the target model less that under the background model:
 target.
 
 The vocabulary is all words of all documents (lower-cased, ASCII white space), and every bigram has a count of its own:
-words and bigrams are told apart by 64-bit hashes, and the tables grow with the corpus. A task adds up its bigrams a
-chunk of tokens at a time; Spark adds up the rest, joins each bigram with the counts of its words and writes the losses
-to the shared folder. Documents meet the losses by a join on the bigram. Words and bigrams above a fixed share of all
-tokens, of which there can only be so many, go by broadcast instead, so that no key of a join is hot; this decides speed
-only.
+rare words are told apart by 63-bit hashes, and the tables grow with the corpus. What moves is kept small:
+
+1. Words are counted; the frequent ones (one token in ``FREQUENT_WORD`` or more, so at most that many) go to the tasks
+   by broadcast, and a word's code is its place in that table or else its hash.
+2. Every token first gets the loss as if its bigram occurred nowhere else. Tokens of two frequent words have all they
+   need for that in the task; the others meet the word counts in a join on the rare word.
+3. Bigrams are counted, and those that occur more than once get the difference between their true loss and that first
+   one. Documents meet these by a join on the bigram, and the frequent bigrams (one token in ``FREQUENT_BIGRAM`` or more)
+   by broadcast, so no key of a join is hot. Both bounds decide speed only, never a score.
+
+Each step is written to the shared folder, and a step's shuffle files go when it ends.
 
 Defined results: a text without words has no tokens and null losses and score; without target documents the target
 model is uniform over the vocabulary; a null ``doc_id`` is scored and never a target; repeated rows each count and each
-get a row; an empty table gives an empty result; other columns are ignored.
+get a row; an empty table gives an empty result; other columns are ignored. ``docs`` is read once a step and must come
+out in the same partitions each time, as a table does; a step that sees others raises.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,23 +39,34 @@ from trackloom.llm import common, shingles
 
 #: Interpolation weights of bigram and unigram; the rest goes to the uniform distribution.
 BIGRAM, UNIGRAM = 0.6, 0.39
-BROADCAST_ROWS = 1_000_000
 #: A word or bigram is frequent from one in so many tokens; there are no more than that of them.
-FREQUENT_WORD, FREQUENT_BIGRAM = 1 << 16, 1 << 18
-#: Tokens that a task adds up at a time, and words whose hashes a worker keeps.
-CHUNK, CACHE = 2_000_000, 400_000
-_STATE: dict = {}
+FREQUENT_WORD, FREQUENT_BIGRAM = 1 << 20, 1 << 20
+#: Tokens that a task adds up at a time, words whose codes a worker keeps, and rows of an output batch.
+CHUNK, CACHE, ROWS = 2_000_000, 200_000, 50_000
+#: Set in every hash of a word, so that none is a place in the table of frequent words (0: the start of a text).
+RARE = 1 << 62
+COUNTS = ["one_target", "one_background", "first_target", "first_background"]
 
 
-class _Hashes(dict):
-    """Word bytes to 64-bit hash, filled as words come."""
+class _Codes(dict):
+    """Word bytes to code, filled as words come: a frequent word's place in ``table`` (sorted hashes), else its hash."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
 
     def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+        h = xxhash.xxh3_64_intdigest(word) | RARE
+        at = int(np.searchsorted(self.table, np.uint64(h)))
+        code = self[word] = at if at < len(self.table) and int(self.table[at]) == h else h
+        return code
+
 
+class _Numbers(dict):
+    """Word bytes to 1, 2, 3 ... as words come."""
 
-_HASHES = _Hashes()
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self) + 1
+        return n
 
 
 def words(text: str) -> list[bytes]:
@@ -63,131 +81,274 @@ def befores(ids: np.ndarray, starts=0) -> np.ndarray:
     return before
 
 
-def cells(ids: np.ndarray, starts=0) -> np.ndarray:
-    """The 64-bit hash of each bigram of ``ids``."""
-    before = befores(ids, starts)
+def _cell(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
     h = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (shingles.mix(ids.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F))
     return shingles.mix(h).view(np.int64)
 
 
-def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes of all words, words of each text, places where texts with words start)."""
-    if len(_HASHES) > CACHE:
-        _HASHES.clear()
-    own = [np.fromiter(map(_HASHES.__getitem__, w), np.uint64, len(w)) for w in map(words, texts)]
+def cells(ids: np.ndarray, starts=0) -> np.ndarray:
+    """The 64-bit hash of each bigram of ``ids``."""
+    return _cell(befores(ids, starts), ids)
+
+
+def _tokens(texts: list[str], codes: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes of all words, words of each text, places where texts with words start)."""
+    own = [np.fromiter(map(codes.__getitem__, w), np.uint64, len(w)) for w in map(words, texts)]
     lengths = np.array([len(x) for x in own], np.int64)
     starts = (np.cumsum(lengths) - lengths)[lengths > 0]
     return np.concatenate([np.zeros(0, np.uint64), *own]), lengths, starts
 
 
-def _sums(chunk: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-    """The distinct bigrams of ``chunk`` (cell, before, word, is_target) with their counts."""
-    cell, before, word, target = (np.concatenate(x) for x in zip(*chunk))
-    order = np.argsort(cell)
-    cell = cell[order]
-    at = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-    background = np.diff(np.append(at, len(cell)))
-    target = np.add.reduceat(target[order].astype(np.int64), at)
-    columns = [cell[at], before[order[at]].view(np.int64), word[order[at]].view(np.int64), target, background]
-    for k in range(0, len(at), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 50_000]) for c in columns], ["cell", "before", "word", "target", "background"])
+def _coded(key: str, table: np.ndarray) -> _Codes:
+    codes = common.worker_state(key, lambda: _Codes(table))
+    if len(codes) > CACHE:
+        codes.clear()
+    return codes
+
+
+def _batches(columns: dict[str, np.ndarray | pa.Array]) -> Iterator[pa.RecordBatch]:
+    arrays = {k: c if isinstance(c, pa.Array) else pa.array(c) for k, c in columns.items()}
+    for at in range(0, len(next(iter(arrays.values()))), ROWS):
+        yield pa.RecordBatch.from_arrays([c.slice(at, ROWS) for c in arrays.values()], list(arrays))
+
+
+def _chunks(batches: Iterable[pa.RecordBatch], make: Callable, add: Callable) -> Iterator[pa.RecordBatch]:
+    """Gathers what ``make`` gives of a batch until it holds CHUNK tokens, and yields ``add`` of that."""
+    chunk, n = [], 0
+    for batch in batches:
+        part = make(batch)
+        chunk.append(part)
+        n += len(part[0])
+        if n >= CHUNK:
+            yield from add(chunk)
+            chunk, n = [], 0
+    if n:
+        yield from add(chunk)
 
 
-def bigrams(docs: DataFrame) -> DataFrame:
-    """(cell, before, word, target, background): the counts of every bigram of ``docs`` (text, is_target), written out."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(id, COUNTS) of every word of ``docs`` (text, is_target), written out: how often it occurs, and how often it comes
+    before a word; id 0 is the start of a text."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, n = [], 0
+        numbers = _Numbers()
+
+        def make(batch: pa.RecordBatch) -> tuple:
+            ids, lengths, starts = _tokens(batch.column("text").to_pylist(), numbers)
+            return ids.astype(np.int64), befores(ids, starts).astype(np.int64), np.repeat(np.array(batch.column("is_target").to_pylist(), bool), lengths)
+
+        def add(chunk: list) -> Iterator[pa.RecordBatch]:
+            ids, before, target = (np.concatenate(x) for x in zip(*chunk))
+            n = len(numbers) + 1
+            sums = [np.bincount(x, minlength=n) for x in (ids[target], ids, before[target], before)]
+            hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) | RARE for w in numbers), np.uint64, n - 1)
+            numbers.clear()
+            yield from _batches({"id": np.append(np.uint64(0), hashes).view(np.int64), **dict(zip(COUNTS, sums))})
+
+        return _chunks(batches, make, add)
+
+    parts = docs.mapInArrow(count, "id long, " + ", ".join(f"{c} long" for c in COUNTS))
+    # a chunk's words are distinct already: rows go to their word's task before they are added up
+    return common.materialize(parts.repartition("id").groupBy("id").agg(*(F.sum(c).alias(c) for c in COUNTS)), "words")
+
+
+class Model:
+    """The frequent words and the totals that every task needs: at most FREQUENT_WORD + 1 rows of numbers."""
+
+    def __init__(self, frequent: pa.Table, n_target: int, tokens: int, known: int):
+        ids = np.asarray(frequent.column("id")).view(np.uint64)
+        order = np.argsort(ids)
+        self.ids, self.counts = ids[order], {c: np.asarray(frequent.column(c))[order] for c in COUNTS}
+        self.totals, self.known = {"target": max(n_target, 1), "background": max(tokens, 1)}, known
+
+    def loss(self, side: str, two, first, one, log=np.log, most=np.maximum):
+        """The loss of a word that occurs ``one`` times, ``two`` times after one that comes first ``first`` times: of arrays or columns."""
+        return -log(BIGRAM * two / most(first, 1) + UNIGRAM * one / self.totals[side] + (1 - BIGRAM - UNIGRAM) / self.known)
+
+    def column_loss(self, side: str, two: Column) -> Column:
+        return self.loss(side, two, F.col(f"first_{side}"), F.col(f"one_{side}"), F.log, lambda c, k: F.greatest(c, F.lit(k)))
+
+    def loss_of(self, side: str, two, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """For codes of frequent words."""
+        return self.loss(side, two, self.counts[f"first_{side}"][before], self.counts[f"one_{side}"][ids])
+
+    def revealed(self, before: np.ndarray, ids: np.ndarray) -> dict[str, pa.Array]:
+        """REVEALED: as w and u the codes that are not of frequent words, else null; and COUNTS of the others."""
+        n, out = len(self.ids), {}
+        for name, code, sides in (("w", ids, COUNTS[:2]), ("u", before, COUNTS[2:])):
+            frequent = code < n
+            out[name] = pa.array(code.view(np.int64), mask=frequent)
+            at = np.where(frequent, code, 0).astype(np.int64)
+            for c in sides:
+                out[c] = pa.array(self.counts[c][at], mask=~frequent)
+        return out
+
+
+REVEALED = "w long, one_target long, one_background long, u long, first_target long, first_background long"
+
+
+def _filled(rows: DataFrame, rare: DataFrame) -> DataFrame:
+    """``rows`` with the COUNTS of u and w where these are given. At least one of them is in every row, so no join key is null or hot."""
+    for name, other, sides in (("w", "u", COUNTS[:2]), ("u", "w", COUNTS[2:])):
+        own = rare.select(F.col("id").alias("of"), *(F.col(c).alias(f"of_{c}") for c in sides))
+        met = rows.withColumn("key", F.coalesce(name, other)).join(own.hint("shuffle_hash"), F.col("key") == F.col("of"), "left")
+        rows = met.select(*(F.coalesce(c, f"of_{c}").alias(c) if c in sides else c for c in rows.columns))
+    return rows
+
+
+def first_losses(docs: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
+    """(row, n, sum_target, sum_background) of ``docs`` (row, text), written out: the first losses of tokens with a rare word."""
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+
+    def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
         for batch in batches:
-            ids, lengths, starts = _tokens(batch.column("text").to_pylist())
-            if not len(ids):
-                continue
-            chunk.append((cells(ids, starts), befores(ids, starts), ids, np.repeat(np.array(batch.column("is_target").to_pylist(), bool), lengths)))
-            n += len(ids)
-            if n >= CHUNK:
-                yield from _sums(chunk)
-                chunk, n = [], 0
-        if chunk:
-            yield from _sums(chunk)
-
-    parts = docs.mapInArrow(count, "cell long, before long, word long, target long, background long")
-    total = parts.groupBy("cell").agg(F.min("before").alias("before"), F.min("word").alias("word"), F.sum("target").alias("target"), F.sum("background").alias("background"))
-    return common.materialize(total, "bigrams")
-
-
-def _with_counts(found: DataFrame, word: str, counts: DataFrame, tokens: int) -> DataFrame:
-    """``found`` with the columns of ``counts`` (id, ...) of its column ``word``: by broadcast if frequent, else by a join."""
-    names = [c for c in counts.columns if c != "id"]
-    often = F.col(names[-1]) * FREQUENT_WORD >= tokens  # the background count
-    hot = counts.where(often).select(F.col("id").alias(word), *(F.col(c).alias(f"hot_{c}") for c in names))
-    cold = counts.where(~often).withColumnRenamed("id", "_id")
-    near = found.join(F.broadcast(hot), word, "left")
-    # a row that is served takes its cell along as key, to any task
-    key = F.when(F.col(f"hot_{names[-1]}").isNull(), F.col(word)).otherwise(F.col("cell"))
-    out = near.withColumn("_key", key).join(cold, F.col("_key") == F.col("_id"), "left")
-    return out.select(*found.columns, *(F.coalesce(f"hot_{c}", c).alias(c) for c in names))
-
-
-def losses(found: DataFrame) -> tuple[DataFrame, int]:
-    """(cell, background, loss_target, loss_background) of every bigram of ``found``, written out; and the tokens of all documents."""
-    n_target, tokens = found.agg(F.coalesce(F.sum("target"), F.lit(0)), F.coalesce(F.sum("background"), F.lit(0))).first()
-    one = common.materialize(found.groupBy(F.col("word").alias("id")).agg(F.sum("target").alias("one_target"), F.sum("background").alias("one_background")), "words")
-    first = common.materialize(found.groupBy(F.col("before").alias("id")).agg(F.sum("target").alias("first_target"), F.sum("background").alias("first_background")), "firsts")
-    known = one.count() + 1  # all words and the unknown class
-
-    def loss(side: str, total: int) -> Column:
-        two = F.col(side) / F.greatest(F.col(f"first_{side}"), F.lit(1))
-        return -F.log(BIGRAM * two + UNIGRAM * F.col(f"one_{side}") / max(total, 1) + (1 - BIGRAM - UNIGRAM) / known)
-
-    both = _with_counts(_with_counts(found, "word", one, tokens), "before", first, tokens)
-    out = both.select("cell", "background", loss("target", n_target).alias("loss_target"), loss("background", tokens).alias("loss_background"))
-    return common.materialize(out, "losses"), tokens
+            ids, lengths, starts = _tokens(batch.column("text").to_pylist(), _coded(key, own.ids))
+            before = befores(ids, starts)
+            at = np.flatnonzero(np.maximum(before, ids) >= len(own.ids))
+            row = np.repeat(np.asarray(batch.column("row")), lengths)[at]
+            yield from _batches({"row": row, **own.revealed(before[at], ids[at])})
 
+    tokens = _filled(docs.select("row", "text").mapInArrow(emit, f"row long, {REVEALED}"), rare)
+    own = F.col("row").bitwiseAND(F.lit(1))
+    sums = tokens.groupBy("row").agg(F.count("*").alias("n"), F.sum(model.column_loss("target", own)).alias("sum_target"), F.sum(model.column_loss("background", F.lit(1))).alias("sum_background"))
+    return common.materialize(sums, "first-losses")
 
-def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, loss_target, loss_background, loss_difference) per row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
-    common.small_batches(spark)
-    docs = common.texts(docs)
-    marks = target_ids.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("_t", F.lit(True))
-    marks = F.broadcast(marks) if marks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else marks
-    table, tokens = losses(bigrams(docs.join(marks, "doc_id", "left").select("text", F.coalesce("_t", F.lit(False)).alias("is_target"))))
-    got = table.where(F.col("background") * FREQUENT_BIGRAM >= tokens).toArrow()  # FREQUENT_BIGRAM rows at most
+
+def bigrams(docs: DataFrame, model: Model) -> DataFrame:
+    """(u, w, target, background): the counts of the bigrams of ``docs`` (text, is_target) that occur more than once, written out."""
+    shared, key = docs.sparkSession.sparkContext.broadcast(model.ids), uuid.uuid4().hex
+
+    def make(batch: pa.RecordBatch) -> tuple:
+        ids, lengths, starts = _tokens(batch.column("text").to_pylist(), _coded(key, shared.value))
+        before = befores(ids, starts)
+        return _cell(before, ids), before, ids, np.repeat(np.array(batch.column("is_target").to_pylist(), bool), lengths)
+
+    def add(chunk: list) -> Iterator[pa.RecordBatch]:
+        cell, before, word, target = (np.concatenate(x) for x in zip(*chunk))
+        order = np.argsort(cell)
+        cell = cell[order]
+        at = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        sums = {"target": np.add.reduceat(target[order].astype(np.int64), at), "background": np.diff(np.append(at, len(cell)))}
+        yield from _batches({"u": before[order[at]].view(np.int64), "w": word[order[at]].view(np.int64), **sums})
+
+    parts = docs.select("text", "is_target").mapInArrow(lambda batches: _chunks(batches, make, add), "u long, w long, target long, background long")
+    total = parts.repartition("u", "w").groupBy("u", "w").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+    return common.materialize(total.where("background > 1"), "bigrams")
+
+
+SIDES = ("add_background", "add_target", "add_other")
+
+
+def corrections(found: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
+    """(cell, background, SIDES) of the bigrams ``found``, written out: what their losses are above the first ones, under the
+    background model, and under the target model in target documents and in others."""
+    shared, n = found.sparkSession.sparkContext.broadcast(model), len(model.ids)
+
+    def codes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return np.asarray(batch.column("u")).view(np.uint64), np.asarray(batch.column("w")).view(np.uint64)
+
+    def correct(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            u, w = codes(batch)
+            a, b = u.astype(np.int64), w.astype(np.int64)
+            two, target = np.asarray(batch.column("background")), own.loss_of("target", np.asarray(batch.column("target")), a, b)
+            added = own.loss_of("background", two, a, b) - own.loss_of("background", 1, a, b), target - own.loss_of("target", 1, a, b), target - own.loss_of("target", 0, a, b)
+            yield from _batches({"cell": _cell(u, w), "background": two, **dict(zip(SIDES, added))})
+
+    def reveal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, w = codes(batch)
+            yield from _batches({"cell": _cell(u, w), "target": batch.column("target"), "background": batch.column("background"), **shared.value.revealed(u, w)})
+
+    both = F.col("u").between(0, n - 1) & F.col("w").between(0, n - 1)
+    near = found.where(both).mapInArrow(correct, "cell long, background long, " + ", ".join(f"{s} double" for s in SIDES))
+    far = _filled(found.where(~both).mapInArrow(reveal, f"cell long, target long, background long, {REVEALED}"), rare)
+    loss = model.column_loss
+    added = loss("background", F.col("background")) - loss("background", F.lit(1)), loss("target", F.col("target")) - loss("target", F.lit(1)), loss("target", F.col("target")) - loss("target", F.lit(0))
+    return common.materialize(near.union(far.select("cell", "background", *(c.alias(s) for c, s in zip(added, SIDES)))), "corrections")
+
+
+def _totals(docs: DataFrame, model: Model, table: DataFrame, first: DataFrame, tokens: int) -> DataFrame:
+    """(doc_id, n_tokens, losses) per row of ``docs`` (row, doc_id, text)."""
+    often = F.col("background") * FREQUENT_BIGRAM >= tokens
+    got = table.where(often).toArrow()  # FREQUENT_BIGRAM rows at most
     cell = np.asarray(got.column("cell"))
     order = np.argsort(cell)
-    frequent = spark.sparkContext.broadcast([cell[order], *(np.asarray(got.column(c))[order] for c in ("loss_target", "loss_background"))])
+    shared = docs.sparkSession.sparkContext.broadcast((model, cell[order], *(np.asarray(got.column(c))[order] for c in SIDES)))
     key = uuid.uuid4().hex
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _STATE.get("key") != key:
-            _STATE.update(key=key, frequent=frequent.value)
-        known, *values = _STATE["frequent"]
+        own, known, background, target, other = shared.value
+        n = len(own.ids)
         for batch in batches:
-            ids, lengths, starts = _tokens(batch.column("text").to_pylist())
-            row = np.asarray(batch.column("row"))
-            cell, n, full = cells(ids, starts), len(row), lengths > 0
+            ids, lengths, starts = _tokens(batch.column("text").to_pylist(), _coded(key, own.ids))
+            row, full = np.asarray(batch.column("row")), lengths > 0
+            of = np.repeat(row, lengths)
+            before = befores(ids, starts)
+            cell, near = _cell(before, ids), np.maximum(before, ids) < n
+            a, b = (np.where(near, x, 0).astype(np.int64) for x in (before, ids))
             at = np.minimum(np.searchsorted(known, cell), max(len(known) - 1, 0))
             hit = known[at] == cell if len(known) else np.zeros(len(cell), bool)
+            added = _added(hit, at, of, background, target, other)
+            losses = [np.where(near, own.loss_of(side, two, a, b), 0.0) + more for side, two, more in (("target", of & 1, added[1]), ("background", 1, added[0]))]
             sums = []
-            for value in values:
-                s = np.zeros(n)
+            for x in (*losses, (~near).astype(np.float64)):
+                s = np.zeros(len(row))
                 if len(ids):
-                    s[full] = np.add.reduceat(np.where(hit, value[at], 0.0) if len(known) else np.zeros(len(ids)), starts)
-                sums.append(pa.array(s))
-            # one row a document with what the frequent bigrams give, then a row for each other token
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(shingles.mix(row.astype(np.uint64)).view(np.int64)), batch.column("doc_id"), pa.array(lengths), *sums], ["row", "cell", "doc_id", "n_tokens", "sum_target", "sum_background"])
-            rare, of = cell[~hit], np.repeat(row, lengths)[~hit]
-            for k in range(0, len(rare), 50_000):
-                c = rare[k : k + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(of[k : k + 50_000]), pa.array(c), *(pa.nulls(len(c), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], ["row", "cell", "doc_id", "n_tokens", "sum_target", "sum_background"])
-
-    numbered = docs.withColumn("row", F.monotonically_increasing_id())
-    parts = numbered.mapInArrow(run, "row long, cell long, doc_id long, n_tokens long, sum_target double, sum_background double")
-    met = parts.join(table.where(F.col("background") * FREQUENT_BIGRAM < tokens).drop("background"), "cell", "left")
-    sides = ("target", "background")
-    total = met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), *(F.sum(F.coalesce(f"sum_{s}", f"loss_{s}")).alias(f"sum_{s}") for s in sides))
-    out = total.select("doc_id", "n_tokens", *(F.when(F.col("n_tokens") > 0, F.col(f"sum_{s}") / F.col("n_tokens")).alias(f"loss_{s}") for s in sides))
-    return out.withColumn("loss_difference", F.col("loss_target") - F.col("loss_background"))
+                    s[full] = np.add.reduceat(x, starts)
+                sums.append(s)
+            # one row a document, then a row for each other token
+            yield from _batches({"row": row, "cell": shingles.mix(row.astype(np.uint64)).view(np.int64), "doc_id": batch.column("doc_id"), "n_tokens": lengths, "rare": -sums[2].astype(np.int64), "sum_target": sums[0], "sum_background": sums[1]})
+            left = len(ids) - int(hit.sum())
+            none = [pa.nulls(left, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+            yield from _batches(dict(zip(COLUMNS, (of[~hit], cell[~hit], *none))))
+
+    parts = docs.select("row", "doc_id", "text").mapInArrow(run, ", ".join(f"{c} {'double' if c.startswith('sum') else 'long'}" for c in COLUMNS))
+    met = parts.join(table.where(~often).drop("background").hint("shuffle_hash"), "cell", "left")
+    added = F.when(F.col("row").bitwiseAND(F.lit(1)) == 1, F.col("add_target")).otherwise(F.col("add_other"))
+    met = met.select("row", "doc_id", "n_tokens", "rare", F.coalesce("sum_target", added).alias("sum_target"), F.coalesce("sum_background", "add_background").alias("sum_background"))
+    early = first.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_tokens"), F.col("n").alias("rare"), "sum_target", "sum_background")
+    total = met.union(early).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), *(F.sum(c).alias(c) for c in ("rare", "sum_target", "sum_background")))
+    sound = F.when(F.col("rare") == 0, F.col("n_tokens")).otherwise(F.raise_error(F.lit("the documents came in other partitions in one step than in another: write them first")))
+    total = total.withColumn("n_tokens", sound)
+    mean = [F.when(F.col("n_tokens") > 0, F.col(f"sum_{s}") / F.col("n_tokens")).alias(f"loss_{s}") for s in ("target", "background")]
+    return total.select("doc_id", "n_tokens", *mean).withColumn("loss_difference", F.col("loss_target") - F.col("loss_background"))
+
+
+COLUMNS = ["row", "cell", "doc_id", "n_tokens", "rare", "sum_target", "sum_background"]
+
+
+def _added(hit: np.ndarray, at: np.ndarray, of: np.ndarray, background: np.ndarray, target: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What frequent bigrams add under the background and the target model, at the tokens ``hit``."""
+    out = np.zeros(len(hit)), np.zeros(len(hit))
+    k = at[hit]
+    out[0][hit], out[1][hit] = background[k], np.where(of[hit] & 1, target[k], other[k])
+    return out
+
+
+def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, loss_target, loss_background, loss_difference) per row of ``docs`` (doc_id, text), written out."""
+    spark = docs.sparkSession
+    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.files.minPartitionNum": str(spark.sparkContext.defaultParallelism)}
+    with common.settings(spark, common.BATCHES | own):
+        marks = target_ids.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("t", F.lit(True))
+        few = marks.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS
+        met = common.texts(docs).join(F.broadcast(marks) if few else marks, "doc_id", "left").select("doc_id", "text", F.coalesce("t", F.lit(False)).alias("is_target"))
+        rows = met if few else common.materialize(met, "marked")
+        rows = rows.withColumn("row", F.monotonically_increasing_id() * 2 + F.col("is_target").cast("long"))
+        counts = word_counts(rows)
+        n_target, tokens, known = counts.agg(F.coalesce(F.sum("one_target"), F.lit(0)), F.coalesce(F.sum("one_background"), F.lit(0)), F.count_if(F.col("id") != 0)).first()
+        often = (F.col("id") == 0) | (F.col("one_background") * FREQUENT_WORD >= tokens)
+        model, rare = Model(counts.where(often).toArrow(), n_target, tokens, known + 1), counts.where(~often)
+        first = first_losses(rows, model, rare)
+        found = bigrams(rows, model)
+        table = corrections(found, model, rare)
+        common.discard(found, counts)
+        out = common.materialize(_totals(rows, model, table, first, tokens), "scores")
+        common.discard(table, first)
+        return out
 
 
 def op7_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -201,11 +201,8 @@ def _against_large(members: DataFrame, beside: DataFrame, signed: DataFrame, doc
     ms = common.materialize(blocks(members, "m_parts", "m_no", "ms").drop("m_parts"), "m-blocks")
     xs = common.materialize(blocks(beside, "x_parts", "x_no", "xs"), "x-blocks")
     pairs = xs.select("label", "xs", F.explode(F.sequence(F.lit(0), F.col("m_parts") - 1)).alias("m_no")).join(ms, ["label", "m_no"])
-    try:
-        common.small_batches(spark, 4)  # a row holds two blocks
+    with common.settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "4"}):  # a row holds two blocks
         return common.materialize(pairs.select("xs", "ms").mapInArrow(compare, "lo long, hi long").distinct(), "links")
-    finally:
-        common.small_batches(spark)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, bands: int = 40, rows: int = 6, miss: float = 1e-6) -> DataFrame:
