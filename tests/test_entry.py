@@ -3,13 +3,13 @@ import sys
 from pathlib import Path
 
 import __spark_entry__
-from trackloom.plans import oracle, registry
+from trackloom.plans import registry
 
 ROOT = Path(__file__).resolve().parents[1]
 
 
 def test_names():
-    assert set(oracle.SQL) <= set(registry.QUERIES) <= set(__spark_entry__.queries())
+    assert set(registry.SQL) <= set(registry.QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 

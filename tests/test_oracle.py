@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from trackloom.plans import oracle, registry
+from trackloom.plans import registry
 
 DIR = os.environ.get("ORACLE_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -33,10 +33,10 @@ def rows(names, found):
     return sorted((tuple(cell(r[i]) for i in at) for r in found), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(oracle.SQL))
+@pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_equals_sql(spark, duck, name):
     df = registry.QUERIES[name](spark, DIR)
-    cur = duck.execute(oracle.SQL[name])
+    cur = duck.execute(registry.SQL[name])
     names = [c[0] for c in cur.description]
     assert sorted(names) == sorted(df.columns)
     got, want = rows(df.columns, df.collect()), rows(names, cur.fetchall())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import keys
 from trackloom.operators import catalog, events, evidence, features, matching, planning
+from trackloom.plans import bindings, ingest, oracle
 from trackloom.sources import views
 from trackloom.streaming import live
 
@@ -189,3 +190,9 @@ QUERIES = {
     "vec_zero_shot": lambda s, d: evidence.zero_shot(_vectors(s, d), _vectors(s, d).where("vec_id < 4")),
     "win_nearest_section": lambda s, d: evidence.nearest_section(features.pool(_vectors(s, d), "label")),
 }
+
+_PARTS = (ingest, bindings)
+for _part in _PARTS:
+    QUERIES |= _part.QUERIES
+#: The SQL of every query that has one.
+SQL = {k: v for part in (oracle, *_PARTS) for k, v in part.SQL.items()}
