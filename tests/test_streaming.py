@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackloom.sources import views
-from trackloom.streaming import live
+from trackloom.streaming import journal, live
 
 DIR = "/root/testdata/sf0.001"
 
@@ -39,3 +39,25 @@ def test_trip_state(spark, slices):
         last[b.key] = (now + 43_200, run)
         want.append((b.key, b.event_id, run, now + 43_200))
     assert [r[:3] for r in rows(got)] == [r[:3] for r in sorted(want, key=str)]
+
+
+def test_journal_over_many_batches(spark, tmp_path, monkeypatch):
+    """Batches merge to the latest row of each key, also where journals are compacted and where a batch is put twice."""
+    monkeypatch.setattr(journal, "COMPACT", 2)
+    rows = [(i % 4, f"s{i}", 7 - i % 3, i) for i in range(14)]
+    (tmp_path / "in").mkdir()
+    for n in range(7):
+        spark.createDataFrame(rows[2 * n : 2 * n + 2], "key long, state string, t long, event_id long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    last = {k: max((t, e, s) for k2, s, t, e in rows if k2 == k)[2] for k in range(4)}
+    j = journal.Journal(spark, str(tmp_path / "j"), ["key"], ["t", "event_id"])
+    for n in range(7):
+        part = spark.createDataFrame(rows[2 * n : 2 * n + 2], "key long, state string, t long, event_id long")
+        j.put(part, n)
+        if n == 3:
+            j.put(part, n)
+    by_batch = {}
+    for n, r in ((n, r) for n in range(7) for r in rows[2 * n : 2 * n + 2]):
+        by_batch[r[0]] = max(by_batch.get(r[0], (-1,)), (n, r[2], r[3], r[1]))
+    assert {r.key: r.state for r in j.rows().collect()} == {k: v[3] for k, v in by_batch.items()}
+    stream = spark.readStream.schema("key long, state string, t long, event_id long").option("maxFilesPerTrigger", 100).parquet(str(tmp_path / "in"))
+    assert {r.key: r.state for r in journal.journal_upsert(stream, ["key"], ["t", "event_id"]).collect()} == last

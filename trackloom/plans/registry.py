@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import keys
 from trackloom.operators import catalog, events, evidence, features, matching, planning
-from trackloom.plans import bindings, ingest, oracle, profiles
+from trackloom.plans import bindings, ingest, oracle, profiles, signals, streams
 from trackloom.sources import views
 from trackloom.streaming import live
 
@@ -191,7 +191,7 @@ QUERIES = {
     "win_nearest_section": lambda s, d: evidence.nearest_section(features.pool(_vectors(s, d), "label")),
 }
 
-_PARTS = (ingest, bindings, profiles)
+_PARTS = (ingest, bindings, profiles, signals, streams)
 for _part in _PARTS:
     QUERIES |= _part.QUERIES
 #: The SQL of every query that has one.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,8 +13,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one if none is set (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="trackloom-")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one for a local master (tests)."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return at or "file://" + tempfile.mkdtemp(prefix="trackloom-")
 
 
 def stream_to_table(stream: DataFrame) -> DataFrame:
