@@ -40,7 +40,7 @@ from trackloom.llm import common, shingles
 #: Interpolation weights of bigram and unigram; the rest goes to the uniform distribution.
 BIGRAM, UNIGRAM = 0.6, 0.39
 #: A word or bigram is frequent from one in so many tokens; there are no more than that of them.
-FREQUENT_WORD, FREQUENT_BIGRAM = 1 << 20, 1 << 20
+FREQUENT_WORD, FREQUENT_BIGRAM = 1 << 21, 1 << 20
 #: Tokens that a task adds up at a time, words whose codes a worker keeps, and rows of an output batch.
 CHUNK, CACHE, ROWS = 2_000_000, 200_000, 50_000
 #: Set in every hash of a word, so that none is a place in the table of frequent words (0: the start of a text).
@@ -229,10 +229,10 @@ def bigrams(docs: DataFrame, model: Model) -> DataFrame:
         order = np.argsort(cell)
         cell = cell[order]
         at = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-        sums = {"target": np.add.reduceat(target[order].astype(np.int64), at), "background": np.diff(np.append(at, len(cell)))}
+        sums = {"target": np.add.reduceat(target[order].astype(np.int64), at).astype(np.int32), "background": np.diff(np.append(at, len(cell))).astype(np.int32)}
         yield from _batches({"u": before[order[at]].view(np.int64), "w": word[order[at]].view(np.int64), **sums})
 
-    parts = docs.select("text", "is_target").mapInArrow(lambda batches: _chunks(batches, make, add), "u long, w long, target long, background long")
+    parts = docs.select("text", "is_target").mapInArrow(lambda batches: _chunks(batches, make, add), "u long, w long, target int, background int")
     total = parts.repartition("u", "w").groupBy("u", "w").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
     return common.materialize(total.where("background > 1"), "bigrams")
 
@@ -295,20 +295,28 @@ def _totals(docs: DataFrame, model: Model, table: DataFrame, first: DataFrame, t
             losses = [np.where(near, own.loss_of(side, two, a, b), 0.0) + more for side, two, more in (("target", of & 1, added[1]), ("background", 1, added[0]))]
             sums = []
             for x in (*losses, (~near).astype(np.float64)):
-                s = np.zeros(len(row))
+                x_of = np.zeros(len(row))
                 if len(ids):
-                    s[full] = np.add.reduceat(x, starts)
-                sums.append(s)
-            # one row a document, then a row for each other token
-            yield from _batches({"row": row, "cell": shingles.mix(row.astype(np.uint64)).view(np.int64), "doc_id": batch.column("doc_id"), "n_tokens": lengths, "rare": -sums[2].astype(np.int64), "sum_target": sums[0], "sum_background": sums[1]})
-            left = len(ids) - int(hit.sum())
-            none = [pa.nulls(left, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-            yield from _batches(dict(zip(COLUMNS, (of[~hit], cell[~hit], *none))))
-
-    parts = docs.select("row", "doc_id", "text").mapInArrow(run, ", ".join(f"{c} {'double' if c.startswith('sum') else 'long'}" for c in COLUMNS))
-    met = parts.join(table.where(~often).drop("background").hint("shuffle_hash"), "cell", "left")
+                    x_of[full] = np.add.reduceat(x, starts)
+                sums.append(x_of)
+            # a list for each document: a number of its own, which meets nothing, then its tokens' bigrams that are not frequent
+            left = np.zeros(len(row), np.int64)
+            if len(ids):
+                left[full] = np.add.reduceat((~hit).astype(np.int64), starts)
+            edges = np.concatenate([[0], np.cumsum(left + 1)])
+            values = np.empty(edges[-1], np.int64)
+            own_place = np.zeros(len(values), bool)
+            own_place[edges[:-1]] = True
+            values[own_place], values[~own_place] = shingles.mix(row.astype(np.uint64)).view(np.int64), cell[~hit]
+            lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(values))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), lists, batch.column("doc_id"), pa.array(lengths), pa.array(-sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])], COLUMNS)
+
+    kinds = ["long", "array<long>", "long", "long", "long", "double", "double"]
+    parts = docs.select("row", "doc_id", "text").mapInArrow(run, ", ".join(f"{c} {k}" for c, k in zip(COLUMNS, kinds)))
+    tokens_of = parts.select("row", F.struct(*COLUMNS[2:]).alias("whole"), F.posexplode("cells").alias("at", "cell")).select("row", "cell", F.when(F.col("at") == 0, F.col("whole")).alias("own"))
+    met = tokens_of.join(table.where(~often).drop("background").hint("shuffle_hash"), "cell", "left")
     added = F.when(F.col("row").bitwiseAND(F.lit(1)) == 1, F.col("add_target")).otherwise(F.col("add_other"))
-    met = met.select("row", "doc_id", "n_tokens", "rare", F.coalesce("sum_target", added).alias("sum_target"), F.coalesce("sum_background", "add_background").alias("sum_background"))
+    met = met.select("row", "own.doc_id", "own.n_tokens", "own.rare", F.coalesce("own.sum_target", added).alias("sum_target"), F.coalesce("own.sum_background", "add_background").alias("sum_background"))
     early = first.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_tokens"), F.col("n").alias("rare"), "sum_target", "sum_background")
     total = met.union(early).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), *(F.sum(c).alias(c) for c in ("rare", "sum_target", "sum_background")))
     sound = F.when(F.col("rare") == 0, F.col("n_tokens")).otherwise(F.raise_error(F.lit("the documents came in other partitions in one step than in another: write them first")))
@@ -317,7 +325,7 @@ def _totals(docs: DataFrame, model: Model, table: DataFrame, first: DataFrame, t
     return total.select("doc_id", "n_tokens", *mean).withColumn("loss_difference", F.col("loss_target") - F.col("loss_background"))
 
 
-COLUMNS = ["row", "cell", "doc_id", "n_tokens", "rare", "sum_target", "sum_background"]
+COLUMNS = ["row", "cells", "doc_id", "n_tokens", "rare", "sum_target", "sum_background"]
 
 
 def _added(hit: np.ndarray, at: np.ndarray, of: np.ndarray, background: np.ndarray, target: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
