@@ -1,6 +1,9 @@
 import hashlib
+import random
 import re
+import time
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -72,3 +75,60 @@ def test_redact(spark):
     docs = spark.createDataFrame([(1, "to a.b@c.org!", 13, None), (2, "clean", 5, "x"), (3, None, None, "y")], "doc_id long, text string, n_chars long, spans string")
     assert sorted(map(tuple, pii.redact(docs).collect())) == [(1, "to [EMAIL]!", 11, None), (2, "clean", 5, "x"), (3, None, None, "y")]
     assert pii.masked("abcdef", [(1, 3, "card"), (2, 4, "ip"), (5, 6, "email")]) == "a[CARD]e[EMAIL]"
+
+
+WINDOWS = st.lists(st.sampled_from(["12", "345-", "6789 ", "+1 (", ") ", "a1", "beef", "10.", "0.0.1 ", "@", " at ", " (at) ", "[dot] ", " dot ", "x", "card ", "tel: ", "/", "\n", "é", "4539578763621486", ", ", "    "]), min_size=1, max_size=30).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(WINDOWS)
+def test_scores_equal_features(text):
+    """The sums over characters score a span as its features do, one by one."""
+    rng = np.random.default_rng(5)
+    w = rng.normal(size=(len(pii.KINDS), len(pii.NAMES)))
+    for tokens in pii.windows(text):
+        i, j = pii.candidates(text, tokens, ([], []))
+        if len(i):
+            got = pii.Scorer(text, tokens).scores(i, j, w)
+            want = np.array([w[:, list(set(pii.features(text, tokens[a][0], tokens[b - 1][1], int(b - a))))].sum(axis=1) for a, b in zip(i, j)])
+            assert np.allclose(got, want)
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.sampled_from(["12", "6789", "+1", "@", "at", "a", ".", "-"]), min_size=1, max_size=6).map(" ".join), st.integers(0, 5))
+def test_decoder_equals_all_segmentations(text, seed):
+    """The best path is the best of all ways to cut a window into candidate segments of every type and background."""
+    rng = np.random.default_rng(seed)
+    m = pii.SemiMarkov()
+    m.w, m.t = rng.normal(size=m.w.shape), rng.normal(size=m.t.shape)
+    for tokens in pii.windows(text):
+        i, j = pii.candidates(text, tokens, ([], []))
+        score = dict(zip(zip(i.tolist(), j.tolist()), pii.Scorer(text, tokens).scores(i, j, m.w) if len(i) else []))
+
+        def paths(at, y):
+            if at == len(tokens):
+                yield 0.0, ()
+                return
+            for rest, spans in paths(at + 1, 0):
+                yield m.t[y, 0] + rest, spans
+            for (a, b), s in score.items():
+                if a == at and s.max() + m.t.max() * 2 > 0:
+                    for k in range(len(pii.KINDS)):
+                        for rest, spans in paths(b, k + 1):
+                            yield m.t[y, k + 1] + s[k] + rest, ((tokens[a][0], tokens[b - 1][1], pii.KINDS[k]), *spans)
+
+        best = max(p[0] for p in paths(0, 0))
+        got = tuple(m.decode(text, tokens, []))
+        assert any(abs(v - best) < 1e-9 and spans == got for v, spans in paths(0, 0))
+
+
+def test_dense_digits_take_linear_time(model):
+    """A table of figures: time grows with its length and stays small."""
+    rng = random.Random(4)
+    took = []
+    for n in (4000, 16000):
+        text = " ".join(str(rng.randrange(100, 99999)) for _ in range(n))
+        start = time.process_time()
+        pii.find_spans(text, model)
+        took.append(time.process_time() - start)
+    assert took[1] < 8 * took[0] and took[1] < 8.0

@@ -33,6 +33,8 @@ from trackloom.llm import common
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS, TRAIN_WINDOWS, MAX_TOKENS = 4000, 240, 18
+#: Candidates that are scored at a time.
+BLOCK = 40_000
 Span = tuple[int, int, str]
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -100,6 +102,7 @@ CONTINUES = re.compile(r"(?i)\s?[\[(]\s?(?:dot|at)\s?[\])]|\s(?:dot|at)\s[a-z0-9
 CONTINUED = re.compile(r"(?i)(?:[\[(]\s?(?:dot|at)\s?[\])]\s?|\s(?:dot)\s|[a-z0-9][.@-])$")
 ENDS_IN, ENDS_AFTER = re.compile(r"(?i)[\s\[(](?:dot|at)$"), re.compile(r"(?i)(?:\.|\sdot\s|[\[(]\s?dot\s?[\])]\s?)[a-z0-9-]+$")
 AT = {n: k for k, n in enumerate(NAMES)}
+AT_AHEAD, WORDS = re.compile(rf"(?=({AT_WORD.pattern.replace('(?i)', '(?i:')})))"), re.compile("[a-z]+")
 
 
 def features(text: str, start: int, end: int, tokens: int) -> list[int]:
@@ -156,23 +159,140 @@ def windows(text: str) -> Iterator[list[tuple[int, int]]]:
         yield tokens[max(0, a - 8) : b + MAX_TOKENS]
 
 
-def candidates(text: str, tokens: list[tuple[int, int]], fixed: list[Span]) -> list[tuple[int, int]]:
-    """(i, j): tokens i to j - 1 may be an entity: gaps of at most three blanks on one line, a digit or an at inside, plain edges, clear of ``fixed``."""
-    blocked = [any(s < e and b < t for b, t, _ in fixed) for s, e in tokens]
-    out = []
-    for i, (s, _) in enumerate(tokens):
-        if blocked[i] or not (text[s].isalnum() or text[s] in "+("):
-            continue
-        some = False
-        for j in range(i + 1, min(len(tokens), i + MAX_TOKENS) + 1):
-            ts, te = tokens[j - 1]
-            if blocked[j - 1] or (j - 1 > i and (ts - tokens[j - 2][1] > 3 or "\n" in text[tokens[j - 2][1] : ts])):
-                break
-            t = text[ts:te]
-            some = some or t == "@" or DIGIT.search(t) is not None or t.lower() == "at"
-            if some and t.isalnum():
-                out.append((i, j))
-    return out
+def covered(fixed: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that ``fixed`` spans cover, in order and apart."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for b, e, _ in sorted(fixed):
+        if starts and b < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(b)
+            ends.append(e)
+    return starts, ends
+
+
+def candidates(text: str, tokens: list[tuple[int, int]], fixed: tuple[list[int], list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): tokens i to j - 1 may be an entity: gaps of at most three blanks on one line, a digit or an at inside, at most
+    one at, plain edges, clear of the ``covered`` stretches."""
+    m = len(tokens)
+    ts, te = np.array(tokens, np.int64).reshape(m, 2).T
+    words = [text[s:e] for s, e in tokens]
+    is_at = np.array([w == "@" or (len(w) == 2 and w.lower() == "at") for w in words], bool)
+    digit = np.array([DIGIT.search(w) is not None for w in words], bool)
+    plain = np.array([w.isalnum() for w in words], bool)
+    first = np.array([w[0].isalnum() or w[0] in "+(" for w in words], bool)
+    near = np.ones(m, bool)
+    near[1:] = [a + 3 >= s and "\n" not in text[a:s] for (_, a), (s, _) in zip(tokens, tokens[1:])]
+    starts, ends = fixed
+    k = np.searchsorted(ends, ts, side="right") if ends else np.zeros(m, int)
+    free = np.array([i >= len(starts) or starts[i] >= e for i, e in zip(k, te)], bool)
+    at_sum, digit_sum = np.concatenate([[0], np.cumsum(is_at)]), np.concatenate([[0], np.cumsum(digit)])
+    i, out_i, out_j = np.flatnonzero(free & first), [], []
+    for d in range(1, MAX_TOKENS + 1):
+        i = i[i + d <= m]
+        j = i + d
+        i = i[free[j - 1] & (near[j - 1] | (d == 1)) & (at_sum[j] - at_sum[i] <= 1)]
+        j = i + d
+        ok = plain[j - 1] & ((digit_sum[j] > digit_sum[i]) | (at_sum[j] > at_sum[i]))
+        out_i.append(i[ok])
+        out_j.append(j[ok])
+    i, j = np.concatenate(out_i), np.concatenate(out_j)
+    order = np.lexsort((j, i))
+    return i[order], j[order]
+
+
+class Scorer:
+    """Scores of many candidates of one window at once: what ``features`` holds of a span, from running sums over characters.
+
+    Spans with an at in them go through ``features`` itself; there are few, as a candidate holds one at most.
+    """
+
+    TOPS = np.array([0, 3, 6, 8, 11, 15, 16, 19])
+    BUCKETS = ("0", "1", "4", "7", "9", "12", "16", "17", "20")
+
+    def __init__(self, text: str, tokens: list[tuple[int, int]]):
+        self.text, self.lo = text, tokens[0][0]
+        part = text[self.lo : tokens[-1][1]]
+        c = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+        sums = lambda x: np.concatenate([[0], np.cumsum(x)])
+        digit, letter = (c >= 48) & (c <= 57), ((c | 32) >= 97) & ((c | 32) <= 122) & (c < 128)
+        self.digits, self.letters, self.hexes = sums(digit), sums(letter), sums(digit | letter & ((c | 32) <= 102))
+        self.groups = sums(digit & ~np.concatenate([[False], digit[:-1]]))
+        marks = {k: c == v for k, v in (("plus", 43), ("space", 32), ("dash", 45), ("dot", 46), ("slash", 47), ("at", 64))}
+        paren = (c == 40) | (c == 41)
+        self.marks = {k: sums(v) for k, v in marks.items()} | {"paren": sums(paren)}
+        self.other = sums(~(digit | letter | paren | marks["plus"] | marks["space"] | marks["dash"] | marks["dot"] | marks["slash"]))
+        place = np.arange(len(c))
+        self.last_digit = np.maximum.accumulate(np.where(digit, place, -1))
+        self.run = place - np.maximum.accumulate(np.where(~digit, place, -1))
+        d = c[digit].astype(np.int64) - 48
+        twice = np.where(d < 5, 2 * d, 2 * d - 9)
+        even = np.arange(len(d)) % 2 == 0
+        self.luhn = sums(np.where(even, d, twice)), sums(np.where(even, twice, d))
+        at_end = np.full(len(c) + 1, 1 << 60)
+        for m in AT_AHEAD.finditer(part):
+            at_end[m.start()] = m.end(1)
+        self.at_end = np.minimum.accumulate(at_end[::-1])[::-1]
+        self.tokens = np.array(tokens, np.int64)
+        self.left = self.right = None
+
+    def _edges(self) -> None:
+        """What depends on a span's first or last token only."""
+        text, n = self.text, len(self.tokens)
+        self.left, self.right = {k: np.zeros(n, bool) for k in ("plus", "opens", "glued_left", "continued", *(f"hint_{k}" for k in KINDS))}, {k: np.zeros(n, bool) for k in ("glued_right", "continues", "ends_in_dot")}
+        for k, (s, e) in enumerate(self.tokens.tolist()):
+            self.left["plus"][k], self.left["opens"][k] = text[s] == "+", text[s] == "("
+            self.left["glued_left"][k] = s > 0 and text[s - 1].isalnum()
+            self.left["continued"][k] = CONTINUED.search(text, max(0, s - 8), s) is not None
+            for w in WORDS.findall(text[max(0, s - 24) : s].lower())[-2:]:
+                if w in HINTS:
+                    self.left[f"hint_{KINDS[HINTS[w]]}"][k] = True
+            self.right["glued_right"][k] = e < len(text) and text[e].isalnum()
+            self.right["continues"][k] = CONTINUES.match(text, e) is not None
+            self.right["ends_in_dot"][k] = s > 0 and (text[s - 1].isspace() or text[s - 1] in "[(") and text[s:e].lower() in ("dot", "at")
+
+    def scores(self, i: np.ndarray, j: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """(candidate, kind) for tokens i to j - 1 under the weights ``w``."""
+        if self.left is None:
+            self._edges()
+        a, b = self.tokens[i, 0] - self.lo, self.tokens[j - 1, 1] - self.lo
+        out = np.zeros((len(i), len(KINDS)))
+        within = lambda x: x[b] - x[a]
+        by_at = (within(self.marks["at"]) > 0) | (self.at_end[a] <= b)
+        n, groups, letters = within(self.digits), within(self.groups), within(self.letters) > 0
+        plus = within(self.marks["plus"])
+        seps = np.stack([within(self.marks[k]) > 0 for k in ("space", "dash", "dot", "slash")], axis=1)
+        other = within(self.other) > 0
+        kinds = seps.sum(axis=1)
+        da, db = self.digits[a], self.digits[b]
+        total = np.where((db - 1) % 2 == 0, self.luhn[0][db] - self.luhn[0][da], self.luhn[1][db] - self.luhn[1][da])
+        check = (n >= 12) & ~letters & (total % 10 == 0)
+        p = self.last_digit[b - 1]
+        last = np.where(p >= a, np.minimum(self.run[p], p - a + 1), 0)
+        q = self.last_digit[np.maximum(p - last, 0)]
+        before = np.where((p - last >= a) & (q >= a), np.minimum(self.run[q], q - a + 1), 0)
+        ip = ~letters & (plus == 0) & (within(self.marks["paren"]) == 0) & ~other & (kinds == 1) & (within(self.marks["dot"]) == 3) & (groups == 4)
+        in_range = np.zeros(len(i), bool)
+        for k in np.flatnonzero(ip):
+            in_range[k] = all(len(x) <= 3 and int(x) <= 255 for x in self.text[a[k] + self.lo : b[k] + self.lo].split("."))
+        holds = {
+            "bias": np.ones(len(i), bool), "letters": letters, "no_letters": ~letters, "plus": self.left["plus"][i], "opens": self.left["opens"][i], "plus_inside": plus > self.left["plus"][i],
+            "glued_left": self.left["glued_left"][i], "glued_right": self.right["glued_right"][j - 1], "continues": self.right["continues"][j - 1], "continued": self.left["continued"][i],
+            "ends_in_dot": self.right["ends_in_dot"][j - 1] & (j - i > 1), "ip_parts": ip, "ip_range": in_range, "luhn": check, "luhn_and_length": check & (n <= 19) & (groups <= 5), "long_digits_fail": (n >= 12) & ~check,
+            "hex": letters & (n >= 4) & (within(self.hexes) == b - a), "phone_like": ~letters & (n >= 9) & (n <= 15) & (groups >= 3) & (self.left["plus"][i] | self.left["opens"][i] | (last == 4) & (before == 3)),
+            "date_like": ~letters & (n >= 6) & (n <= 8) & (groups == 3), "sep_none": ~other & (kinds == 0), "sep_mixed": other | (kinds > 1), **{f"sep_{k}": ~other & (kinds == 1) & seps[:, x] for x, k in enumerate(("space", "dash", "dot", "slash"))},
+            **{f"hint_{k}": self.left[f"hint_{k}"][i] for k in KINDS},
+        }
+        for name, x in holds.items():
+            out[x] += w[:, AT[name]]
+        d = j - i
+        out += w[:, [AT[f"digits_{k}"] for k in self.BUCKETS]].T[np.searchsorted(self.TOPS, n)]
+        out += w[:, [AT[f"groups_{k}"] for k in range(1, 6)]].T[np.clip(groups, 1, 5) - 1]
+        out += w[:, [AT[f"tokens_{k}"] for k in ("1", "2", "5", "8")]].T[(d > 1).astype(int) + (d >= 5) + (d >= 8)]
+        for k in np.flatnonzero(by_at):
+            out[k] = w[:, list(set(features(self.text, int(a[k]) + self.lo, int(b[k]) + self.lo, int(d[k]))))].sum(axis=1)
+        return out
 
 
 class SemiMarkov:
@@ -182,36 +302,50 @@ class SemiMarkov:
         self.w = np.zeros((len(KINDS), len(NAMES)))
         self.t = np.zeros((len(KINDS) + 1, len(KINDS) + 1))
 
-    def _scores(self, text: str, tokens: list, cands: list) -> tuple[np.ndarray, np.ndarray]:
-        x = np.zeros((len(cands), len(NAMES)))
-        for k, (i, j) in enumerate(cands):
-            x[k, features(text, tokens[i][0], tokens[j - 1][1], j - i)] = 1
-        return x, x @ self.w.T
+    def _rows(self, text: str, tokens: list, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(i), len(NAMES)))
+        for k in range(len(i)):
+            x[k, features(text, tokens[i[k]][0], tokens[j[k] - 1][1], int(j[k] - i[k]))] = 1
+        return x
 
     def decode(self, text: str, tokens: list, fixed: list[Span]) -> list[Span]:
-        cands = candidates(text, tokens, fixed)
-        if not cands:
+        """The entities of the best segmentation of a window's tokens, clear of ``fixed`` spans."""
+        return self.decode_clear(text, tokens, covered(fixed))
+
+    def decode_clear(self, text: str, tokens: list, stretches: tuple[list[int], list[int]]) -> list[Span]:
+        ci, cj = candidates(text, tokens, stretches)
+        if not len(ci):
             return []
-        _, score = self._scores(text, tokens, cands)
+        scorer = Scorer(text, tokens)
+        score = np.concatenate([scorer.scores(ci[k : k + BLOCK], cj[k : k + BLOCK], self.w) for k in range(0, len(ci), BLOCK)])
         useful = np.flatnonzero(score.max(axis=1) + self.t.max() * 2 > 0)  # a segment that can't beat background is in no best path
         if not len(useful):
             return []
-        ends: dict[int, list[int]] = {}
-        for k in useful:
-            ends.setdefault(cands[k][1], []).append(k)
+        ci, cj, score = ci[useful], cj[useful], score[useful]
+        order = np.argsort(cj, kind="stable")
+        ci, cj, score = ci[order], cj[order], score[order]
         m, types = len(tokens), len(KINDS) + 1
+        edges = np.searchsorted(cj, np.arange(m + 2))
         best, back = np.full((m + 1, types), -np.inf), {}
         best[0, 0] = 0
+        stay, only = float(self.t[0, 0]), True  # only: at j - 1 nothing but background is possible
         for j in range(1, m + 1):
-            step = best[j - 1] + self.t[:, 0]
-            best[j, 0], back[j, 0] = step.max(), (j - 1, int(step.argmax()))
-            for k in ends.get(j, ()):
-                i = cands[k][0]
-                into = best[i][:, None] + self.t[:, 1:] + score[k]
+            if only:
+                best[j, 0] = best[j - 1, 0] + stay
+                back[j, 0] = (j - 1, 0)
+            else:
+                step = best[j - 1] + self.t[:, 0]
+                back[j, 0] = (j - 1, int(step.argmax()))
+                best[j, 0] = step.max()
+            lo, hi = edges[j], edges[j + 1]
+            only = lo == hi
+            if not only:
+                into = best[ci[lo:hi]][:, :, None] + self.t[None, :, 1:] + score[lo:hi, None, :]
+                before = into.argmax(axis=1)
+                top = np.take_along_axis(into, before[:, None, :], axis=1)[:, 0, :]
+                k = top.argmax(axis=0)
                 for y in range(1, types):
-                    p = int(into[:, y - 1].argmax())
-                    if into[p, y - 1] > best[j, y]:
-                        best[j, y], back[j, y] = into[p, y - 1], (i, p)
+                    best[j, y], back[j, y] = top[k[y - 1], y - 1], (int(ci[lo + k[y - 1]]), int(before[k[y - 1], y - 1]))
         out, j, y = [], m, int(best[m].argmax())
         while j:
             i, p = back[j, y]
@@ -264,11 +398,12 @@ class SemiMarkov:
         for text, spans in examples:
             want = {(s, e): KINDS.index(k) + 1 for s, e, k in spans}
             for tokens in windows(text):
-                cands = candidates(text, tokens, [])
+                ci, cj = candidates(text, tokens, covered([]))
+                cands = list(zip(ci.tolist(), cj.tolist()))
                 if cands:
                     at = {(tokens[i][0], tokens[j - 1][1]): (i, k) for k, (i, j) in enumerate(cands)}
                     gold = {at[s][0]: (at[s][1], y) for s, y in want.items() if s in at}
-                    ready.append((text, tokens, cands, self._scores(text, tokens, cands)[0], gold))
+                    ready.append((text, tokens, cands, self._rows(text, tokens, ci, cj), gold))
         hw, ht = np.full_like(self.w, 1e-3), np.full_like(self.t, 1e-3)
         for epoch in range(epochs):
             random.Random(epoch).shuffle(ready)
@@ -287,14 +422,16 @@ def find_spans(text: str, model: SemiMarkov) -> tuple[list[Span], list[Span]]:
     if "@" not in text and not ANCHOR.search(text):
         return [], []
     base, more = base_spans(text), []
+    starts, ends = covered(base)
     for tokens in windows(text):
-        lo, hi = tokens[0][0], tokens[-1][1]
-        more += model.decode(text, tokens, [s for s in base if s[0] < hi and lo < s[1]])
-    taken, out = list(base), []
+        a, b = bisect.bisect_right(ends, tokens[0][0]), bisect.bisect_left(starts, tokens[-1][1])
+        more += model.decode_clear(text, tokens, (starts[a:b], ends[a:b]))
+    out, top = [], -1
     for s in sorted(set(more), key=_order):  # stretches may share context tokens: the first span found stays
-        if not any(s[0] < e and b < s[1] for b, e, _ in out):
+        if s[0] >= top:
             out.append(s)
-    return base, sorted(taken + out, key=_order)
+            top = s[1]
+    return base, sorted(base + out, key=_order)
 
 
 def rendered(spans: list[Span]) -> str:
