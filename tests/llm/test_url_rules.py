@@ -79,3 +79,26 @@ def test_rules_equal_pruning_by_brute_force(spark):
     want = {s: c for s, c in sure.items() if not any(p < s and q >= c for p, q in sure.items())}
     got = url_rules.mine(spark.createDataFrame(rows, "url string, blocked boolean")).collect()
     assert len(want) > 5 and {frozenset(r["items"]): r["confidence"] for r in got} == want
+
+
+def test_items_that_stand_together_do_not_multiply(spark):
+    """Thirty items in every bad url: FP-growth alone would list 2^30 sets."""
+    path = "/".join(f"p{chr(97 + k // 5)}{chr(97 + k % 5)}" for k in range(28))
+    rows = [(f"http://bad.one/{path}?z={i}", True) for i in range(30)] + [(f"http://good.two/{'xyz'[i % 3]}", False) for i in range(60)]
+    rules = url_rules.mine(spark.createDataFrame(rows, "url string, blocked boolean")).collect()
+    assert len(rules) == 32 and all(len(r["items"]) == 1 and r["confidence"] == 1.0 for r in rules)
+
+
+def test_rules_are_mined_and_used_on_the_given_pages(spark):
+    data = "/root/testdata/sf0.01"
+    pages, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("pages", "labels"))
+    got = url_rules.judge(pages, labels)
+    assert got.count() == pages.count()
+    assert got.where("rule is null and verdict = 'block'").count() > 0
+    assert got.where("rule is null and verdict = 'allow'").count() > 0
+
+
+def test_very_long_urls(spark):
+    rows = [(1, "http://h.com/en/" + "a/" * 50_000 + "?" + "&".join(f"k{i}=1" for i in range(20_000))), (2, "x" * 100_000)]
+    got = url_rules.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([(2, 0)], "doc_id long, quality int")).collect()
+    assert sorted((r.page_id, r.rule, r.verdict) for r in got) == [(1, "com/en/", "block"), (2, None, "allow")]

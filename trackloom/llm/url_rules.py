@@ -2,7 +2,9 @@
 
 A url's items are its host's names, its last two names together, path parts (digits as ``#``) and query keys. FP-growth
 runs over the items of labelled urls with the label as one more item; rules that lead to it are pruned by support,
-confidence, and by shorter rules that are as sure; all others count. Matching goes through an inverted index: each rule
+confidence, and by shorter rules that are as sure; all others count. Items that stand in exactly the same urls are one
+item to FP-growth, so k of them give one set and not 2^k; a rule is written out for each of them afterwards, as a smallest
+set holds one at most. Labels are the fixed rules' own verdicts where one fits, else the quality of the page's document. Matching goes through an inverted index: each rule
 stands under its rarest item, so a url meets only rules whose rarest item it holds, and then all of a rule's
 items are looked for. Only built-in expressions run on executors.
 
@@ -16,7 +18,7 @@ from __future__ import annotations
 import string
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackloom.llm import common
@@ -24,7 +26,7 @@ from trackloom.llm import common
 #: (host, path, verdict): a rule fits its host and all subdomains where the path starts with the rule's; the longest wins.
 FIXED = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 BLOCK = "label=block"
-BROADCAST_RULES, MIN_SUPPORT, MIN_CONFIDENCE, MIN_ROWS = 2000, 0.002, 0.6, 8
+BROADCAST_ROWS, MIN_SUPPORT, MIN_CONFIDENCE, MIN_ROWS = 20_000, 0.002, 0.6, 8
 
 
 def host(url: Column) -> Column:
@@ -72,19 +74,32 @@ def _uncovered(rules: DataFrame) -> DataFrame:
 def mine(labelled: DataFrame) -> DataFrame:
     """(items, key, confidence, support): pruned rules for blocking from ``labelled`` (url, blocked), written out."""
     spark = labelled.sparkSession
-    rows = labelled.select(F.concat(items(F.col("url")), F.when(F.col("blocked"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items")).where("size(items) > 0")
-    rows = common.materialize(rows, "baskets")
+    schema = "items array<string>, key string, confidence double, support double"
+    rows = labelled.select(items(F.col("url")).alias("has"), F.coalesce("blocked", F.lit(False)).alias("blocked")).where("size(has) > 0")
+    rows = common.materialize(rows.withColumn("row", F.monotonically_increasing_id()), "baskets")
     n = rows.count()
-    if not n:
-        return spark.createDataFrame([], "items array<string>, key string, confidence double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=max(MIN_SUPPORT, MIN_ROWS / n), minConfidence=MIN_CONFIDENCE).fit(rows)
+    if n < MIN_ROWS:
+        return spark.createDataFrame([], schema)
+    least = max(MIN_SUPPORT, MIN_ROWS / n)
+    # what stands in under the least number of baskets is in no frequent set; so the table of items is bounded by items a url / MIN_SUPPORT
+    single = rows.select("row", F.explode("has").alias("of")).groupBy("of").agg(F.count("*").alias("freq"), F.bit_xor(F.xxhash64("row")).alias("x"), F.sum(F.pmod(F.xxhash64("row", F.lit(1)), F.lit(1 << 31))).alias("y"))
+    single = common.materialize(single.where(F.col("freq") >= F.ceil(F.lit(least * n) - 1e-9)).select("of", "freq", F.min("of").over(Window.partitionBy("freq", "x", "y")).alias("class")), "items")
+    small = single.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    known = single.select("of", "class")
+    held = rows.select("row", F.explode("has").alias("of")).join(F.broadcast(known) if small else known, "of").groupBy("row").agg(F.collect_set("class").alias("classes"))
+    label = F.when(F.col("blocked"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))
+    baskets = rows.join(held, "row", "left").select(F.concat(F.coalesce("classes", F.array().cast("array<string>")), label).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=MIN_CONFIDENCE).fit(common.materialize(baskets, "classes"))
     sets = common.materialize(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "itemsets")
     bad = sets.where(F.array_contains("items", BLOCK) & (F.size("items") > 1)).select(F.array_remove("items", BLOCK).alias("items"), F.col("freq").alias("both"))
     sure = common.materialize(bad.join(sets, "items").select("items", F.size("items").alias("n"), (F.col("both") / F.col("freq")).alias("sure"), (F.col("both") / n).alias("support")), "rules")
     kept = _uncovered(sure).where(F.col("sure") >= MIN_CONFIDENCE).withColumnRenamed("sure", "confidence")
+    members = single.groupBy("class").agg(F.collect_list("of").alias("members"))
+    of = kept.select("items", "confidence", "support", F.explode("items").alias("class")).join(members, "class").groupBy("items", "confidence", "support").agg(F.collect_list("members").alias("choices"))
+    one_each = F.aggregate("choices", F.array(F.array().cast("array<string>")), lambda a, m: F.flatten(F.transform(a, lambda x: F.transform(m, lambda y: F.concat(x, F.array(y))))))
+    kept = of.select(F.explode(one_each).alias("items"), "confidence", "support").withColumn("items", F.array_sort("items"))
     # the rarest item by its frequency among the baskets
-    single = sets.where(F.size("items") == 1).select(F.element_at("items", 1).alias("of"), "freq")
-    keyed = kept.select("*", F.explode("items").alias("of")).join(single, "of").groupBy("items", "confidence", "support").agg(F.min_by("of", F.struct("freq", "of")).alias("key"))
+    keyed = kept.select("*", F.explode("items").alias("of")).join(single.select("of", "freq"), "of").groupBy("items", "confidence", "support").agg(F.min_by("of", F.struct("freq", "of")).alias("key"))
     return common.materialize(keyed.select("items", "key", "confidence", "support"), "rules")
 
 
@@ -92,25 +107,25 @@ def blocked_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """The distinct ``url`` values that some rule fits."""
     held = urls.where("url is not null").distinct().select("url", items(F.col("url")).alias("has")).select("*", F.explode("has").alias("key"))
     index = rules.select("key", "items")
-    index = F.broadcast(index) if index.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES else index
+    index = F.broadcast(index) if index.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else index
     met = held.join(index, "key")
     return met.where(F.size(F.array_except("items", "has")) == 0).select("url").distinct()
 
 
 def judge(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """(page_id, host, path, rule, verdict) per row of ``pages`` (page_id, url). A page of quality 0 is to be blocked."""
+    """(page_id, host, path, rule, verdict) per row of ``pages`` (page_id, url); ``labels``: (doc_id, quality), quality 0 for pages to be blocked."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url")
-    marked = labels.where("quality is not null").select(F.col("doc_id").cast("long").alias("page_id"), (F.col("quality") == 0).alias("blocked"))
-    rules = mine(rows.join(marked, "page_id").select("url", "blocked"))
-    bad = common.materialize(blocked_urls(rows.select("url"), rules), "blocked").withColumn("bad", F.lit(True))
-    h, p = F.col("host"), F.col("path")
-    rule = verdict = None
+    h, p = host(F.col("url")), path(F.col("url"))
+    rule = verdict = F.when(F.lit(False), F.lit(None).cast("string"))
     for rh, rp, v in sorted(FIXED, key=lambda r: -len(r[0] + r[1])):
         fits = ((h == rh) | h.endswith("." + rh)) & p.startswith(rp)
-        rule = F.when(fits, rh + rp) if rule is None else rule.when(fits, rh + rp)
-        verdict = F.when(fits, v) if verdict is None else verdict.when(fits, v)
-    out = rows.join(bad, "url", "left").select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "bad")
-    return out.select("page_id", "host", "path", rule.alias("rule"), verdict.otherwise(F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"))
+        rule, verdict = rule.when(fits, rh + rp), verdict.when(fits, v)
+    ruled = rows.where(verdict.isNotNull()).select("url", (verdict == "block").alias("blocked"))
+    marked = labels.where("quality is not null").select(F.col("doc_id").cast("long").alias("page_id"), (F.col("quality") == 0).alias("blocked"))
+    rules = mine(ruled.union(rows.where(verdict.isNull()).join(marked, "page_id").select("url", "blocked")))
+    bad = common.materialize(blocked_urls(rows.where(verdict.isNull()).select("url"), rules), "blocked").withColumn("bad", F.lit(True))
+    out = rows.join(bad, "url", "left")
+    return out.select("page_id", h.alias("host"), p.alias("path"), rule.alias("rule"), F.coalesce(verdict, F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"))
 
 
 def op6_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
