@@ -104,3 +104,25 @@ def test_chains_of_any_order(spark, order):
     links = [tuple(sorted(p)) for p in zip(ids, ids[1:])] + [(n + 5, n + 7), (n + 6, n + 7), (n + 9, n + 9)]
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "lo long, hi long")).collect()}
     assert got == dict.fromkeys(range(n), 0) | {n + 5: n + 5, n + 6: n + 5, n + 7: n + 5, n + 9: n + 9}
+
+
+def test_comparisons_of_a_large_group_grow_with_its_members(spark):
+    """Near copies that mostly link: the star rounds grow with the documents; what is held against all others is only the
+    few that link with none of their stars. Components stay exact."""
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(5000)]
+    base = [rng.choice(words) for _ in range(150)]
+    totals = []
+    for n in (150, 300):
+        rows = []
+        for i in range(n):
+            w = list(base)
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(150)] = rng.choice(words)
+            rows.append((i, " ".join(w)))
+        counts = {}
+        got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, compared_pairs=counts).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute(rows, 4)
+        totals.append(counts)
+    assert totals[1]["stars"] <= 3 * totals[0]["stars"], totals
+    assert sum(totals[1].values()) < 300 * 299 / 2 / 5, totals

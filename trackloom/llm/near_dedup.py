@@ -8,11 +8,14 @@
 3. Verification: signatures are compared batch by batch. After m minima with k matches and a uniform prior, the chance
    that the similarity reaches the threshold is P(Binomial(m + 1, threshold) <= k); a pair is pruned once this falls
    under ``miss``. Survivors are settled on their full shingle sets, hashed to 64 bits.
-4. Components of the links so far; then the pairs of a bucket that lie in different components and weren't compared
-   are verified too, after a first look at one-bit minima inside the join; a large component and the documents beside
-   it are compared block against block. A bucket's largest component meets only the others' members, so a large group of near copies
-   costs a row per member. After this each pair of a bucket is in one component or was compared, as if all pairs had
-   been.
+4. Components of the links so far. Then some more star rounds: what isn't yet in a bucket's largest component is paired
+   with one other member of that, picked by a hash; so most of a group of near copies is one component after a number of
+   comparisons in proportion to its members.
+5. The pairs of a bucket that still lie in different components and weren't compared are verified too, after a first look
+   at one-bit minima inside the join; a large component and the documents beside it are compared block against block.
+   After this each pair of a bucket is in one component or was compared, as if all pairs had been. Documents whose
+   similarities lie just under the threshold all around have no shorter proof: each must be held against all that share a
+   bucket with it. No step compares sets whose sizes alone rule the threshold out.
 Chance to miss a pair at the threshold: (1 - t^rows)^bands, 5e-6 for 40 bands of 6 at 0.8, plus ``miss``.
 
 Defined results: no words or null text: empty set, linked with nothing; fewer words than a shingle: the whole sequence
@@ -28,7 +31,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.llm import common
@@ -38,6 +41,8 @@ from trackloom.llm.shingles import mix, shingle_set
 SEED = 7
 #: Components of at least LARGE members in unsettled buckets are compared block by block, in blocks of about BLOCK.
 LARGE, BLOCK = 32, 64
+#: Bytes of shingle sets in a block, about; and star rounds after the first.
+BLOCK_BYTES, ROUNDS = 2 << 20, 2
 SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary, b0 long, b1 long"
 #: One-bit minima in the two bit columns: the first batch of the sequential test, made where candidates are joined.
 BITS = 128
@@ -138,8 +143,8 @@ def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, shingle: int
 
 
 def _open_buckets(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, node, label, major): members of the buckets that hold several components, written out; ``major`` has most members."""
-    marked = common.materialize(shared.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")).distinct(), "marked")
+    """(key, node, n, label, major): members of the buckets that hold several components, written out; ``major`` has most members."""
+    marked = common.materialize(shared.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label")).distinct(), "marked")
     counts = marked.groupBy("key", "label").agg(F.count("*").alias("n"))
     major = common.materialize(counts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("labels")).where("labels > 1").select("key", "major"), "major")
     return common.materialize(marked.join(major, "key"), "open")
@@ -154,6 +159,15 @@ def _sets(shingle: int):
     return sets
 
 
+def _fits(a: str, b: str, num: int, den: int) -> Column:
+    """Whether sets of these sizes can reach the similarity num / den."""
+    return den * F.least(a, b) >= num * F.greatest(a, b)
+
+
+def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
+    return rows.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).distinct()
+
+
 def _beside_large(open_rows: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(label, node) of the ``large`` components' members, and of the nodes of others that share a bucket with them."""
     members = open_rows.join(large, "label").select("label", "node").distinct()
@@ -175,8 +189,9 @@ def _against_large(members: DataFrame, beside: DataFrame, signed: DataFrame, doc
     need = members.select(F.col("node").alias("doc_id")).union(beside.select("node")).distinct()
     need = common.materialize(need, "need")
     full = _restricted(common.texts(docs), need).mapInArrow(_sets(shingle), "doc_id long, of binary")
-    of = common.materialize(full.join(_restricted(signed.select("doc_id", "sig"), need), "doc_id").select(F.col("doc_id").alias("node"), "sig", "of"), "block-sets")
-    parts = lambda df, n: df.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(n))
+    of = common.materialize(full.join(_restricted(signed.select("doc_id", "sig"), need), "doc_id").select(F.col("doc_id").alias("node"), "sig", "of").dropDuplicates(["node"]), "block-sets")
+    size = F.greatest(F.count("*") / BLOCK, F.sum(F.octet_length("of")) / BLOCK_BYTES)
+    parts = lambda df, n: df.join(of, "node").groupBy("label").agg(F.ceil(size).cast("int").alias(n))
     count = common.materialize(parts(members, "m_parts").join(parts(beside, "x_parts"), "label"), "block-counts")
 
     def blocks(df: DataFrame, n: str, no: str, name: str) -> DataFrame:
@@ -190,9 +205,11 @@ def _against_large(members: DataFrame, beside: DataFrame, signed: DataFrame, doc
                 sig = np.frombuffer(b"".join(m["sig"] for m in ms), "<u2").reshape(len(ms), -1)
                 least = least_matches(sig.shape[1], num / den, miss)
                 sets = [np.frombuffer(m["of"], np.uint64) for m in ms]
+                sizes = np.array([len(y) for y in sets])
                 for x in xs:
                     own = np.frombuffer(x["of"], np.uint64)
-                    for j in np.flatnonzero((sig == np.frombuffer(x["sig"], "<u2")).sum(axis=1) >= least):
+                    near = np.flatnonzero(den * np.minimum(sizes, own.size) >= num * np.maximum(sizes, own.size))
+                    for j in near[(sig[near] == np.frombuffer(x["sig"], "<u2")).sum(axis=1) >= least]:
                         both = np.intersect1d(own, sets[j], assume_unique=True).size
                         if x["node"] != ms[j]["node"] and den * both >= num * (own.size + sets[j].size - both):
                             out.append(sorted((x["node"], ms[j]["node"])))
@@ -205,24 +222,40 @@ def _against_large(members: DataFrame, beside: DataFrame, signed: DataFrame, doc
         return common.materialize(pairs.select("xs", "ms").mapInArrow(compare, "lo long, hi long").distinct(), "links")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, bands: int = 40, rows: int = 6, miss: float = 1e-6) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per row of ``docs`` (doc_id, text)."""
+def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, bands: int = 40, rows: int = 6, miss: float = 1e-6, compared_pairs: dict | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) per row of ``docs`` (doc_id, text).
+
+    ``compared_pairs``, if given, gets the number of pairs whose signatures each step compares.
+    """
     common.small_batches(docs.sparkSession)
+    fits = lambda a, b: _fits(a, b, num, den)
+    verify = lambda pairs: _verified(pairs, signed, docs, shingle, num, den, miss)
     signed = common.materialize(_signed(docs, shingle, bands, rows), "signed")
     named = signed.where("doc_id is not null and set_key is not null")
     classes = common.materialize(named.groupBy("set_key").agg(F.min("doc_id").alias("node")), "classes")
-    reps = named.select("doc_id", "set_key", "bands").join(classes.withColumnRenamed("node", "doc_id"), ["set_key", "doc_id"], "left_semi")
-    buckets = reps.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
-    heads = common.materialize(buckets.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("key", "head"), "heads")
+    reps = named.select("doc_id", "set_key", "n_shingles", "bands").join(classes.withColumnRenamed("node", "doc_id"), ["set_key", "doc_id"], "left_semi")
+    buckets = reps.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    heads = common.materialize(buckets.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head"), F.max("node").alias("last")).where("head.node < last").select("key", F.col("head.node").alias("head"), F.col("head.n").alias("head_n")), "heads")
     shared = common.materialize(buckets.join(heads, "key"), "buckets")
-    stars = common.materialize(shared.where("node > head").select(F.col("head").alias("lo"), F.col("node").alias("hi")).distinct(), "stars")
-    links = _verified(stars, signed, docs, shingle, num, den, miss)
-
-    labels, compared = components(links), stars
+    stars = common.materialize(_pairs(shared.where((F.col("node") > F.col("head")) & fits("n", "head_n")), "head", "node"), "stars")
+    links, compared = verify(stars), stars
+    labels = components(links)
+    open_rows = _open_buckets(shared, labels)
+    for turn in range(ROUNDS):
+        best = open_rows.where("label = major").groupBy("key").agg(F.min_by(F.struct("node", "n"), F.struct(F.xxhash64(F.lit(turn), "node"), "node")).alias("h"))
+        best = best.select("key", F.col("h.node").alias("head"), F.col("h.n").alias("head_n"))
+        more = _pairs(open_rows.where("label <> major").join(best, "key").where(fits("n", "head_n")), "head", "node").join(compared, ["lo", "hi"], "left_anti")
+        more = common.materialize(more, "stars")
+        found = verify(more)
+        compared = compared.union(more)
+        if found.isEmpty():
+            break
+        links = links.union(found)
+        labels = components(links)
+        open_rows = _open_buckets(shared, labels)
 
     # all pairs of a bucket that are still in different components and weren't compared
-    open_rows = _open_buckets(shared, labels)
-    large = common.materialize(open_rows.groupBy("label").agg(F.count_distinct("node").alias("n")).where(F.col("n") >= LARGE).select("label"), "large")
+    large = common.materialize(open_rows.groupBy("label").agg(F.count_distinct("node").alias("nodes")).where(F.col("nodes") >= LARGE).select("label"), "large")
     all_open, open_rows = open_rows, open_rows.join(large, "label", "left_anti")
     members, beside = _beside_large(all_open, large)
     near = beside.groupBy("node").agg(F.min("label").alias("big"))
@@ -232,18 +265,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     bits = min(BITS, bands * rows)
     apart = bits - least_matches(bits, (1 + num / den) / 2, miss)
     # two nodes beside one large component meet in its blocks
-    minor = open_rows.where("label <> major").select("key", F.col("node").alias("p"), F.col("label").alias("p_label"), F.col("b0").alias("p0"), F.col("b1").alias("p1"), F.col("big").alias("p_big"))
+    minor = open_rows.where("label <> major").select("key", F.col("node").alias("p"), F.col("n").alias("p_n"), F.col("label").alias("p_label"), F.col("b0").alias("p0"), F.col("b1").alias("p1"), F.col("big").alias("p_big"))
     close = F.bit_count(F.col("p0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("p1").bitwiseXOR(F.col("b1"))) <= apart
-    cross = minor.join(open_rows, (minor.key == open_rows.key) & (F.col("p_label") != F.col("label")) & ((F.col("label") == F.col("major")) | (F.col("p") < F.col("node"))) & F.coalesce(F.col("p_big") != F.col("big"), F.lit(True)) & close)
-    rest = cross.select(F.least("p", "node").alias("lo"), F.greatest("p", "node").alias("hi")).distinct().join(compared, ["lo", "hi"], "left_anti")
-    rest = common.materialize(rest, "rest")
+    cross = minor.join(open_rows, (minor.key == open_rows.key) & (F.col("p_label") != F.col("label")) & ((F.col("label") == F.col("major")) | (F.col("p") < F.col("node"))) & fits("p_n", "n") & F.coalesce(F.col("p_big") != F.col("big"), F.lit(True)) & close)
+    rest = common.materialize(_pairs(cross, "p", "node").join(compared, ["lo", "hi"], "left_anti"), "rest")
     before = links
     if not rest.isEmpty():
-        links = links.union(_verified(rest, signed, docs, shingle, num, den, miss))
+        links = links.union(verify(rest))
     if not large.isEmpty():
         links = links.union(_against_large(members, beside, signed, docs, shingle, num, den, miss))
     if links is not before:
         labels = components(links)
+    if compared_pairs is not None:
+        groups = members.groupBy("label").agg(F.count("*").alias("m")).join(beside.groupBy("label").agg(F.count("*").alias("x")), "label")
+        blocks = groups.agg(F.coalesce(F.sum((F.col("m") + F.col("x")) * F.col("x")), F.lit(0))).first()[0]
+        compared_pairs.update(stars=compared.count(), rest=rest.count(), blocks=blocks)
 
     named_class = common.materialize(classes.join(labels, "node", "left").select("set_key", F.coalesce("label", "node").alias("component_id")), "named")
     out = signed.select("doc_id", "n_shingles", "set_key").join(named_class, "set_key", "left")
