@@ -68,3 +68,54 @@ def test_edges(spark):
     assert left.columns == d.columns
     assert left.where("doc_id is null").count() == 1 and left.where("doc_id in (0, 4, 502)").count() == 0 and left.where("doc_id in (1, 500, 501)").count() == 3
     assert dc.find_leaks(d.limit(0), b).count() == 0 and dc.find_leaks(d, b.limit(0)).count() == 0
+
+
+def exhaustive(docs, items):
+    """(doc_id, item_id) of all leaks, from every item against stretches all over every document."""
+    out = set()
+    for d, text, *_ in docs:
+        w = dc.tokens(text or "")
+        here = set(w)
+        for it in dc.make_items(items):
+            n = len(it.words)
+            if len(it.distinct & here) < dc.PARAPHRASE * len(it.distinct):
+                continue
+            size = n + max(2, n // 4)
+            best = max((slow_lcs(it.words, w[s : s + size]), -s) for s in range(0, max(1, len(w) - size + 1), max(1, n // 8)))
+            stretch = w[-best[1] : -best[1] + size]
+            answer = slow_lcs(it.answer, stretch) / len(it.answer) if it.answer else 0
+            if best[0] >= dc.LEAK * n or best[0] >= dc.PARAPHRASE * n and answer >= dc.ANSWER:
+                out.add((d, it.item_id))
+    return out
+
+
+def test_equals_exhaustive_check(spark):
+    """On the given documents: the same pairs as every item against every document, word by word."""
+    data = "/root/testdata/sf0.01"
+    docs, bench = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "benchmark"))
+    got = {(r.doc_id, r.item_id) for r in dc.find_leaks(docs, bench).collect()}
+    want = exhaustive([tuple(r) for r in docs.select("doc_id", "text").collect()], [tuple(r) for r in bench.select("item_id", "text").collect()])
+    assert len(want) > 10 and got == want
+
+
+def test_paraphrases_among_more_items_than_the_rank(spark):
+    """Several times more items than dimensions: copies are all found, and paraphrases that keep three words in four to 97 in 100."""
+    rng = random.Random(31)
+    vocab = ["the", "of", "and"] * 60 + ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(4000)]
+    text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    items = [(i, f"{text(rng.randint(12, 50))}. {text(6)}.") for i in range(6 * dc.RANK)]
+    docs, copies, changed = [], set(), set()
+    for d in range(600):
+        body = text(rng.randint(40, 300)).split()
+        if d % 3:
+            i = rng.randrange(len(items))
+            w = items[i][1].split()
+            if d % 3 == 2:
+                for k in rng.sample(range(len(w) - 6), len(w) // 5):
+                    w[k] = rng.choice(vocab)
+            at = rng.randint(0, len(body))
+            body[at:at] = w
+            (changed if d % 3 == 2 else copies).add((d, i))
+        docs.append((d, " ".join(body), "x"))
+    got = {(r.doc_id, r.item_id) for r in dc.find_leaks(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert copies <= got and len(got & changed) >= 0.97 * len(changed) and not got - copies - changed

@@ -44,3 +44,53 @@ def test_learned_list_separates(spark):
 
 def test_verdict_without_rules(spark):
     assert spark.range(2).where(decision_list.verdict([])).count() == 2
+
+
+def test_learner_equals_brute_force(spark):
+    """The grown and pruned list, found again by trying every condition on rows in plain Python."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(600):
+        a, b, c = rng.randrange(6), rng.randrange(6), rng.randrange(6)
+        low = a >= 4 and b < 3 or c == 0 and b >= 4
+        rows.append((float(a), float(b), float(c), low if rng.random() < 0.98 else not low, i % 2))
+    names = ["a", "b", "c"]
+    got = decision_list.learn(spark.createDataFrame(rows, "a double, b double, c double, low boolean, part int"), names, "low")
+
+    def holds(rule, r):
+        return all(r[f] >= t if up else r[f] < t for f, up, t in rule)
+
+    def count(rule, left, part):
+        inside = [r for r in left if r[4] == part and holds(rule, r)]
+        return sum(r[3] for r in inside), sum(not r[3] for r in inside)
+
+    want, left, short = [], rows, 0
+    while short < 3:
+        rule, scores = [], []
+        while len(rule) < 3:
+            p0, n0 = count(rule, left, 0)
+            if not p0 or not n0:
+                break
+            best = (1e-6, None)
+            for f in range(3):
+                cuts = [v + 0.5 for v in range(5)]
+                for up in (True, False):
+                    for t in cuts[::-1] if up else cuts:
+                        p, n = count([*rule, (f, up, t)], left, 0)
+                        g = decision_list._gain(p, n, p0, n0)
+                        if g > best[0]:
+                            best = (g, (f, up, t))
+            if best[1] is None:
+                break
+            rule.append(best[1])
+            p, n = count(rule, left, 1)
+            scores.append(((p + 1) / (p + n + 2), p, len(rule)))
+        if not rule:
+            break
+        good, p, length = max(scores, key=lambda s: (round(s[0], 3), -s[2]))
+        short = short + 1 if good < 0.9 or p < 8 else 0
+        if not short:
+            want.append(rule[:length])
+        left = [r for r in left if not holds(rule[:length], r)]
+    assert len(want) >= 2
+    assert [[(names.index(c.feature), c.at_least, c.threshold) for c in rule] for rule in got] == want

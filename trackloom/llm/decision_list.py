@@ -3,7 +3,8 @@
 The learner never sees rows. For each step Spark counts labelled rows by (feature, bin, class, part), a table of at
 most features x bins x 4 rows. Rows are halved by a hash into a growing and a pruning part. A rule grows by the
 condition of largest FOIL gain, is cut back to its best prefix on the pruning part, and joins the list if it is precise
-enough there; the rows that it covers leave, and the next rule is grown from the rest.
+enough there; the rows that it covers leave, and the next rule is grown from the rest. The rows of a rule that falls short
+leave too, without a rule. Learning ends when no condition gains anything, or ``patience`` rules in a row fell short.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ def _gain(p: float, n: float, p0: float, n0: float) -> float:
     return p * (math.log2((p + 1e-9) / (p + n + 1e-9)) - math.log2((p0 + 1e-9) / (p0 + n0 + 1e-9)))
 
 
-def learn(rows: DataFrame, features: list[str], target: str, bins: int = 32, max_rules: int = 12, max_conditions: int = 3, precision: float = 0.9, cover: int = 8) -> list[Rule]:
+def learn(rows: DataFrame, features: list[str], target: str, bins: int = 32, patience: int = 3, max_conditions: int = 3, precision: float = 0.9, cover: int = 8) -> list[Rule]:
     """The rules for ``target`` = true. ``rows``: the features (double), ``target`` (boolean) and ``part`` (0 or 1).
 
     No labelled row, or one class only: no rule. Null features fall into no rule.
@@ -72,8 +73,8 @@ def learn(rows: DataFrame, features: list[str], target: str, bins: int = 32, max
         r = left.where(F.col("part") == part).agg(F.count_if("hit").alias("p"), F.count_if(~F.col("hit")).alias("n")).first()
         return r.p, r.n
 
-    rules, left = [], table
-    for _ in range(max_rules):
+    rules, left, short = [], table, 0
+    while short < patience:
         rule, inside, scores = [], left, []
         p0, n0 = totals(left, 0)
         while len(rule) < max_conditions and n0 and p0:
@@ -95,8 +96,9 @@ def learn(rows: DataFrame, features: list[str], target: str, bins: int = 32, max
         if not rule:
             break
         good, p, length = max(scores, key=lambda s: (round(s[0], 3), -s[2]))
-        if good < precision or p < cover:
-            break
-        rules.append(tuple(rule[:length]))
-        left = left.where(~F.coalesce(covers(rules[-1]), F.lit(False)))
+        done = tuple(rule[:length])
+        short = short + 1 if good < precision or p < cover else 0
+        if not short:
+            rules.append(done)
+        left = left.where(~F.coalesce(covers(done), F.lit(False)))
     return rules
