@@ -48,6 +48,11 @@ def _mean(of: str, a: str, b: str) -> Column:
     return (F.col(f"{b}.{of}") - F.col(f"{a}.{of}")) / F.nullif(F.col(f"{b}.bar") - F.col(f"{a}.bar"), F.lit(0))
 
 
+def _at_most(a: Column, b: Column) -> Column:
+    """a <= b for numbers that come from sums: apart from what adding up in another order changes."""
+    return F.round(a, 9) <= F.round(b, 9)
+
+
 def starts_of(bars: DataFrame) -> DataFrame:
     """(series, bar, label, until): the bars where a label begins, and where the next one does."""
     marked = bars.withColumn("new", F.coalesce(F.lag("label").over(_series()) != F.col("label"), F.lit(True)))
@@ -64,9 +69,9 @@ def _exit_terms(rows: DataFrame, bars: DataFrame, sums: DataFrame) -> DataFrame:
     last = bars.select(F.col("series").alias("_s2"), (F.col("bar") + 1).alias("_b2"), F.col("rel_db").alias("last_rel"))
     met = rows.join(near, (F.col("series") == F.col("_s")) & (F.col("x") == F.col("_b")), "left").join(last, (F.col("series") == F.col("_s2")) & (F.col("x") == F.col("_b2")), "left")
     level = _mean("rel", "s_j", "s_x")
-    tail = (F.col("t_n") == TAIL_BARS) & (F.col("t_lo") >= level - TAIL_DB) & (F.col("t_hi") <= level + TAIL_DB)
+    tail = (F.col("t_n") == TAIL_BARS) & _at_most(level - TAIL_DB, F.col("t_lo")) & _at_most(F.col("t_hi"), level + TAIL_DB)
     return met.select(
-        *rows.columns, level.alias("level"), F.coalesce(_mean("rel", "s_x", "s_t") <= level - NATURAL, F.lit(False)).alias("natural"), F.coalesce(F.col("last_rel") <= level - DIP, F.lit(False)).alias("dip"), F.coalesce(tail, F.lit(False)).alias("tail"),
+        *rows.columns, level.alias("level"), F.coalesce(_at_most(_mean("rel", "s_x", "s_t"), level - NATURAL), F.lit(False)).alias("natural"), F.coalesce(_at_most(F.col("last_rel"), level - DIP), F.lit(False)).alias("dip"), F.coalesce(tail, F.lit(False)).alias("tail"),
         F.coalesce(_mean("lull", "s_j", "s_x"), F.lit(0.0)).alias("lull"), (F.col("x") >= F.col("last_loud") - 1).alias("fade"), (F.col("s_x.verse") - F.col("s_j.verse")).alias("verse_bars"),
     )
 
@@ -76,8 +81,8 @@ def section_stats(bars: DataFrame) -> DataFrame:
     sums = _running(bars)
     rows = starts_of(bars).join(sums.select("series", "nb", "last_loud").distinct(), "series").select("series", "label", "nb", "last_loud", F.col("bar").alias("j"), F.col("until").alias("x"))
     out = _exit_terms(rows, bars, sums)
-    veto = (F.col("level") <= VETO_REL) | (_mean("low", "s_j", "s_x") <= VETO_LOW)
-    return out.select("series", F.col("j").alias("bar"), "label", F.col("x").alias("until"), F.round("level", 6).alias("level"), veto.alias("vetoed"), "natural", "dip", "tail", F.round("lull", 6).alias("lull"), "fade")
+    veto = _at_most(F.col("level"), F.lit(VETO_REL)) | _at_most(_mean("low", "s_j", "s_x"), F.lit(VETO_LOW))
+    return out.select("series", F.col("j").alias("bar"), "label", F.col("x").alias("until"), F.round("level", 8).alias("level"), veto.alias("vetoed"), "natural", "dip", "tail", F.round("lull", 6).alias("lull"), "fade")
 
 
 def highlight_scores(bars: DataFrame, bar_s: float = 2.0) -> DataFrame:
@@ -99,7 +104,7 @@ def highlight_scores(bars: DataFrame, bar_s: float = 2.0) -> DataFrame:
     contrast = F.coalesce(_mean("rel", "s_j", "s_2") - _mean("rel", "s_4", "s_j"), F.lit(0.0))
     low_jump = F.coalesce(_mean("low", "s_j", "s_2") - _mean("low", "s_4", "s_j"), F.lit(0.0))
     prior = F.coalesce(F.create_map(*(F.lit(v) for p in PRIOR.items() for v in p))[F.col("label")], F.lit(0.3))
-    drop = F.col("label").isin(*HIGHLIGHT) & (contrast >= DROP_CONTRAST) & (low_jump >= DROP_LOW)
+    drop = F.col("label").isin(*HIGHLIGHT) & _at_most(F.lit(DROP_CONTRAST), contrast) & _at_most(F.lit(DROP_LOW), low_jump)
     is_ = lambda c: c.cast("int")
     score = (
         F.when(drop, F.greatest(prior, F.lit(DROP_PRIOR))).otherwise(prior)
@@ -114,7 +119,7 @@ def highlight_scores(bars: DataFrame, bar_s: float = 2.0) -> DataFrame:
         + H["verse_bar"] * F.col("verse_bars")
         + H["section_end"] * is_(F.coalesce("bound", F.lit(False)) & F.col("end_label").isin(*HIGHLIGHT))
     )
-    out = rows.select("series", F.col("j").alias("bar"), F.col("x").alias("until"), F.round(score, 6).alias("score"), F.round(contrast, 6).alias("contrast"), F.round(low_jump, 6).alias("low_jump"))
+    out = rows.select("series", F.col("j").alias("bar"), F.col("x").alias("until"), F.round(score, 4).alias("score"), F.round(contrast, 8).alias("contrast"), F.round(low_jump, 8).alias("low_jump"))
     return out.withColumn("place", F.row_number().over(Window.partitionBy("series").orderBy(F.desc("score"), "bar", "until")))
 
 

@@ -36,18 +36,18 @@ BARS = f"""{LINES}, bars AS (SELECT series, bar, -60 * l_discount - 0.0137 * (ba
 #: The terms of an exit at x of a body from j, for rows ``asked`` (series, j, x).
 TERMS = """body AS (SELECT q.series, q.j, q.x, avg(b.rel) AS level, avg(b.low) AS low, avg(CASE WHEN b.rel < -5 THEN 1.0 ELSE 0.0 END) AS lull, count(*) FILTER (b.label IN ('verse', 'outro', 'break')) AS verse_bars FROM asked q JOIN bars b ON b.series = q.series AND b.bar >= q.j AND b.bar < q.x GROUP BY 1, 2, 3),
  after AS (SELECT q.series, q.j, q.x, avg(b.rel) AS rel, min(b.rel) AS lo, max(b.rel) AS hi, count(*) AS n FROM asked q JOIN bars b ON b.series = q.series AND b.bar >= q.x AND b.bar < q.x + 4 GROUP BY 1, 2, 3),
- terms AS (SELECT y.*, coalesce(a.rel <= y.level - 4, false) AS "natural", coalesce(l.rel <= y.level - 3, false) AS dip, coalesce(a.n = 4 AND a.lo >= y.level - 3 AND a.hi <= y.level + 3, false) AS tail, y.x >= e.last_loud - 1 AS fade, l.label AS end_label
+ terms AS (SELECT y.*, coalesce(round(a.rel, 9) <= round(y.level - 4, 9), false) AS "natural", coalesce(round(l.rel, 9) <= round(y.level - 3, 9), false) AS dip, coalesce(a.n = 4 AND round(a.lo, 9) >= round(y.level - 3, 9) AND round(a.hi, 9) <= round(y.level + 3, 9), false) AS tail, y.x >= e.last_loud - 1 AS fade, l.label AS end_label
  FROM body y JOIN ends e ON e.series = y.series LEFT JOIN after a ON a.series = y.series AND a.j = y.j AND a.x = y.x LEFT JOIN bars l ON l.series = y.series AND l.bar = y.x - 1)"""
 SECTION_SQL = f"""WITH {BARS}, asked AS (SELECT series, bar AS j, until AS x FROM starts), {TERMS}
- SELECT s.series, s.bar, s.label, s.until, round(t.level, 6) AS level, t.level <= -4 OR t.low <= -15 AS vetoed, t."natural", t.dip, t.tail, round(t.lull, 6) AS lull, t.fade FROM starts s JOIN terms t ON t.series = s.series AND t.j = s.bar"""
+ SELECT s.series, s.bar, s.label, s.until, round(t.level, 8) AS level, round(t.level, 9) <= -4 OR round(t.low, 9) <= -15 AS vetoed, t."natural", t.dip, t.tail, round(t.lull, 6) AS lull, t.fade FROM starts s JOIN terms t ON t.series = s.series AND t.j = s.bar"""
 H = signals.H
-SCORES = f"""{BARS}, sec AS (SELECT s.series, s.bar, s.label, avg(b.rel) <= -4 OR avg(b.low) <= -15 AS vetoed FROM starts s JOIN bars b ON b.series = s.series AND b.bar >= s.bar AND b.bar < s.until GROUP BY 1, 2, 3),
+SCORES = f"""{BARS}, sec AS (SELECT s.series, s.bar, s.label, round(avg(b.rel), 9) <= -4 OR round(avg(b.low), 9) <= -15 AS vetoed FROM starts s JOIN bars b ON b.series = s.series AND b.bar >= s.bar AND b.bar < s.until GROUP BY 1, 2, 3),
  asked AS (SELECT c.series, c.bar AS j, c.bar + n AS x, c.label, n, st.bar IS NOT NULL AS bound FROM sec c JOIN ends e ON e.series = c.series CROSS JOIN (VALUES (16), (24), (32)) v(n) LEFT JOIN starts st ON st.series = c.series AND st.bar = c.bar + n WHERE NOT c.vetoed AND c.bar + n <= e.nb AND c.bar + n < e.last_loud AND (st.bar IS NOT NULL OR (c.bar + n) % 8 = 0)),
  {TERMS},
  step AS (SELECT q.series, q.j, coalesce(avg(b.rel) FILTER (b.bar >= q.j) - avg(b.rel) FILTER (b.bar < q.j), 0.0) AS contrast, coalesce(avg(b.low) FILTER (b.bar >= q.j) - avg(b.low) FILTER (b.bar < q.j), 0.0) AS low_jump FROM (SELECT DISTINCT series, j FROM asked) q JOIN bars b ON b.series = q.series AND b.bar >= q.j - 4 AND b.bar < q.j + 2 GROUP BY 1, 2),
- prior AS (SELECT q.series, q.j, q.x, q.n, q.bound, CASE q.label {' '.join(f"WHEN '{k}' THEN {v}" for k, v in signals.PRIOR.items())} ELSE 0.3 END AS p, q.label IN ('chorus', 'inst', 'solo') AND s.contrast >= 3 AND s.low_jump >= 6 AS is_drop, s.contrast, s.low_jump FROM asked q JOIN step s ON s.series = q.series AND s.j = q.j),
+ prior AS (SELECT q.series, q.j, q.x, q.n, q.bound, CASE q.label {' '.join(f"WHEN '{k}' THEN {v}" for k, v in signals.PRIOR.items())} ELSE 0.3 END AS p, q.label IN ('chorus', 'inst', 'solo') AND round(s.contrast, 9) >= 3 AND round(s.low_jump, 9) >= 6 AS is_drop, s.contrast, s.low_jump FROM asked q JOIN step s ON s.series = q.series AND s.j = q.j),
  scores AS (SELECT p.series, p.j AS bar, p.x AS until, round(CASE WHEN p.is_drop THEN greatest(p.p, 0.95) ELSE p.p END + {H['level']} * t.level + {H['contrast']} * least(p.contrast, 10.0) + CASE WHEN t."natural" OR t.tail THEN {H['exit']} ELSE 0 END + CASE WHEN p.j % 8 = 0 THEN {H['on_grid']} ELSE 0 END + {H['lull']} * t.lull
- + CASE WHEN t.fade THEN {H['ends_in_fade']} ELSE 0 END + CASE WHEN p.j * 2.0 < 20 THEN {H['early']} ELSE 0 END + {H['dur']} * abs(p.n * 2.0 - 50) + {H['verse_bar']} * t.verse_bars + CASE WHEN p.bound AND t.end_label IN ('chorus', 'inst', 'solo') THEN {H['section_end']} ELSE 0 END, 6) AS score, round(p.contrast, 6) AS contrast, round(p.low_jump, 6) AS low_jump
+ + CASE WHEN t.fade THEN {H['ends_in_fade']} ELSE 0 END + CASE WHEN p.j * 2.0 < 20 THEN {H['early']} ELSE 0 END + {H['dur']} * abs(p.n * 2.0 - 50) + {H['verse_bar']} * t.verse_bars + CASE WHEN p.bound AND t.end_label IN ('chorus', 'inst', 'solo') THEN {H['section_end']} ELSE 0 END, 4) AS score, round(p.contrast, 8) AS contrast, round(p.low_jump, 8) AS low_jump
  FROM prior p JOIN terms t ON t.series = p.series AND t.j = p.j AND t.x = p.x)"""
 SCORE_SQL = f"WITH {SCORES} SELECT *, row_number() OVER (PARTITION BY series ORDER BY score DESC, bar, until) AS place FROM scores"
 LANDING_SQL = f"""WITH {SCORES}, best AS (SELECT series, bar, max(score) AS score, max(contrast) >= 2 OR max(low_jump) >= 6 AS arrival, bar % 9 = 5 AS onset FROM scores GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY score DESC, bar) AS place FROM best),
