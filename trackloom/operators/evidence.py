@@ -71,9 +71,16 @@ def event_interval(files: DataFrame, events: DataFrame, slack_s: int = 1) -> Dat
     return both.where((gap >= -slack_s * 1_000_000) & (gap <= 172_800_000_000)).groupBy("key", "file_id").agg(F.count("*").alias("events"), F.min("event_id").alias("first_event"))
 
 
-def exclusion_overlap(phases: DataFrame, excluded: DataFrame) -> DataFrame:
-    """Phases that overlap an excluded interval of their key, half-open, and how many: an interval join behind an equi join."""
-    both = phases.join(excluded, "key").where("start < ex_end and ex_start < end")
+def exclusion_overlap(phases: DataFrame, excluded: DataFrame, bucket_s: int = 6 * 3600) -> DataFrame:
+    """Phases that overlap an excluded interval of their key, half-open, and how many.
+
+    Intervals meet in buckets of time that both touch, and a pair counts in the bucket of its later start; so a key's rows
+    meet those near them, not all of the key's.
+    """
+    of = lambda c: F.floor(keys.micros(c) / (bucket_s * 1_000_000))
+    mine = phases.withColumn("bucket", F.explode(F.sequence(of("start"), of("end"))))
+    theirs = excluded.withColumn("bucket", F.explode(F.sequence(of("ex_start"), of("ex_end"))))
+    both = mine.join(theirs, ["key", "bucket"]).where("start < ex_end and ex_start < end").where(F.col("bucket") == of(F.greatest("start", "ex_start")))
     return both.groupBy("key", "phase").agg(F.count("*").alias("overlaps"))
 
 
@@ -151,12 +158,12 @@ def conflict_files(songs: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def zero_shot(vectors: DataFrame, prompts: DataFrame, scale: float = 10.0) -> DataFrame:
-    """The prompt with the largest share of a scaled softmax over cosines; prompts are a stated small set, met through a constant key."""
-    from trackloom.operators.features import dot, unit
+    """The prompt with the largest share of a scaled softmax over cosines; prompts are a stated set, met by broadcast or in blocks."""
+    from trackloom.operators.features import against, dot, unit
 
-    ask = prompts.select(F.col("vec_id").alias("prompt"), unit(F.col("embedding")).alias("p"), F.explode(F.array(*(F.lit(b) for b in range(8)))).alias("block"))
-    mine = vectors.select("vec_id", unit(F.col("embedding")).alias("u"), F.pmod(F.xxhash64("vec_id"), F.lit(8)).cast("int").alias("block"))
-    rows = mine.join(ask, "block").select("vec_id", "prompt", F.exp(scale * dot(F.col("u"), F.col("p"))).alias("e"))
+    ask = prompts.select(F.col("vec_id").alias("prompt"), unit(F.col("embedding")).alias("p"))
+    mine = vectors.select("vec_id", unit(F.col("embedding")).alias("u"))
+    rows = against(mine, ask).select("vec_id", "prompt", F.exp(scale * dot(F.col("u"), F.col("p"))).alias("e"))
     out = rows.groupBy("vec_id").agg(F.max_by("prompt", F.struct("e", "prompt")).alias("prompt"), F.max("e").alias("top"), F.sum("e").alias("all"))
     return out.select("vec_id", "prompt", F.round(F.col("top") / F.col("all"), 6).alias("share"))
 

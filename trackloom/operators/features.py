@@ -34,15 +34,38 @@ def energy_tiers(scores: DataFrame, id_: str, by: str, top: float = 0.25, middle
     return scores.select(by, id_, F.when(r <= a, "peak").when(r <= a + b, "middle").otherwise("rest").alias("tier"))
 
 
-def pair_cost(items: DataFrame, block: str) -> DataFrame:
+#: Rows of a block that one task orders, or of a stated set that one broadcast holds; beyond that they are dealt into parts.
+BLOCK_ROWS = 4096
+
+
+def dealt(items: DataFrame, block: str, id_: str) -> DataFrame:
+    """``items`` with ``part``: 0 in blocks of at most BLOCK_ROWS rows, else one of as many parts as hold about that, by a hash of the id."""
+    parts = items.groupBy(block).agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("parts"))
+    return items.join(parts, block).withColumn("part", F.pmod(F.xxhash64(id_), F.col("parts"))).drop("parts")
+
+
+def against(rows: DataFrame, stated: DataFrame) -> DataFrame:
+    """Every row of ``rows`` with every row of a ``stated`` set: by broadcast while the set has at most BLOCK_ROWS rows, else in
+    blocks of about that many."""
+    n = stated.count()
+    parts = max(1, -(-n // BLOCK_ROWS))
+    own = stated.withColumn("part", F.pmod(F.xxhash64(*stated.columns[:1]), F.lit(parts)))
+    mine = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    return mine.join(F.broadcast(own) if parts == 1 else own, "part").drop("part")
+
+
+def pair_cost(items: DataFrame, block: str, reach: int = 16) -> DataFrame:
     """Cost of going from one item of a block to another: tempo, step of energy, same name, key distance.
 
-    Pairs are made within a block only, by an equi join on it.
+    Each item meets the ``reach`` next ones of its block in order of tempo, both ways: rows grow with the items, not with
+    their pairs.
     """
-    a = items.select(block, F.col("song_id").alias("a"), F.col("tempo").alias("ta"), F.col("energy").alias("ea"), F.col("name").alias("na"), F.col("camelot").alias("ca"))
-    b = items.select(block, F.col("song_id").alias("b"), F.col("tempo").alias("tb"), F.col("energy").alias("eb"), F.col("name").alias("nb"), F.col("camelot").alias("cb"))
-    cost = 10 * F.abs(F.log2(F.col("tb") / F.col("ta"))) + 2 * F.abs(F.col("eb") - F.col("ea")) + F.when(F.col("na") == F.col("nb"), 3.0).otherwise(0.0) + 0.5 * keys.camelot_distance(F.col("ca"), F.col("cb"))
-    return a.join(b, block).where("a <> b").select(block, "a", "b", F.round(cost, 6).alias("cost"))
+    fields = ["song_id", "tempo", "energy", "name", "camelot"]
+    after = Window.partitionBy(block, "part").orderBy("tempo", "song_id").rowsBetween(1, reach)
+    near = dealt(items, block, "song_id").select(block, F.struct(*fields).alias("x"), F.collect_list(F.struct(*fields)).over(after).alias("next")).select(block, "x", F.explode("next").alias("y"))
+    both = near.select(block, F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("y").alias("a"), F.col("x").alias("b")))).alias("p")).select(block, "p.*")
+    cost = 10 * F.abs(F.log2(F.col("b.tempo") / F.col("a.tempo"))) + 2 * F.abs(F.col("b.energy") - F.col("a.energy")) + F.when(F.col("a.name") == F.col("b.name"), 3.0).otherwise(0.0) + 0.5 * keys.camelot_distance(F.col("a.camelot"), F.col("b.camelot"))
+    return both.select(block, F.col("a.song_id").alias("a"), F.col("b.song_id").alias("b"), F.round(cost, 6).alias("cost"))
 
 
 def top_candidates(costs: DataFrame, k: int = 3) -> DataFrame:
@@ -102,13 +125,9 @@ def unit(v: Column) -> Column:
 
 
 def knn_vote(vectors: DataFrame, labelled: DataFrame, k: int = KNN) -> DataFrame:
-    """The label with the largest summed similarity among the k nearest labelled vectors.
-
-    The labelled set is a stated query set; it meets the vectors in a join on a constant block number, block by block.
-    """
-    own = labelled.select(F.col("vec_id").alias("near"), "label", unit(F.col("embedding")).alias("v"), F.explode(F.array(*(F.lit(b) for b in range(8)))).alias("block"))
-    mine = vectors.select("vec_id", unit(F.col("embedding")).alias("u"), F.pmod(F.xxhash64("vec_id"), F.lit(8)).cast("int").alias("block"))
-    sims = mine.join(own, "block").where("vec_id <> near").select("vec_id", "near", "label", dot(F.col("u"), F.col("v")).alias("sim"))
+    """The label with the largest summed similarity among the k nearest vectors of the stated, ``labelled`` set."""
+    own = labelled.select(F.col("vec_id").alias("near"), "label", unit(F.col("embedding")).alias("v"))
+    sims = against(vectors.select("vec_id", unit(F.col("embedding")).alias("u")), own).where("vec_id <> near").select("vec_id", "near", "label", dot(F.col("u"), F.col("v")).alias("sim"))
     r = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("sim"), "near"))
     votes = sims.withColumn("r", r).where(F.col("r") <= k).groupBy("vec_id", "label").agg(F.sum("sim").alias("votes"))
     return votes.groupBy("vec_id").agg(F.max_by("label", F.struct("votes", "label")).alias("label"))
@@ -121,35 +140,52 @@ def pool(vectors: DataFrame, by: str) -> DataFrame:
     return parts.join(norm, by).select(by, "place", F.round(F.col("x") / F.col("norm"), 6).alias("x"))
 
 
-def greedy_sequence(costs: DataFrame, block: str) -> DataFrame:
-    """For every block at once a running order: nearest neighbour from the smallest id, then improved by 2-opt.
+def greedy_sequence(items: DataFrame, block: str, most: int = 64) -> DataFrame:
+    """(block, place, song_id): a running order of each block.
 
-    Costs come from Spark; the search is sequential by nature and runs on one bounded block a group.
+    Blocks are cut in order of tempo into stretches of at most ``most`` items. A stretch is ordered from its slowest item by
+    nearest neighbour, then improved by turning pieces round (2-opt) and moving single items (or-opt) until nothing gains.
+    A task holds one stretch at a time, so what it holds is bounded by ``most``; stretches follow each other in the block.
     """
+    w = Window.partitionBy(block, "part").orderBy("tempo", "song_id")
+    rows = dealt(items, block, "song_id").withColumn("stretch", F.floor((F.row_number().over(w) - 1) / most))
 
     def order(pdf):
         import numpy as np
         import pandas as pd
 
-        ids = sorted(set(pdf.a) | set(pdf.b))
-        at = {v: k for k, v in enumerate(ids)}
-        c = np.full((len(ids), len(ids)), 1e9)
-        c[pdf.a.map(at), pdf.b.map(at)] = pdf.cost
-        path, left = [0], set(range(1, len(ids)))
+        pdf = pdf.sort_values(["tempo", "song_id"])
+        log, energy, wheel, letter = np.log2(pdf.tempo.to_numpy(float)), pdf.energy.to_numpy(float), pdf.wheel.to_numpy(), pdf.letter.to_numpy()
+        turn = np.abs(wheel[:, None] - wheel)
+        c = 10 * np.abs(log[:, None] - log) + 2 * np.abs(energy[:, None] - energy) + 0.5 * (np.minimum(turn, 12 - turn) + (letter[:, None] != letter))
+        n = len(pdf)
+        path, left = [0], set(range(1, n))
         while left:
-            nxt = min(left, key=lambda j: (c[path[-1], j], j))
-            path.append(nxt)
-            left.remove(nxt)
-        total = lambda p: sum(c[x, y] for x, y in zip(p, p[1:]))
-        best, better = total(path), True
+            path.append(min(left, key=lambda j: (c[path[-1], j], j)))
+            left.remove(path[-1])
+        cost = lambda *steps: sum(c[x, y] for x, y in zip(steps, steps[1:]) if x is not None and y is not None)
+        at = lambda k: path[k] if 0 <= k < n else None
+        better = True
         while better:
             better = False
-            for i in range(1, len(path) - 1):
-                for j in range(i + 1, min(len(path), i + 40)):
-                    new = path[:i] + path[i : j + 1][::-1] + path[j + 1 :]
-                    if total(new) < best - 1e-9:
-                        path, best, better = new, total(new), True
-        return pd.DataFrame({block: pdf[block].iloc[0], "place": range(1, len(path) + 1), "song_id": [ids[k] for k in path]})
-
-    kind = dict(costs.dtypes)[block]
-    return costs.groupBy(block).applyInPandas(order, f"{block} {kind}, place int, song_id long")
+            for i in range(1, n - 1):  # costs are the same both ways, so turning a piece changes its two edges only
+                for j in range(i + 1, n):
+                    if cost(at(i - 1), path[j]) + cost(path[i], at(j + 1)) < cost(at(i - 1), path[i]) + cost(path[j], at(j + 1)) - 1e-9:
+                        path[i : j + 1] = path[i : j + 1][::-1]
+                        better = True
+            for i in range(1, n):
+                x = path.pop(i)
+                gain = cost(at(i - 1), x) + cost(x, path[i] if i < n - 1 else None) - cost(at(i - 1), path[i] if i < n - 1 else None)
+                adds = [cost(path[k - 1], x) + cost(x, path[k] if k < n - 1 else None) - cost(path[k - 1], path[k] if k < n - 1 else None) for k in range(1, n)]
+                k = int(np.argmin(adds)) + 1
+                path.insert(k if adds[k - 1] < gain - 1e-9 else i, x)
+                better = better or adds[k - 1] < gain - 1e-9
+        first = int(pdf.stretch.iloc[0]) * most
+        return pd.DataFrame({block: pdf[block].iloc[0], "part": pdf.part.iloc[0], "place": range(first + 1, first + n + 1), "song_id": pdf.song_id.to_numpy()[path]})
+
+    kind = dict(items.dtypes)[block]
+    rows = rows.select(block, "part", "stretch", "song_id", "tempo", "energy", F.regexp_extract("camelot", r"^(\d+)", 1).cast("int").alias("wheel"), F.right("camelot", F.lit(1)).alias("letter"))
+    done = rows.groupBy(block, "part", "stretch").applyInPandas(order, f"{block} {kind}, part long, place int, song_id long")
+    ends = done.groupBy(block, "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(block).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return done.join(ends.select(block, "part", before.alias("before")), [block, "part"]).select(block, (F.col("place") + F.col("before")).cast("int").alias("place"), "song_id")

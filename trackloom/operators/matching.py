@@ -38,12 +38,15 @@ def keep_rejected(rejections: DataFrame, most: int = 128) -> DataFrame:
 
 
 def nearest_variant(files: DataFrame, songs: DataFrame) -> DataFrame:
-    """For each file and the songs of its artist and name: a length that fits, else the nearest; the state and the gap."""
-    named = files.join(songs.select("song_id", "artist", "name"), "song_id").select("path", "artist", "name", "seconds")
-    pair = named.join(songs.where("expected_ms is not null").select("artist", "name", F.col("song_id").alias("variant"), "expected_ms"), ["artist", "name"])
-    pair = pair.where("seconds > 0").select("path", "variant", F.round(F.abs(F.col("seconds") - F.col("expected_ms") / 1000), 6).alias("gap"), (keys.length_reason(F.col("expected_ms"), F.col("seconds")) == "match").alias("ok"))
+    """For each file and the songs of its artist and name: a length that fits, else the nearest; the state and the gap.
+
+    Songs of one name and length are one variant with the smallest id, so a file meets its name's lengths, not its songs.
+    """
+    named = files.where("seconds > 0").join(songs.select("song_id", "artist", "name"), "song_id").select("path", "artist", "name", "seconds")
+    lengths = songs.where("expected_ms is not null").groupBy("artist", "name", "expected_ms").agg(F.min("song_id").alias("variant"), F.count("*").alias("songs"))
+    pair = named.join(lengths, ["artist", "name"]).select("path", "variant", "songs", F.round(F.abs(F.col("seconds") - F.col("expected_ms") / 1000), 6).alias("gap"), (keys.length_reason(F.col("expected_ms"), F.col("seconds")) == "match").alias("ok"))
     best = F.min_by(F.struct("variant", "ok", "gap"), F.struct(~F.col("ok"), F.col("gap"), F.col("variant")))
-    return pair.groupBy("path").agg(best.alias("b"), F.count("*").alias("variants")).select("path", "variants", "b.variant", "b.gap", F.when(F.col("b.ok"), "match").otherwise("mismatch").alias("state"))
+    return pair.groupBy("path").agg(best.alias("b"), F.sum("songs").alias("variants")).select("path", "variants", "b.variant", "b.gap", F.when(F.col("b.ok"), "match").otherwise("mismatch").alias("state"))
 
 
 def occurrence_states(occurrences: DataFrame, files: DataFrame) -> DataFrame:

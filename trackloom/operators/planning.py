@@ -128,12 +128,12 @@ def curve_bins(events: DataFrame, bin_min: int = 720) -> DataFrame:
 
 def kernel_regression(vectors: DataFrame, labelled: DataFrame, width: float = 0.2) -> DataFrame:
     """Mean label weighted by exp(-distance / width) over labelled vectors (a stated query set, in blocks)."""
-    from trackloom.operators.features import dot, unit
+    from trackloom.operators.features import against, dot, unit
 
-    own = labelled.select("label", unit(F.col("embedding")).alias("v"), F.explode(F.array(*(F.lit(b) for b in range(8)))).alias("block"))
-    mine = vectors.select("vec_id", unit(F.col("embedding")).alias("u"), F.pmod(F.xxhash64("vec_id"), F.lit(8)).cast("int").alias("block"))
+    own = labelled.select("vec_id", "label", unit(F.col("embedding")).alias("v")).withColumnRenamed("vec_id", "near")
+    mine = vectors.select("vec_id", unit(F.col("embedding")).alias("u"))
     w = F.exp(-(1 - dot(F.col("u"), F.col("v"))) / width)
-    sums = mine.join(own, "block").groupBy("vec_id").agg(F.sum(w * F.col("label")).alias("a"), F.sum(w).alias("b"))
+    sums = against(mine, own).groupBy("vec_id").agg(F.sum(w * F.col("label")).alias("a"), F.sum(w).alias("b"))
     return sums.select("vec_id", F.round(F.col("a") / F.col("b"), 6).alias("value"))
 
 

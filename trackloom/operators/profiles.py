@@ -6,23 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import keys
-from trackloom.operators.features import dot, unit
+from trackloom.operators.features import against, dealt, dot, unit
 
 # Weights of the cost of one item after another, the bridge's tolerance, slot limits.
 COST = {"tempo": 25.0, "step": 4.0, "step_free": 0.15, "key": 0.3, "bucket": 1.0, "timbre": 0.3, "same_artist": 5.0, "house_down": 0.5, "house_down_bpm": 1.0}
 BRIDGE_TOLERANCE, LEVEL = 0.06, 0.25
-#: Rows of one block that a task orders at once; larger blocks are dealt by a hash of the id.
-BLOCK_ROWS = 4096
 #: Distances are counted by this many steps to one.
 STEPS = 10_000
 
 
-def _dealt(items: DataFrame, block: str, id_: str) -> DataFrame:
-    """``items`` with ``part``: 0 in blocks of at most BLOCK_ROWS rows, else one of as many parts as hold about that."""
-    parts = items.groupBy(block).agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("parts"))
-    return items.join(parts, block).withColumn("part", F.pmod(F.xxhash64(id_), F.col("parts"))).drop("parts")
-
-
 def pair_cost_block(items: DataFrame, reach: int = 8) -> DataFrame:
     """(block, a, b, cost) of each item and the ``reach`` next ones of its block in order of tempo, both ways.
 
@@ -30,7 +22,7 @@ def pair_cost_block(items: DataFrame, reach: int = 8) -> DataFrame:
     back. ``items``: (song_id, block, tempo, energy, artist, bucket, camelot, timbre, harmonic). An unknown timbre counts as
     one typical distance; a key counts only where the second item starts on a harmony; going down in tempo costs in house.
     """
-    rows = _dealt(items, "block", "song_id")
+    rows = dealt(items, "block", "song_id")
     fields = ["song_id", "tempo", "energy", "artist", "bucket", "camelot", "timbre", "harmonic"]
     after = Window.partitionBy("block", "part").orderBy("tempo", "song_id").rowsBetween(1, reach)
     near = rows.select("block", F.struct(*fields).alias("x"), F.collect_list(F.struct(*fields)).over(after).alias("next")).select("block", "x", F.explode("next").alias("y"))
@@ -72,15 +64,11 @@ def query_distances(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """(a, b, distance) of every row of ``queries`` and every other row of ``vectors`` (vec_id, embedding), a pair of two
     queries once. Distances in steps of 1 / STEPS, so that they can be counted.
 
-    The queries are a stated set; they go to the tasks by broadcast while there are at most BLOCK_ROWS of them, else both
-    sides are dealt over blocks.
+    The queries are a stated set, met by broadcast or in blocks.
     """
-    n = queries.count()
-    parts = max(1, -(-n // BLOCK_ROWS))
-    own = queries.select(F.col("vec_id").alias("a"), unit(F.col("embedding")).alias("u"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias("part"))
-    rest = vectors.select(F.col("vec_id").alias("b"), unit(F.col("embedding")).alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+    own = queries.select(F.col("vec_id").alias("a"), unit(F.col("embedding")).alias("u"))
     known = queries.select(F.col("vec_id").alias("b"), F.lit(True).alias("is_query"))
-    met = rest.join(F.broadcast(known) if parts == 1 else known, "b", "left").join(F.broadcast(own) if parts == 1 else own, "part")
+    met = against(vectors.select(F.col("vec_id").alias("b"), unit(F.col("embedding")).alias("v")).join(known, "b", "left"), own)
     met = met.where((F.col("a") != F.col("b")) & (F.col("is_query").isNull() | (F.col("a") < F.col("b"))))
     return met.select("a", "b", F.round((1 - dot(F.col("u"), F.col("v"))) * STEPS).cast("long").alias("distance"))
 

@@ -27,34 +27,28 @@ STATES = f"states AS (SELECT o.playlist_id, o.seq, o.song_id, f.dev, f.ino, f.pa
 FILE_STATE = "file_state AS (SELECT dev, ino, count(*) AS uses, max(size) AS size, CASE WHEN bool_or(state = 'probable-bad-duration') THEN 'probable-bad-duration' WHEN bool_or(state = 'missing-source-metadata') THEN 'missing-source-metadata' ELSE 'length-match' END AS state FROM states GROUP BY 1, 2)"
 BARS = "bars AS (SELECT playlist_id, seq AS bar, -100 * discount AS rel_db, quantity AS level FROM occurrence)"
 ITEMS = f"items AS (SELECT p_partkey AS song_id, p_brand AS artist, p_name AS name, {FOLD.format(x='(p_retailprice / 10)')} AS tempo, p_size / 50.0 AS energy, p_partkey % 12 + 1 AS wheel, p_partkey % 2 AS letter FROM part)"
-COSTS = f"{ITEMS}, costs AS (SELECT a.artist, a.song_id AS a, b.song_id AS b, round(10 * abs(log2(b.tempo / a.tempo)) + 2 * abs(b.energy - a.energy) + CASE WHEN a.name = b.name THEN 3.0 ELSE 0.0 END + 0.5 * (least(abs(a.wheel - b.wheel), 12 - abs(a.wheel - b.wheel)) + CASE WHEN a.letter <> b.letter THEN 1 ELSE 0 END), 6) AS cost FROM items a JOIN items b ON a.artist = b.artist AND a.song_id <> b.song_id)"
+COSTS = f"{ITEMS}, near AS (SELECT *, row_number() OVER (PARTITION BY artist ORDER BY tempo, song_id) AS place FROM items), costs AS (SELECT a.artist, a.song_id AS a, b.song_id AS b, round(10 * abs(log2(b.tempo / a.tempo)) + 2 * abs(b.energy - a.energy) + CASE WHEN a.name = b.name THEN 3.0 ELSE 0.0 END + 0.5 * (least(abs(a.wheel - b.wheel), 12 - abs(a.wheel - b.wheel)) + CASE WHEN a.letter <> b.letter THEN 1 ELSE 0 END), 6) AS cost FROM near a JOIN near b ON a.artist = b.artist AND a.place <> b.place AND abs(a.place - b.place) <= 16)"
 FLAGS = "array_to_string(list_filter([{e}], lambda e: contains(concat(' ', regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), concat(' ', e, ' '))), ',')".format(e=", ".join(f"'{e}'" for e in keys.EDITIONS))
 UNIT = "SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v FROM embeddings"
 OLD = "SELECT * FROM event WHERE event_id % 2 = 0"
 NEW = "SELECT * FROM event WHERE event_id % 3 = 0"
 
 _SQL = {
-    "src_playlist_explode": "SELECT o.playlist_id, o.song_id, o.n, o.seq, s.artist, s.name FROM occurrence o JOIN playlist p ON p.playlist_id = o.playlist_id JOIN song s ON s.song_id = o.song_id WHERE NOT p.skipped AND s.artist <> '' AND s.name <> ''",
-    "src_event_log": "SELECT event_id, \"key\", type, k FROM event WHERE k IS NOT NULL AND type IS NOT NULL",
     "src_event_union": f"WITH a AS ({OLD}), b AS ({NEW}) SELECT event_id, \"key\", replace(type, 'search_ok', 'download_start') AS type, 'a' AS source FROM a WHERE type IN ('mp3_verified', 'download_start', 'search_ok') UNION ALL SELECT event_id, \"key\", replace(type, 'search_ok', 'download_start'), 'b' FROM b WHERE type IN ('mp3_verified', 'download_start', 'search_ok')",
-    "src_file_manifest": "SELECT dev, ino, string_agg(path, ',' ORDER BY path) AS paths, max(size) AS size, count(*) AS names FROM file GROUP BY 1, 2",
+    "src_file_manifest": "SELECT folder // 2 AS dev, song_id AS ino, string_agg(path, ',' ORDER BY path) AS paths, max(size) AS size, count(*) AS names FROM file GROUP BY 1, 2",
     "snk_upsert_journal": f"WITH a AS ({OLD}), b AS ({NEW}), was AS (SELECT \"key\", arg_max(type, (t, event_id)) AS state, max(event_id) AS event_id FROM a GROUP BY 1), now AS (SELECT \"key\", type AS state, event_id, row_number() OVER (PARTITION BY \"key\" ORDER BY t DESC, event_id DESC) AS r FROM b) SELECT \"key\", state, event_id FROM now WHERE r = 1 UNION ALL SELECT * FROM was WHERE \"key\" NOT IN (SELECT \"key\" FROM now)",
     "snk_reconcile_rows": "SELECT playlist_id, 4 AS status, skipped FROM playlist WHERE rank % 5 = 0 AND status <> 4",
-    "snk_export_csv": "SELECT doc_id, md5(CASE WHEN left(text, 1) IN ('=', '+', '-', '@') THEN concat('''', text) ELSE text END) AS cell_md5 FROM documents",
-    "snk_export_manifest": "SELECT lang, count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS bytes, min(sha256(text)) AS least_sha256, count(*) FILTER (contains(text, 'token = ')) AS private FROM documents GROUP BY 1",
     "snk_playlist_text": f"SELECT playlist_id, md5(string_agg(concat(CAST(floor(coalesce(expected_ms, 0) / 1000.0 + 0.5) AS BIGINT), ',', name), chr(10) ORDER BY seq)) AS body_md5 FROM ({SONGS_IN}) GROUP BY 1",
     "fn_file_base": f"SELECT doc_id, md5({BASE.format(a='source', n='substr(text, 1, 60)')}) AS base_md5 FROM documents",
     "fn_source_key": f"SELECT song_id, CASE WHEN song_id % 2 = 0 THEN concat('spotify:', lpad(CAST(song_id AS VARCHAR), 22, '0')) ELSE {KEY} END AS source_key FROM song",
     "fn_base_title": "SELECT song_id, name AS title FROM song",
     "fn_primary_artist": "SELECT song_id, artist FROM song",
-    "fn_edition_flags": f"SELECT doc_id, CAST(length(nullif(substr(trim(regexp_replace(text, '[\\x00-\\x1f\\x7f]', ' ', 'g')), 1, 500), '')) AS INTEGER) AS public_chars, {FLAGS} AS editions FROM documents",
     "fn_length_match": f"SELECT song_id, place, {reason()} AS reason, round(CASE WHEN expected_ms > 0 THEN {tol()} END, 6) AS tolerance FROM candidate",
     "fn_fold_tempo": f"SELECT p_partkey AS song_id, round({FOLD.format(x='(p_retailprice / 10)')}, 6) AS tempo FROM part",
     "fn_ordered_hash": "SELECT playlist_id, count(*) AS items, sha256(concat('[', string_agg(CAST(song_id AS VARCHAR), ',' ORDER BY seq), ']')) AS hash FROM occurrence GROUP BY 1",
     "agg_catalog_dedup": f"WITH r AS (SELECT *, {KEY} AS song_key FROM ({SONGS_IN})), f AS (SELECT song_key, arg_min(expected_ms, (playlist_id, seq)) FILTER (expected_ms > 0) AS d FROM r GROUP BY 1) SELECT r.song_key, count(DISTINCT song_id) AS ids, count(*) AS occurrences, count(DISTINCT playlist_id) AS playlists, max(d) AS duration_ms, coalesce(bool_or(abs(expected_ms - d) > 5000), false) AS conflict FROM r JOIN f ON f.song_key = r.song_key GROUP BY 1",
     "agg_playlist_coverage": f"WITH m AS (SELECT o.playlist_id, coalesce({reason('f.expected_ms', 'f.seconds')} = 'match', false) AS ok FROM occurrence o JOIN playlist p ON p.playlist_id = o.playlist_id AND NOT p.skipped JOIN song s ON s.song_id = o.song_id LEFT JOIN file f ON f.folder = o.folder AND f.song_id = o.song_id) SELECT playlist_id, count(*) AS total, count(*) FILTER (ok) AS on_disk, CAST(floor(100.0 * count(*) FILTER (ok) / count(*) + 0.5) AS BIGINT) AS percent, count(*) = count(*) FILTER (ok) AS done FROM m GROUP BY ROLLUP (playlist_id)",
     "agg_catalog_summary": "SELECT count(*) AS total, count(*) FILTER (status = 4) AS saved, count(*) FILTER (status = 5) AS failed, count(*) FILTER (status = 0) AS remaining, count(*) FILTER (status = 0 AND NOT skipped) AS ready, count(*) FILTER (skipped) AS skipped FROM playlist",
-    "agg_key_collisions": f"SELECT {KEY} AS song_key, count(*) AS songs, count(DISTINCT name) AS spellings, count(expected_ms) AS known, min(expected_ms) AS least_ms, max(expected_ms) AS most_ms FROM song GROUP BY 1 HAVING count(*) > 1",
     "agg_disjoint_windows": f"SELECT artist, name, count(*) AS known, round(max(expected_ms / 1000.0 - {tol()}), 6) AS max_lower, round(min(expected_ms / 1000.0 + {tol()}), 6) AS min_upper FROM song WHERE expected_ms > 0 GROUP BY 1, 2 HAVING count(*) >= 2 AND max(expected_ms / 1000.0 - {tol()}) > min(expected_ms / 1000.0 + {tol()})",
     "agg_status_counts": "SELECT status, count(*) AS n, count(DISTINCT name) AS names FROM playlist GROUP BY 1",
     "agg_best_status": "SELECT name, status, playlist_id FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY status DESC, playlist_id) AS r FROM playlist) WHERE r = 1",
@@ -62,17 +56,12 @@ _SQL = {
     "agg_source_variants": "SELECT artist, name, count(*) AS variants, count(*) - count(expected_ms) AS unavailable, coalesce(max(expected_ms) - min(expected_ms) > 5000, false) AS ambiguous FROM song GROUP BY 1, 2",
     "agg_resolution_funnel": "WITH p AS (SELECT name, max(CASE status WHEN 4 THEN 2 WHEN 5 THEN 1 ELSE 0 END) AS s FROM playlist GROUP BY 1) SELECT count(*) AS keys, count(*) FILTER (s = 2) AS found, count(*) FILTER (s = 1) AS no_result, count(*) FILTER (s = 0) AS searching, round(count(*) FILTER (s = 2) * 1.0 / nullif(count(*) FILTER (s > 0), 0), 6) AS success FROM p",
     "agg_disk_usage": "SELECT count(*) AS files, CAST(sum(n) AS BIGINT) AS paths, CAST(sum(size) AS BIGINT) AS bytes, round(avg(size), 6) AS mean_bytes FROM (SELECT dev, ino, max(size) AS size, count(*) AS n FROM file GROUP BY 1, 2)",
-    "agg_file_state": f"WITH {STATES}, {FILE_STATE} SELECT * FROM file_state",
-    "agg_full_audit": f"WITH {STATES}, {FILE_STATE} SELECT state, count(*) AS files, CAST(sum(uses) AS BIGINT) AS uses, CAST(sum(size) AS BIGINT) AS bytes FROM file_state GROUP BY 1",
-    "agg_edition_ambiguity": f"WITH {STATES} SELECT dev, ino, CASE WHEN bool_and(state = 'length-match') THEN 'length-match' WHEN bool_and(state = 'probable-bad-duration') THEN 'probable-bad-duration' ELSE 'ambiguous-source-editions' END AS state FROM states GROUP BY 1, 2",
     "agg_audit_unique": f"WITH {STATES}, v AS (SELECT song_id, CASE WHEN bool_or(state = 'probable-bad-duration') THEN 'any-bad' WHEN bool_and(state = 'length-match') THEN 'all-match' ELSE 'unknown' END AS verdict FROM states GROUP BY 1) SELECT verdict, count(*) AS songs FROM v GROUP BY 1",
-    "agg_repair_manifest": f"WITH {STATES} SELECT dev, ino, count(*) AS uses, count(DISTINCT path) AS paths, max(size) AS size FROM states GROUP BY 1, 2 HAVING bool_and(state = 'probable-bad-duration')",
     "agg_media_rollup": f"WITH {STATES}, o AS (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY CASE state WHEN 'length-match' THEN 0 WHEN 'missing-source-metadata' THEN 1 ELSE 2 END, path) AS r, count(*) OVER (PARTITION BY song_id) AS places FROM states) SELECT song_id, state, path, places FROM o WHERE r = 1",
     "agg_energy_score": "WITH z AS (SELECT p_partkey AS song_id, least(3, greatest(-3, (p_size - avg(p_size) OVER ()) / stddev_pop(p_size) OVER ())) + 0.5 * least(3, greatest(-3, (p_retailprice - avg(p_retailprice) OVER ()) / stddev_pop(p_retailprice) OVER ())) AS v FROM part) SELECT song_id, round((v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()), 6) AS energy FROM z",
     "agg_output_audit": "WITH p AS (SELECT CAST(t AS DATE) AS day, \"key\", count(*) AS n FROM event WHERE type = 'mp3_verified' GROUP BY 1, 2) SELECT day, CAST(sum(n) AS BIGINT) AS outputs, count(*) FILTER (n > 1) AS repeated_keys, round(sum(n) / 24 / 3.0, 6) AS multiple FROM p GROUP BY 1",
     "join_candidate_evidence": f"WITH {EVIDENCE} SELECT * FROM evidence",
     "join_candidate_select": f"WITH {EVIDENCE} SELECT song_id, video, place FROM (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY place) AS r FROM evidence WHERE reason = 'match') WHERE r = 1",
-    "join_inspection_pick": f"WITH {EVIDENCE} SELECT song_id, video, pick FROM (SELECT *, CAST(row_number() OVER (PARTITION BY song_id ORDER BY place) AS INTEGER) AS pick FROM evidence WHERE reason = 'missing-candidate' AND song_id NOT IN (SELECT song_id FROM evidence WHERE reason = 'match')) WHERE pick <= 2",
     "join_rejected_anti": f"WITH {EVIDENCE} SELECT song_id, video, place FROM (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY place DESC, video) AS r FROM evidence WHERE reason = 'mismatch') WHERE r <= 3",
     "join_nearest_variant": f"WITH q AS (SELECT f.path, v.song_id AS variant, round(abs(f.seconds - v.expected_ms / 1000.0), 6) AS gap, {reason('v.expected_ms', 'f.seconds')} = 'match' AS ok FROM file f JOIN song s ON s.song_id = f.song_id JOIN song v ON v.artist = s.artist AND v.name = s.name WHERE f.seconds > 0 AND v.expected_ms IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ok DESC, gap, variant) AS place, count(*) OVER (PARTITION BY path) AS variants FROM q) SELECT path, variants, variant, gap, CASE WHEN ok THEN 'match' ELSE 'mismatch' END AS state FROM r WHERE place = 1",
     "join_occurrence_compare": f"WITH {STATES} SELECT playlist_id, seq, state FROM states",
@@ -83,7 +72,6 @@ _SQL = {
     "set_multiset_max": "WITH c AS (SELECT \"key\", greatest(count(*) FILTER (event_id % 2 = 0), count(*) FILTER (event_id % 3 = 0)) AS times FROM event WHERE type = 'block' GROUP BY 1) SELECT \"key\", CAST(unnest(range(1, times + 1)) AS INTEGER) AS copy FROM c",
     "win_trailing_rates": "WITH m AS (SELECT max(t) AS last FROM event), w AS (SELECT unnest([10, 30, 60, 120]) AS minutes) SELECT w.minutes, count(*) FILTER (type = 'download_start') AS starts, count(*) FILTER (type = 'mp3_verified') AS done, count(*) FILTER (type = 'block') AS blocks, round(count(*) FILTER (type = 'mp3_verified') * 1.0 / w.minutes, 6) AS rate FROM w, m, event e WHERE e.t > m.last - to_minutes(w.minutes) GROUP BY w.minutes",
     "win_overall_rate": "SELECT count(*) AS done, round(count(*) / ((epoch_us(max(t)) - epoch_us(min(t))) / 60e6), 6) AS per_minute FROM event WHERE type = 'mp3_verified'",
-    "win_admission_load": "SELECT event_id, \"key\", count(*) OVER w AS load, count(*) OVER w >= 5 AS would_exceed FROM event WHERE type = 'download_start' WINDOW w AS (PARTITION BY \"key\" ORDER BY epoch_us(t) RANGE BETWEEN 599999999 PRECEDING AND CURRENT ROW)",
     "win_trip_episodes": "WITH b AS (SELECT *, coalesce(CAST(epoch_us(t) - lag(epoch_us(t)) OVER w > 43200000000 AS INTEGER), 1) AS new FROM event WHERE type = 'block' WINDOW w AS (PARTITION BY \"key\" ORDER BY t, event_id)), e AS (SELECT *, CAST(sum(new) OVER (PARTITION BY \"key\" ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS episode FROM b) SELECT \"key\", episode, count(*) AS blocks, count(*) > 1 AS repeated FROM e GROUP BY 1, 2",
     "win_phase_benchmark": "WITH c AS (SELECT *, k % 4 AS s1, k % 2 AS s2, 8 * (k % 12) AS s3 FROM event WHERE type = 'pace_change'), d AS (SELECT *, lag((s1, s2, s3)) OVER (PARTITION BY \"key\" ORDER BY t, event_id) AS was FROM c), p AS (SELECT \"key\", t AS start, row_number() OVER (PARTITION BY \"key\" ORDER BY t, event_id) AS phase, lead(t) OVER (PARTITION BY \"key\" ORDER BY t, event_id) AS fin FROM d WHERE was IS NULL OR was <> (s1, s2, s3)) SELECT p.\"key\", CAST(phase AS BIGINT) AS phase, count(*) FILTER (e.type = 'mp3_verified' AND e.t >= p.start AND (fin IS NULL OR e.t < fin)) AS outputs, count(*) FILTER (e.type = 'block' AND e.t > p.start AND (fin IS NULL OR e.t <= fin)) AS trips, round((epoch_us(max(fin)) - epoch_us(max(start))) / 60e6, 6) AS minutes, round(count(*) FILTER (e.type = 'mp3_verified' AND e.t >= p.start AND (fin IS NULL OR e.t < fin)) / ((epoch_us(max(fin)) - epoch_us(max(start))) / 60e6), 6) AS rate FROM p LEFT JOIN event e ON e.\"key\" = p.\"key\" AND e.type IN ('mp3_verified', 'block') GROUP BY 1, 2",
     "win_eta": "WITH c AS (SELECT \"key\", count(*) FILTER (type <> 'mp3_verified') AS remaining, count(*) FILTER (type = 'mp3_verified') / 60.0 AS rate FROM event GROUP BY 1) SELECT \"key\", remaining, round(CASE WHEN rate > 0 THEN remaining / rate / 60 END, 6) AS hours, round(CASE WHEN rate > 0 THEN remaining / rate / 60 * 1.25 END, 6) AS buffered_hours FROM c",
@@ -106,7 +94,6 @@ _SQL = {
     "fn_retry_class": "SELECT doc_id, " + " OR ".join(f"contains(text, '{w}')" for w in planning.TRANSIENT) + " AS transient FROM documents",
     "fn_tempo_match": "WITH o AS (SELECT p_partkey AS song_id, abs(p_size * 40.0 / p_retailprice - 1) * 100 AS one, abs(p_size * 40.0 / (0.5 * p_retailprice) - 1) * 100 AS half, abs(p_size * 40.0 / (2 * p_retailprice) - 1) * 100 AS two FROM part) SELECT song_id, CASE WHEN one <= least(half, two) + 0.5 THEN 1.0 WHEN half <= two THEN 0.5 ELSE 2.0 END AS ratio, round(CASE WHEN one <= least(half, two) + 0.5 THEN one ELSE least(half, two) END, 6) AS stretch FROM o",
     "fn_e_star": "WITH p AS (SELECT * FROM (VALUES (0.0, 0.25, 0.35, 0.55), (0.25, 0.6, 0.55, 0.9), (0.6, 0.85, 0.9, 1.0), (0.85, 1.0, 1.0, 0.7)) v(x0, x1, y0, y1)), n AS (SELECT DISTINCT l_linenumber AS n FROM lineitem) SELECT n, round(CAST(y0 AS DOUBLE) + (n / 7.0 - x0) * (y1 - y0) / (x1 - x0), 6) AS target FROM n JOIN p ON n / 7.0 > x0 AND n / 7.0 <= x1",
-    "fn_request_hash": "SELECT \"key\", sha256(string_agg(DISTINCT type, ',' ORDER BY type)) AS hash FROM event GROUP BY 1",
     "fn_query_variants": "SELECT song_id, concat(artist, ' ', name, '|', artist, ' ', name, ' ', bucket) AS variants FROM song",
     "fn_camelot_distance": "SELECT p_partkey AS song_id, CASE WHEN p_partkey % 5 = 0 THEN 6 ELSE least(abs(p_partkey % 12 - 7), 12 - abs(p_partkey % 12 - 7)) + CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 1 END END AS distance FROM part",
     "flt_playlist_view": "SELECT playlist_id, name FROM playlist WHERE name ILIKE '%#00000001%' AND status <> 4",
@@ -121,7 +108,6 @@ _SQL = {
     "set_removed_work": "SELECT playlist_id, song_id, seq FROM occurrence WHERE song_id IN (SELECT song_id FROM occurrence WHERE quantity < 10) AND song_id NOT IN (SELECT song_id FROM occurrence WHERE quantity > 45)",
     "set_affected_rows": "SELECT playlist_id, song_id, seq FROM occurrence WHERE song_id IN (SELECT song_id FROM occurrence WHERE quantity = 50 AND song_id % 7 = 0)",
     "win_curve_bins": "WITH f AS (SELECT \"key\", CAST(floor(epoch_us(t) / 43200e6) AS BIGINT) AS bin, avg(value) AS mean FROM event GROUP BY 1, 2), s AS (SELECT \"key\", unnest(range(min(bin), max(bin) + 1)) AS bin FROM f GROUP BY 1) SELECT s.\"key\", s.bin, round(mean, 6) AS mean FROM s LEFT JOIN f ON f.\"key\" = s.\"key\" AND f.bin = s.bin",
-    "top_metadata_priority": "SELECT song_id, CASE WHEN coalesce(expected_ms, 0) < 60000 THEN 0 ELSE 1 END AS tier, coalesce(expected_ms, 0) AS ms FROM song ORDER BY tier, ms DESC, song_id LIMIT 100",
     "top_ready_order": "SELECT playlist_id, rank FROM playlist WHERE status = 0 AND NOT skipped ORDER BY last_played DESC, rank, playlist_id LIMIT 50",
     "vec_cosine_distance": f"WITH u AS ({UNIT}) SELECT a.vec_id AS a, b.vec_id AS b, round(1 - list_dot_product(a.v, b.v), 5) AS distance FROM u a JOIN u b ON a.label = b.label WHERE a.vec_id % 100 = 0",
     "vec_kernel_regression": f"WITH u AS ({UNIT}) SELECT a.vec_id, round(sum(exp(-(1 - list_dot_product(a.v, b.v)) / 0.2) * b.label) / sum(exp(-(1 - list_dot_product(a.v, b.v)) / 0.2)), 6) AS value FROM u a, u b WHERE b.vec_id % 100 = 0 GROUP BY 1",
@@ -139,12 +125,9 @@ _SQL = {
     "agg_grid_report": "SELECT l_returnflag AS class, count(*) AS n, round(quantile_cont(l_quantity, 0.1), 6) AS p10, round(quantile_cont(l_quantity, 0.5), 6) AS p50, round(quantile_cont(l_quantity, 0.9), 6) AS p90, " + ", ".join(f"count(*) FILTER (l_quantity >= {a} AND l_quantity < {b}) AS bin_{k}" for k, (a, b) in enumerate([(0, 10), (10, 20), (20, 30), (30, 40), (40, 51)])) + " FROM lineitem GROUP BY 1",
     "win_tempo_refine": "WITH s AS (SELECT \"key\", (lead(epoch_us(t), 8) OVER (PARTITION BY \"key\" ORDER BY t, event_id) - epoch_us(t)) / 1e6 AS s FROM event), m AS (SELECT \"key\", quantile_cont(s, 0.5) AS m FROM s WHERE s > 0 GROUP BY 1) SELECT s.\"key\", count(*) AS spans, round(480.0 / avg(s), 6) AS per_minute FROM s JOIN m ON m.\"key\" = s.\"key\" WHERE s > 0 AND abs(s - m) <= 0.5 * m GROUP BY 1",
     "win_join_profile": f"WITH {BARS}, l AS (SELECT *, max(bar) OVER (PARTITION BY playlist_id) AS last FROM bars) SELECT playlist_id, round(avg(level) FILTER (bar <= 3) - avg(level), 6) AS entry, round(avg(level) FILTER (bar > last - 3) - avg(level), 6) AS \"exit\" FROM l GROUP BY 1",
-    "win_coverage_assert": f"WITH {BARS}, i AS (SELECT playlist_id, bar * 25.0 AS a, bar * 25.0 + level AS z, bar * 25.0 - lag(bar * 25.0 + level) OVER (PARTITION BY playlist_id ORDER BY bar) AS step FROM bars) SELECT playlist_id, count(*) FILTER (step > 0) AS gaps, count(*) FILTER (step < 0) AS overlaps, count(*) FILTER (z <= a) AS empty FROM i GROUP BY 1",
     "set_changed_keys": "SELECT DISTINCT f.song_id FROM file f WHERE (f.dev, f.ino) IN (SELECT (dev, ino) FROM file WHERE folder % 50 = 3)",
     "join_legacy_fallback": "SELECT concat('spotify:', song_id) AS song_key, CASE WHEN song_id % 4 = 0 THEN 'saved' ELSE 'missing' END AS state, CASE WHEN song_id % 4 = 0 THEN 'u' END AS url, song_id % 4 <> 0 AS legacy FROM song WHERE song_id % 4 = 0 OR song_id % 6 = 0",
     "top_labels": "SELECT label, round(avg(CAST(embedding[1] AS DOUBLE)), 6) AS mean, count(*) AS n FROM embeddings GROUP BY 1 ORDER BY mean DESC, label LIMIT 5",
-    "top_playlist_sort": "SELECT playlist_id, CASE status WHEN 0 THEN 0 WHEN 5 THEN 1 ELSE 2 END AS bucket FROM playlist ORDER BY bucket, last_played DESC, playlist_id LIMIT 100",
-    "src_job_table": "SELECT playlist_id, status, CAST(NULL AS VARCHAR) AS error, name FROM playlist",
     "fn_source_id": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN lpad(CAST(page_id AS VARCHAR), 22, 'a') END AS source_id FROM pages",
     "fn_display_name": "SELECT song_id, CASE WHEN song_id % 2 = 0 THEN artist ELSE '' END AS artist, name AS title FROM song",
     "join_queue_prune": "SELECT o.playlist_id, count(f.song_id) AS satisfied, count(*) - count(f.song_id) AS open FROM occurrence o LEFT JOIN (SELECT DISTINCT song_id FROM file WHERE seconds > 300) f ON f.song_id = o.song_id GROUP BY 1",

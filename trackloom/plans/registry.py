@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import keys
 from trackloom.operators import catalog, events, evidence, features, matching, planning
-from trackloom.plans import bindings, ingest, oracle, profiles, signals, streams
+from trackloom.plans import audits, bindings, ingest, oracle, profiles, signals, streams
 from trackloom.sources import views
 from trackloom.streaming import live
 
@@ -50,11 +50,6 @@ def coverage(s: S, d: str) -> DataFrame:
     return catalog.playlist_coverage(rows, views.file(s, d))
 
 
-def _text_columns(s: S, d: str) -> DataFrame:
-    t = views.table(s, d, "documents")
-    return t.select("doc_id", F.length(keys.public_text(F.col("text"))).alias("public_chars"), F.array_join(keys.edition_flags(F.col("text")), ",").alias("editions"))
-
-
 def _events_old_new(s: S, d: str) -> tuple[DataFrame, DataFrame]:
     e = views.event(s, d)
     return e.where("event_id % 2 = 0"), e.where("event_id % 3 = 0")
@@ -67,20 +62,15 @@ def _stream_events(s: S, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "src_playlist_explode": lambda s, d: catalog.explode_playlists(views.playlist(s, d), views.occurrence(s, d), views.song(s, d)).select("playlist_id", "song_id", "n", "seq", "artist", "name"),
-    "src_event_log": lambda s, d: views.event(s, d).where("k is not null and type is not null").select("event_id", "key", "type", "k"),
     "src_event_union": lambda s, d: events.log_union(*_events_old_new(s, d)).select("event_id", "key", "type", "source"),
-    "src_file_manifest": lambda s, d: catalog.file_manifest(views.file(s, d)),
+    "src_file_manifest": lambda s, d: catalog.file_manifest(views.file(s, d).withColumn("dev", F.floor(F.col("folder") / 2)).withColumn("ino", F.col("song_id"))),
     "snk_upsert_journal": lambda s, d: catalog.upsert(_events_old_new(s, d)[0].groupBy("key").agg(F.max_by("type", F.struct("t", "event_id")).alias("state"), F.max("event_id").alias("event_id")), _events_old_new(s, d)[1].select("key", F.col("type").alias("state"), "event_id", "t"), "key", ["t", "event_id"]),
     "snk_reconcile_rows": lambda s, d: catalog.reconcile(views.playlist(s, d).select("playlist_id", "status", "skipped"), views.playlist(s, d).select("playlist_id", F.when(F.col("rank") % 5 == 0, 4).otherwise(F.col("status")).alias("status"), "skipped"), "playlist_id"),
-    "snk_export_csv": lambda s, d: views.table(s, d, "documents").select("doc_id", F.when(F.col("text").rlike(r"\A[=+\-@]"), F.concat(F.lit("'"), "text")).otherwise(F.col("text")).alias("cell")).select("doc_id", F.md5("cell").alias("cell_md5")),
-    "snk_export_manifest": lambda s, d: views.table(s, d, "documents").groupBy("lang").agg(F.count("*").alias("files"), F.sum(F.octet_length("text")).alias("bytes"), F.min(F.sha2("text", 256)).alias("least_sha256"), F.count_if(F.col("text").contains("token = ")).alias("private")),
     "snk_playlist_text": lambda s, d: _songs_in(s, d).groupBy("playlist_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.concat(F.floor(F.coalesce("expected_ms", F.lit(0)) / 1000 + 0.5), F.lit(","), F.col("name")).alias("line")))), lambda x: x["line"]), "\n").alias("body")).select("playlist_id", F.md5("body").alias("body_md5")),
     "fn_file_base": lambda s, d: views.table(s, d, "documents").select("doc_id", F.md5(keys.file_base(F.col("source"), F.substring("text", 1, 60))).alias("base_md5")),
     "fn_source_key": lambda s, d: views.song(s, d).select("song_id", keys.source_key(keys.source_id(F.when(F.col("song_id") % 2 == 0, F.concat(F.lit("spotify:track:"), F.lpad(F.col("song_id").cast("string"), 22, "0")))), F.col("artist"), F.col("name")).alias("source_key")),
     "fn_base_title": lambda s, d: views.song(s, d).select("song_id", keys.base_title(F.concat("name", F.when(F.col("song_id") % 3 == 0, " - 2011 Remastered").when(F.col("song_id") % 3 == 1, " (Remaster)").otherwise(""))).alias("title")),
     "fn_primary_artist": lambda s, d: views.song(s, d).select("song_id", keys.primary_artist(F.concat("artist", F.when(F.col("song_id") % 2 == 0, " feat. Other").otherwise(", Second"))).alias("artist")),
-    "fn_edition_flags": lambda s, d: _text_columns(s, d),
     "fn_length_match": lambda s, d: views.candidate(s, d).select("song_id", "place", keys.length_reason(F.col("expected_ms"), F.col("seconds")).alias("reason"), F.round(keys.tolerance(F.col("expected_ms")), 6).alias("tolerance")),
     "fn_fold_tempo": lambda s, d: views.table(s, d, "part").select(F.col("p_partkey").alias("song_id"), F.round(keys.fold_tempo(F.col("p_retailprice") / 10), 6).alias("tempo")),
     "fn_ordered_hash": lambda s, d: catalog.ordered_hash(views.occurrence(s, d)),
@@ -89,7 +79,6 @@ QUERIES = {
     "agg_catalog_dedup": lambda s, d: catalog.dedup(_songs_in(s, d)),
     "agg_playlist_coverage": coverage,
     "agg_catalog_summary": lambda s, d: catalog.catalog_summary(views.playlist(s, d)),
-    "agg_key_collisions": lambda s, d: catalog.key_collisions(views.song(s, d)),
     "agg_disjoint_windows": lambda s, d: catalog.disjoint_windows(views.song(s, d)),
     "agg_status_counts": lambda s, d: catalog.status_counts(views.playlist(s, d)),
     "agg_best_status": lambda s, d: catalog.best_status(views.playlist(s, d)),
@@ -97,18 +86,13 @@ QUERIES = {
     "agg_source_variants": lambda s, d: catalog.source_variants(views.song(s, d)),
     "agg_resolution_funnel": lambda s, d: catalog.resolution_funnel(views.playlist(s, d)),
     "agg_disk_usage": lambda s, d: catalog.disk_usage(views.file(s, d)),
-    "agg_file_state": lambda s, d: matching.file_state(_states(s, d)),
-    "agg_full_audit": lambda s, d: matching.full_audit(matching.file_state(_states(s, d))),
-    "agg_edition_ambiguity": lambda s, d: matching.edition_ambiguity(_states(s, d)),
     "agg_audit_unique": lambda s, d: matching.audit_unique(_states(s, d)),
-    "agg_repair_manifest": lambda s, d: matching.repair_manifest(_states(s, d)),
     "agg_media_rollup": lambda s, d: matching.media_rollup(_states(s, d)),
     "agg_energy_score": lambda s, d: features.energy_score(views.table(s, d, "part").select(F.col("p_partkey").alias("song_id"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price")), "song_id", {"size": 1.0, "price": 0.5}),
     "agg_isotonic_curve": lambda s, d: features.isotonic_curve(views.table(s, d, "part").groupBy(F.col("p_size").alias("x")).agg(F.avg("p_retailprice").alias("y"))),
     "agg_output_audit": lambda s, d: events.output_audit(views.event(s, d)),
     "join_candidate_evidence": lambda s, d: _evidence(s, d),
     "join_candidate_select": lambda s, d: matching.select_candidate(_evidence(s, d)),
-    "join_inspection_pick": lambda s, d: matching.inspection_pick(_evidence(s, d)),
     "join_rejected_anti": lambda s, d: matching.keep_rejected(_evidence(s, d).where("reason = 'mismatch'"), 3),
     "join_nearest_variant": lambda s, d: matching.nearest_variant(views.file(s, d), views.song(s, d)),
     "join_occurrence_compare": lambda s, d: _states(s, d).select("playlist_id", "seq", "state"),
@@ -119,7 +103,6 @@ QUERIES = {
     "set_multiset_max": lambda s, d: catalog.multiset_max(*(e.where("type = 'block'").select("key") for e in _events_old_new(s, d)), "key"),
     "win_trailing_rates": lambda s, d: events.trailing_rates(views.event(s, d)),
     "win_overall_rate": lambda s, d: events.overall_rate(views.event(s, d)),
-    "win_admission_load": lambda s, d: events.admission_load(views.event(s, d)),
     "win_trip_episodes": lambda s, d: events.trip_episodes(views.event(s, d)).select("key", "episode", "blocks", "repeated"),
     "win_phase_benchmark": lambda s, d: events.phase_benchmark(views.event(s, d)),
     "win_eta": lambda s, d: events.eta(views.event(s, d).groupBy("key").agg(F.count_if(F.col("type") != "mp3_verified").alias("remaining"), (F.count_if(F.col("type") == "mp3_verified") / 60).alias("rate"))),
@@ -132,7 +115,7 @@ QUERIES = {
     "win_timeline": lambda s, d: features.timeline(_bars(s, d)),
     "win_energy_tiers": lambda s, d: features.energy_tiers(_items(s, d), "song_id", "artist"),
     "top_candidates": lambda s, d: features.top_candidates(features.pair_cost(_items(s, d), "artist")),
-    "ord_greedy_sequence": lambda s, d: features.greedy_sequence(features.top_candidates(features.pair_cost(_items(s, d), "name"), 1_000_000).select("a", "b", "cost").join(_items(s, d).select(F.col("song_id").alias("a"), "name"), "a"), "name"),
+    "ord_greedy_sequence": lambda s, d: features.greedy_sequence(_items(s, d), "name"),
     "vec_pool_normalize": lambda s, d: features.pool(_vectors(s, d), "label"),
     "vec_knn_vote": lambda s, d: features.knn_vote(_vectors(s, d), _vectors(s, d).where("vec_id % 100 = 0")),
     "str_throughput": lambda s, d: live.throughput(views.event(s, d)),
@@ -143,7 +126,6 @@ QUERIES = {
     "fn_retry_class": lambda s, d: views.table(s, d, "documents").select("doc_id", planning.is_transient(F.col("text")).alias("transient")),
     "fn_tempo_match": lambda s, d: views.table(s, d, "part").select(F.col("p_partkey").alias("song_id"), planning.tempo_match(F.col("p_retailprice"), F.col("p_size") * 40.0).alias("m")).select("song_id", "m.ratio", F.round("m.stretch", 6).alias("stretch")),
     "fn_e_star": lambda s, d: views.table(s, d, "lineitem").select(F.col("l_linenumber").alias("n")).distinct().select("n", F.round(planning.interpolate(F.col("n") / 7.0, planning.TARGET), 6).alias("target")),
-    "fn_request_hash": lambda s, d: views.event(s, d).groupBy("key").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("type")), ","), 256).alias("hash")),
     "fn_query_variants": lambda s, d: views.song(s, d).select("song_id", F.array_join(F.slice(F.array_distinct(F.array(F.concat_ws(" ", "artist", "name"), F.concat_ws(" ", "artist", "name", "bucket"), F.concat_ws(" ", "artist", "name"))), 1, 3), "|").alias("variants")),
     "fn_camelot_distance": lambda s, d: _items(s, d).select("song_id", keys.camelot_distance(F.col("camelot"), F.when(F.col("song_id") % 5 == 0, "?").otherwise("8A")).alias("distance")),
     "flt_playlist_view": lambda s, d: views.playlist(s, d).where(F.contains(F.lower("name"), F.lit("#00000001")) & (F.col("status") != 4)).select("playlist_id", "name"),
@@ -158,7 +140,6 @@ QUERIES = {
     "set_removed_work": lambda s, d: planning.removed_work(views.occurrence(s, d).select("playlist_id", "song_id", "seq"), views.occurrence(s, d).where("quantity < 10"), views.occurrence(s, d).where("quantity > 45")),
     "set_affected_rows": lambda s, d: planning.affected(views.occurrence(s, d).select("playlist_id", "song_id", "seq"), views.occurrence(s, d).where("quantity = 50 and song_id % 7 = 0"), "song_id"),
     "win_curve_bins": lambda s, d: planning.curve_bins(views.event(s, d)),
-    "top_metadata_priority": lambda s, d: planning.metadata_priority(views.song(s, d)),
     "top_ready_order": lambda s, d: planning.ready_order(views.playlist(s, d)),
     "vec_cosine_distance": lambda s, d: _vectors(s, d).where("vec_id % 100 = 0").select(F.col("label"), F.col("vec_id").alias("a"), F.col("embedding").alias("ea")).join(_vectors(s, d).select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("eb")), "label").select("a", "b", F.round(1 - features.dot(features.unit(F.col("ea")), features.unit(F.col("eb"))), 5).alias("distance")),
     "vec_kernel_regression": lambda s, d: planning.kernel_regression(_vectors(s, d), _vectors(s, d).where("vec_id % 100 = 0")),
@@ -176,13 +157,10 @@ QUERIES = {
     "agg_grid_report": lambda s, d: evidence.class_report(views.table(s, d, "lineitem").select(F.col("l_returnflag").alias("class"), "l_quantity"), "l_quantity", [0.0, 10.0, 20.0, 30.0, 40.0, 51.0]),
     "win_tempo_refine": lambda s, d: evidence.tempo_refine(views.event(s, d)),
     "win_join_profile": lambda s, d: evidence.join_profile(_bars(s, d)),
-    "win_coverage_assert": lambda s, d: evidence.coverage_assert(_bars(s, d).select("playlist_id", "bar", (F.col("bar") * 25.0).alias("start"), (F.col("bar") * 25.0 + F.col("level")).alias("end"))),
     "set_changed_keys": lambda s, d: evidence.changed_keys(views.file(s, d), views.file(s, d).where("folder % 50 = 3").select("folder")),
     "join_legacy_fallback": lambda s, d: evidence.legacy_fallback(views.song(s, d).select(F.concat(F.lit("spotify:"), "song_id").alias("song_key"), F.lower(F.concat_ws(" - ", "artist", F.col("song_id").cast("string"))).alias("old_key")), views.song(s, d).where("song_id % 4 = 0").select(F.concat(F.lit("spotify:"), "song_id").alias("key"), F.lit("saved").alias("state"), F.lit("u").alias("url")), views.song(s, d).where("song_id % 3 = 0").select(F.lower(F.concat_ws(" - ", "artist", F.col("song_id").cast("string"))).alias("key"), F.when(F.col("song_id") % 2 == 0, "missing").otherwise("saved").alias("state"))),
     "top_labels": lambda s, d: _vectors(s, d).groupBy("label").agg(F.round(F.avg(F.col("embedding")[0].cast("double")), 6).alias("mean"), F.count("*").alias("n")).orderBy(F.desc("mean"), "label").limit(5),
-    "top_playlist_sort": lambda s, d: views.playlist(s, d).select("playlist_id", F.when(F.col("status") == 0, 0).when(F.col("status") == 5, 1).otherwise(2).alias("bucket"), "last_played").orderBy("bucket", F.desc("last_played"), "playlist_id").limit(100).select("playlist_id", "bucket"),
     "str_trip_state": lambda s, d: live.stream_to_table(live.trip_state(_stream_events(s, d).withColumn("t", F.col("t").cast("timestamp")))).select("key", "event_id", "run"),
-    "src_job_table": lambda s, d: evidence.job_table(views.playlist(s, d).select("playlist_id", F.col("rank").alias("owner"), "status"), views.playlist(s, d).select("playlist_id", "name"), "playlist_id", ["status", "error"]),
     "fn_source_id": lambda s, d: views.table(s, d, "pages").select("page_id", keys.source_id(F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://open.spotify.com/track/"), F.lpad(F.col("page_id").cast("string"), 22, "a"), F.lit("?si=1"))).otherwise(F.col("url"))).alias("source_id")),
     "fn_display_name": lambda s, d: views.song(s, d).select("song_id", evidence.display_name(F.concat(F.lit("music/x/"), F.when(F.col("song_id") % 2 == 0, F.concat("artist", F.lit(" - "))).otherwise(""), F.col("name"), F.lit(" [sp-1234567890123456789012].mp3"))).alias("n")).select("song_id", "n.artist", "n.title"),
     "join_queue_prune": lambda s, d: evidence.queue_prune(views.occurrence(s, d), views.file(s, d).where("seconds > 300")),
@@ -191,7 +169,7 @@ QUERIES = {
     "win_nearest_section": lambda s, d: evidence.nearest_section(features.pool(_vectors(s, d), "label")),
 }
 
-_PARTS = (ingest, bindings, profiles, signals, streams)
+_PARTS = (ingest, bindings, profiles, signals, streams, audits)
 for _part in _PARTS:
     QUERIES |= _part.QUERIES
 #: The SQL of every query that has one.
