@@ -65,7 +65,7 @@ def file_base(artist: Column, name: Column) -> Column:
     name = F.when(at > 0, F.concat(F.substring(name, F.lit(1), at - 1), F.substring(name, at + 1, F.length(name)))).otherwise(name)
     full = F.translate(F.concat(artist, F.lit(" - "), name), ILLEGAL, "-" * len(ILLEGAL))
     start = F.struct(F.lit("").alias("kept"), F.lit(False).alias("full"))
-    cut = F.aggregate(F.split(full, ""), start, lambda a, c: F.struct(F.when(a["full"] | (F.octet_length(F.concat(a["kept"], c)) > CUT_BYTES), a["kept"]).otherwise(F.concat(a["kept"], c)).alias("kept"), (a["full"] | (F.octet_length(F.concat(a["kept"], c)) > CUT_BYTES)).alias("full")), lambda a: a["kept"])
+    cut = F.aggregate(F.split(F.substring(full, 1, CUT_BYTES + 1), ""), start, lambda a, c: F.struct(F.when(a["full"] | (F.octet_length(F.concat(a["kept"], c)) > CUT_BYTES), a["kept"]).otherwise(F.concat(a["kept"], c)).alias("kept"), (a["full"] | (F.octet_length(F.concat(a["kept"], c)) > CUT_BYTES)).alias("full")), lambda a: a["kept"])
     return F.when(F.octet_length(full) <= FILE_BYTES, full).otherwise(F.concat(cut, F.lit("-"), F.substring(F.sha2(F.lower(full), 256), 1, 12)))
 
 

@@ -133,6 +133,14 @@ def knn_vote(vectors: DataFrame, labelled: DataFrame, k: int = KNN) -> DataFrame
     return votes.groupBy("vec_id").agg(F.max_by("label", F.struct("votes", "label")).alias("label"))
 
 
+def top_labels(predictions: DataFrame, k: int) -> DataFrame:
+    """(series, class, mean, place): the ``k`` classes with the largest mean prediction over a series' rows (series, embedding)."""
+    long = predictions.select("series", F.posexplode("embedding").alias("class", "x"))
+    mean = long.groupBy("series", "class").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+    place = F.row_number().over(Window.partitionBy("series").orderBy(F.desc("mean"), "class"))
+    return mean.withColumn("place", place).where(F.col("place") <= k)
+
+
 def pool(vectors: DataFrame, by: str) -> DataFrame:
     """Per group the mean of its unit vectors, made a unit vector: rows (group, place, value)."""
     parts = vectors.select(by, F.posexplode(unit(F.col("embedding"))).alias("place", "x")).groupBy(by, "place").agg(F.avg("x").alias("x"))

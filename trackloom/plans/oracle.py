@@ -18,6 +18,7 @@ def reason(ms: str = "expected_ms", s: str = "seconds") -> str:
 
 
 BASE = "translate(concat({a}, ' - ', regexp_replace({n}, '/', '')), '/\\?%*:|\"<>', '----------')"
+DOC_BASE = BASE.format(a="CASE WHEN coalesce(source, '') = '' THEN 'unknown_artist' ELSE source END", n="CASE WHEN coalesce(text, '') = '' THEN 'unknown_track' ELSE text END")
 KEY = f"lower({BASE.format(a='artist', n='name')})"
 FOLD = "CASE WHEN {x} <= 0 THEN 100.0 WHEN {x} < 85 THEN {x} * pow(2, ceil(log2(85 / {x}))) WHEN {x} > 170 THEN {x} / pow(2, ceil(log2({x} / 170))) ELSE {x} END"
 SONGS_IN = "SELECT * FROM occurrence JOIN song USING (song_id)"
@@ -31,7 +32,7 @@ COSTS = f"{ITEMS}, near AS (SELECT *, row_number() OVER (PARTITION BY artist ORD
 FLAGS = "array_to_string(list_filter([{e}], lambda e: contains(concat(' ', regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), concat(' ', e, ' '))), ',')".format(e=", ".join(f"'{e}'" for e in keys.EDITIONS))
 UNIT = "SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v FROM embeddings"
 OLD = "SELECT * FROM event WHERE event_id % 2 = 0"
-NEW = "SELECT * FROM event WHERE event_id % 3 = 0"
+NEW = "SELECT * FROM event WHERE event_id % 2 = 1 OR event_id % 6 = 0"
 
 _SQL = {
     "src_event_union": f"WITH a AS ({OLD}), b AS ({NEW}) SELECT event_id, \"key\", replace(type, 'search_ok', 'download_start') AS type, 'a' AS source FROM a WHERE type IN ('mp3_verified', 'download_start', 'search_ok') UNION ALL SELECT event_id, \"key\", replace(type, 'search_ok', 'download_start'), 'b' FROM b WHERE type IN ('mp3_verified', 'download_start', 'search_ok')",
@@ -39,7 +40,7 @@ _SQL = {
     "snk_upsert_journal": f"WITH a AS ({OLD}), b AS ({NEW}), was AS (SELECT \"key\", arg_max(type, (t, event_id)) AS state, max(event_id) AS event_id FROM a GROUP BY 1), now AS (SELECT \"key\", type AS state, event_id, row_number() OVER (PARTITION BY \"key\" ORDER BY t DESC, event_id DESC) AS r FROM b) SELECT \"key\", state, event_id FROM now WHERE r = 1 UNION ALL SELECT * FROM was WHERE \"key\" NOT IN (SELECT \"key\" FROM now)",
     "snk_reconcile_rows": "SELECT playlist_id, 4 AS status, skipped FROM playlist WHERE rank % 5 = 0 AND status <> 4",
     "snk_playlist_text": f"SELECT playlist_id, md5(string_agg(concat(CAST(floor(coalesce(expected_ms, 0) / 1000.0 + 0.5) AS BIGINT), ',', name), chr(10) ORDER BY seq)) AS body_md5 FROM ({SONGS_IN}) GROUP BY 1",
-    "fn_file_base": f"SELECT doc_id, md5({BASE.format(a='source', n='substr(text, 1, 60)')}) AS base_md5 FROM documents",
+    "fn_file_base": f"WITH b AS (SELECT doc_id, {DOC_BASE} AS b FROM documents) SELECT doc_id, md5(CASE WHEN octet_length(encode(b)) <= 251 THEN b ELSE concat(substr(b, 1, (SELECT max(n) FROM range(0, 239) r(n) WHERE octet_length(encode(substr(b, 1, n))) <= 238)), '-', substr(sha256(lower(b)), 1, 12)) END) AS base_md5 FROM b",
     "fn_source_key": f"SELECT song_id, CASE WHEN song_id % 2 = 0 THEN concat('spotify:', lpad(CAST(song_id AS VARCHAR), 22, '0')) ELSE {KEY} END AS source_key FROM song",
     "fn_base_title": "SELECT song_id, name AS title FROM song",
     "fn_primary_artist": "SELECT song_id, artist FROM song",
@@ -69,7 +70,7 @@ _SQL = {
     "join_unmatched_coverage": "SELECT 'saved' AS state, count(*) AS n FROM song WHERE song_id IN (SELECT song_id FROM file) UNION ALL SELECT 'missing', count(*) FROM song WHERE song_id NOT IN (SELECT song_id FROM file) UNION ALL SELECT 'unexpected', count(DISTINCT song_id) FROM file WHERE song_id NOT IN (SELECT song_id FROM song)",
     "join_pair_cost": f"WITH {COSTS} SELECT * FROM costs",
     "set_membership_diff": "WITH a AS (SELECT playlist_id, song_id, count(*) FILTER (quantity < 40) AS x, count(*) FILTER (quantity > 10) AS y FROM occurrence GROUP BY 1, 2) SELECT playlist_id, CAST(sum(greatest(y - x, 0)) AS BIGINT) AS added, CAST(sum(greatest(x - y, 0)) AS BIGINT) AS removed, CAST(sum(least(x, y)) AS BIGINT) AS kept FROM a GROUP BY 1",
-    "set_multiset_max": "WITH c AS (SELECT \"key\", greatest(count(*) FILTER (event_id % 2 = 0), count(*) FILTER (event_id % 3 = 0)) AS times FROM event WHERE type = 'block' GROUP BY 1) SELECT \"key\", CAST(unnest(range(1, times + 1)) AS INTEGER) AS copy FROM c",
+    "set_multiset_max": "WITH c AS (SELECT \"key\", greatest(count(*) FILTER (event_id % 2 = 0), count(*) FILTER (event_id % 2 = 1 OR event_id % 6 = 0)) AS times FROM event WHERE type = 'block' GROUP BY 1) SELECT \"key\", CAST(unnest(range(1, times + 1)) AS INTEGER) AS copy FROM c",
     "win_trailing_rates": "WITH m AS (SELECT max(t) AS last FROM event), w AS (SELECT unnest([10, 30, 60, 120]) AS minutes) SELECT w.minutes, count(*) FILTER (type = 'download_start') AS starts, count(*) FILTER (type = 'mp3_verified') AS done, count(*) FILTER (type = 'block') AS blocks, round(count(*) FILTER (type = 'mp3_verified') * 1.0 / w.minutes, 6) AS rate FROM w, m, event e WHERE e.t > m.last - to_minutes(w.minutes) GROUP BY w.minutes",
     "win_overall_rate": "SELECT count(*) AS done, round(count(*) / ((epoch_us(max(t)) - epoch_us(min(t))) / 60e6), 6) AS per_minute FROM event WHERE type = 'mp3_verified'",
     "win_trip_episodes": "WITH b AS (SELECT *, coalesce(CAST(epoch_us(t) - lag(epoch_us(t)) OVER w > 43200000000 AS INTEGER), 1) AS new FROM event WHERE type = 'block' WINDOW w AS (PARTITION BY \"key\" ORDER BY t, event_id)), e AS (SELECT *, CAST(sum(new) OVER (PARTITION BY \"key\" ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS episode FROM b) SELECT \"key\", episode, count(*) AS blocks, count(*) > 1 AS repeated FROM e GROUP BY 1, 2",
@@ -89,7 +90,7 @@ _SQL = {
     "str_throughput": "WITH w AS (SELECT time_bucket(INTERVAL 10 MINUTE, t) - to_minutes(unnest([0, 10, 20])) AS start FROM event WHERE type = 'mp3_verified') SELECT start, count(*) AS done, round(count(*) / 30.0, 6) AS rate FROM w GROUP BY 1",
     "str_change_batches": "WITH g AS (SELECT \"key\", t, CASE WHEN t < lag(t) OVER w + INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS new FROM event WINDOW w AS (PARTITION BY \"key\" ORDER BY t)), s AS (SELECT *, sum(new) OVER (PARTITION BY \"key\" ORDER BY t ROWS UNBOUNDED PRECEDING) AS n FROM g) SELECT \"key\", min(t) AS start, count(*) AS notices FROM s GROUP BY \"key\", n",
     "ingest_skip_done": "SELECT doc_id, sha256(concat(doc_id, '|', length(text), '|v1')) AS mark FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    "fn_excluded_name": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN true WHEN 1 THEN true ELSE regexp_matches(trim(substr(text, 1, 20)), '(?i)^(daily mix(es)?(\\s.*)?|dj|discover weekly|release radar|on repeat|repeat rewind|(your )?daily drive)$') END AS excluded FROM documents",
+    "fn_excluded_name": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN true WHEN 1 THEN true ELSE regexp_matches(trim(coalesce(text, '')), '(?i)^(daily mix(es)?(\\s.*)?|dj|discover weekly|release radar|on repeat|repeat rewind|(your )?daily drive)$') END AS excluded FROM documents",
     "fn_genre_bucket": "SELECT doc_id, CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + f" THEN '{name}'" for name, words in planning.GENRES.items()) + " END AS bucket FROM documents",
     "fn_retry_class": "SELECT doc_id, " + " OR ".join(f"contains(text, '{w}')" for w in planning.TRANSIENT) + " AS transient FROM documents",
     "fn_tempo_match": "WITH o AS (SELECT p_partkey AS song_id, abs(p_size * 40.0 / p_retailprice - 1) * 100 AS one, abs(p_size * 40.0 / (0.5 * p_retailprice) - 1) * 100 AS half, abs(p_size * 40.0 / (2 * p_retailprice) - 1) * 100 AS two FROM part) SELECT song_id, CASE WHEN one <= least(half, two) + 0.5 THEN 1.0 WHEN half <= two THEN 0.5 ELSE 2.0 END AS ratio, round(CASE WHEN one <= least(half, two) + 0.5 THEN one ELSE least(half, two) END, 6) AS stretch FROM o",
@@ -114,7 +115,7 @@ _SQL = {
     "fn_public_text": "SELECT doc_id, md5(nullif(substr(trim(regexp_replace(text, '[\\x00-\\x1f\\x7f]', ' ', 'g')), 1, 500), '')) AS text_md5 FROM documents",
     "fn_camelot": "SELECT p_partkey AS song_id, CASE p_partkey % 10 WHEN 0 THEN '8B' WHEN 1 THEN '12A' WHEN 2 THEN '10B' WHEN 3 THEN '3A' WHEN 5 THEN '5A' WHEN 6 THEN '3B' WHEN 7 THEN '7A' WHEN 8 THEN '6B' ELSE '?' END AS code FROM part",
     "fn_artist_set": "SELECT song_id, concat(lower(artist), '|zed') AS artists FROM song",
-    "fn_credits_match": "SELECT song_id, song_id % 3 < 2 AS ok FROM song",
+    "fn_credits_match": "SELECT song_id, CASE WHEN song_id % 7 = 0 THEN song_id % 5 = 2 ELSE song_id % 5 < 2 END AS ok FROM song",
     "flt_identity": "SELECT song_id, CASE song_id % 5 WHEN 0 THEN 'missing-title' WHEN 1 THEN 'match' WHEN 2 THEN 'edition-mismatch' WHEN 3 THEN 'title-mismatch' ELSE 'artist-mismatch' END AS verdict FROM song",
     "flt_beatable": "WITH g AS (SELECT \"key\", (lead(epoch_us(t)) OVER (PARTITION BY \"key\" ORDER BY t, event_id) - epoch_us(t)) / 1e6 AS gap FROM event), m AS (SELECT \"key\", quantile_cont(gap, 0.5) AS median FROM g WHERE gap > 0 GROUP BY 1) SELECT g.\"key\", count(*) AS gaps FROM g JOIN m ON m.\"key\" = g.\"key\" WHERE gap > 0 GROUP BY 1 HAVING count(*) >= 8 AND round(avg(CASE WHEN abs(gap - median) <= 0.15 * median THEN 1.0 ELSE 0.0 END), 6) >= 0.1",
     "join_media_resolve": f"WITH f AS (SELECT song_id, folder, path, {reason()} AS reason FROM file WHERE path NOT LIKE '%7/%'), c AS (SELECT o.playlist_id, o.seq, f.path, f.reason, row_number() OVER (PARTITION BY o.playlist_id, o.seq ORDER BY CASE WHEN f.reason = 'match' THEN 0 ELSE 1 END, CASE WHEN f.folder = o.folder THEN 0 ELSE 1 END, f.path) AS r FROM occurrence o LEFT JOIN f ON f.song_id = o.song_id) SELECT playlist_id, seq, path, CASE WHEN reason IS NULL THEN 'missing' WHEN reason = 'match' THEN 'duration-match' WHEN reason = 'mismatch' THEN 'mismatch' ELSE 'unverified' END AS verdict FROM c WHERE r = 1",
@@ -127,7 +128,7 @@ _SQL = {
     "win_join_profile": f"WITH {BARS}, l AS (SELECT *, max(bar) OVER (PARTITION BY playlist_id) AS last FROM bars) SELECT playlist_id, round(avg(level) FILTER (bar <= 3) - avg(level), 6) AS entry, round(avg(level) FILTER (bar > last - 3) - avg(level), 6) AS \"exit\" FROM l GROUP BY 1",
     "set_changed_keys": "SELECT DISTINCT f.song_id FROM file f WHERE (f.dev, f.ino) IN (SELECT (dev, ino) FROM file WHERE folder % 50 = 3)",
     "join_legacy_fallback": "SELECT concat('spotify:', song_id) AS song_key, CASE WHEN song_id % 4 = 0 THEN 'saved' ELSE 'missing' END AS state, CASE WHEN song_id % 4 = 0 THEN 'u' END AS url, song_id % 4 <> 0 AS legacy FROM song WHERE song_id % 4 = 0 OR song_id % 6 = 0",
-    "top_labels": "SELECT label, round(avg(CAST(embedding[1] AS DOUBLE)), 6) AS mean, count(*) AS n FROM embeddings GROUP BY 1 ORDER BY mean DESC, label LIMIT 5",
+    "top_labels": "WITH m AS (SELECT label AS series, i - 1 AS class, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS mean FROM embeddings, range(1, 65) r(i) GROUP BY 1, 2) SELECT series, CAST(class AS INTEGER) AS class, mean, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY mean DESC, class) AS place FROM m) WHERE place <= 5",
     "fn_source_id": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN lpad(CAST(page_id AS VARCHAR), 22, 'a') END AS source_id FROM pages",
     "fn_display_name": "SELECT song_id, CASE WHEN song_id % 2 = 0 THEN artist ELSE '' END AS artist, name AS title FROM song",
     "join_queue_prune": "SELECT o.playlist_id, count(f.song_id) AS satisfied, count(*) - count(f.song_id) AS open FROM occurrence o LEFT JOIN (SELECT DISTINCT song_id FROM file WHERE seconds > 300) f ON f.song_id = o.song_id GROUP BY 1",

@@ -45,14 +45,24 @@ def _vectors(s: S, d: str) -> DataFrame:
 
 def coverage(s: S, d: str) -> DataFrame:
     """The flagship: per playlist, how many members have a length-compatible file in their folder."""
-    open_rows = catalog.explode_playlists(views.playlist(s, d), views.occurrence(s, d), views.song(s, d)).select("playlist_id", "song_id", "seq")
-    rows = views.occurrence(s, d).join(open_rows, ["playlist_id", "song_id", "seq"], "left_semi")
+    open_lists = views.playlist(s, d).where("not skipped").select("playlist_id")
+    named = views.song(s, d).where("coalesce(artist, '') <> '' and coalesce(name, '') <> ''").select("song_id")
+    rows = views.occurrence(s, d).join(open_lists, "playlist_id", "left_semi").join(named, "song_id", "left_semi")
     return catalog.playlist_coverage(rows, views.file(s, d))
 
 
+def _credits(s: S, d: str) -> DataFrame:
+    """Ten saved credits of a song's artist against the same, more, fewer, others, and a list of another length."""
+    n, credit = F.col("song_id") % 5, lambda k: F.concat("artist", F.lit(f" {k}"))
+    ten = F.concat_ws(", ", *(credit(k) for k in range(10)))
+    current = F.when(n == 0, ten).when(n == 1, F.concat(ten, F.lit(", "), credit(10))).when(n == 2, F.concat_ws(", ", credit(0), credit(1))).when(n == 3, F.concat(ten, F.lit("x"))).otherwise(F.concat_ws(", ", *(credit(k) for k in range(9, -1, -1))))
+    saved = F.when(F.col("song_id") % 7 == 0, F.concat_ws(", ", credit(0), credit(1))).otherwise(ten)
+    return views.song(s, d).select("song_id", keys.credits_match(saved, current).alias("ok"))
+
+
 def _events_old_new(s: S, d: str) -> tuple[DataFrame, DataFrame]:
     e = views.event(s, d)
-    return e.where("event_id % 2 = 0"), e.where("event_id % 3 = 0")
+    return e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1 or event_id % 6 = 0")
 
 
 def _stream_events(s: S, d: str) -> DataFrame:
@@ -67,7 +77,7 @@ QUERIES = {
     "snk_upsert_journal": lambda s, d: catalog.upsert(_events_old_new(s, d)[0].groupBy("key").agg(F.max_by("type", F.struct("t", "event_id")).alias("state"), F.max("event_id").alias("event_id")), _events_old_new(s, d)[1].select("key", F.col("type").alias("state"), "event_id", "t"), "key", ["t", "event_id"]),
     "snk_reconcile_rows": lambda s, d: catalog.reconcile(views.playlist(s, d).select("playlist_id", "status", "skipped"), views.playlist(s, d).select("playlist_id", F.when(F.col("rank") % 5 == 0, 4).otherwise(F.col("status")).alias("status"), "skipped"), "playlist_id"),
     "snk_playlist_text": lambda s, d: _songs_in(s, d).groupBy("playlist_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.concat(F.floor(F.coalesce("expected_ms", F.lit(0)) / 1000 + 0.5), F.lit(","), F.col("name")).alias("line")))), lambda x: x["line"]), "\n").alias("body")).select("playlist_id", F.md5("body").alias("body_md5")),
-    "fn_file_base": lambda s, d: views.table(s, d, "documents").select("doc_id", F.md5(keys.file_base(F.col("source"), F.substring("text", 1, 60))).alias("base_md5")),
+    "fn_file_base": lambda s, d: views.table(s, d, "documents").select("doc_id", F.md5(keys.file_base(F.col("source"), F.col("text"))).alias("base_md5")),
     "fn_source_key": lambda s, d: views.song(s, d).select("song_id", keys.source_key(keys.source_id(F.when(F.col("song_id") % 2 == 0, F.concat(F.lit("spotify:track:"), F.lpad(F.col("song_id").cast("string"), 22, "0")))), F.col("artist"), F.col("name")).alias("source_key")),
     "fn_base_title": lambda s, d: views.song(s, d).select("song_id", keys.base_title(F.concat("name", F.when(F.col("song_id") % 3 == 0, " - 2011 Remastered").when(F.col("song_id") % 3 == 1, " (Remaster)").otherwise(""))).alias("title")),
     "fn_primary_artist": lambda s, d: views.song(s, d).select("song_id", keys.primary_artist(F.concat("artist", F.when(F.col("song_id") % 2 == 0, " feat. Other").otherwise(", Second"))).alias("artist")),
@@ -121,7 +131,7 @@ QUERIES = {
     "str_throughput": lambda s, d: live.throughput(views.event(s, d)),
     "str_change_batches": lambda s, d: live.change_batches(views.event(s, d)),
     "ingest_skip_done": lambda s, d: planning.skip_done(views.table(s, d, "documents"), views.table(s, d, "documents").join(views.table(s, d, "labels").select("doc_id"), "doc_id", "left_semi").select(F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), F.length("text").cast("string"), F.lit("v1")), 256).alias("mark")), "v1"),
-    "fn_excluded_name": lambda s, d: views.table(s, d, "documents").select("doc_id", planning.excluded_name(F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Daily Mix "), "doc_id")).when(F.col("doc_id") % 4 == 1, " dj ").otherwise(F.substring("text", 1, 20))).alias("excluded")),
+    "fn_excluded_name": lambda s, d: views.table(s, d, "documents").select("doc_id", planning.excluded_name(F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Daily Mix "), "doc_id")).when(F.col("doc_id") % 4 == 1, " dj ").otherwise(F.col("text"))).alias("excluded")),
     "fn_genre_bucket": lambda s, d: views.table(s, d, "documents").select("doc_id", planning.genre_bucket(F.col("text")).alias("bucket")),
     "fn_retry_class": lambda s, d: views.table(s, d, "documents").select("doc_id", planning.is_transient(F.col("text")).alias("transient")),
     "fn_tempo_match": lambda s, d: views.table(s, d, "part").select(F.col("p_partkey").alias("song_id"), planning.tempo_match(F.col("p_retailprice"), F.col("p_size") * 40.0).alias("m")).select("song_id", "m.ratio", F.round("m.stretch", 6).alias("stretch")),
@@ -146,7 +156,7 @@ QUERIES = {
     "fn_public_text": lambda s, d: views.table(s, d, "documents").select("doc_id", F.md5(keys.public_text(F.col("text"))).alias("text_md5")),
     "fn_camelot": lambda s, d: views.table(s, d, "part").select(F.col("p_partkey").alias("song_id"), keys.camelot(F.element_at(F.array(*map(F.lit, ("C", "Db", "D", "Bb", "?"))), (F.col("p_partkey") % 5 + 1).cast("int")), F.when(F.col("p_partkey") % 2 == 0, "major").otherwise("minor")).alias("code")),
     "fn_artist_set": lambda s, d: views.song(s, d).select("song_id", F.array_join(keys.artist_set(F.concat("artist", F.lit(" & Zed feat. "), "artist")), "|").alias("artists")),
-    "fn_credits_match": lambda s, d: views.song(s, d).select("song_id", keys.credits_match(F.lit("a, b, c, d, e, f, g, h, i, j"), F.when(F.col("song_id") % 3 == 0, "a, b, c, d, e, f, g, h, i, j").when(F.col("song_id") % 3 == 1, "a, b, c, d, e, f, g, h, i, j, k").otherwise("a, b")).alias("ok")),
+    "fn_credits_match": lambda s, d: _credits(s, d),
     "flt_identity": lambda s, d: views.song(s, d).select("song_id", evidence.identity_verdict(F.col("artist"), F.col("name"), F.when(F.col("song_id") % 5 == 0, "").when(F.col("song_id") % 5 == 1, F.concat("artist", F.lit(" - "), "name", F.lit(" (Official Video)"))).when(F.col("song_id") % 5 == 2, F.concat("name", F.lit(" live"))).when(F.col("song_id") % 5 == 3, "something else").otherwise(F.col("name")), F.when(F.col("song_id") % 5 == 2, F.col("artist")).otherwise("other")).alias("verdict")),
     "flt_beatable": lambda s, d: events.tempo_from_beats(views.event(s, d)).where("regularity >= 0.1 and gaps >= 8 and per_minute > 0").select("key", "gaps"),
     "join_media_resolve": lambda s, d: evidence.media_resolve(views.occurrence(s, d), views.file(s, d).where("path not like '%7/%'")),
@@ -159,7 +169,7 @@ QUERIES = {
     "win_join_profile": lambda s, d: evidence.join_profile(_bars(s, d)),
     "set_changed_keys": lambda s, d: evidence.changed_keys(views.file(s, d), views.file(s, d).where("folder % 50 = 3").select("folder")),
     "join_legacy_fallback": lambda s, d: evidence.legacy_fallback(views.song(s, d).select(F.concat(F.lit("spotify:"), "song_id").alias("song_key"), F.lower(F.concat_ws(" - ", "artist", F.col("song_id").cast("string"))).alias("old_key")), views.song(s, d).where("song_id % 4 = 0").select(F.concat(F.lit("spotify:"), "song_id").alias("key"), F.lit("saved").alias("state"), F.lit("u").alias("url")), views.song(s, d).where("song_id % 3 = 0").select(F.lower(F.concat_ws(" - ", "artist", F.col("song_id").cast("string"))).alias("key"), F.when(F.col("song_id") % 2 == 0, "missing").otherwise("saved").alias("state"))),
-    "top_labels": lambda s, d: _vectors(s, d).groupBy("label").agg(F.round(F.avg(F.col("embedding")[0].cast("double")), 6).alias("mean"), F.count("*").alias("n")).orderBy(F.desc("mean"), "label").limit(5),
+    "top_labels": lambda s, d: features.top_labels(_vectors(s, d).select(F.col("label").alias("series"), "embedding"), 5),
     "str_trip_state": lambda s, d: live.stream_to_table(live.trip_state(_stream_events(s, d).withColumn("t", F.col("t").cast("timestamp")))).select("key", "event_id", "run"),
     "fn_source_id": lambda s, d: views.table(s, d, "pages").select("page_id", keys.source_id(F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://open.spotify.com/track/"), F.lpad(F.col("page_id").cast("string"), 22, "a"), F.lit("?si=1"))).otherwise(F.col("url"))).alias("source_id")),
     "fn_display_name": lambda s, d: views.song(s, d).select("song_id", evidence.display_name(F.concat(F.lit("music/x/"), F.when(F.col("song_id") % 2 == 0, F.concat("artist", F.lit(" - "))).otherwise(""), F.col("name"), F.lit(" [sp-1234567890123456789012].mp3"))).alias("n")).select("song_id", "n.artist", "n.title"),
