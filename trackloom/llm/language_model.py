@@ -26,11 +26,11 @@ out in the same partitions each time, as a table does; a step that sees others r
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,38 +41,15 @@ from trackloom.llm import common, shingles
 BIGRAM, UNIGRAM = 0.6, 0.39
 #: A word or bigram is frequent from one in so many tokens; there are no more than that of them.
 FREQUENT_WORD, FREQUENT_BIGRAM = 1 << 21, 1 << 20
-#: Tokens that a task adds up at a time, words whose codes a worker keeps, and rows of an output batch.
-CHUNK, CACHE, ROWS = 2_000_000, 200_000, 50_000
+#: Tokens or words that a task adds up at a time, and rows of an output batch.
+CHUNK, ROWS = 2_000_000, 50_000
+#: Slices of the documents whose bigrams go to their join at a time.
+SLICES = 2
 #: Set in every hash of a word, so that none is a place in the table of frequent words (0: the start of a text).
 RARE = 1 << 62
 COUNTS = ["one_target", "one_background", "first_target", "first_background"]
 
 
-class _Codes(dict):
-    """Word bytes to code, filled as words come: a frequent word's place in ``table`` (sorted hashes), else its hash."""
-
-    def __init__(self, table: np.ndarray):
-        self.table = table
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word) | RARE
-        at = int(np.searchsorted(self.table, np.uint64(h)))
-        code = self[word] = at if at < len(self.table) and int(self.table[at]) == h else h
-        return code
-
-
-class _Numbers(dict):
-    """Word bytes to 1, 2, 3 ... as words come."""
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self) + 1
-        return n
-
-
-def words(text: str) -> list[bytes]:
-    return text.encode("utf-8", "replace").lower().split()
-
-
 def befores(ids: np.ndarray, starts=0) -> np.ndarray:
     """The word before each of ``ids``; 0 at the places ``starts``, where documents start."""
     before = np.empty(len(ids), np.uint64)
@@ -91,19 +68,33 @@ def cells(ids: np.ndarray, starts=0) -> np.ndarray:
     return _cell(befores(ids, starts), ids)
 
 
-def _tokens(texts: list[str], codes: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes of all words, words of each text, places where texts with words start)."""
-    own = [np.fromiter(map(codes.__getitem__, w), np.uint64, len(w)) for w in map(words, texts)]
-    lengths = np.array([len(x) for x in own], np.int64)
-    starts = (np.cumsum(lengths) - lengths)[lengths > 0]
-    return np.concatenate([np.zeros(0, np.uint64), *own]), lengths, starts
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of each word in the batch's distinct words, their hashes, words of each text). Each distinct word is hashed once a batch."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat = lists.flatten()
+    full = np.asarray(pc.greater(pc.binary_length(flat), 0))
+    upto = np.concatenate([[0], np.cumsum(full)])
+    edges = np.asarray(lists.offsets)
+    lengths = np.diff(upto[edges - edges[0]])
+    coded = flat.filter(pa.array(full)).dictionary_encode()
+    n, (_, offsets, data) = len(coded.dictionary), coded.dictionary.buffers()
+    ends = np.frombuffer(offsets, np.int32, n + 1).tolist() if n else [0]
+    data = data.to_pybytes() if data else b""
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(ends, ends[1:])), np.uint64, n) | np.uint64(RARE)
+    return np.asarray(coded.indices), hashes, lengths
 
 
-def _coded(key: str, table: np.ndarray) -> _Codes:
-    codes = common.worker_state(key, lambda: _Codes(table))
-    if len(codes) > CACHE:
-        codes.clear()
-    return codes
+def _starts(lengths: np.ndarray) -> np.ndarray:
+    """The places where texts with words start."""
+    return (np.cumsum(lengths) - lengths)[lengths > 0]
+
+
+def _tokens(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes of all words, words of each text, places where texts with words start); ``table``: sorted hashes of the frequent words."""
+    place, hashes, lengths = _words(texts)
+    at = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
+    codes = np.where(table[at] == hashes, at.astype(np.uint64), hashes)
+    return codes[place], lengths, _starts(lengths)
 
 
 def _batches(columns: dict[str, np.ndarray | pa.Array]) -> Iterator[pa.RecordBatch]:
@@ -130,21 +121,21 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(id, COUNTS) of every word of ``docs`` (text, is_target), written out: how often it occurs, and how often it comes
     before a word; id 0 is the start of a text."""
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = _Numbers()
-
-        def make(batch: pa.RecordBatch) -> tuple:
-            ids, lengths, starts = _tokens(batch.column("text").to_pylist(), numbers)
-            return ids.astype(np.int64), befores(ids, starts).astype(np.int64), np.repeat(np.array(batch.column("is_target").to_pylist(), bool), lengths)
+    def make(batch: pa.RecordBatch) -> tuple:
+        place, hashes, lengths = _words(batch.column("text"))
+        ids, starts = place.astype(np.int64) + 1, _starts(lengths)
+        before = befores(ids, starts).astype(np.int64)
+        target = np.repeat(np.array(batch.column("is_target").to_pylist(), bool), lengths)
+        sums = [np.bincount(x, minlength=len(hashes) + 1) for x in (ids[target], ids, before[target], before)]
+        return np.append(np.uint64(0), hashes), *sums
 
-        def add(chunk: list) -> Iterator[pa.RecordBatch]:
-            ids, before, target = (np.concatenate(x) for x in zip(*chunk))
-            n = len(numbers) + 1
-            sums = [np.bincount(x, minlength=n) for x in (ids[target], ids, before[target], before)]
-            hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) | RARE for w in numbers), np.uint64, n - 1)
-            numbers.clear()
-            yield from _batches({"id": np.append(np.uint64(0), hashes).view(np.int64), **dict(zip(COUNTS, sums))})
+    def add(chunk: list) -> Iterator[pa.RecordBatch]:
+        ids, *sums = (np.concatenate(x) for x in zip(*chunk))
+        order = np.argsort(ids)
+        at = np.flatnonzero(np.diff(ids[order], prepend=ids[order[0]] + np.uint64(1)))
+        yield from _batches({"id": ids[order[at]].view(np.int64), **{c: np.add.reduceat(x[order], at) for c, x in zip(COUNTS, sums)}})
 
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _chunks(batches, make, add)
 
     parts = docs.mapInArrow(count, "id long, " + ", ".join(f"{c} long" for c in COUNTS))
@@ -198,12 +189,12 @@ def _filled(rows: DataFrame, rare: DataFrame) -> DataFrame:
 
 def first_losses(docs: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
     """(row, n, sum_target, sum_background) of ``docs`` (row, text), written out: the first losses of tokens with a rare word."""
-    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            ids, lengths, starts = _tokens(batch.column("text").to_pylist(), _coded(key, own.ids))
+            ids, lengths, starts = _tokens(batch.column("text"), own.ids)
             before = befores(ids, starts)
             at = np.flatnonzero(np.maximum(before, ids) >= len(own.ids))
             row = np.repeat(np.asarray(batch.column("row")), lengths)[at]
@@ -217,10 +208,10 @@ def first_losses(docs: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
 
 def bigrams(docs: DataFrame, model: Model) -> DataFrame:
     """(u, w, target, background): the counts of the bigrams of ``docs`` (text, is_target) that occur more than once, written out."""
-    shared, key = docs.sparkSession.sparkContext.broadcast(model.ids), uuid.uuid4().hex
+    shared = docs.sparkSession.sparkContext.broadcast(model.ids)
 
     def make(batch: pa.RecordBatch) -> tuple:
-        ids, lengths, starts = _tokens(batch.column("text").to_pylist(), _coded(key, shared.value))
+        ids, lengths, starts = _tokens(batch.column("text"), shared.value)
         before = befores(ids, starts)
         return _cell(before, ids), before, ids, np.repeat(np.array(batch.column("is_target").to_pylist(), bool), lengths)
 
@@ -277,13 +268,12 @@ def _totals(docs: DataFrame, model: Model, table: DataFrame, first: DataFrame, t
     cell = np.asarray(got.column("cell"))
     order = np.argsort(cell)
     shared = docs.sparkSession.sparkContext.broadcast((model, cell[order], *(np.asarray(got.column(c))[order] for c in SIDES)))
-    key = uuid.uuid4().hex
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, known, background, target, other = shared.value
         n = len(own.ids)
         for batch in batches:
-            ids, lengths, starts = _tokens(batch.column("text").to_pylist(), _coded(key, own.ids))
+            ids, lengths, starts = _tokens(batch.column("text"), own.ids)
             row, full = np.asarray(batch.column("row")), lengths > 0
             of = np.repeat(row, lengths)
             before = befores(ids, starts)
@@ -354,7 +344,11 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
         found = bigrams(rows, model)
         table = corrections(found, model, rare)
         common.discard(found, counts)
-        out = common.materialize(_totals(rows, model, table, first, tokens), "scores")
+        out = None
+        for k in range(SLICES):  # one after the other: the bigrams of one slice are on disk at a time
+            own = F.pmod(F.shiftright("row", 1), F.lit(SLICES)) == k
+            part = common.materialize(_totals(rows.where(own), model, table, first.where(own), tokens), "scores")
+            out = part if out is None else out.union(part)
         common.discard(table, first)
         return out
 
