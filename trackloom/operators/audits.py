@@ -68,3 +68,28 @@ def manifest(rows: DataFrame, private: str) -> DataFrame:
     each = rows.select("path", F.when(~refused, F.sha2("content", 256)).alias("sha256"), F.octet_length("content").cast("long").alias("bytes"), "seconds", F.when(refused, "refused").when(F.col("content").isNull(), "empty").otherwise("listed").alias("state"))
     total = each.where("state = 'listed'").agg(F.lit("total").alias("path"), F.lit(None).cast("string").alias("sha256"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.sum("seconds").alias("seconds"), F.concat(F.count("*").cast("string"), F.lit(" files, "), F.count("seconds").cast("string"), F.lit(" with a length")).alias("state"))
     return each.union(total)
+
+
+def with_identity(found: DataFrame, named: DataFrame) -> DataFrame:
+    """``matching.evidence`` with the identity verdict of each candidate (song_id, video, artist, name, title, channel) and a final
+    reason: a rejection comes before the identity, and that before the length."""
+    from trackloom.operators.evidence import identity_verdict
+
+    verdicts = named.select("song_id", "video", identity_verdict(F.col("artist"), F.col("name"), F.col("title"), F.col("channel")).alias("identity"))
+    met = found.join(verdicts, ["song_id", "video"])
+    final = F.when(F.col("reason") == "rejected", "rejected").when(F.col("identity") != "match", F.col("identity")).otherwise(F.col("reason"))
+    return met.select("song_id", "video", "place", "duplicate", "seconds", "length", "identity", final.alias("reason"))
+
+
+def rejections(found: DataFrame, most: int = 128) -> DataFrame:
+    """(song_id, video, place, kind): the newest ``most`` rejections of each song, one a video, and the candidates that none of them names."""
+    kept = matching.keep_rejected(found.where("reason in ('mismatch', 'rejected')"), most)
+    left = found.select("song_id", "video", "place").join(kept.select("song_id", "video"), ["song_id", "video"], "left_anti")
+    return kept.withColumn("kind", F.lit("rejected")).unionByName(left.withColumn("kind", F.lit("open")))
+
+
+def playlist_text(rows: DataFrame) -> DataFrame:
+    """(playlist_id, body): a header, then for each item (playlist_id, seq, ms, name, path) in order its rounded length with its name, and its path."""
+    line = F.concat(F.lit("#EXTINF:"), F.floor(F.coalesce("ms", F.lit(0)) / 1000 + 0.5).cast("string"), F.lit(","), F.coalesce("name", F.lit("")), F.lit("\n"), F.coalesce("path", F.lit("")))
+    items = F.transform(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))), lambda x: x["line"])
+    return rows.groupBy("playlist_id").agg(F.concat(F.lit("#EXTM3U\n"), F.array_join(items, "\n")).alias("body"))

@@ -167,7 +167,40 @@ MANIFEST_SQL = f"""WITH e AS (SELECT concat('audio/', doc_id) AS path, coalesce(
  f AS (SELECT path, CASE WHEN NOT private THEN sha256(text) END AS sha256, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, CAST(seconds AS BIGINT) AS seconds, CASE WHEN private THEN 'refused' WHEN text IS NULL THEN 'empty' ELSE 'listed' END AS state FROM e)
  SELECT * FROM f UNION ALL SELECT 'total', NULL, coalesce(CAST(sum(bytes) AS BIGINT), 0), CAST(sum(seconds) AS BIGINT), concat(count(*), ' files, ', count(seconds), ' with a length') FROM f WHERE state = 'listed'"""
 
+# ---- candidates with titles: by song and video the right one, another edition, another song, another artist, none
+
+
+def _evidence(s: S, d: str) -> DataFrame:
+    found = matching.evidence(views.candidate(s, d), views.ledger(s, d))
+    kind = (F.col("song_id") + F.col("video")) % 7
+    title = F.when(kind == 0, F.concat("artist", F.lit(" - "), "name", F.lit(" (Official Video)"))).when(kind == 1, F.concat("name", F.lit(" live"))).when(kind == 2, "something else").when(kind == 3, "").otherwise(F.col("name"))
+    channel = F.when(kind == 4, "nobody known").otherwise(F.col("artist"))
+    named = found.select("song_id", "video").join(views.song(s, d), "song_id").select("song_id", "video", "artist", "name", title.alias("title"), channel.alias("channel"))
+    return audits.with_identity(found, named)
+
+
+BASE = f"""one AS (SELECT song_id, video, min(place) AS place, count(*) AS repeats, max(expected_ms) AS expected_ms, arg_max(seconds, place) FILTER (seconds IS NOT NULL) AS seconds FROM candidate GROUP BY 1, 2),
+ ev AS (SELECT o.song_id, o.video, o.place, o.repeats > 1 AS duplicate, round(o.seconds, 6) AS seconds, {reason('o.expected_ms', 'o.seconds')} AS length, coalesce(l.expected_ms = o.expected_ms, false) AS rejected FROM one o LEFT JOIN ledger l ON l.song_id = o.song_id AND l.video = o.video)"""
+IDENTITY = f"""{BASE}, named AS (SELECT *, CASE (song_id + video) % 7 WHEN 1 THEN 'edition-mismatch' WHEN 2 THEN 'title-mismatch' WHEN 3 THEN 'missing-title' WHEN 4 THEN 'artist-mismatch' ELSE 'match' END AS identity FROM ev),
+ final AS (SELECT song_id, video, place, duplicate, seconds, length, identity, CASE WHEN rejected THEN 'rejected' WHEN identity <> 'match' THEN identity ELSE length END AS reason FROM named)"""
+REJECTED_SQL = f"""WITH {BASE}, r AS (SELECT song_id, video, place, CASE WHEN rejected THEN 'rejected' ELSE length END AS reason FROM ev), k AS (SELECT song_id, video, place, row_number() OVER (PARTITION BY song_id ORDER BY place DESC, video) AS n FROM r WHERE reason IN ('mismatch', 'rejected'))
+ SELECT song_id, video, place, 'rejected' AS kind FROM k WHERE n <= 128 UNION ALL SELECT r.song_id, r.video, r.place, 'open' FROM r WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.song_id = r.song_id AND k.video = r.video AND k.n <= 128)"""
+
+
+def _texts(s: S, d: str) -> DataFrame:
+    path = views.file(s, d).select("folder", "song_id", "path")
+    rows = views.occurrence(s, d).join(views.song(s, d), "song_id").join(path, ["folder", "song_id"], "left").select("playlist_id", "seq", F.col("expected_ms").alias("ms"), "name", "path")
+    return audits.playlist_text(rows).select("playlist_id", F.md5("body").alias("body_md5"))
+
+
+TEXT_SQL = """SELECT o.playlist_id, md5(concat('#EXTM3U', chr(10), string_agg(concat('#EXTINF:', CAST(floor(coalesce(s.expected_ms, 0) / 1000.0 + 0.5) AS BIGINT), ',', s.name, chr(10), coalesce(f.path, '')), chr(10) ORDER BY o.seq))) AS body_md5
+ FROM occurrence o JOIN song s ON s.song_id = o.song_id LEFT JOIN file f ON f.folder = o.folder AND f.song_id = o.song_id GROUP BY 1"""
+
 QUERIES = {
+    "join_candidate_evidence": _evidence,
+    "join_candidate_select": lambda s, d: matching.select_candidate(_evidence(s, d)),
+    "join_rejected_anti": lambda s, d: audits.rejections(matching.evidence(views.candidate(s, d), views.ledger(s, d))),
+    "snk_playlist_text": _texts,
     "agg_repair_manifest": lambda s, d: audits.repair_manifest(_states(s, d)),
     "agg_file_state": lambda s, d: matching.file_state(_states(s, d)),
     "agg_edition_ambiguity": lambda s, d: audits.edition_ambiguity(_states(s, d)),
@@ -190,6 +223,10 @@ QUERIES = {
 SQL = {
     name: with_views(sql)
     for name, sql in {
+        "join_candidate_evidence": f"WITH {IDENTITY} SELECT * FROM final",
+        "join_candidate_select": f"WITH {IDENTITY} SELECT song_id, video, place FROM (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY place) AS r FROM final WHERE reason = 'match') WHERE r = 1",
+        "join_rejected_anti": REJECTED_SQL,
+        "snk_playlist_text": TEXT_SQL,
         "agg_repair_manifest": REPAIR_SQL,
         "agg_file_state": STATE_SQL,
         "agg_edition_ambiguity": AMBIGUOUS_SQL,

@@ -39,7 +39,6 @@ _SQL = {
     "src_file_manifest": "SELECT folder // 2 AS dev, song_id AS ino, string_agg(path, ',' ORDER BY path) AS paths, max(size) AS size, count(*) AS names FROM file GROUP BY 1, 2",
     "snk_upsert_journal": f"WITH a AS ({OLD}), b AS ({NEW}), was AS (SELECT \"key\", arg_max(type, (t, event_id)) AS state, max(event_id) AS event_id FROM a GROUP BY 1), now AS (SELECT \"key\", type AS state, event_id, row_number() OVER (PARTITION BY \"key\" ORDER BY t DESC, event_id DESC) AS r FROM b) SELECT \"key\", state, event_id FROM now WHERE r = 1 UNION ALL SELECT * FROM was WHERE \"key\" NOT IN (SELECT \"key\" FROM now)",
     "snk_reconcile_rows": "SELECT playlist_id, 4 AS status, skipped FROM playlist WHERE rank % 5 = 0 AND status <> 4",
-    "snk_playlist_text": f"SELECT playlist_id, md5(string_agg(concat(CAST(floor(coalesce(expected_ms, 0) / 1000.0 + 0.5) AS BIGINT), ',', name), chr(10) ORDER BY seq)) AS body_md5 FROM ({SONGS_IN}) GROUP BY 1",
     "fn_file_base": f"WITH b AS (SELECT doc_id, {DOC_BASE} AS b FROM documents) SELECT doc_id, md5(CASE WHEN octet_length(encode(b)) <= 251 THEN b ELSE concat(substr(b, 1, (SELECT max(n) FROM range(0, 239) r(n) WHERE octet_length(encode(substr(b, 1, n))) <= 238)), '-', substr(sha256(lower(b)), 1, 12)) END) AS base_md5 FROM b",
     "fn_source_key": f"SELECT song_id, CASE WHEN song_id % 2 = 0 THEN concat('spotify:', lpad(CAST(song_id AS VARCHAR), 22, '0')) ELSE {KEY} END AS source_key FROM song",
     "fn_base_title": "SELECT song_id, name AS title FROM song",
@@ -61,9 +60,6 @@ _SQL = {
     "agg_media_rollup": f"WITH {STATES}, o AS (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY CASE state WHEN 'length-match' THEN 0 WHEN 'missing-source-metadata' THEN 1 ELSE 2 END, path) AS r, count(*) OVER (PARTITION BY song_id) AS places FROM states) SELECT song_id, state, path, places FROM o WHERE r = 1",
     "agg_energy_score": "WITH z AS (SELECT p_partkey AS song_id, least(3, greatest(-3, (p_size - avg(p_size) OVER ()) / stddev_pop(p_size) OVER ())) + 0.5 * least(3, greatest(-3, (p_retailprice - avg(p_retailprice) OVER ()) / stddev_pop(p_retailprice) OVER ())) AS v FROM part) SELECT song_id, round((v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()), 6) AS energy FROM z",
     "agg_output_audit": "WITH p AS (SELECT CAST(t AS DATE) AS day, \"key\", count(*) AS n FROM event WHERE type = 'mp3_verified' GROUP BY 1, 2) SELECT day, CAST(sum(n) AS BIGINT) AS outputs, count(*) FILTER (n > 1) AS repeated_keys, round(sum(n) / 24 / 3.0, 6) AS multiple FROM p GROUP BY 1",
-    "join_candidate_evidence": f"WITH {EVIDENCE} SELECT * FROM evidence",
-    "join_candidate_select": f"WITH {EVIDENCE} SELECT song_id, video, place FROM (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY place) AS r FROM evidence WHERE reason = 'match') WHERE r = 1",
-    "join_rejected_anti": f"WITH {EVIDENCE} SELECT song_id, video, place FROM (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY place DESC, video) AS r FROM evidence WHERE reason = 'mismatch') WHERE r <= 3",
     "join_nearest_variant": f"WITH q AS (SELECT f.path, v.song_id AS variant, round(abs(f.seconds - v.expected_ms / 1000.0), 6) AS gap, {reason('v.expected_ms', 'f.seconds')} = 'match' AS ok FROM file f JOIN song s ON s.song_id = f.song_id JOIN song v ON v.artist = s.artist AND v.name = s.name WHERE f.seconds > 0 AND v.expected_ms IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ok DESC, gap, variant) AS place, count(*) OVER (PARTITION BY path) AS variants FROM q) SELECT path, variants, variant, gap, CASE WHEN ok THEN 'match' ELSE 'mismatch' END AS state FROM r WHERE place = 1",
     "join_occurrence_compare": f"WITH {STATES} SELECT playlist_id, seq, state FROM states",
     "join_reuse_url": "WITH h AS (SELECT artist, name, min(song_id) AS from_id FROM song WHERE song_id % 3 = 0 GROUP BY 1, 2) SELECT s.song_id, h.from_id, concat('http://h/', h.from_id) AS url FROM song s JOIN h ON h.artist = s.artist AND h.name = s.name WHERE s.song_id % 3 <> 0",

@@ -76,7 +76,6 @@ QUERIES = {
     "src_file_manifest": lambda s, d: catalog.file_manifest(views.file(s, d).withColumn("dev", F.floor(F.col("folder") / 2)).withColumn("ino", F.col("song_id"))),
     "snk_upsert_journal": lambda s, d: catalog.upsert(_events_old_new(s, d)[0].groupBy("key").agg(F.max_by("type", F.struct("t", "event_id")).alias("state"), F.max("event_id").alias("event_id")), _events_old_new(s, d)[1].select("key", F.col("type").alias("state"), "event_id", "t"), "key", ["t", "event_id"]),
     "snk_reconcile_rows": lambda s, d: catalog.reconcile(views.playlist(s, d).select("playlist_id", "status", "skipped"), views.playlist(s, d).select("playlist_id", F.when(F.col("rank") % 5 == 0, 4).otherwise(F.col("status")).alias("status"), "skipped"), "playlist_id"),
-    "snk_playlist_text": lambda s, d: _songs_in(s, d).groupBy("playlist_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.concat(F.floor(F.coalesce("expected_ms", F.lit(0)) / 1000 + 0.5), F.lit(","), F.col("name")).alias("line")))), lambda x: x["line"]), "\n").alias("body")).select("playlist_id", F.md5("body").alias("body_md5")),
     "fn_file_base": lambda s, d: views.table(s, d, "documents").select("doc_id", F.md5(keys.file_base(F.col("source"), F.col("text"))).alias("base_md5")),
     "fn_source_key": lambda s, d: views.song(s, d).select("song_id", keys.source_key(keys.source_id(F.when(F.col("song_id") % 2 == 0, F.concat(F.lit("spotify:track:"), F.lpad(F.col("song_id").cast("string"), 22, "0")))), F.col("artist"), F.col("name")).alias("source_key")),
     "fn_base_title": lambda s, d: views.song(s, d).select("song_id", keys.base_title(F.concat("name", F.when(F.col("song_id") % 3 == 0, " - 2011 Remastered").when(F.col("song_id") % 3 == 1, " (Remaster)").otherwise(""))).alias("title")),
@@ -101,9 +100,6 @@ QUERIES = {
     "agg_energy_score": lambda s, d: features.energy_score(views.table(s, d, "part").select(F.col("p_partkey").alias("song_id"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price")), "song_id", {"size": 1.0, "price": 0.5}),
     "agg_isotonic_curve": lambda s, d: features.isotonic_curve(views.table(s, d, "part").groupBy(F.col("p_size").alias("x")).agg(F.avg("p_retailprice").alias("y"))),
     "agg_output_audit": lambda s, d: events.output_audit(views.event(s, d)),
-    "join_candidate_evidence": lambda s, d: _evidence(s, d),
-    "join_candidate_select": lambda s, d: matching.select_candidate(_evidence(s, d)),
-    "join_rejected_anti": lambda s, d: matching.keep_rejected(_evidence(s, d).where("reason = 'mismatch'"), 3),
     "join_nearest_variant": lambda s, d: matching.nearest_variant(views.file(s, d), views.song(s, d)),
     "join_occurrence_compare": lambda s, d: _states(s, d).select("playlist_id", "seq", "state"),
     "join_reuse_url": lambda s, d: catalog.reuse_url(views.song(s, d), _urls(s, d)),
