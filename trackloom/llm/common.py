@@ -98,6 +98,11 @@ def worker_state(key: str, make: Callable):
     return _WORKER["value"]
 
 
+def map_rows(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` whatever the names of its columns (dots, repeats): ``run`` gets them as c0, c1, ..."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(run, schema)
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` without the rows whose doc_id is in ``ids`` (doc_id): by broadcast if those are few enough, else by a
     shuffle. Rows go as one struct, so that no name of their columns matters."""

@@ -548,19 +548,20 @@ def redact(docs: DataFrame, model: SemiMarkov | None = None) -> DataFrame:
     """``docs`` with all spans masked in ``text``; ``n_chars``, if there, follows where a text changed. Other columns stay."""
     common.small_batches(docs.sparkSession)
     model = model or train(docs)
-    follow = "n_chars" in docs.columns
+    at = docs.columns.index("text")
+    follow = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def mask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column(at).to_pylist()
             after = [t if t is None else masked(t, find_spans(t, model)[1]) for t in texts]
-            columns = {c: batch.column(c) for c in batch.schema.names}
-            columns["text"] = pa.array(after, batch.schema.field("text").type)
-            if follow:
-                columns["n_chars"] = pa.array([n if a == t else len(a) for n, t, a in zip(columns["n_chars"].to_pylist(), texts, after)], batch.schema.field("n_chars").type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+            columns = list(batch.columns)
+            columns[at] = pa.array(after, columns[at].type)
+            if follow is not None:
+                columns[follow] = pa.array([n if a == t else len(a) for n, t, a in zip(columns[follow].to_pylist(), texts, after)], columns[follow].type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return docs.mapInArrow(mask, docs.schema)
+    return common.map_rows(docs, mask, docs.schema)
 
 
 def op2_pii_semi_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

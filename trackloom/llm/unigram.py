@@ -251,9 +251,9 @@ def encode(docs: DataFrame, model: str, keep: tuple[str, ...] = ()) -> DataFrame
         enc = common.worker_state(key, lambda: Encoder(shared.value))
         for batch in batches:
             _, codes = _encoded(batch.column(len(names)).to_pylist(), enc)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *codes], [*names, *(f.name for f in codes_of)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *codes], [f"c{k}" for k in range(len(names))] + [f.name for f in codes_of])
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], *codes_of]))
+    return common.map_rows(rows, run, StructType([*rows.schema.fields[:-1], *codes_of]))
 
 
 def round_trip(docs: DataFrame, model: str, keep_ids: bool = True) -> DataFrame:
@@ -274,9 +274,9 @@ def round_trip(docs: DataFrame, model: str, keep_ids: bool = True) -> DataFrame:
             ids, (lists, n_bytes, sums) = _encoded(texts, enc)
             same = [decode_ids(x, enc.v.out) == (t or "").replace(MARK, " ") for x, t in zip(ids, texts)]
             n = pa.array([len(x) for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, *([lists] if keep_ids else []), n, n_bytes, sums, pa.array(same, pa.bool_())], [*names, *(f.name for f in new)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *([lists] if keep_ids else []), n, n_bytes, sums, pa.array(same, pa.bool_())], [f"c{k}" for k in range(len(names))] + [f.name for f in new])
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, *new]))
+    return common.map_rows(rows, run, StructType([*rows.schema.fields, *new]))
 
 
 def decode(encoded: DataFrame, model: str, into: str = "decoded") -> DataFrame:
@@ -292,7 +292,7 @@ def decode(encoded: DataFrame, model: str, into: str = "decoded") -> DataFrame:
             texts = [decode_ids(flat[a:b], out) for a, b in zip(edges, edges[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, into])
 
-    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField(into, StringType())]))
+    return common.map_rows(encoded, run, StructType([*encoded.schema.fields, StructField(into, StringType())]))
 
 
 def op8_unigram_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
