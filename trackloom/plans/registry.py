@@ -65,6 +65,36 @@ def _events_old_new(s: S, d: str) -> tuple[DataFrame, DataFrame]:
     return e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1 or event_id % 6 = 0")
 
 
+def _cosines(s: S, d: str) -> DataFrame:
+    """Distances of the stated query vectors to all vectors of their label."""
+    v = _vectors(s, d)
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("a"), F.col("label").alias("of"), features.unit(F.col("embedding")).alias("u"))
+    rest = v.select("label", F.col("vec_id").alias("b"), features.unit(F.col("embedding")).alias("v"))
+    return features.against(rest, asked).where("label = of").select("a", "b", F.round(1 - features.dot(F.col("u"), F.col("v")), 5).alias("distance"))
+
+
+def _identities(s: S, d: str) -> DataFrame:
+    """Each song against a title and channel that fit, or fail in one way or another, by its id."""
+    n = F.col("song_id") % 5
+    title = F.when(n == 0, "").when(n == 1, F.concat("artist", F.lit(" - "), "name", F.lit(" (Official Video)"))).when(n == 2, F.concat("name", F.lit(" live"))).when(n == 3, "something else").otherwise(F.col("name"))
+    channel = F.when(n == 2, F.col("artist")).otherwise("other")
+    return views.song(s, d).select("song_id", evidence.identity_verdict(F.col("artist"), F.col("name"), title, channel).alias("verdict"))
+
+
+def _exclusions(s: S, d: str) -> DataFrame:
+    e = views.event(s, d)
+    phases = e.where("type = 'download_start'").select("key", F.col("event_id").alias("phase"), F.col("t").alias("start"), (F.col("t") + F.expr("INTERVAL 6 HOURS")).alias("end"))
+    excluded = e.where("type = 'block'").select("key", F.col("t").alias("ex_start"), (F.col("t") + F.expr("INTERVAL 2 HOURS")).alias("ex_end"))
+    return evidence.exclusion_overlap(phases, excluded)
+
+
+def _legacy(s: S, d: str) -> DataFrame:
+    songs, n = views.song(s, d), F.col("song_id")
+    key, old = F.concat(F.lit("spotify:"), n), F.lower(F.concat_ws(" - ", "artist", n.cast("string")))
+    state = F.when(n % 2 == 0, "missing").otherwise("saved").alias("state")
+    return evidence.legacy_fallback(songs.select(key.alias("song_key"), old.alias("old_key")), songs.where("song_id % 4 = 0").select(key.alias("key"), F.lit("saved").alias("state"), F.lit("u").alias("url")), songs.where("song_id % 3 = 0").select(old.alias("key"), state))
+
+
 def _stream_events(s: S, d: str) -> DataFrame:
     raw = live.read_events(s, f"{d}/events.parquet")
     kind = F.create_map(*(F.lit(x) for p in views.TYPES.items() for x in p))[F.col("event_type")]
@@ -147,24 +177,24 @@ QUERIES = {
     "set_affected_rows": lambda s, d: planning.affected(views.occurrence(s, d).select("playlist_id", "song_id", "seq"), views.occurrence(s, d).where("quantity = 50 and song_id % 7 = 0"), "song_id"),
     "win_curve_bins": lambda s, d: planning.curve_bins(views.event(s, d)),
     "top_ready_order": lambda s, d: planning.ready_order(views.playlist(s, d)),
-    "vec_cosine_distance": lambda s, d: _vectors(s, d).where("vec_id % 100 = 0").select(F.col("label"), F.col("vec_id").alias("a"), F.col("embedding").alias("ea")).join(_vectors(s, d).select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("eb")), "label").select("a", "b", F.round(1 - features.dot(features.unit(F.col("ea")), features.unit(F.col("eb"))), 5).alias("distance")),
+    "vec_cosine_distance": _cosines,
     "vec_kernel_regression": lambda s, d: planning.kernel_regression(_vectors(s, d), _vectors(s, d).where("vec_id % 100 = 0")),
     "fn_public_text": lambda s, d: views.table(s, d, "documents").select("doc_id", F.md5(keys.public_text(F.col("text"))).alias("text_md5")),
     "fn_camelot": lambda s, d: views.table(s, d, "part").select(F.col("p_partkey").alias("song_id"), keys.camelot(F.element_at(F.array(*map(F.lit, ("C", "Db", "D", "Bb", "?"))), (F.col("p_partkey") % 5 + 1).cast("int")), F.when(F.col("p_partkey") % 2 == 0, "major").otherwise("minor")).alias("code")),
     "fn_artist_set": lambda s, d: views.song(s, d).select("song_id", F.array_join(keys.artist_set(F.concat("artist", F.lit(" & Zed feat. "), "artist")), "|").alias("artists")),
     "fn_credits_match": lambda s, d: _credits(s, d),
-    "flt_identity": lambda s, d: views.song(s, d).select("song_id", evidence.identity_verdict(F.col("artist"), F.col("name"), F.when(F.col("song_id") % 5 == 0, "").when(F.col("song_id") % 5 == 1, F.concat("artist", F.lit(" - "), "name", F.lit(" (Official Video)"))).when(F.col("song_id") % 5 == 2, F.concat("name", F.lit(" live"))).when(F.col("song_id") % 5 == 3, "something else").otherwise(F.col("name")), F.when(F.col("song_id") % 5 == 2, F.col("artist")).otherwise("other")).alias("verdict")),
+    "flt_identity": _identities,
     "flt_beatable": lambda s, d: events.tempo_from_beats(views.event(s, d)).where("regularity >= 0.1 and gaps >= 8 and per_minute > 0").select("key", "gaps"),
     "join_media_resolve": lambda s, d: evidence.media_resolve(views.occurrence(s, d), views.file(s, d).where("path not like '%7/%'")),
     "join_presence": lambda s, d: evidence.presence(views.playlist(s, d), views.occurrence(s, d).select("playlist_id", (F.col("n") % 2 == 0).alias("complete"), F.col("seq").alias("at"), (F.col("quantity") > 20).alias("returned"))),
     "join_ratings_last": lambda s, d: evidence.ratings_last(views.event(s, d).select((F.col("key") % 10).alias("a"), (F.col("k") % 10).alias("b"), F.when(F.col("type") != "block", F.col("k")).alias("vote"), "t", "event_id")),
     "join_event_interval": lambda s, d: evidence.event_interval(views.event(s, d).where("type = 'download_start'").select("key", F.col("event_id").alias("file_id"), F.col("t").alias("at")), views.event(s, d).where("type = 'mp3_verified'")),
-    "join_exclusion_overlap": lambda s, d: evidence.exclusion_overlap(views.event(s, d).where("type = 'download_start'").select("key", F.col("event_id").alias("phase"), F.col("t").alias("start"), (F.col("t") + F.expr("INTERVAL 6 HOURS")).alias("end")), views.event(s, d).where("type = 'block'").select("key", F.col("t").alias("ex_start"), (F.col("t") + F.expr("INTERVAL 2 HOURS")).alias("ex_end"))),
+    "join_exclusion_overlap": _exclusions,
     "agg_grid_report": lambda s, d: evidence.class_report(views.table(s, d, "lineitem").select(F.col("l_returnflag").alias("class"), "l_quantity"), "l_quantity", [0.0, 10.0, 20.0, 30.0, 40.0, 51.0]),
     "win_tempo_refine": lambda s, d: evidence.tempo_refine(views.event(s, d)),
     "win_join_profile": lambda s, d: evidence.join_profile(_bars(s, d)),
     "set_changed_keys": lambda s, d: evidence.changed_keys(views.file(s, d), views.file(s, d).where("folder % 50 = 3").select("folder")),
-    "join_legacy_fallback": lambda s, d: evidence.legacy_fallback(views.song(s, d).select(F.concat(F.lit("spotify:"), "song_id").alias("song_key"), F.lower(F.concat_ws(" - ", "artist", F.col("song_id").cast("string"))).alias("old_key")), views.song(s, d).where("song_id % 4 = 0").select(F.concat(F.lit("spotify:"), "song_id").alias("key"), F.lit("saved").alias("state"), F.lit("u").alias("url")), views.song(s, d).where("song_id % 3 = 0").select(F.lower(F.concat_ws(" - ", "artist", F.col("song_id").cast("string"))).alias("key"), F.when(F.col("song_id") % 2 == 0, "missing").otherwise("saved").alias("state"))),
+    "join_legacy_fallback": _legacy,
     "top_labels": lambda s, d: features.top_labels(_vectors(s, d).select(F.col("label").alias("series"), "embedding"), 5),
     "str_trip_state": lambda s, d: live.stream_to_table(live.trip_state(_stream_events(s, d).withColumn("t", F.col("t").cast("timestamp")))).select("key", "event_id", "run"),
     "fn_source_id": lambda s, d: views.table(s, d, "pages").select("page_id", keys.source_id(F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://open.spotify.com/track/"), F.lpad(F.col("page_id").cast("string"), 22, "a"), F.lit("?si=1"))).otherwise(F.col("url"))).alias("source_id")),
