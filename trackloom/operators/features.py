@@ -171,23 +171,24 @@ def greedy_sequence(items: DataFrame, block: str, most: int = 64) -> DataFrame:
         while left:
             path.append(min(left, key=lambda j: (c[path[-1], j], j)))
             left.remove(path[-1])
-        cost = lambda *steps: sum(c[x, y] for x, y in zip(steps, steps[1:]) if x is not None and y is not None)
-        at = lambda k: path[k] if 0 <= k < n else None
-        better = True
+        c = np.pad(c, (0, 1))  # place n stands for the end, at no cost
+        path, better = np.array(path), n > 2
         while better:
             better = False
             for i in range(1, n - 1):  # costs are the same both ways, so turning a piece changes its two edges only
-                for j in range(i + 1, n):
-                    if cost(at(i - 1), path[j]) + cost(path[i], at(j + 1)) < cost(at(i - 1), path[i]) + cost(path[j], at(j + 1)) - 1e-9:
-                        path[i : j + 1] = path[i : j + 1][::-1]
-                        better = True
+                last, beyond = path[i + 1 :], np.append(path[i + 2 :], n)
+                change = c[path[i - 1], last] + c[path[i], beyond] - c[path[i - 1], path[i]] - c[last, beyond]
+                k = int(change.argmin())
+                if change[k] < -1e-9:
+                    path[i : i + k + 2] = path[i : i + k + 2][::-1]
+                    better = True
             for i in range(1, n):
-                x = path.pop(i)
-                gain = cost(at(i - 1), x) + cost(x, path[i] if i < n - 1 else None) - cost(at(i - 1), path[i] if i < n - 1 else None)
-                adds = [cost(path[k - 1], x) + cost(x, path[k] if k < n - 1 else None) - cost(path[k - 1], path[k] if k < n - 1 else None) for k in range(1, n)]
-                k = int(np.argmin(adds)) + 1
-                path.insert(k if adds[k - 1] < gain - 1e-9 else i, x)
-                better = better or adds[k - 1] < gain - 1e-9
+                x, rest = path[i], np.delete(path, i)
+                after = np.append(rest[1:], n)
+                adds = c[rest, x] + c[x, after] - c[rest, after]
+                k = int(adds.argmin())
+                if adds[k] < adds[i - 1] - 1e-9:
+                    path, better = np.insert(rest, k + 1, x), True
         first = int(pdf.stretch.iloc[0]) * most
         return pd.DataFrame({block: pdf[block].iloc[0], "part": pdf.part.iloc[0], "place": range(first + 1, first + n + 1), "song_id": pdf.song_id.to_numpy()[path]})
 
