@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from trackloom.llm import decontaminate, language_model, near_dedup, pii, quality, records, token_counts, toxicity, unigram, url_rules
+from trackloom.llm import decontaminate, filter_audit, language_model, near_dedup, pii, prefix_trie, quality, records, simhash, token_counts, toxicity, unigram, url_rules
 
 
 def queries() -> dict:
@@ -19,8 +19,11 @@ def queries() -> dict:
         "op8_unigram_viterbi": unigram.op8_unigram_viterbi,
         "op9_weak_supervision_toxicity": toxicity.op9_weak_supervision_toxicity,
         "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
+        "op11_simhash_near_dedup": simhash.op11_simhash_near_dedup,
+        "op12_conversation_prefix_trie": prefix_trie.op12_conversation_prefix_trie,
+        "op13_filter_interaction_audit": filter_audit.op13_filter_interaction_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_conversation_prefix_trie": prefix_trie.SQL, "op13_filter_interaction_audit": filter_audit.SQL}
