@@ -54,26 +54,6 @@ def against(rows: DataFrame, stated: DataFrame) -> DataFrame:
     return mine.join(F.broadcast(own) if parts == 1 else own, "part").drop("part")
 
 
-def pair_cost(items: DataFrame, block: str, reach: int = 16) -> DataFrame:
-    """Cost of going from one item of a block to another: tempo, step of energy, same name, key distance.
-
-    Each item meets the ``reach`` next ones of its block in order of tempo, both ways: rows grow with the items, not with
-    their pairs.
-    """
-    fields = ["song_id", "tempo", "energy", "name", "camelot"]
-    after = Window.partitionBy(block, "part").orderBy("tempo", "song_id").rowsBetween(1, reach)
-    near = dealt(items, block, "song_id").select(block, F.struct(*fields).alias("x"), F.collect_list(F.struct(*fields)).over(after).alias("next")).select(block, "x", F.explode("next").alias("y"))
-    both = near.select(block, F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("y").alias("a"), F.col("x").alias("b")))).alias("p")).select(block, "p.*")
-    cost = 10 * F.abs(F.log2(F.col("b.tempo") / F.col("a.tempo"))) + 2 * F.abs(F.col("b.energy") - F.col("a.energy")) + F.when(F.col("a.name") == F.col("b.name"), 3.0).otherwise(0.0) + 0.5 * keys.camelot_distance(F.col("a.camelot"), F.col("b.camelot"))
-    return both.select(block, F.col("a.song_id").alias("a"), F.col("b.song_id").alias("b"), F.round(cost, 6).alias("cost"))
-
-
-def top_candidates(costs: DataFrame, k: int = 3) -> DataFrame:
-    """The k cheapest followers of each item."""
-    r = F.row_number().over(Window.partitionBy("a").orderBy("cost", "b"))
-    return costs.withColumn("place", r).where(F.col("place") <= k).select("a", "place", "b", "cost")
-
-
 def active_span(bars: DataFrame, within: float = 6.0) -> DataFrame:
     """First and last bar of each series within ``within`` dB of its 90th percentile."""
     level = bars.groupBy("playlist_id").agg(F.percentile("rel_db", 0.9).alias("p90"))

@@ -1,4 +1,4 @@
-"""Costs and fits of items: neighbours in tempo, bridges between blocks, distances of profiles, levels, slots, forecasts."""
+"""Costs and fits of items: a stated set against its blocks, bridges between blocks, distances of profiles, levels, slots, forecasts."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import keys
-from trackloom.operators.features import against, dealt, dot, unit
+from trackloom.operators.features import against, dot, unit
 
 # Weights of the cost of one item after another, the bridge's tolerance, slot limits.
 COST = {"tempo": 25.0, "step": 4.0, "step_free": 0.15, "key": 0.3, "bucket": 1.0, "timbre": 0.3, "same_artist": 5.0, "house_down": 0.5, "house_down_bpm": 1.0}
@@ -15,18 +15,15 @@ BRIDGE_TOLERANCE, LEVEL = 0.06, 0.25
 STEPS = 10_000
 
 
-def pair_cost_block(items: DataFrame, reach: int = 8) -> DataFrame:
-    """(block, a, b, cost) of each item and the ``reach`` next ones of its block in order of tempo, both ways.
+def pair_cost_block(items: DataFrame, queries: DataFrame) -> DataFrame:
+    """(block, a, b, cost) of each item of a stated set ``queries`` and every other item of its block.
 
-    Rows grow with the items, not with their pairs: an item far off in tempo costs more than any other term can give
-    back. ``items``: (song_id, block, tempo, energy, artist, bucket, camelot, timbre, harmonic). An unknown timbre counts as
-    one typical distance; a key counts only where the second item starts on a harmony; going down in tempo costs in house.
+    ``items``: (song_id, block, tempo, energy, artist, bucket, camelot, timbre, harmonic). An unknown timbre counts as one
+    typical distance; a key counts only where the second item starts on a harmony; going down in tempo costs in house. Rows
+    grow with the items times the queries of a block.
     """
-    rows = dealt(items, "block", "song_id")
     fields = ["song_id", "tempo", "energy", "artist", "bucket", "camelot", "timbre", "harmonic"]
-    after = Window.partitionBy("block", "part").orderBy("tempo", "song_id").rowsBetween(1, reach)
-    near = rows.select("block", F.struct(*fields).alias("x"), F.collect_list(F.struct(*fields)).over(after).alias("next")).select("block", "x", F.explode("next").alias("y"))
-    both = near.select("block", F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("y").alias("a"), F.col("x").alias("b")))).alias("p")).select("block", "p.*")
+    both = queries.select("block", F.struct(*fields).alias("a")).join(items.select("block", F.struct(*fields).alias("b")), "block").where(F.col("a.song_id") != F.col("b.song_id"))
     a, b = (lambda f: F.col(f"a.{f}")), (lambda f: F.col(f"b.{f}"))
     far = F.abs(a("timbre") - b("timbre"))
     cost = (

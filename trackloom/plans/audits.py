@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession as S
 from trackloom.operators import audits, catalog, events, evidence, matching, planning
 from trackloom.plans.ingest import one_of
 from trackloom.plans.oracle import FLAGS, KEY, reason
-from trackloom.sources import documents, views
+from trackloom.sources import documents, shared, views
 from trackloom.sources.views import with_views
 
 # ---- physical files that two folders share, with few uses each: all match, all fail, some unknown, mixed
@@ -123,7 +123,7 @@ def _event_lines(s: S, d: str) -> DataFrame:
     e = views.event(s, d)
     text = F.to_json(F.struct("event_id", "key", "type", "k"))
     line = F.when(F.col("event_id") % 31 == 0, F.substring(text, F.lit(1), F.length(text) - 2)).when(F.col("event_id") % 37 == 0, F.concat(F.lit("# "), text)).otherwise(text)
-    path = documents.write_lines(e, line, documents.shared_path(s, "log"))
+    path = documents.write_lines(e, line, shared.shared_path(s, "log"))
     read = documents.read_lines(s, path, "event_id long, key long, type string, k int")
     return read.where("not bad and k is not null and type is not null").select("event_id", "key", "type", "k")
 
@@ -138,7 +138,7 @@ def _playlist_documents(s: S, d: str) -> DataFrame:
     rows = views.occurrence(s, d).join(views.song(s, d), "song_id").groupBy("playlist_id").agg(F.array_sort(F.collect_list(track)).alias("tracks"))
     p = views.playlist(s, d).select("playlist_id", one_of(F.col("playlist_id") % 9, F.concat(F.lit("Daily Mix "), F.col("rank").cast("string")), F.lit(" dj "), *[F.col("name")] * 7).alias("name"), "skipped")
     docs = p.join(rows, "playlist_id").select(F.to_json(F.struct("playlist_id", "name", "skipped", "tracks")).alias("text"))
-    path = documents.write_lines(docs, F.col("text"), documents.shared_path(s, "playlists"))
+    path = documents.write_lines(docs, F.col("text"), shared.shared_path(s, "playlists"))
     read = documents.read_lines(s, path, "playlist_id long, name string, skipped boolean, tracks array<struct<seq: int, id: long, artist: string, name: string, number: long>>")
     kept = read.where(~F.col("bad") & ~F.col("skipped") & ~planning.excluded_name(F.col("name")))
     return kept.select("playlist_id", F.explode("tracks").alias("t")).where("coalesce(t.artist, '') <> '' and coalesce(t.name, '') <> ''").select("playlist_id", F.col("t.id").alias("song_id"), F.col("t.number").alias("n"), "t.seq", "t.artist", "t.name")
@@ -150,7 +150,7 @@ PLAYLIST_SQL = "SELECT o.playlist_id, o.song_id, o.n, CAST(o.seq AS INTEGER) AS
 def _csv(s: S, d: str) -> DataFrame:
     """Documents as CSV with safe cells, written and read back: what is read is what was to be written."""
     rows = views.table(s, d, "documents").select("doc_id", documents.safe_cell(F.col("text")).alias("cell"))
-    path = documents.write_csv(rows, documents.shared_path(s, "csv"))
+    path = documents.write_csv(rows, shared.shared_path(s, "csv"))
     return documents.read_csv(s, path, "doc_id long, cell string").select("doc_id", F.md5("cell").alias("cell_md5"))
 
 

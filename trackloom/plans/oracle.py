@@ -28,7 +28,6 @@ STATES = f"states AS (SELECT o.playlist_id, o.seq, o.song_id, f.dev, f.ino, f.pa
 FILE_STATE = "file_state AS (SELECT dev, ino, count(*) AS uses, max(size) AS size, CASE WHEN bool_or(state = 'probable-bad-duration') THEN 'probable-bad-duration' WHEN bool_or(state = 'missing-source-metadata') THEN 'missing-source-metadata' ELSE 'length-match' END AS state FROM states GROUP BY 1, 2)"
 BARS = "bars AS (SELECT playlist_id, seq AS bar, -100 * discount AS rel_db, quantity AS level FROM occurrence)"
 ITEMS = f"items AS (SELECT p_partkey AS song_id, p_brand AS artist, p_name AS name, {FOLD.format(x='(p_retailprice / 10)')} AS tempo, p_size / 50.0 AS energy, p_partkey % 12 + 1 AS wheel, p_partkey % 2 AS letter FROM part)"
-COSTS = f"{ITEMS}, near AS (SELECT *, row_number() OVER (PARTITION BY artist ORDER BY tempo, song_id) AS place FROM items), costs AS (SELECT a.artist, a.song_id AS a, b.song_id AS b, round(10 * abs(log2(b.tempo / a.tempo)) + 2 * abs(b.energy - a.energy) + CASE WHEN a.name = b.name THEN 3.0 ELSE 0.0 END + 0.5 * (least(abs(a.wheel - b.wheel), 12 - abs(a.wheel - b.wheel)) + CASE WHEN a.letter <> b.letter THEN 1 ELSE 0 END), 6) AS cost FROM near a JOIN near b ON a.artist = b.artist AND a.place <> b.place AND abs(a.place - b.place) <= 16)"
 FLAGS = "array_to_string(list_filter([{e}], lambda e: contains(concat(' ', regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), concat(' ', e, ' '))), ',')".format(e=", ".join(f"'{e}'" for e in keys.EDITIONS))
 UNIT = "SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v FROM embeddings"
 OLD = "SELECT * FROM event WHERE event_id % 2 = 0"
@@ -64,7 +63,6 @@ _SQL = {
     "join_occurrence_compare": f"WITH {STATES} SELECT playlist_id, seq, state FROM states",
     "join_reuse_url": "WITH h AS (SELECT artist, name, min(song_id) AS from_id FROM song WHERE song_id % 3 = 0 GROUP BY 1, 2) SELECT s.song_id, h.from_id, concat('http://h/', h.from_id) AS url FROM song s JOIN h ON h.artist = s.artist AND h.name = s.name WHERE s.song_id % 3 <> 0",
     "join_unmatched_coverage": "SELECT 'saved' AS state, count(*) AS n FROM song WHERE song_id IN (SELECT song_id FROM file) UNION ALL SELECT 'missing', count(*) FROM song WHERE song_id NOT IN (SELECT song_id FROM file) UNION ALL SELECT 'unexpected', count(DISTINCT song_id) FROM file WHERE song_id NOT IN (SELECT song_id FROM song)",
-    "join_pair_cost": f"WITH {COSTS} SELECT * FROM costs",
     "set_membership_diff": "WITH a AS (SELECT playlist_id, song_id, count(*) FILTER (quantity < 40) AS x, count(*) FILTER (quantity > 10) AS y FROM occurrence GROUP BY 1, 2) SELECT playlist_id, CAST(sum(greatest(y - x, 0)) AS BIGINT) AS added, CAST(sum(greatest(x - y, 0)) AS BIGINT) AS removed, CAST(sum(least(x, y)) AS BIGINT) AS kept FROM a GROUP BY 1",
     "set_multiset_max": "WITH c AS (SELECT \"key\", greatest(count(*) FILTER (event_id % 2 = 0), count(*) FILTER (event_id % 2 = 1 OR event_id % 6 = 0)) AS times FROM event WHERE type = 'block' GROUP BY 1) SELECT \"key\", CAST(unnest(range(1, times + 1)) AS INTEGER) AS copy FROM c",
     "win_trailing_rates": "WITH m AS (SELECT max(t) AS last FROM event), w AS (SELECT unnest([10, 30, 60, 120]) AS minutes) SELECT w.minutes, count(*) FILTER (type = 'download_start') AS starts, count(*) FILTER (type = 'mp3_verified') AS done, count(*) FILTER (type = 'block') AS blocks, round(count(*) FILTER (type = 'mp3_verified') * 1.0 / w.minutes, 6) AS rate FROM w, m, event e WHERE e.t > m.last - to_minutes(w.minutes) GROUP BY w.minutes",
@@ -80,7 +78,6 @@ _SQL = {
     "win_join_jumps": f"WITH {BARS}, j AS (SELECT playlist_id, abs(level - lag(level) OVER (PARTITION BY playlist_id ORDER BY bar)) AS jump FROM bars) SELECT playlist_id, max(jump) AS worst_jump, count(jump) AS joins FROM j GROUP BY 1",
     "win_timeline": f"WITH {BARS} SELECT playlist_id, bar, round(coalesce(sum(level) OVER (PARTITION BY playlist_id ORDER BY bar ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 2.0 * (bar - 1), 6) AS start FROM bars",
     "win_energy_tiers": f"WITH {ITEMS}, r AS (SELECT artist, song_id, row_number() OVER (PARTITION BY artist ORDER BY energy DESC, song_id) AS place, count(*) OVER (PARTITION BY artist) AS n FROM items) SELECT artist, song_id, CASE WHEN place <= round_even(n * 0.25, 0) THEN 'peak' WHEN place <= round_even(n * 0.25, 0) + round_even(n * 0.5, 0) THEN 'middle' ELSE 'rest' END AS tier FROM r",
-    "top_candidates": f"WITH {COSTS} SELECT a, CAST(place AS INTEGER) AS place, b, cost FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cost, b) AS place FROM costs) WHERE place <= 3",
     "vec_pool_normalize": f"WITH u AS ({UNIT}), p AS (SELECT label, CAST(i - 1 AS INTEGER) AS place, avg(v[i]) AS x FROM u, range(1, 65) r(i) GROUP BY 1, 2) SELECT label, place, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 6) AS x FROM p",
     "vec_knn_vote": f"WITH u AS ({UNIT}), s AS (SELECT a.vec_id, b.label, list_dot_product(a.v, b.v) AS sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.v, b.v) DESC, b.vec_id) AS r FROM u a JOIN u b ON b.vec_id % 100 = 0 AND a.vec_id <> b.vec_id), v AS (SELECT vec_id, label, sum(sim) AS votes FROM s WHERE r <= 5 GROUP BY 1, 2) SELECT vec_id, label FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY votes DESC, label DESC) AS r FROM v) WHERE r = 1",
     "str_throughput": "WITH w AS (SELECT time_bucket(INTERVAL 10 MINUTE, t) - to_minutes(unnest([0, 10, 20])) AS start FROM event WHERE type = 'mp3_verified') SELECT start, count(*) AS done, round(count(*) / 30.0, 6) AS rate FROM w GROUP BY 1",

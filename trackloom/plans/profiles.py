@@ -18,7 +18,7 @@ C = profiles.COST
 # ---- items in blocks
 
 
-def _items(s: S, d: str) -> DataFrame:
+def block_items(s: S, d: str) -> DataFrame:
     n = F.col("p_partkey")
     block = one_of(n % 3, "house", "dnb", "swing")
     tempo = one_of(n % 3, 120 + n % 8 + F.col("p_size") / 100, 160 + n % 19 + F.col("p_size") / 100, 78 + n % 11 + F.col("p_size") / 100)
@@ -30,11 +30,11 @@ def _items(s: S, d: str) -> DataFrame:
 
 ITEMS = """items AS (SELECT p_partkey AS song_id, ['house', 'dnb', 'swing'][p_partkey % 3 + 1] AS block, CASE p_partkey % 3 WHEN 0 THEN 120 + p_partkey % 8 WHEN 1 THEN 160 + p_partkey % 19 ELSE 78 + p_partkey % 11 END + p_size / 100.0 AS tempo, p_size / 50.0 AS energy, p_brand AS artist, p_type AS bucket,
  p_partkey % 12 + 1 AS wheel, p_partkey % 2 AS letter, CASE WHEN p_partkey % 10 <> 0 THEN (p_partkey * 7 % 100) / 20.0 END AS timbre, p_partkey % 4 <> 0 AS harmonic, p_partkey % 5 <> 0 AS locked FROM part)"""
-PAIR_SQL = f"""WITH {ITEMS}, r AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY tempo, song_id) AS place FROM items)
+PAIR_SQL = f"""WITH {ITEMS}
  SELECT a.block, a.song_id AS a, b.song_id AS b, round({C['tempo']} * abs(ln(b.tempo / a.tempo)) + {C['step']} * greatest(0.0, abs(b.energy - a.energy) - {C['step_free']})
  + CASE WHEN b.harmonic THEN {C['key']} * greatest(0, least(abs(a.wheel - b.wheel), 12 - abs(a.wheel - b.wheel)) + CASE WHEN a.letter <> b.letter THEN 1 ELSE 0 END - 1) ELSE 0 END
  + {C['timbre']} * CASE WHEN a.timbre IS NULL OR b.timbre IS NULL THEN 1.0 ELSE least(2.0, abs(a.timbre - b.timbre)) END + CASE WHEN a.artist = b.artist THEN {C['same_artist']} ELSE 0 END + CASE WHEN a.bucket <> b.bucket THEN {C['bucket']} ELSE 0 END
- + CASE WHEN a.block = 'house' AND b.tempo < a.tempo - {C['house_down_bpm']} THEN {C['house_down']} ELSE 0 END, 6) AS cost FROM r a JOIN r b ON a.block = b.block AND a.place <> b.place AND abs(a.place - b.place) <= 8"""
+ + CASE WHEN a.block = 'house' AND b.tempo < a.tempo - {C['house_down_bpm']} THEN {C['house_down']} ELSE 0 END, 6) AS cost FROM items a JOIN items b ON a.block = b.block AND a.song_id <> b.song_id AND a.song_id % 100 = 0"""
 BRIDGE_SQL = f"""WITH {ITEMS}, c AS (SELECT a.song_id AS a, b.song_id AS b, abs(a.tempo / (b.tempo * 2) - 1) AS dev, {C['tempo']} * ln(1 + abs(a.tempo / (b.tempo * 2) - 1)) + {C['step']} * greatest(0.0, abs(a.energy - b.energy) - {C['step_free']}) AS cost
  FROM items a JOIN items b ON a.block = 'dnb' AND b.block = 'swing' AND a.locked AND b.locked) SELECT a, b, round(dev, 6) AS deviation, round(cost, 6) AS cost FROM c WHERE dev <= 0.06 ORDER BY 4, a, b LIMIT 1"""
 
@@ -128,8 +128,8 @@ FORECAST_SQL = """WITH g AS (SELECT "key" AS k, max(epoch_us(t)) AS now, count(*
  round(CASE WHEN least(rate, coalesce(ceiling, rate)) > 0 AND remaining > 0 THEN remaining / least(rate, coalesce(ceiling, rate)) / 60 + wait / 3600000.0 END, 6) AS hours, round(CASE WHEN ceiling > 0 AND remaining > 0 THEN remaining / ceiling / 60 + wait / 3600000.0 END, 6) AS ceiling_hours, coalesce(rate > ceiling, false) AS capped FROM s"""
 
 QUERIES = {
-    "join_pair_cost_block": lambda s, d: profiles.pair_cost_block(_items(s, d)),
-    "top_bridge_pair": lambda s, d: profiles.bridge_pair(_items(s, d), "dnb", "swing"),
+    "join_pair_cost_block": lambda s, d: profiles.pair_cost_block(block_items(s, d), block_items(s, d).where("song_id % 100 = 0")),
+    "top_bridge_pair": lambda s, d: profiles.bridge_pair(block_items(s, d), "dnb", "swing"),
     "agg_mood_calibration": lambda s, d: profiles.mood_calibration(_distances(s, d)),
     "agg_key_threshold": _threshold,
     "vec_key_profile": _key_profile,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import keys
 from trackloom.operators import catalog, events, evidence, features, matching, planning
-from trackloom.plans import audits, bindings, ingest, oracle, profiles, signals, streams
+from trackloom.plans import audits, bindings, followers, ingest, oracle, profiles, signals, streams
 from trackloom.sources import views
 from trackloom.streaming import live
 
@@ -134,7 +134,6 @@ QUERIES = {
     "join_occurrence_compare": lambda s, d: _states(s, d).select("playlist_id", "seq", "state"),
     "join_reuse_url": lambda s, d: catalog.reuse_url(views.song(s, d), _urls(s, d)),
     "join_unmatched_coverage": lambda s, d: catalog.unmatched_coverage(views.song(s, d), views.file(s, d)),
-    "join_pair_cost": lambda s, d: features.pair_cost(_items(s, d), "artist"),
     "set_membership_diff": lambda s, d: catalog.membership_diff(views.occurrence(s, d).where("quantity < 40"), views.occurrence(s, d).where("quantity > 10")),
     "set_multiset_max": lambda s, d: catalog.multiset_max(*(e.where("type = 'block'").select("key") for e in _events_old_new(s, d)), "key"),
     "win_trailing_rates": lambda s, d: events.trailing_rates(views.event(s, d)),
@@ -150,7 +149,6 @@ QUERIES = {
     "win_join_jumps": lambda s, d: features.join_jumps(_bars(s, d)),
     "win_timeline": lambda s, d: features.timeline(_bars(s, d)),
     "win_energy_tiers": lambda s, d: features.energy_tiers(_items(s, d), "song_id", "artist"),
-    "top_candidates": lambda s, d: features.top_candidates(features.pair_cost(_items(s, d), "artist")),
     "ord_greedy_sequence": lambda s, d: features.greedy_sequence(_items(s, d), "name"),
     "vec_pool_normalize": lambda s, d: features.pool(_vectors(s, d), "label"),
     "vec_knn_vote": lambda s, d: features.knn_vote(_vectors(s, d), _vectors(s, d).where("vec_id % 100 = 0")),
@@ -205,7 +203,7 @@ QUERIES = {
     "win_nearest_section": lambda s, d: evidence.nearest_section(features.pool(_vectors(s, d), "label")),
 }
 
-_PARTS = (ingest, bindings, profiles, signals, streams, audits)
+_PARTS = (ingest, bindings, profiles, followers, signals, streams, audits)
 for _part in _PARTS:
     QUERIES |= _part.QUERIES
 #: The SQL of every query that has one.

@@ -2,22 +2,10 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one on a local master."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at and not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(at or 'file://' + tempfile.mkdtemp(prefix='trackloom-')).rstrip('/')}/trackloom/{label}-{uuid.uuid4().hex}"
-
-
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The JSON objects of the lines at ``path``, with ``bad`` for a line that is none: cut off, empty or of another kind."""
     doc = F.from_json("value", f"{schema}, bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"})

@@ -7,7 +7,6 @@ of the same batch left, so a batch that runs twice counts once. Readers take the
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from trackloom.streaming.live import shared_dir
+from trackloom.sources.shared import shared_path
 
 COMPACT = 16
 
@@ -63,7 +62,7 @@ def _run(stream: DataFrame, each: Callable[[DataFrame, int], None], base: str, m
 def journal_upsert(stream: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The latest row of each key of a finite stream of checkpoints, merged batch by batch."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark).rstrip('/')}/trackloom/journal-{uuid.uuid4().hex}"
+    base = shared_path(spark, "journal")
     journal = Journal(spark, f"{base}/rows", key, order)
     _run(stream, journal.put, base)
     rows = journal.rows()
@@ -76,7 +75,7 @@ def live_coverage(stream: DataFrame) -> DataFrame:
     A batch recounts only the playlists that it names; a track's latest state counts: ``saved``, ``failed`` or any other.
     """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark).rstrip('/')}/trackloom/coverage-{uuid.uuid4().hex}"
+    base = shared_path(spark, "coverage")
     tracks = Journal(spark, f"{base}/tracks", ["playlist_id", "track"], ["t", "event_id"])
     counts = Journal(spark, f"{base}/counts", ["playlist_id"], ["tracks"])
 

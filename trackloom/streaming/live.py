@@ -2,27 +2,18 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one for a local master (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at and not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return at or "file://" + tempfile.mkdtemp(prefix="trackloom-")
+from trackloom.sources.shared import shared_path
 
 
 def stream_to_table(stream: DataFrame) -> DataFrame:
     """Runs a finite append stream to its end into Parquet in the shared folder, and reads that."""
-    base = f"{shared_dir(stream.sparkSession).rstrip('/')}/trackloom/stream-{uuid.uuid4().hex}"
+    base = shared_path(stream.sparkSession, "stream")
     stream.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/log").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/rows")
 
