@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.functions import keys
 from trackloom.operators import matching
+from trackloom.operators.ordering import placed
+from trackloom.sources.shared import materialize
 
 
 def repair_manifest(states: DataFrame) -> DataFrame:
@@ -40,23 +44,19 @@ def edition_verdict(a: Column, b: Column) -> Column:
     return F.struct(F.array_join(fa, ",").alias("wanted"), F.array_join(fb, ",").alias("found"), F.when(more & less, "other").when(more, "extra").when(less, "lacking").otherwise("match").alias("verdict"))
 
 
-def sort_modes(playlists: DataFrame, k: int = 50) -> DataFrame:
-    """The first ``k`` playlists of each sort mode: name, recents, played (those ever played first) and activity (bucket, remaining, rank)."""
+def sort_modes(playlists: DataFrame, k: int | None = None) -> DataFrame:
+    """Every playlist's place in each sort mode: name, recents, played (those ever played first) and activity (bucket, remaining,
+    rank); the first ``k`` of each if asked."""
     orders = {
-        "name": [F.lower("name"), F.col("playlist_id")],
-        "recents": [F.desc_nulls_last("last_played"), F.col("playlist_id")],
-        "played": [F.desc("plays"), F.desc_nulls_last("last_played"), F.col("playlist_id")],
-        "activity": [F.col("bucket"), F.desc("remaining"), F.col("rank"), F.col("playlist_id")],
+        "name": [F.lower("name").asc(), F.col("playlist_id").asc()],
+        "recents": [F.desc_nulls_last("last_played"), F.asc("playlist_id")],
+        "played": [F.desc("plays"), F.desc_nulls_last("last_played"), F.asc("playlist_id")],
+        "activity": [F.asc("bucket"), F.desc("remaining"), F.asc("rank"), F.asc("playlist_id")],
     }
-    parts = []
-    for mode, order in orders.items():
-        best = playlists.orderBy(*order).limit(k)
-        place = F.row_number().over(Window.orderBy(*order))
-        parts.append(best.select(F.lit(mode).alias("mode"), place.alias("place"), "playlist_id", "bucket"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    playlists = materialize(playlists, "playlists")
+    modes = [placed(playlists, order).select(F.lit(mode).alias("mode"), "place", "playlist_id", "bucket") for mode, order in orders.items()]
+    out = reduce(DataFrame.union, modes)
+    return out.where(F.col("place") <= k) if k else out
 
 
 def manifest(rows: DataFrame, private: str) -> DataFrame:

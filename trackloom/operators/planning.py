@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.operators.ordering import placed
+
 # Names left out of a catalog, genre words by bucket in their order, energy target points.
 EXCLUDED = r"(?i)^(daily mix(?:es)?(?:\s.*)?|dj|discover weekly|release radar|on repeat|repeat rewind|(?:your )?daily drive)$"
 GENRES = {
@@ -104,16 +106,17 @@ def block_assign(items: DataFrame, least: int = 3) -> DataFrame:
     return rows.join(sizes, "block").select("song_id", F.when(F.col("n") < least, "close").otherwise(F.col("block")).alias("block"))
 
 
-def metadata_priority(songs: DataFrame, k: int = 100) -> DataFrame:
-    """The k unknown or odd lengths to look up first: under a minute, then the longest; a report of k rows."""
+def metadata_priority(songs: DataFrame, k: int | None = None) -> DataFrame:
+    """Unknown or odd lengths in the order in which to look them up: under a minute, then the longest; the first ``k`` if asked."""
     ms = F.coalesce("expected_ms", F.lit(0))
-    first = F.when(ms < 60_000, 0).otherwise(1)
-    return songs.select("song_id", first.alias("tier"), ms.alias("ms")).orderBy("tier", F.desc("ms"), "song_id").limit(k)
+    rows = placed(songs.select("song_id", F.when(ms < 60_000, 0).otherwise(1).alias("tier"), ms.alias("ms")), [F.asc("tier"), F.desc("ms"), F.asc("song_id")])
+    return rows.where(F.col("place") <= k) if k else rows
 
 
-def ready_order(playlists: DataFrame, k: int = 50) -> DataFrame:
-    """The k rows due first: recently played, then rank; a report of k rows."""
-    return playlists.where("status = 0 and not skipped").orderBy(F.desc("last_played"), "rank", "playlist_id").limit(k).select("playlist_id", "rank")
+def ready_order(playlists: DataFrame, k: int | None = None) -> DataFrame:
+    """The rows due in their order: recently played, then rank; the first ``k`` if asked."""
+    rows = placed(playlists.where("status = 0 and not skipped").select("playlist_id", "rank", "last_played"), [F.desc("last_played"), F.asc("rank"), F.asc("playlist_id")])
+    return (rows.where(F.col("place") <= k) if k else rows).drop("last_played")
 
 
 def curve_bins(events: DataFrame, bin_min: int = 720) -> DataFrame:
@@ -138,12 +141,13 @@ def kernel_regression(vectors: DataFrame, labelled: DataFrame, width: float = 0.
 
 
 def nearest_grid(points: DataFrame, grid: DataFrame, within_s: float) -> DataFrame:
-    """The nearest grid time of each point of a key, if within ``within_s``: one sort over points and grid together."""
+    """The nearest grid time of each point of a key, if within ``within_s``: points and grid sorted together, both ways."""
     from trackloom.functions import keys
 
     both = points.select("key", "event_id", keys.micros("t").alias("m"), F.lit(None).cast("long").alias("g")).unionByName(grid.select("key", F.lit(None).cast("long").alias("event_id"), keys.micros("t").alias("m"), keys.micros("t").alias("g")))
-    w = Window.partitionBy("key").orderBy("m")
-    before, after = F.last("g", True).over(w.rangeBetween(Window.unboundedPreceding, 0)), F.first("g", True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    # both frames start at the partition's first row: one that ends at its last is worked out anew for each row
+    upto = lambda order: F.last("g", True).over(Window.partitionBy("key").orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
+    before, after = upto(F.asc("m")), upto(F.desc("m"))
     out = both.withColumn("b", before).withColumn("a", after).where("event_id is not null")
     near = F.when(F.col("a").isNull() | (F.col("m") - F.col("b") <= F.col("a") - F.col("m")), F.col("b")).otherwise(F.col("a"))
     out = out.select("key", "event_id", "m", near.alias("near"))

@@ -168,12 +168,14 @@ def novelty_sections(vectors: DataFrame, kernel: int = 8, apart: int = 4) -> Dat
     units = z.withColumn("u", F.col("z") / norm).groupBy("series", "bar").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "u"))), lambda e: e["u"]).alias("u"))
     other = units.select("series", F.col("bar").alias("far"), F.col("u").alias("w"))
     near = units.select("series", "bar", "u", F.explode(F.sequence(F.col("bar") - kernel, F.col("bar") + kernel)).alias("far")).join(other, ["series", "far"]).select("series", "bar", "far", dot(F.col("u"), F.col("w")).alias("s"))
-    steps = [(a, b, (1.0 if (a + 0.5) * (b + 0.5) > 0 else -1.0) * _taper(a + b + 1.0, half)) for a in range(-half, half) for b in range(-half, half)]
-    cells = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(g).alias("g")) for a, b, g in steps))
-    nb = F.max("bar").over(Window.partitionBy("series")) + 1
-    within = lambda c: F.greatest(F.lit(0), F.least(F.col("nb") - 1, F.col("at") + c))
-    asked = units.select("series", F.col("bar").alias("at"), nb.alias("nb")).select("series", "at", "nb", F.inline(cells)).select("series", "at", "g", within(F.col("a")).alias("bar"), within(F.col("b")).alias("far"))
-    nov = asked.join(near, ["series", "bar", "far"]).groupBy("series", F.col("at").alias("bar")).agg(F.round(F.sum(F.col("g") * F.col("s")), 9).alias("novelty"))
+    # each bar with its band of similarities; the bars around it come as one short list
+    bands = near.groupBy("series", "bar").agg(F.map_from_entries(F.collect_list(F.struct("far", "s"))).alias("band"))
+    around = bands.select("series", "bar", (F.max("bar").over(Window.partitionBy("series")) + 1).alias("nb"), F.collect_list("band").over(_series().rowsBetween(-half, half - 1)).alias("bands"))
+    cells = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit((1.0 if (a + 0.5) * (b + 0.5) > 0 else -1.0) * _taper(a + b + 1.0, half)).alias("g")) for a in range(-half, half) for b in range(-half, half)))
+    within = lambda c: F.greatest(F.lit(0), F.least(F.col("nb") - 1, F.col("bar") + c))
+    first = F.greatest(F.lit(0), F.col("bar") - half)
+    total = F.aggregate(cells, F.lit(0.0), lambda s, c: s + c["g"] * F.element_at(F.element_at("bands", (within(c["a"]) - first + 1).cast("int")), within(c["b"])))
+    nov = around.select("series", "bar", F.round(total, 9).alias("novelty"))
     own = Window.partitionBy("series")
     peak = (F.col("bar") >= 1) & (F.col("novelty") >= F.avg("novelty").over(own) + 0.5 * F.stddev_pop("novelty").over(own)) & (F.col("novelty") == F.max("novelty").over(_series().rowsBetween(-2, 2)))
     marked = nov.withColumn("peak", peak)
@@ -229,7 +231,9 @@ def vocal_runs(frames: DataFrame, points: DataFrame, threshold: float, pause: in
     on = frames.select("series", "frame", (F.col("db") >= threshold).cast("int").alias("on"))
     ahead = w.rowsBetween(0, pause - 1)
     rows = on.select("series", "frame", F.coalesce(F.max("on").over(w.rowsBetween(-before, -1)), F.lit(0)).alias("sounds"), ((F.max("on").over(ahead) == 0) & (F.count("*").over(ahead) == pause)).alias("pause"), (F.max("frame").over(Window.partitionBy("series")) + 1).alias("n"))
-    stop = F.coalesce(F.min(F.when(F.col("pause"), F.col("frame"))).over(w.rowsBetween(0, Window.unboundedFollowing)), F.col("n"))
+    # from the end backwards: a frame that ends at the last row is worked out anew for each row
+    onwards = Window.partitionBy("series").orderBy(F.desc("frame")).rowsBetween(Window.unboundedPreceding, 0)
+    stop = F.coalesce(F.min(F.when(F.col("pause"), F.col("frame"))).over(onwards), F.col("n"))
     rows = rows.withColumn("stop", stop)
     out = points.join(rows, ["series", "frame"])
     run = F.when((F.col("frame") > 0) & (F.col("sounds") == 1), (F.col("stop") - F.col("frame")) * frame_s).otherwise(0.0)

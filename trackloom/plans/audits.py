@@ -82,7 +82,7 @@ def _sorted(s: S, d: str) -> DataFrame:
 
 
 SORT_SQL = " UNION ALL ".join(
-    f"(SELECT '{mode}' AS mode, CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS place, playlist_id, bucket FROM p ORDER BY {order} LIMIT 50)"
+    f"(SELECT '{mode}' AS mode, row_number() OVER (ORDER BY {order}) AS place, playlist_id, bucket FROM p)"
     for mode, order in {"name": "lower(name), playlist_id", "recents": "last_played DESC NULLS LAST, playlist_id", "played": "plays DESC, last_played DESC NULLS LAST, playlist_id", "activity": "bucket, remaining DESC, rank, playlist_id"}.items()
 )
 SORT_SQL = f"WITH c AS (SELECT playlist_id, count(*) FILTER (quantity > 45) AS plays, count(*) FILTER (quantity <= 10) AS remaining FROM occurrence GROUP BY 1), p AS (SELECT q.playlist_id, name, rank, last_played, coalesce(plays, 0) AS plays, coalesce(remaining, 0) AS remaining, CASE status WHEN 0 THEN 0 WHEN 5 THEN 1 ELSE 2 END AS bucket FROM playlist q LEFT JOIN c ON c.playlist_id = q.playlist_id) {SORT_SQL}"
@@ -235,7 +235,7 @@ SQL = {
         "fn_edition_flags": EDITION_SQL,
         "win_admission_load": 'SELECT event_id, "key" % 3 AS "key", count(*) OVER w AS load, count(*) OVER w >= 2 AS would_exceed FROM event WHERE type = \'download_start\' WINDOW w AS (PARTITION BY "key" % 3 ORDER BY epoch_us(t) RANGE BETWEEN 599999999 PRECEDING AND CURRENT ROW)',
         "fn_request_hash": "SELECT \"key\", event_id % 40 AS part, sha256(string_agg(DISTINCT concat(type, ':', coalesce(k, 0) % 3), ',' ORDER BY concat(type, ':', coalesce(k, 0) % 3))) AS hash FROM event GROUP BY 1, 2",
-        "top_metadata_priority": "WITH s AS (SELECT song_id, CASE WHEN song_id % 289 <> 0 THEN coalesce(expected_ms, 90000) ELSE 0 END AS ms FROM song) SELECT song_id, CASE WHEN ms < 60000 THEN 0 ELSE 1 END AS tier, ms FROM s ORDER BY tier, ms DESC, song_id LIMIT 100",
+        "top_metadata_priority": "WITH s AS (SELECT song_id, CASE WHEN song_id % 289 <> 0 THEN coalesce(expected_ms, 90000) ELSE 0 END AS ms FROM song) SELECT song_id, CASE WHEN ms < 60000 THEN 0 ELSE 1 END AS tier, ms, row_number() OVER (ORDER BY CASE WHEN ms < 60000 THEN 0 ELSE 1 END, ms DESC, song_id) AS place FROM s",
         "top_playlist_sort": SORT_SQL,
         "win_coverage_assert": PIECES_SQL,
         "agg_key_collisions": COLLISION_SQL,

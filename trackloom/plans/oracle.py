@@ -102,7 +102,7 @@ _SQL = {
     "set_removed_work": "SELECT playlist_id, song_id, seq FROM occurrence WHERE song_id IN (SELECT song_id FROM occurrence WHERE quantity < 10) AND song_id NOT IN (SELECT song_id FROM occurrence WHERE quantity > 45)",
     "set_affected_rows": "SELECT playlist_id, song_id, seq FROM occurrence WHERE song_id IN (SELECT song_id FROM occurrence WHERE quantity = 50 AND song_id % 7 = 0)",
     "win_curve_bins": "WITH f AS (SELECT \"key\", CAST(floor(epoch_us(t) / 43200e6) AS BIGINT) AS bin, avg(value) AS mean FROM event GROUP BY 1, 2), s AS (SELECT \"key\", unnest(range(min(bin), max(bin) + 1)) AS bin FROM f GROUP BY 1) SELECT s.\"key\", s.bin, round(mean, 6) AS mean FROM s LEFT JOIN f ON f.\"key\" = s.\"key\" AND f.bin = s.bin",
-    "top_ready_order": "SELECT playlist_id, rank FROM playlist WHERE status = 0 AND NOT skipped ORDER BY last_played DESC, rank, playlist_id LIMIT 50",
+    "top_ready_order": "SELECT playlist_id, rank, row_number() OVER (ORDER BY last_played DESC, rank, playlist_id) AS place FROM playlist WHERE status = 0 AND NOT skipped",
     "vec_cosine_distance": f"WITH u AS ({UNIT}) SELECT a.vec_id AS a, b.vec_id AS b, round(1 - list_dot_product(a.v, b.v), 5) AS distance FROM u a JOIN u b ON a.label = b.label WHERE a.vec_id % 100 = 0",
     "vec_kernel_regression": f"WITH u AS ({UNIT}) SELECT a.vec_id, round(sum(exp(-(1 - list_dot_product(a.v, b.v)) / 0.2) * b.label) / sum(exp(-(1 - list_dot_product(a.v, b.v)) / 0.2)), 6) AS value FROM u a, u b WHERE b.vec_id % 100 = 0 GROUP BY 1",
     "fn_public_text": "SELECT doc_id, md5(nullif(substr(trim(regexp_replace(text, '[\\x00-\\x1f\\x7f]', ' ', 'g')), 1, 500), '')) AS text_md5 FROM documents",

@@ -67,7 +67,7 @@ VECTORS = "placed AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY v
 REPEAT_SQL = f"""WITH {VECTORS}, p AS (SELECT a.series, a.bar, b.bar - a.bar AS apart, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) AS x FROM vec a JOIN vec b ON a.series = b.series AND b.bar - a.bar >= 4),
  m AS (SELECT series, bar, apart, avg(x) OVER w AS m, count(*) OVER w AS n FROM p WINDOW w AS (PARTITION BY series, apart ORDER BY bar ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING))
  SELECT series, bar, round(max(m), 5) AS repetition FROM (SELECT series, bar, m FROM m WHERE n = 4 UNION ALL SELECT series, bar + apart, m FROM m WHERE n = 4) GROUP BY 1, 2"""
-NOVEL_SQL = f"""WITH {VECTORS}, l AS (SELECT series, bar, k, v[k] AS x FROM vec, range(1, 7) r(k)), z AS (SELECT series, bar, k, (x - avg(x) OVER w) / (stddev_pop(x) OVER w + 1e-9) AS z FROM l WINDOW w AS (PARTITION BY series, k)),
+NOVEL_SQL = f"""WITH {VECTORS}, l AS (SELECT series, bar, k, v[k] AS x FROM vec, range(1, 65) r(k)), z AS (SELECT series, bar, k, (x - avg(x) OVER w) / (stddev_pop(x) OVER w + 1e-9) AS z FROM l WINDOW w AS (PARTITION BY series, k)),
  u AS (SELECT series, bar, list(z / n ORDER BY k) AS u FROM (SELECT *, sqrt(sum(z * z) OVER (PARTITION BY series, bar)) + 1e-9 AS n FROM z) GROUP BY 1, 2), e AS (SELECT series, max(bar) AS top FROM u GROUP BY 1),
  g AS (SELECT a, b, CASE WHEN (a + 0.5) * (b + 0.5) > 0 THEN 1.0 ELSE -1.0 END * exp(-0.5 * pow((a + b + 1.0) / 2.0, 2) / 2) AS g FROM range(-4, 4) x(a), range(-4, 4) y(b)),
  nov AS (SELECT c.series, c.bar, round(sum(g.g * list_dot_product(p.u, q.u)), 9) AS nov FROM u c JOIN e ON e.series = c.series CROSS JOIN g JOIN u p ON p.series = c.series AND p.bar = greatest(0, least(e.top, c.bar + g.a)) JOIN u q ON q.series = c.series AND q.bar = greatest(0, least(e.top, c.bar + g.b)) GROUP BY 1, 2),
@@ -178,7 +178,7 @@ QUERIES = {
     "win_highlight_score": lambda s, d: signals.highlight_scores(_bars(s, d)),
     "top_landings": lambda s, d: signals.top_landings(signals.highlight_scores(_bars(s, d)), _bars(s, d).where("bar % 9 = 5").select("series", "bar")),
     "win_repetition": lambda s, d: signals.repetition(_vectors(s, d)),
-    "win_novelty_sections": lambda s, d: signals.novelty_sections(_vectors(s, d).withColumn("v", F.slice("v", 1, 6))),
+    "win_novelty_sections": lambda s, d: signals.novelty_sections(_vectors(s, d)),
     "win_excerpt_select": _excerpts,
     "win_vocal_runs": _runs,
     "win_overlap_clash": _clashes,
