@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import keys
 
-JUMP, KNN, KERNEL = 0.006, 5, 0.006
-
 
 def energy_score(items: DataFrame, id_: str, weights: dict[str, float]) -> DataFrame:
     """Weighted sum of population z-scores clipped at 3, missing values as the median, scaled to 0..1 (0.5 if all are equal).
@@ -100,17 +98,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: x.cast("double") / norm)
-
-
-def knn_vote(vectors: DataFrame, labelled: DataFrame, k: int = KNN) -> DataFrame:
-    """The label with the largest summed similarity among the k nearest vectors of the stated, ``labelled`` set."""
-    own = labelled.select(F.col("vec_id").alias("near"), "label", unit(F.col("embedding")).alias("v"))
-    sims = against(vectors.select("vec_id", unit(F.col("embedding")).alias("u")), own).where("vec_id <> near").select("vec_id", "near", "label", dot(F.col("u"), F.col("v")).alias("sim"))
-    r = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("sim"), "near"))
-    votes = sims.withColumn("r", r).where(F.col("r") <= k).groupBy("vec_id", "label").agg(F.sum("sim").alias("votes"))
-    return votes.groupBy("vec_id").agg(F.max_by("label", F.struct("votes", "label")).alias("label"))
+    """``v`` at length one. The length comes as a lambda's variable: as an expression inside it would be worked out for each number."""
+    return F.aggregate(F.array(F.sqrt(dot(v, v))), F.transform(v, lambda x: x.cast("double")), lambda u, norm: F.transform(u, lambda x: x / norm))
 
 
 def top_labels(predictions: DataFrame, k: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.functions import keys
-from trackloom.operators import catalog, events, evidence, features, matching, planning
+from trackloom.operators import catalog, events, evidence, features, matching, neighbours, planning
 from trackloom.plans import audits, bindings, followers, ingest, oracle, profiles, signals, streams
 from trackloom.sources import views
 from trackloom.streaming import live
@@ -151,7 +151,7 @@ QUERIES = {
     "win_energy_tiers": lambda s, d: features.energy_tiers(_items(s, d), "song_id", "artist"),
     "ord_greedy_sequence": lambda s, d: features.greedy_sequence(_items(s, d), "name"),
     "vec_pool_normalize": lambda s, d: features.pool(_vectors(s, d), "label"),
-    "vec_knn_vote": lambda s, d: features.knn_vote(_vectors(s, d), _vectors(s, d).where("vec_id % 100 = 0")),
+    "vec_knn_vote": lambda s, d: neighbours.knn_vote(_vectors(s, d), _vectors(s, d).where("vec_id % 3 = 0")),
     "str_throughput": lambda s, d: live.throughput(views.event(s, d)),
     "str_change_batches": lambda s, d: live.change_batches(views.event(s, d)),
     "ingest_skip_done": lambda s, d: planning.skip_done(views.table(s, d, "documents"), views.table(s, d, "documents").join(views.table(s, d, "labels").select("doc_id"), "doc_id", "left_semi").select(F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), F.length("text").cast("string"), F.lit("v1")), 256).alias("mark")), "v1"),
