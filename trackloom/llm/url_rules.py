@@ -54,7 +54,7 @@ def items(url: Column) -> Column:
 
 
 def _uncovered(rules: DataFrame) -> DataFrame:
-    """The rows of ``rules`` (items, n, sure, ...) without those that a smaller set of some of their items is as sure as.
+    """The rows of ``rules`` (label, items, n, sure, ...) without those that a smaller set of some of their items is as sure as.
 
     With every set, all its subsets are in ``rules``. So a set's surest subset is the surest of what the sets with one item
     less are or have in them: a round a size, and each round joins a set only with the sets that lack one of its items.
@@ -67,11 +67,10 @@ def _uncovered(rules: DataFrame) -> DataFrame:
         if below is None:
             met = own.withColumn("best", F.lit(0.0))
         else:
-            less = own.select("items", F.explode("items").alias("of")).select("items", F.array_remove("items", F.col("of")).alias("part"))
-            best = less.join(below, "part").groupBy("items").agg(F.max("best").alias("best"))
-            met = own.join(best, "items")
-        met = common.materialize(met, "covered")
-        below = met.select(F.col("items").alias("part"), F.greatest("sure", "best").alias("best"))
+            less = own.select("label", "items", F.explode("items").alias("of")).select("label", "items", F.array_remove("items", F.col("of")).alias("part"))
+            best = less.join(below, ["label", "part"]).groupBy("label", "items").agg(F.max("best").alias("best"))
+            met = common.materialize(own.join(best, ["label", "items"]), "covered")
+        below = met.select("label", F.col("items").alias("part"), F.greatest("sure", "best").alias("best"))
         new = met.where("sure > best").drop("best")
         kept = new if kept is None else kept.union(new)
     return kept if kept is not None else spark.createDataFrame([], rules.schema)
@@ -95,13 +94,14 @@ def mine(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
     baskets = rows.join(_classes(rows.select("row", "has"), single, "row"), "row", "left").select(F.concat(F.coalesce("classes", F.array().cast("array<string>")), F.array(label)).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=MIN_CONFIDENCE).fit(common.materialize(baskets, "classes"))
     sets = common.materialize(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "itemsets")
-    kept = spark.createDataFrame([], "items array<string>, label string, confidence double, support double")
-    for name in LABELS.values():
-        share = rows.where(label == name).count() / n
-        led = sets.where(F.array_contains("items", name) & (F.size("items") > 1)).select(F.array_remove("items", name).alias("items"), F.col("freq").alias("both"))
-        sure = common.materialize(led.join(sets, "items").select("items", F.size("items").alias("n"), (F.col("both") / F.col("freq")).alias("sure"), (F.col("both") / n).alias("support")), "rules")
-        own = _uncovered(sure).where((F.col("sure") >= MIN_CONFIDENCE) & (F.col("sure") >= MIN_LIFT * share))
-        kept = kept.union(own.select("items", F.lit(name), "sure", "support"))
+    bad = rows.where("blocked").count() / n
+    names = F.array(*map(F.lit, LABELS.values()))
+    led = sets.where(F.arrays_overlap("items", names) & (F.size("items") > 1))  # a url has one label, so no set has two
+    led = led.select(F.array_except("items", names).alias("items"), F.element_at(F.array_intersect("items", names), 1).alias("label"), F.col("freq").alias("both"))
+    sure = common.materialize(led.join(sets, "items").select("label", "items", F.size("items").alias("n"), (F.col("both") / F.col("freq")).alias("sure"), (F.col("both") / n).alias("support")), "rules")
+    enough = F.greatest(F.lit(MIN_CONFIDENCE), MIN_LIFT * F.when(F.col("label") == LABELS[True], bad).otherwise(1 - bad))
+    kept = sure.limit(0) if sure.where(F.col("sure") >= enough).isEmpty() else _uncovered(sure).where(F.col("sure") >= enough)
+    kept = kept.withColumnRenamed("sure", "confidence")
     # the rarest class by its frequency among the baskets
     freq = single.select(F.col("class").alias("of"), "freq").distinct()
     keyed = kept.select("*", F.explode("items").alias("of")).join(freq, "of").groupBy("items", "label", "confidence", "support").agg(F.min_by("of", F.struct("freq", "of")).alias("key"))
