@@ -1,10 +1,12 @@
 """Streams give what tables give when nothing is late."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from trackloom.sources import views
-from trackloom.streaming import journal, live
+from trackloom.streaming import journal, live, timed
 
 DIR = "/root/testdata/sf0.001"
 
@@ -27,18 +29,54 @@ def test_throughput(spark, slices):
     assert rows(got) == rows(live.throughput(spark.read.parquet(slices)))
 
 
-def test_trip_state(spark, slices):
-    spark.conf.set("spark.sql.shuffle.partitions", "4")
-    got = live.collect_stream(live.trip_state(live.read_events(spark, slices, 100).withColumn("t", F.col("t").cast("timestamp"))), "trips")
-    blocks = spark.read.parquet(slices).where("type = 'block'").orderBy("key", "t", "event_id").collect()
-    want, last = [], {}
-    for b in blocks:
-        until, run = last.get(b.key, (0, 0))
-        now = int(b.t.timestamp())
-        run = run + 1 if now <= until else 1
-        last[b.key] = (now + 43_200, run)
-        want.append((b.key, b.event_id, run, now + 43_200))
-    assert [r[:3] for r in rows(got)] == [r[:3] for r in sorted(want, key=str)]
+def made(seed, n=160):
+    rng, kinds = random.Random(seed), ["pace_change", "mp3_verified", "block", "search_ok"]
+    return [(rng.randrange(3), i, 10**12 + rng.randrange(400) * 1_000_000, rng.choice(kinds), rng.choice((8, 40, 64, 88, None))) for i in range(n)]
+
+
+ROW = "key long, event_id long, t_us long, type string, value long"
+
+
+def test_batches_of_fixed_length(spark):
+    """Notices come in any order within the delay, over several runs from one checkpoint; later ones don't extend a batch."""
+    events = made(1)
+    got = timed.replayed(spark, spark.createDataFrame(events, ROW), lambda e: timed.change_batches(e, 10_000, "1 hour"), 3, F.col("event_id") % 3)
+    want = []
+    for key in range(3):
+        own = sorted((t, kind) for k, _, t, kind, _ in events if k == key)
+        while own:
+            batch = [x for x in own if x[0] < own[0][0] + 10_000_000]
+            want.append((key, own[0][0], len(batch), ",".join(sorted({k for _, k in batch}))))
+            own = own[len(batch) :]
+    assert rows(got) == sorted(want, key=str) and max(w[2] for w in want) > 2
+
+
+def test_search_for_a_pace(spark):
+    events, pace = made(2), timed.Pace(30_000_000, 40_000_000, 5_000_000, 9_000_000)
+    got = timed.replayed(spark, spark.createDataFrame(events, ROW), lambda e: timed.trip_state(e, pace, "1 hour"), 2, F.col("event_id") % 2)
+    want = []
+    for key in range(3):
+        cur, good, fail, cool, bot, step = 8, None, None, 0, None, 0
+        for _, e, t, kind, value in [*sorted((r for r in events if r[0] == key), key=lambda r: (r[2], r[1])), (key, None, 10**15, "end", None)]:
+            mid = max((good + fail) // 2, good + 1) if fail is not None and fail > good + 1 else None
+            at = max(bot or 0, step) + pace.clean_us
+            if mid and mid != cur and at <= t:
+                want.append((key, at, None, "probe", cur, mid, good, fail, cool))
+                cur, step = mid, at
+            if kind == "pace_change" and value:
+                cur = value
+            elif kind == "mp3_verified" and fail and good < cur < fail:
+                good = cur
+            elif kind == "block":
+                again = cur == 8 and bot is not None and t - bot < pace.again_us
+                word = "repeat" if again else "floor" if cur == 8 else "trip"
+                if cur > 8:
+                    fail = min(fail or cur, cur)
+                    good = 8 if good is None or good >= cur else good
+                cool = max(cool, t + (pace.long_us if again else pace.cool_us))
+                want.append((key, t, e, word, cur, 8, good, fail, cool))
+                cur, bot, step = 8, t, t
+    assert rows(got) == sorted(want, key=str) and {w[3] for w in want} == {"trip", "floor", "repeat", "probe"}
 
 
 def test_journal_over_many_batches(spark, tmp_path, monkeypatch):
@@ -55,9 +93,13 @@ def test_journal_over_many_batches(spark, tmp_path, monkeypatch):
         j.put(part, n)
         if n == 3:
             j.put(part, n)
-    by_batch = {}
-    for n, r in ((n, r) for n in range(7) for r in rows[2 * n : 2 * n + 2]):
-        by_batch[r[0]] = max(by_batch.get(r[0], (-1,)), (n, r[2], r[3], r[1]))
-    assert {r.key: r.state for r in j.rows().collect()} == {k: v[3] for k, v in by_batch.items()}
+    # older events that come in later batches don't overwrite newer ones; another object reads the folder
+    again = journal.Journal(spark, str(tmp_path / "j"), ["key"], ["t", "event_id"])
+    assert {r.key: r.state for r in again.rows().collect()} == last
     stream = spark.readStream.schema("key long, state string, t long, event_id long").option("maxFilesPerTrigger", 100).parquet(str(tmp_path / "in"))
     assert {r.key: r.state for r in journal.journal_upsert(stream, ["key"], ["t", "event_id"]).collect()} == last
+    more = spark.readStream.schema("key long, state string, t long, event_id long").parquet(str(tmp_path / "in"))
+    base = str(tmp_path / "kept")
+    journal.journal_upsert(more, ["key"], ["t", "event_id"], base)
+    spark.createDataFrame([(0, "newest", 99, 99), (1, "oldest", 0, 98)], "key long, state string, t long, event_id long").write.mode("append").parquet(str(tmp_path / "in"))
+    assert {r.key: r.state for r in journal.journal_upsert(more, ["key"], ["t", "event_id"], base).collect()} == last | {0: "newest"}

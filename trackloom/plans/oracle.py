@@ -81,7 +81,6 @@ _SQL = {
     "vec_pool_normalize": f"WITH u AS ({UNIT}), p AS (SELECT label, CAST(i - 1 AS INTEGER) AS place, avg(v[i]) AS x FROM u, range(1, 65) r(i) GROUP BY 1, 2) SELECT label, place, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 6) AS x FROM p",
     "vec_knn_vote": f"WITH u AS ({UNIT}), s AS (SELECT a.vec_id, b.vec_id AS near, b.label, round(list_dot_product(a.v, b.v), 9) AS sim FROM u a JOIN u b ON b.vec_id % 3 = 0 AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, near) AS r FROM s), v AS (SELECT vec_id, label, round(sum(sim), 6) AS votes FROM r WHERE r <= 5 GROUP BY 1, 2) SELECT vec_id, label FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY votes DESC, label DESC) AS r FROM v) WHERE r = 1",
     "str_throughput": "WITH w AS (SELECT time_bucket(INTERVAL 10 MINUTE, t) - to_minutes(unnest([0, 10, 20])) AS start FROM event WHERE type = 'mp3_verified') SELECT start, count(*) AS done, round(count(*) / 30.0, 6) AS rate FROM w GROUP BY 1",
-    "str_change_batches": "WITH g AS (SELECT \"key\", t, CASE WHEN t < lag(t) OVER w + INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS new FROM event WINDOW w AS (PARTITION BY \"key\" ORDER BY t)), s AS (SELECT *, sum(new) OVER (PARTITION BY \"key\" ORDER BY t ROWS UNBOUNDED PRECEDING) AS n FROM g) SELECT \"key\", min(t) AS start, count(*) AS notices FROM s GROUP BY \"key\", n",
     "ingest_skip_done": "SELECT doc_id, sha256(concat(doc_id, '|', length(text), '|v1')) AS mark FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "fn_excluded_name": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN true WHEN 1 THEN true ELSE regexp_matches(trim(coalesce(text, '')), '(?i)^(daily mix(es)?(\\s.*)?|dj|discover weekly|release radar|on repeat|repeat rewind|(your )?daily drive)$') END AS excluded FROM documents",
     "fn_genre_bucket": "SELECT doc_id, CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + f" THEN '{name}'" for name, words in planning.GENRES.items()) + " END AS bucket FROM documents",

@@ -95,12 +95,6 @@ def _legacy(s: S, d: str) -> DataFrame:
     return evidence.legacy_fallback(songs.select(key.alias("song_key"), old.alias("old_key")), songs.where("song_id % 4 = 0").select(key.alias("key"), F.lit("saved").alias("state"), F.lit("u").alias("url")), songs.where("song_id % 3 = 0").select(old.alias("key"), state))
 
 
-def _stream_events(s: S, d: str) -> DataFrame:
-    raw = live.read_events(s, f"{d}/events.parquet")
-    kind = F.create_map(*(F.lit(x) for p in views.TYPES.items() for x in p))[F.col("event_type")]
-    return raw.select("event_id", F.col("ts").alias("t"), F.col("user_id").alias("key"), kind.alias("type"))
-
-
 QUERIES = {
     "src_event_union": lambda s, d: events.log_union(*_events_old_new(s, d)).select("event_id", "key", "type", "source"),
     "src_file_manifest": lambda s, d: catalog.file_manifest(views.file(s, d).withColumn("dev", F.floor(F.col("folder") / 2)).withColumn("ino", F.col("song_id"))),
@@ -153,7 +147,6 @@ QUERIES = {
     "vec_pool_normalize": lambda s, d: features.pool(_vectors(s, d), "label"),
     "vec_knn_vote": lambda s, d: neighbours.knn_vote(_vectors(s, d), _vectors(s, d).where("vec_id % 3 = 0")),
     "str_throughput": lambda s, d: live.throughput(views.event(s, d)),
-    "str_change_batches": lambda s, d: live.change_batches(views.event(s, d)),
     "ingest_skip_done": lambda s, d: planning.skip_done(views.table(s, d, "documents"), views.table(s, d, "documents").join(views.table(s, d, "labels").select("doc_id"), "doc_id", "left_semi").select(F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), F.length("text").cast("string"), F.lit("v1")), 256).alias("mark")), "v1"),
     "fn_excluded_name": lambda s, d: views.table(s, d, "documents").select("doc_id", planning.excluded_name(F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Daily Mix "), "doc_id")).when(F.col("doc_id") % 4 == 1, " dj ").otherwise(F.col("text"))).alias("excluded")),
     "fn_genre_bucket": lambda s, d: views.table(s, d, "documents").select("doc_id", planning.genre_bucket(F.col("text")).alias("bucket")),
@@ -194,7 +187,6 @@ QUERIES = {
     "set_changed_keys": lambda s, d: evidence.changed_keys(views.file(s, d), views.file(s, d).where("folder % 50 = 3").select("folder")),
     "join_legacy_fallback": _legacy,
     "top_labels": lambda s, d: features.top_labels(_vectors(s, d).select(F.col("label").alias("series"), "embedding"), 5),
-    "str_trip_state": lambda s, d: live.stream_to_table(live.trip_state(_stream_events(s, d).withColumn("t", F.col("t").cast("timestamp")))).select("key", "event_id", "run"),
     "fn_source_id": lambda s, d: views.table(s, d, "pages").select("page_id", keys.source_id(F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://open.spotify.com/track/"), F.lpad(F.col("page_id").cast("string"), 22, "a"), F.lit("?si=1"))).otherwise(F.col("url"))).alias("source_id")),
     "fn_display_name": lambda s, d: views.song(s, d).select("song_id", evidence.display_name(F.concat(F.lit("music/x/"), F.when(F.col("song_id") % 2 == 0, F.concat("artist", F.lit(" - "))).otherwise(""), F.col("name"), F.lit(" [sp-1234567890123456789012].mp3"))).alias("n")).select("song_id", "n.artist", "n.title"),
     "join_queue_prune": lambda s, d: evidence.queue_prune(views.occurrence(s, d), views.file(s, d).where("seconds > 300")),

@@ -77,6 +77,7 @@ def with_views(sql: str) -> str:
     if {"candidate", "ledger", "file"} & set(need) and "song" not in need:
         need.insert(0, "song")
     need.sort(key=lambda v: v != "song")
-    own = sql.removeprefix("WITH ") if sql.startswith("WITH ") else None
+    recursive = "RECURSIVE " if sql.startswith("WITH RECURSIVE ") else ""
+    own = sql.removeprefix(f"WITH {recursive}") if sql.startswith("WITH ") else None
     heads = [f'"{v}" AS ({SQL[v]})' for v in need]
-    return "WITH " + ", ".join(heads) + (f", {own}" if own else f" {sql}") if heads else sql
+    return f"WITH {recursive}" + ", ".join(heads) + (f", {own}" if own else f" {sql}") if heads else sql

@@ -1,18 +1,19 @@
 """Streams whose results are kept by key: idempotent requests, a journal of checkpoints, live coverage, alerts by incident.
 
 A journal is a folder of batches: each writes its latest row of each key under its own number, over what an earlier attempt
-of the same batch left, so a batch that runs twice counts once. Readers take the last batch's row of each key; every
-``COMPACT`` batches the rows so far are written as one.
+of the same batch left, so a batch that runs twice counts once. Readers take each key's latest row by the order columns,
+whichever batch brought it: an older event that comes late doesn't overwrite a newer one. Every ``COMPACT`` batches the rows
+so far are written as one. The folder is all there is to a journal: a new driver reads it and goes on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from trackloom.sources.shared import shared_path
 
@@ -24,45 +25,46 @@ class Journal:
 
     def __init__(self, spark: SparkSession, path: str, key: list[str], order: list[str]):
         self.spark, self.path, self.key, self.order = spark, path, key, order
-        self.schema = None
 
     def _latest(self, rows: DataFrame, *last: str) -> DataFrame:
-        best = F.max_by(F.struct("*"), F.struct(*last, *self.order))
+        best = F.max_by(F.struct("*"), F.struct(*self.order, *last))
         return rows.groupBy(*self.key).agg(best.alias("row")).select("row.*")
 
     def put(self, batch: DataFrame, number: int) -> None:
-        self.schema = batch.schema
         self._latest(batch).write.mode("overwrite").parquet(f"{self.path}/batch={number}")
         if number % COMPACT == COMPACT - 1:
             # the rows so far go under a number of their own, and the batches before it are no longer read
             self.rows().write.mode("overwrite").parquet(f"{self.path}-upto/batch={number}")
 
-    def rows(self) -> DataFrame:
-        """The latest row of every key."""
-        if self.schema is None:
+    def _batches(self, path: str) -> list[int]:
+        """The numbers of the batches that were written to their end."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        at = hadoop(path)
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(at):
+            return []
+        return [int(x.getPath().getName().split("=")[1]) for x in fs.listStatus(at) if "=" in x.getPath().getName() and fs.exists(hadoop(x.getPath(), "_SUCCESS"))]
+
+    def rows(self) -> DataFrame | None:
+        """The latest row of every key; None before the first batch."""
+        written = self._batches(self.path)
+        if not written:
             return None
-        schema = StructType([*self.schema.fields, StructField("batch", LongType())])
-        read = lambda path: self.spark.read.option("basePath", path).schema(schema).parquet(path)
-        found = read(self.path)
-        upto = -1
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}-upto")
-        fs = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if fs.exists(fs_path):
-            done = [int(x.getPath().getName().split("=")[1]) for x in fs.listStatus(fs_path) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))]
-            upto = max(done, default=-1)
-        if upto >= 0:
-            found = found.where(F.col("batch") > upto).unionByName(read(f"{self.path}-upto").where(F.col("batch") == upto))
-        return self._latest(found, "batch").drop("batch")
+        upto = max(self._batches(f"{self.path}-upto"), default=-1)
+        read = lambda path, n: self.spark.read.parquet(f"{path}/batch={n}").withColumn("batch", F.lit(n).cast("long"))
+        parts = [read(self.path, n) for n in sorted(written) if n > upto] + ([read(f"{self.path}-upto", upto)] if upto >= 0 else [])
+        return self._latest(reduce(DataFrame.unionByName, parts), "batch").drop("batch")
 
 
 def _run(stream: DataFrame, each: Callable[[DataFrame, int], None], base: str, mode: str = "append") -> None:
     stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{base}/log").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 
 
-def journal_upsert(stream: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The latest row of each key of a finite stream of checkpoints, merged batch by batch."""
+def journal_upsert(stream: DataFrame, key: list[str], order: list[str], base: str | None = None) -> DataFrame:
+    """The latest row of each key of a finite stream of checkpoints, merged batch by batch. ``base``: the folder of an earlier run
+    that this one goes on from."""
     spark = stream.sparkSession
-    base = shared_path(spark, "journal")
+    base = base or shared_path(spark, "journal")
     journal = Journal(spark, f"{base}/rows", key, order)
     _run(stream, journal.put, base)
     rows = journal.rows()

@@ -1,11 +1,8 @@
-"""Event streams: rolling throughput, trip state, first requests, upserts. Batch and stream forms share their expressions."""
+"""Event streams: reading, running to the end, rolling throughput. Batch and stream forms share their expressions."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.sources.shared import shared_path
@@ -24,6 +21,15 @@ def read_events(spark: SparkSession, path: str, files_per_batch: int = 1) -> Dat
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path + "*")
 
 
+def in_files(events: DataFrame, part: Column, parts: int = 3) -> DataFrame:
+    """A table as a stream of ``parts`` micro-batches, one a file: the rows of ``part`` 0, 1 and so on."""
+    spark = events.sparkSession
+    path = shared_path(spark, "files")
+    for n in range(parts):
+        events.where(part == n).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def _marked(events: DataFrame, late: str) -> DataFrame:
     """A stream with a watermark on ``t`` (which needs a timestamp of the session's zone); a table as it is."""
     return events.withColumn("t", F.col("t").cast("timestamp")).withWatermark("t", late) if events.isStreaming else events
@@ -36,32 +42,6 @@ def throughput(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return out.select(F.col("w.start").alias("start"), "done", F.round(F.col("done") / 30, 6).alias("rate"))
 
 
-def change_batches(events: DataFrame, gap: str = "10 minutes") -> DataFrame:
-    """Keys' notices joined into sessions that end after ``gap`` without one."""
-    rows = _marked(events, "1 hour")
-    out = rows.groupBy("key", F.session_window("t", gap).alias("w")).agg(F.count("*").alias("notices"))
-    return out.select("key", F.col("w.start").alias("start"), "notices")
-
-
-def trip_state(events: DataFrame, cool_s: int = 43_200) -> DataFrame:
-    """Stateful per key: each block starts or extends a cooldown; one row a block with its number in the run and when it ends."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        until, run = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(parts)).sort_values(["t", "event_id"])
-        out = []
-        for t, e in zip(rows.t, rows.event_id):
-            now = int(t.timestamp())
-            run = run + 1 if now <= until else 1
-            until = now + cool_s
-            out.append((key[0], int(e), run, until))
-        state.update((until, run))
-        yield pd.DataFrame(out, columns=["key", "event_id", "run", "until"])
-
-    return events.where("type = 'block'").groupBy("key").applyInPandasWithState(step, "key long, event_id long, run int, until long", "until long, run int", "append", GroupStateTimeout.NoTimeout)
-
-
 def collect_stream(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a finite stream to its end into a table in memory (for tests and small reports)."""
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
