@@ -65,14 +65,40 @@ def test_sequences_hold_every_item_and_no_turn_gains(spark, monkeypatch):
                 assert total(path[:i] + path[i : j + 1][::-1] + path[j + 1 :]) > total(path) - 1e-6
 
 
-def test_large_blocks_are_dealt_into_parts(spark, monkeypatch):
-    """Costs and sequences of a block over the bound: every item is there, and no part is larger than about the bound."""
+def test_sequence_of_a_large_block(spark):
+    """Whole blocks: no turn or move inside a stretch, or across the border of the other cut, gains; the cost is near that of the
+    form that orders the block in one task, and far below the order of tempo."""
+    import numpy as np
+
+    items = registry._items(spark, "/root/testdata/sf0.01").where("song_id < 400").withColumn("all", registry.F.lit("one"))
+    rows = items.orderBy("song_id").collect()
+    at = {r.song_id: i for i, r in enumerate(rows)}
+    log, energy = (np.array([f(r) for r in rows]) for f in (lambda r: np.log2(r.tempo), lambda r: r.energy))
+    wheel, letter = np.array([int(r.camelot[:-1]) for r in rows]), np.array([r.camelot[-1] for r in rows])
+    turn = np.abs(wheel[:, None] - wheel)
+    c = 10 * np.abs(log[:, None] - log) + 2 * np.abs(energy[:, None] - energy) + 0.5 * (np.minimum(turn, 12 - turn) + (letter[:, None] != letter))
+    total = lambda p: c[p[:-1], p[1:]].sum()
+
+    def ordered(most):
+        got = features.greedy_sequence(items, "all", most).orderBy("place").collect()
+        assert [r.place for r in got] == list(range(1, 401)) and len({r.song_id for r in got}) == 400
+        return np.array([at[r.song_id] for r in got])
+
+    path = ordered(64)
+    for shift in (0, 32):
+        for lo in range(-shift, 400, 64):
+            piece = path[max(lo, 0) : lo + 64]
+            for i in range(1, len(piece) - 1):
+                for j in range(i + 1, len(piece) - 1):
+                    assert total(np.concatenate([piece[:i], piece[i : j + 1][::-1], piece[j + 1 :]])) > total(piece) - 1e-6
+                rest = np.delete(piece, i)
+                assert all(total(np.insert(rest, j, piece[i])) > total(piece) - 1e-6 for j in range(1, len(rest)))
+    ratio = total(path) / total(ordered(400))
+    assert ratio <= 1.6, ratio
+    assert total(path) < 0.6 * total(np.argsort(log, kind="stable"))
+
+
+def test_stated_sets_meet_all_rows(spark, monkeypatch):
     monkeypatch.setattr(features, "BLOCK_ROWS", 40)
-    items = registry._items(spark, DIR).withColumn("all", registry.F.lit("one"))
-    sizes = [r["count"] for r in features.dealt(items, "all", "song_id").groupBy("part").count().collect()]
-    assert sum(sizes) == 200 and max(sizes) <= 80
-    assert features.pair_cost(items, "all", 4).select("a").distinct().count() == 200
-    order = features.greedy_sequence(items, "all").orderBy("place").collect()
-    assert [r.place for r in order] == list(range(1, 201)) and len({r.song_id for r in order}) == 200
     v = registry._vectors(spark, DIR)
     assert features.against(v.select("vec_id"), v.select(registry.F.col("vec_id").alias("q"))).count() == v.count() ** 2

@@ -6,7 +6,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.functions import keys
+from trackloom.operators.ordering import placed
+from trackloom.sources.shared import materialize
 
 
 def energy_score(items: DataFrame, id_: str, weights: dict[str, float]) -> DataFrame:
@@ -32,16 +33,10 @@ def energy_tiers(scores: DataFrame, id_: str, by: str, top: float = 0.25, middle
     return scores.select(by, id_, F.when(r <= a, "peak").when(r <= a + b, "middle").otherwise("rest").alias("tier"))
 
 
-#: Rows of a block that one task orders, or of a stated set that one broadcast holds; beyond that they are dealt into parts.
+#: Rows of a stated set that one broadcast holds; beyond that they are dealt into parts.
 BLOCK_ROWS = 4096
 
 
-def dealt(items: DataFrame, block: str, id_: str) -> DataFrame:
-    """``items`` with ``part``: 0 in blocks of at most BLOCK_ROWS rows, else one of as many parts as hold about that, by a hash of the id."""
-    parts = items.groupBy(block).agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("parts"))
-    return items.join(parts, block).withColumn("part", F.pmod(F.xxhash64(id_), F.col("parts"))).drop("parts")
-
-
 def against(rows: DataFrame, stated: DataFrame) -> DataFrame:
     """Every row of ``rows`` with every row of a ``stated`` set: by broadcast while the set has at most BLOCK_ROWS rows, else in
     blocks of about that many."""
@@ -117,53 +112,87 @@ def pool(vectors: DataFrame, by: str) -> DataFrame:
     return parts.join(norm, by).select(by, "place", F.round(F.col("x") / F.col("norm"), 6).alias("x"))
 
 
+def _improved(path, c, free_start: bool, free_end: bool):
+    """``path`` after turning pieces round (2-opt) and moving single items (or-opt) while that gains; ends that aren't free stay."""
+    import numpy as np
+
+    n = len(path)
+    c = np.pad(c, (0, 1))  # item n stands for what lies beyond a free end, at no cost
+    path, better = np.array(path), n > 2
+    lo, hi = (0 if free_start else 1), (n if free_end else n - 1)  # places that may change
+    while better:
+        better = False
+        for i in range(lo, hi - 1):  # costs are the same both ways, so turning a piece changes its two edges only
+            before = path[i - 1] if i else n
+            last = path[i + 1 : hi]
+            beyond = np.append(path[i + 2 :], n)[: hi - i - 1]
+            change = c[before, last] + c[path[i], beyond] - c[before, path[i]] - c[last, beyond]
+            k = int(change.argmin())
+            if change[k] < -1e-9:
+                path[i : i + k + 2] = path[i : i + k + 2][::-1]
+                better = True
+        for i in range(lo, hi):
+            x, rest = path[i], np.delete(path, i)
+            front = np.concatenate([[n], rest]) if free_start else rest
+            back = np.append(rest, n) if free_start else np.append(rest[1:], n)
+            if not free_end:
+                front, back = front[:-1], back[:-1]
+            adds = c[front, x] + c[x, back] - c[front, back]
+            k = int(adds.argmin())
+            now = c[path[i - 1] if i else n, x] + c[x, path[i + 1] if i + 1 < n else n] - c[path[i - 1] if i else n, path[i + 1] if i + 1 < n else n]
+            if adds[k] < now - 1e-9:
+                path, better = np.insert(rest, k if free_start else k + 1, x), True
+    return path
+
+
 def greedy_sequence(items: DataFrame, block: str, most: int = 64) -> DataFrame:
     """(block, place, song_id): a running order of each block.
 
-    Blocks are cut in order of tempo into stretches of at most ``most`` items. A stretch is ordered from its slowest item by
-    nearest neighbour, then improved by turning pieces round (2-opt) and moving single items (or-opt) until nothing gains.
-    A task holds one stretch at a time, so what it holds is bounded by ``most``; stretches follow each other in the block.
+    Blocks are walked cell by cell of tempo, energy and key, and cut into stretches of at most ``most`` items, each ordered from its
+    first by nearest neighbour and improved by turning pieces round and moving single items. Then the cuts move by half a stretch, ends of
+    a stretch stay and its inside is improved again, until neither of the two cuts gains anything: no such move inside
+    ``most`` items of a cut, or across the border of the other, is left. Longer moves aren't tried. Each pass lowers the
+    cost, so it ends. A task holds one stretch at a time, whatever the size of the block; places come from a distributed sort.
     """
-    w = Window.partitionBy(block, "part").orderBy("tempo", "song_id")
-    rows = dealt(items, block, "song_id").withColumn("stretch", F.floor((F.row_number().over(w) - 1) / most))
-
-    def order(pdf):
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values(["tempo", "song_id"])
-        log, energy, wheel, letter = np.log2(pdf.tempo.to_numpy(float)), pdf.energy.to_numpy(float), pdf.wheel.to_numpy(), pdf.letter.to_numpy()
-        turn = np.abs(wheel[:, None] - wheel)
-        c = 10 * np.abs(log[:, None] - log) + 2 * np.abs(energy[:, None] - energy) + 0.5 * (np.minimum(turn, 12 - turn) + (letter[:, None] != letter))
-        n = len(pdf)
-        path, left = [0], set(range(1, n))
-        while left:
-            path.append(min(left, key=lambda j: (c[path[-1], j], j)))
-            left.remove(path[-1])
-        c = np.pad(c, (0, 1))  # place n stands for the end, at no cost
-        path, better = np.array(path), n > 2
-        while better:
-            better = False
-            for i in range(1, n - 1):  # costs are the same both ways, so turning a piece changes its two edges only
-                last, beyond = path[i + 1 :], np.append(path[i + 2 :], n)
-                change = c[path[i - 1], last] + c[path[i], beyond] - c[path[i - 1], path[i]] - c[last, beyond]
-                k = int(change.argmin())
-                if change[k] < -1e-9:
-                    path[i : i + k + 2] = path[i : i + k + 2][::-1]
-                    better = True
-            for i in range(1, n):
-                x, rest = path[i], np.delete(path, i)
-                after = np.append(rest[1:], n)
-                adds = c[rest, x] + c[x, after] - c[rest, after]
-                k = int(adds.argmin())
-                if adds[k] < adds[i - 1] - 1e-9:
-                    path, better = np.insert(rest, k + 1, x), True
-        first = int(pdf.stretch.iloc[0]) * most
-        return pd.DataFrame({block: pdf[block].iloc[0], "part": pdf.part.iloc[0], "place": range(first + 1, first + n + 1), "song_id": pdf.song_id.to_numpy()[path]})
-
     kind = dict(items.dtypes)[block]
-    rows = rows.select(block, "part", "stretch", "song_id", "tempo", "energy", F.regexp_extract("camelot", r"^(\d+)", 1).cast("int").alias("wheel"), F.right("camelot", F.lit(1)).alias("letter"))
-    done = rows.groupBy(block, "part", "stretch").applyInPandas(order, f"{block} {kind}, part long, place int, song_id long")
-    ends = done.groupBy(block, "part").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(block).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return done.join(ends.select(block, "part", before.alias("before")), [block, "part"]).select(block, (F.col("place") + F.col("before")).cast("int").alias("place"), "song_id")
+    schema = f"{block} {kind}, pos long, n long, song_id long, tempo double, energy double, wheel int, letter string, moved boolean"
+    rows = items.select(block, "song_id", F.col("tempo").cast("double").alias("tempo"), F.col("energy").cast("double").alias("energy"), F.regexp_extract("camelot", r"^(\d+)", 1).try_cast("int").alias("wheel"), F.right("camelot", F.lit(1)).alias("letter"))
+    of = rows.groupBy(block).agg(F.count("*").alias("n"), F.min(F.log2("tempo")).alias("t0"), F.max(F.log2("tempo")).alias("t1"), F.min("energy").alias("e0"), F.max("energy").alias("e1"))
+    # cells of a few items each, as wide in cost on every side, walked to and fro
+    span = lambda a, b, w: F.greatest(w * (F.col(b) - F.col(a)), F.lit(0.5))
+    side = F.pow(3 * span("t0", "t1", 10) * span("e0", "e1", 2) * 6 / F.col("n"), F.lit(1 / 3))
+    cell = lambda c: F.floor(c / F.col("side"))
+    rows = rows.join(of.withColumn("side", side), block).withColumns({"i": cell(10 * (F.log2("tempo") - F.col("t0"))), "j": cell(2 * (F.col("energy") - F.col("e0"))), "k": cell(0.5 * F.coalesce("wheel", F.lit(0)))})
+    to_and_fro = lambda c, after: F.when(after % 2 == 0, F.col(c)).otherwise(-F.col(c)).asc()
+    rows = placed(rows, [F.col(block).asc(), F.asc("i"), to_and_fro("j", F.col("i")), to_and_fro("k", F.col("i") + F.col("j")), F.asc("letter"), F.asc("tempo"), F.asc("song_id")], "pos")
+    rows = rows.join(rows.groupBy(block).agg(F.min("pos").alias("first")), block).withColumn("pos", F.col("pos") - F.col("first")).withColumn("moved", F.lit(True))
+
+    def order(first: bool):
+        def run(pdf):
+            import numpy as np
+
+            pdf = pdf.sort_values("pos", ignore_index=True)
+            log, energy, wheel, letter = np.log2(pdf.tempo.to_numpy(float)), pdf.energy.to_numpy(float), pdf.wheel.to_numpy(), pdf.letter.to_numpy()
+            turn = np.abs(wheel[:, None] - wheel)
+            c = 10 * np.abs(log[:, None] - log) + 2 * np.abs(energy[:, None] - energy) + 0.5 * (np.minimum(turn, 12 - turn) + (letter[:, None] != letter))
+            path, left = [0], set(range(1, len(pdf)))
+            while first and left:
+                path.append(min(left, key=lambda j: (c[path[-1], j], j)))
+                left.remove(path[-1])
+            path = path if first else list(range(len(pdf)))
+            whole = bool(pdf.pos.iloc[-1] == pdf.n.iloc[0] - 1)
+            after = _improved(path, c, False, first or whole)
+            out = pdf.iloc[after].assign(pos=pdf.pos.to_numpy(), moved=bool((after != np.arange(len(pdf))).any()))
+            return out[[block, "pos", "n", "song_id", "tempo", "energy", "wheel", "letter", "moved"]]
+
+        return run
+
+    columns = [f.split()[0] for f in schema.split(", ")]
+    stretch = lambda shift: F.floor((F.col("pos") + shift) / most).alias("stretch")
+    done = materialize(rows.select(*columns, stretch(0)).groupBy(block, "stretch").applyInPandas(order(True), schema), "order")
+    quiet, shift = 0, most // 2
+    while quiet < 2:
+        done = materialize(done.select(*columns, stretch(shift)).groupBy(block, "stretch").applyInPandas(order(False), schema), "order")
+        quiet = quiet + 1 if done.where("moved").isEmpty() else 0
+        shift = 0 if shift else most // 2
+    return done.select(block, (F.col("pos") + 1).cast("int").alias("place"), "song_id")
