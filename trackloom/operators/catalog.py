@@ -124,6 +124,49 @@ def membership_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("playlist_id").agg(F.count_if(F.col("a").isNull()).alias("added"), F.count_if(F.col("b").isNull()).alias("removed"), F.count_if(F.col("a") & F.col("b")).alias("kept"))
 
 
+def observed_membership(saved: DataFrame, observations: DataFrame, members: DataFrame) -> DataFrame:
+    """(playlist_id, verdict, accepted, added, removed, kept): what each playlist's observations make of its ``saved`` list.
+
+    ``saved``: (playlist_id, song_id, seq). ``observations``: (playlist_id, obs, declared) in the order of ``obs`` from 1, with the
+    number of items that the source declares; ``members``: (playlist_id, obs, song_id, seq). An observation is verified if it has
+    as many items as declared. A list that isn't shorter than the one so far is accepted; a shorter one only if it is
+    verified and the verified observation before it was the same list, by hash and count: else it is ``pending``,
+    ``changed`` if that one was another short list, ``refused`` if not verified, and ``missing`` if it is empty and not
+    verified. ``accepted`` is the observation whose list holds at last (0: the saved one), ``verdict`` the last one's. What an
+    unverified list lacks isn't removed: removals need verified membership.
+    """
+    hashed = lambda df, *by: df.groupBy("playlist_id", *by).agg(F.count("*").alias("n"), F.sha2(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("seq", "song_id"))), lambda x: x["song_id"])), 256).alias("hash"))
+    seen = observations.join(hashed(members, "obs"), ["playlist_id", "obs"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    log = seen.groupBy("playlist_id").agg(F.array_sort(F.collect_list(F.struct(F.col("obs").cast("int").alias("obs"), "n", F.coalesce("hash", F.lit("")).alias("hash"), (F.col("n") == F.col("declared")).alias("sure")))).alias("log"))
+    start = hashed(saved).select("playlist_id", F.col("n").alias("n0"))
+    start = log.join(start, "playlist_id", "left")
+    null = F.lit(None)
+    state = F.struct(F.coalesce("n0", F.lit(0).cast("long")).alias("n"), F.lit(0).alias("obs"), F.lit(True).alias("sure"), null.cast("long").alias("p_n"), null.cast("string").alias("p_hash"), F.lit("none").alias("verdict"))
+
+    def take(a, o):
+        shorter = o["n"] < a["n"]
+        again = F.coalesce((a["p_n"] == o["n"]) & (a["p_hash"] == o["hash"]), F.lit(False))
+        verdict = (
+            F.when((o["n"] == 0) & ~o["sure"], "missing").when(shorter & ~o["sure"], "refused").when(~shorter | again, "accepted").when(a["p_n"].isNotNull(), "changed").otherwise("pending")
+        )
+        ok, wait = verdict == "accepted", verdict.isin("pending", "changed")
+        pick = lambda name, keep: F.when(ok, o[name]).otherwise(keep)
+        return F.struct(
+            pick("n", a["n"]).alias("n"), pick("obs", a["obs"]).alias("obs"), pick("sure", a["sure"]).alias("sure"),
+            F.when(wait, o["n"]).when(~ok, a["p_n"]).alias("p_n"), F.when(wait, o["hash"]).when(~ok, a["p_hash"]).alias("p_hash"), verdict.alias("verdict"),
+        )
+
+    last = start.select("playlist_id", F.aggregate("log", state, take).alias("s")).select("playlist_id", "s.verdict", F.col("s.obs").alias("accepted"), "s.sure")
+    chosen = members.join(last.select("playlist_id", F.col("accepted").alias("obs")), ["playlist_id", "obs"], "left_semi")
+    diff = membership_diff(saved.join(last.where("accepted > 0").select("playlist_id"), "playlist_id", "left_semi"), chosen)
+    same = saved.groupBy("playlist_id").agg(F.count("*").alias("n"))
+    out = last.join(diff, "playlist_id", "left").join(same, "playlist_id", "left")
+    zero, n = F.lit(0).cast("long"), F.coalesce("n", F.lit(0).cast("long"))
+    held = F.col("accepted") == 0
+    removed = F.when(held | ~F.col("sure"), zero).otherwise(F.coalesce("removed", zero))
+    return out.select("playlist_id", "verdict", "accepted", F.when(held, zero).otherwise(F.coalesce("added", zero)).alias("added"), removed.alias("removed"), F.when(held, n).otherwise(n - removed).alias("kept"))
+
+
 def multiset_max(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     """Bag union: each value as often as in the side that has it more often."""
     x, y = a.groupBy(value).agg(F.count("*").alias("m")), b.groupBy(value).agg(F.count("*").alias("n"))

@@ -46,24 +46,37 @@ def trip_episodes(events: DataFrame, gap_min: int = 720) -> DataFrame:
     return blocks.withColumn("episode", F.sum("new").over(w)).groupBy("key", "episode").agg(F.min("t").alias("began"), F.max("t").alias("ended"), F.count("*").alias("blocks"), (F.count("*") > 1).alias("repeated"))
 
 
-def phase_benchmark(events: DataFrame) -> DataFrame:
-    """Phases of a key between changes of its settings: outputs in [start, end), trips in (start, end], rate.
-
-    Changes to the same settings are no boundary. One sort by key and time does it all: a running count of boundaries
-    gives each event its phase, so no range join is needed.
+def phase_benchmark(events: DataFrame, floor: tuple[int, int, int] = (1, 1, 8), cool_min: int = 30) -> DataFrame:
+    """Phases of a key between its boundaries: a block, which puts the settings to the ``floor`` and cools for ``cool_min`` minutes,
+    or a change to other settings than those before. The last phase ends with the key's log.
+
+    Outputs are in [start, end), trips in (start, end]. Carry-over counts the outputs of a block's phase before it has cooled; the
+    rate that counts for recovery is without them. The first and last full ten minutes and the last full thirty are null in
+    shorter phases. One sort by key and time gives each event its phase by a running count of boundaries; the windows
+    are fixed to the phase's edges, so they are counts over its own rows, and no range join is needed.
     """
-    setting = F.when(F.col("type") == "pace_change", F.struct((F.col("k") % 4).alias("a"), (F.col("k") % 2).alias("b"), (8 * (F.col("k") % 12)).alias("c")))
+    changed = F.struct((F.col("k") % 4).cast("int").alias("a"), (F.col("k") % 2).cast("int").alias("b"), (8 * (F.col("k") % 12)).cast("int").alias("c"))
+    low = F.struct(*(F.lit(x).cast("int").alias(n) for n, x in zip("abc", floor)))
     w = Window.partitionBy("key").orderBy("t", "event_id")
-    changes = events.where("type = 'pace_change'").withColumn("s", setting).withColumn("was", F.lag("s").over(w)).where("was is null or s <> was").select("key", "t", F.lit(True).alias("edge"), F.lit("edge").alias("type"), "event_id")
-    rows = changes.unionByName(events.where("type in ('mp3_verified', 'block')").select("key", "t", F.lit(False).alias("edge"), "type", "event_id"))
+    edges = events.where("type in ('pace_change', 'block')").withColumn("s", F.when(F.col("type") == "block", low).otherwise(changed)).withColumn("was", F.lag("s").over(w))
+    edges = edges.where("type = 'block' or was is null or s <> was").select("key", "t", "event_id", F.lit("edge").alias("type"), F.when(F.col("type") == "block", keys.micros("t") + cool_min * 60_000_000).alias("cool"))
+    rows = edges.unionByName(events.where("type in ('mp3_verified', 'block')").select("key", "t", "event_id", "type", F.lit(None).cast("long").alias("cool")))
     # at one instant a trip belongs to the phase that ends, an output to the one that begins
-    turn = F.when(F.col("type") == "block", 0).when(F.col("edge"), 1).otherwise(2)
+    turn = F.when(F.col("type") == "block", 0).when(F.col("type") == "edge", 1).otherwise(2)
     by = Window.partitionBy("key").orderBy("t", turn, "event_id")
-    rows = rows.withColumn("phase", F.sum(F.col("edge").cast("int")).over(by)).where("phase > 0")
-    out = rows.groupBy("key", "phase").agg(F.min("t").alias("start"), F.count_if(F.col("type") == "mp3_verified").alias("outputs"), F.count_if(F.col("type") == "block").alias("trips"))
-    end = F.lead("start").over(Window.partitionBy("key").orderBy("phase"))
-    minutes = (keys.micros("end") - keys.micros("start")) / 60e6
-    return out.withColumn("end", end).select("key", "phase", "outputs", "trips", F.round(minutes, 6).alias("minutes"), F.round(F.col("outputs") / F.nullif(minutes, F.lit(0.0)), 6).alias("rate"))
+    rows = rows.withColumn("phase", F.sum((F.col("type") == "edge").cast("int")).over(by)).where("phase > 0").withColumn("us", keys.micros("t"))
+    ends = events.groupBy("key").agg(F.max(keys.micros("t")).alias("over"))
+    phases = rows.where("type = 'edge'").join(ends, "key").select("key", "phase", F.col("us").alias("start"), "cool", F.coalesce(F.lead("us").over(Window.partitionBy("key").orderBy("phase")), F.col("over")).alias("end"))
+    of = phases.join(rows.where("type <> 'edge'").select("key", "phase", "us", "type"), ["key", "phase"], "left")
+    done, minute = F.col("type") == "mp3_verified", 60_000_000
+    long = lambda m: F.max(F.col("end") - F.col("start")) >= m * minute
+    counts = of.groupBy("key", "phase").agg(
+        F.round(F.max((F.col("end") - F.col("start")) / 60e6), 6).alias("minutes"), F.count_if(done).alias("outputs"), F.count_if(F.col("type") == "block").alias("trips"), F.count_if(done & (F.col("us") < F.col("cool"))).alias("carry_over"),
+        F.when(long(10), F.count_if(done & (F.col("us") < F.col("start") + 10 * minute))).alias("first_10"), F.when(long(10), F.count_if(done & (F.col("us") >= F.col("end") - 10 * minute))).alias("last_10"),
+        F.when(long(30), F.count_if(done & (F.col("us") >= F.col("end") - 30 * minute))).alias("last_30"),
+    )
+    per = lambda n: F.coalesce(F.round(n / F.nullif(F.col("minutes"), F.lit(0.0)), 6), F.lit(0.0))
+    return counts.select("*", per(F.col("outputs")).alias("rate"), per(F.col("outputs") - F.col("carry_over")).alias("recovered_rate"))
 
 
 def eta(summary: DataFrame) -> DataFrame:

@@ -54,13 +54,6 @@ def active_span(bars: DataFrame, within: float = 6.0) -> DataFrame:
     return loud.groupBy("playlist_id").agg(F.min("bar").alias("first_bar"), F.max("bar").alias("last_bar"), F.count("*").alias("bars"))
 
 
-def arrivals(bars: DataFrame, rise: float = 0.03) -> DataFrame:
-    """Bars whose level with the next exceeds the mean of the four before by ``rise``."""
-    w = Window.partitionBy("playlist_id").orderBy("bar")
-    after, before = F.avg("rel_db").over(w.rowsBetween(0, 1)), F.avg("rel_db").over(w.rowsBetween(-4, -1))
-    return bars.select("playlist_id", "bar", F.round(after - before, 6).alias("rise")).where(F.col("rise") >= rise)
-
-
 def rolling_median(bars: DataFrame) -> DataFrame:
     w = Window.partitionBy("playlist_id").orderBy("bar").rowsBetween(-3, 3)
     return bars.select("playlist_id", "bar", F.round(F.percentile("level", 0.5).over(w), 6).alias("median"))

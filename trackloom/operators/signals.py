@@ -19,6 +19,7 @@ H = {"level": 0.12, "contrast": 0.06, "contrast_cap": 10.0, "exit": 0.2, "on_gri
 DROP_PRIOR, DROP_CONTRAST, DROP_LOW, EARLY_S, ARRIVAL_CONTRAST = 0.95, 3.0, 6.0, 20.0, 2.0
 HIGHLIGHT, VERSE = ("chorus", "inst", "solo"), ("verse", "outro", "break")
 BLEND = {"dip_free": 3.0, "dip_per": 4.0, "hole_db": 9.0, "hole_w": 60.0, "jump_free": 3.0, "jump_per": 3.0, "clash_free": 0.3, "clash_w": 40.0}
+ARRIVAL = {"rise": 3.0, "low": 6.0, "loud": -3.0, "low_share": 0.1, "move": 0.5}
 GRID = {"outlier": 0.04, "least": 16, "locked_rms": 0.006, "locked_max": 0.015, "locked_keep": 0.9, "verify_rms": 0.015, "verify_keep": 0.8}
 
 
@@ -293,6 +294,29 @@ def grid_fit(beats: DataFrame, passes: int = 3) -> DataFrame:
     return of.select("series", F.round("period", 6).alias("period"), F.round("phase", 5).alias("phase"), F.round("rms", 6).alias("rms"), F.round("most", 6).alias("most"), F.round("keep", 6).alias("keep"), kind.alias("class"))
 
 
+def arrivals(bars: DataFrame) -> DataFrame:
+    """(series, bar, heard_at, rise): bars at which a track arrives. ``bars``: (series, bar from 0, rel, low) in dB.
+
+    A bar is heard as one where it and the next are ARRIVAL["rise"] dB over the mean of the four before, or ARRIVAL["low"] in
+    the low band. The arrival is the bar itself, unless a neighbour that is loud enough has a clearly larger step of energy,
+    or only a neighbour is loud enough (the earlier of two equal ones). In order of the bars, an arrival within one bar of
+    an earlier one is left out: a fold over a track's few arrivals, which carries those that were kept.
+    """
+    w, a = _series(), ARRIVAL
+    rise = lambda c: F.avg(c).over(w.rowsBetween(0, 1)) - F.avg(c).over(w.rowsBetween(-4, -1))
+    step = (F.col("rel") - F.lag("rel").over(w)) + a["low_share"] * (F.col("low") - F.lag("low").over(w))
+    rows = bars.withColumns({"nb": F.max("bar").over(Window.partitionBy("series")) + 1, "rise": rise("rel"), "low_rise": rise("low"), "step": F.when(F.col("rel") >= a["loud"], step)})
+    rows = rows.withColumns({"before": F.lag("step").over(w), "after": F.lead("step").over(w)})
+    heard = rows.where((F.col("bar") >= 4) & (F.col("bar") < F.col("nb") - 2) & ((F.round("rise", 9) >= a["rise"]) | (F.round("low_rise", 9) >= a["low"])))
+    later = F.coalesce(F.round("after", 9) > F.round("before", 9), F.col("before").isNull())
+    best = F.when(later, F.col("after")).otherwise(F.col("before"))
+    moved = best.isNotNull() & (F.col("step").isNull() | (F.round(best - F.col("step"), 9) > a["move"]))
+    at = F.when(~moved, F.col("bar")).when(later, F.col("bar") + 1).otherwise(F.col("bar") - 1).cast("long")
+    lists = heard.groupBy("series").agg(F.array_sort(F.collect_list(F.struct(F.col("bar").cast("long").alias("heard_at"), at.alias("bar"), F.greatest(F.lit(0.0), F.col("rise")).alias("rise")))).alias("heard"))
+    kept = F.aggregate("heard", F.slice("heard", 1, 0), lambda kept, h: F.when(F.exists(kept, lambda q: F.abs(q["bar"] - h["bar"]) <= 1), kept).otherwise(F.concat(kept, F.array(h))))
+    return lists.select("series", F.explode(kept).alias("h")).select("series", "h.bar", "h.heard_at", F.round("h.rise", 6).alias("rise"))
+
+
 def overlap_clash(frames: DataFrame, pairs: DataFrame, frame_s: float = 0.25, least_s: float = 2.0) -> DataFrame:
     """(a, b, overlap_s, clash) of pairs of series: frames where both sound within 20 dB of their own 95th percentile (and over
     -80); from ``least_s`` of those on, half of one less the correlation of their mean profiles. ``frames``: (series, frame, db, chroma)."""

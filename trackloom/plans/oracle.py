@@ -63,17 +63,38 @@ _SQL = {
     "join_occurrence_compare": f"WITH {STATES} SELECT playlist_id, seq, state FROM states",
     "join_reuse_url": "WITH h AS (SELECT artist, name, min(song_id) AS from_id FROM song WHERE song_id % 3 = 0 GROUP BY 1, 2) SELECT s.song_id, h.from_id, concat('http://h/', h.from_id) AS url FROM song s JOIN h ON h.artist = s.artist AND h.name = s.name WHERE s.song_id % 3 <> 0",
     "join_unmatched_coverage": "SELECT 'saved' AS state, count(*) AS n FROM song WHERE song_id IN (SELECT song_id FROM file) UNION ALL SELECT 'missing', count(*) FROM song WHERE song_id NOT IN (SELECT song_id FROM file) UNION ALL SELECT 'unexpected', count(DISTINCT song_id) FROM file WHERE song_id NOT IN (SELECT song_id FROM song)",
-    "set_membership_diff": "WITH a AS (SELECT playlist_id, song_id, count(*) FILTER (quantity < 40) AS x, count(*) FILTER (quantity > 10) AS y FROM occurrence GROUP BY 1, 2) SELECT playlist_id, CAST(sum(greatest(y - x, 0)) AS BIGINT) AS added, CAST(sum(greatest(x - y, 0)) AS BIGINT) AS removed, CAST(sum(least(x, y)) AS BIGINT) AS kept FROM a GROUP BY 1",
+    "set_membership_diff": """WITH m AS (SELECT playlist_id, 1 AS obs, song_id, seq FROM occurrence WHERE quantity > CASE WHEN playlist_id % 3 = 1 THEN 10 ELSE 14 END UNION ALL SELECT playlist_id, 2, song_id, seq FROM occurrence WHERE quantity > 14
+  UNION ALL SELECT playlist_id, 3, song_id, seq FROM occurrence WHERE playlist_id % 5 = 0 OR playlist_id % 5 = 1 AND quantity > 14 OR playlist_id % 5 = 2 AND quantity > 45 OR playlist_id % 5 > 2 AND quantity > 25),
+ h AS (SELECT playlist_id, obs, count(*) AS n, string_agg(CAST(song_id AS VARCHAR), ',' ORDER BY seq) AS hash FROM m GROUP BY 1, 2), e AS (SELECT p.playlist_id, x.obs FROM (SELECT DISTINCT playlist_id FROM occurrence) p, (VALUES (1), (2), (3)) x(obs)),
+ o AS (SELECT e.playlist_id, e.obs, coalesce(n, 0) AS n, coalesce(hash, '') AS hash, coalesce(n, 0) = coalesce(n + CASE WHEN (e.playlist_id + e.obs) % 4 = 3 THEN 1 ELSE 0 END, e.playlist_id % 2) AS sure FROM e LEFT JOIN h ON h.playlist_id = e.playlist_id AND h.obs = e.obs),
+ s0 AS (SELECT e.playlist_id, count(o.seq) AS n FROM (SELECT DISTINCT playlist_id FROM occurrence) e LEFT JOIN occurrence o ON o.playlist_id = e.playlist_id AND o.quantity < 40 GROUP BY 1),
+ t0 AS (SELECT playlist_id, n, 0 AS acc, true AS asure, NULL::BIGINT AS pn, NULL::VARCHAR AS ph, 'none' AS verdict FROM s0),
+ v1 AS (SELECT t.*, o.obs, o.n AS m, o.hash, o.sure, CASE WHEN o.n = 0 AND NOT o.sure THEN 'missing' WHEN o.n < t.n AND NOT o.sure THEN 'refused' WHEN o.n >= t.n OR pn = o.n AND ph = o.hash THEN 'accepted' WHEN pn IS NOT NULL THEN 'changed' ELSE 'pending' END AS w FROM t0 t JOIN o ON o.playlist_id = t.playlist_id AND o.obs = 1),
+ t1 AS (SELECT playlist_id, CASE WHEN w = 'accepted' THEN m ELSE n END AS n, CASE WHEN w = 'accepted' THEN obs ELSE acc END AS acc, CASE WHEN w = 'accepted' THEN sure ELSE asure END AS asure, CASE WHEN w IN ('pending', 'changed') THEN m WHEN w <> 'accepted' THEN pn END AS pn, CASE WHEN w IN ('pending', 'changed') THEN hash WHEN w <> 'accepted' THEN ph END AS ph, w AS verdict FROM v1),
+ v2 AS (SELECT t.*, o.obs, o.n AS m, o.hash, o.sure, CASE WHEN o.n = 0 AND NOT o.sure THEN 'missing' WHEN o.n < t.n AND NOT o.sure THEN 'refused' WHEN o.n >= t.n OR pn = o.n AND ph = o.hash THEN 'accepted' WHEN pn IS NOT NULL THEN 'changed' ELSE 'pending' END AS w FROM t1 t JOIN o ON o.playlist_id = t.playlist_id AND o.obs = 2),
+ t2 AS (SELECT playlist_id, CASE WHEN w = 'accepted' THEN m ELSE n END AS n, CASE WHEN w = 'accepted' THEN obs ELSE acc END AS acc, CASE WHEN w = 'accepted' THEN sure ELSE asure END AS asure, CASE WHEN w IN ('pending', 'changed') THEN m WHEN w <> 'accepted' THEN pn END AS pn, CASE WHEN w IN ('pending', 'changed') THEN hash WHEN w <> 'accepted' THEN ph END AS ph, w AS verdict FROM v2),
+ v3 AS (SELECT t.*, o.obs, o.n AS m, o.hash, o.sure, CASE WHEN o.n = 0 AND NOT o.sure THEN 'missing' WHEN o.n < t.n AND NOT o.sure THEN 'refused' WHEN o.n >= t.n OR pn = o.n AND ph = o.hash THEN 'accepted' WHEN pn IS NOT NULL THEN 'changed' ELSE 'pending' END AS w FROM t2 t JOIN o ON o.playlist_id = t.playlist_id AND o.obs = 3),
+ f AS (SELECT playlist_id, CASE WHEN w = 'accepted' THEN obs ELSE acc END AS acc, CASE WHEN w = 'accepted' THEN sure ELSE asure END AS asure, w AS verdict FROM v3),
+ d AS (SELECT playlist_id, song_id, sum(x) AS x, sum(y) AS y FROM (SELECT playlist_id, song_id, 1 AS x, 0 AS y FROM occurrence WHERE quantity < 40 UNION ALL SELECT m.playlist_id, song_id, 0, 1 FROM m JOIN f ON f.playlist_id = m.playlist_id AND f.acc = m.obs) GROUP BY 1, 2),
+ c AS (SELECT playlist_id, sum(greatest(y - x, 0)) AS added, sum(greatest(x - y, 0)) AS removed FROM d GROUP BY 1)
+ SELECT f.playlist_id, verdict, acc AS accepted, CAST(CASE WHEN acc = 0 THEN 0 ELSE coalesce(added, 0) END AS BIGINT) AS added, CAST(CASE WHEN acc = 0 OR NOT asure THEN 0 ELSE coalesce(removed, 0) END AS BIGINT) AS removed, CAST(s0.n - CASE WHEN acc = 0 OR NOT asure THEN 0 ELSE coalesce(removed, 0) END AS BIGINT) AS kept
+ FROM f JOIN s0 ON s0.playlist_id = f.playlist_id LEFT JOIN c ON c.playlist_id = f.playlist_id""",
     "set_multiset_max": "WITH c AS (SELECT \"key\", greatest(count(*) FILTER (event_id % 2 = 0), count(*) FILTER (event_id % 2 = 1 OR event_id % 6 = 0)) AS times FROM event WHERE type = 'block' GROUP BY 1) SELECT \"key\", CAST(unnest(range(1, times + 1)) AS INTEGER) AS copy FROM c",
     "win_trailing_rates": "WITH m AS (SELECT max(t) AS last FROM event), w AS (SELECT unnest([10, 30, 60, 120]) AS minutes) SELECT w.minutes, count(*) FILTER (type = 'download_start') AS starts, count(*) FILTER (type = 'mp3_verified') AS done, count(*) FILTER (type = 'block') AS blocks, round(count(*) FILTER (type = 'mp3_verified') * 1.0 / w.minutes, 6) AS rate FROM w, m, event e WHERE e.t > m.last - to_minutes(w.minutes) GROUP BY w.minutes",
     "win_overall_rate": "SELECT count(*) AS done, round(count(*) / ((epoch_us(max(t)) - epoch_us(min(t))) / 60e6), 6) AS per_minute FROM event WHERE type = 'mp3_verified'",
     "win_trip_episodes": "WITH b AS (SELECT *, coalesce(CAST(epoch_us(t) - lag(epoch_us(t)) OVER w > 43200000000 AS INTEGER), 1) AS new FROM event WHERE type = 'block' WINDOW w AS (PARTITION BY \"key\" ORDER BY t, event_id)), e AS (SELECT *, CAST(sum(new) OVER (PARTITION BY \"key\" ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS episode FROM b) SELECT \"key\", episode, count(*) AS blocks, count(*) > 1 AS repeated FROM e GROUP BY 1, 2",
-    "win_phase_benchmark": "WITH c AS (SELECT *, k % 4 AS s1, k % 2 AS s2, 8 * (k % 12) AS s3 FROM event WHERE type = 'pace_change'), d AS (SELECT *, lag((s1, s2, s3)) OVER (PARTITION BY \"key\" ORDER BY t, event_id) AS was FROM c), p AS (SELECT \"key\", t AS start, row_number() OVER (PARTITION BY \"key\" ORDER BY t, event_id) AS phase, lead(t) OVER (PARTITION BY \"key\" ORDER BY t, event_id) AS fin FROM d WHERE was IS NULL OR was <> (s1, s2, s3)) SELECT p.\"key\", CAST(phase AS BIGINT) AS phase, count(*) FILTER (e.type = 'mp3_verified' AND e.t >= p.start AND (fin IS NULL OR e.t < fin)) AS outputs, count(*) FILTER (e.type = 'block' AND e.t > p.start AND (fin IS NULL OR e.t <= fin)) AS trips, round((epoch_us(max(fin)) - epoch_us(max(start))) / 60e6, 6) AS minutes, round(count(*) FILTER (e.type = 'mp3_verified' AND e.t >= p.start AND (fin IS NULL OR e.t < fin)) / ((epoch_us(max(fin)) - epoch_us(max(start))) / 60e6), 6) AS rate FROM p LEFT JOIN event e ON e.\"key\" = p.\"key\" AND e.type IN ('mp3_verified', 'block') GROUP BY 1, 2",
+    "win_phase_benchmark": """WITH c AS (SELECT "key", t, event_id, type, CASE WHEN type = 'block' THEN (1, 1, 8) ELSE (k % 4, k % 2, 8 * (k % 12)) END AS s FROM event WHERE type IN ('pace_change', 'block')),
+ d AS (SELECT *, lag(s) OVER (PARTITION BY "key" ORDER BY t, event_id) AS was FROM c), e AS (SELECT "key", max(epoch_us(t)) AS over FROM event GROUP BY 1),
+ p AS (SELECT d."key", epoch_us(t) AS start, CASE WHEN type = 'block' THEN epoch_us(t) + 43200000000 END AS cool, row_number() OVER (PARTITION BY d."key" ORDER BY t, event_id) AS phase, coalesce(epoch_us(lead(t) OVER (PARTITION BY d."key" ORDER BY t, event_id)), e.over) AS fin FROM d JOIN e ON e."key" = d."key" WHERE type = 'block' OR was IS NULL OR was <> s),
+ n AS (SELECT p."key", phase, round(max(fin - start) / 60e6, 6) AS minutes, count(*) FILTER (e.type = 'mp3_verified' AND e.us >= start AND e.us < fin OR e.type = 'mp3_verified' AND fin = over AND e.us = fin) AS outputs, count(*) FILTER (e.type = 'block' AND e.us > start AND e.us <= fin) AS trips, count(*) FILTER (e.type = 'mp3_verified' AND e.us >= start AND (e.us < fin OR fin = over) AND e.us < cool) AS carry_over,
+  CASE WHEN max(fin - start) >= 600000000 THEN count(*) FILTER (e.type = 'mp3_verified' AND e.us >= start AND (e.us < fin OR fin = over) AND e.us < start + 600000000) END AS first_10, CASE WHEN max(fin - start) >= 600000000 THEN count(*) FILTER (e.type = 'mp3_verified' AND e.us >= start AND (e.us < fin OR fin = over) AND e.us >= fin - 600000000) END AS last_10,
+  CASE WHEN max(fin - start) >= 1800000000 THEN count(*) FILTER (e.type = 'mp3_verified' AND e.us >= start AND (e.us < fin OR fin = over) AND e.us >= fin - 1800000000) END AS last_30
+  FROM (SELECT p.*, e.over FROM p JOIN e ON e."key" = p."key") p LEFT JOIN (SELECT "key", epoch_us(t) AS us, type FROM event WHERE type IN ('mp3_verified', 'block')) e ON e."key" = p."key" GROUP BY 1, 2)
+ SELECT *, coalesce(round(outputs / nullif(minutes, 0), 6), 0.0) AS rate, coalesce(round((outputs - carry_over) / nullif(minutes, 0), 6), 0.0) AS recovered_rate FROM n""",
     "win_eta": "WITH c AS (SELECT \"key\", count(*) FILTER (type <> 'mp3_verified') AS remaining, count(*) FILTER (type = 'mp3_verified') / 60.0 AS rate FROM event GROUP BY 1) SELECT \"key\", remaining, round(CASE WHEN rate > 0 THEN remaining / rate / 60 END, 6) AS hours, round(CASE WHEN rate > 0 THEN remaining / rate / 60 * 1.25 END, 6) AS buffered_hours FROM c",
     "win_tempo_from_beats": "WITH g AS (SELECT \"key\", (lead(epoch_us(t)) OVER (PARTITION BY \"key\" ORDER BY t, event_id) - epoch_us(t)) / 1e6 AS gap FROM event), m AS (SELECT \"key\", quantile_cont(gap, 0.5) AS median FROM g WHERE gap > 0 GROUP BY 1) SELECT g.\"key\", count(*) AS gaps, round(max(median), 6) AS median_gap, round(60 / max(median), 6) AS per_minute, round(avg(CASE WHEN abs(gap - median) <= 0.15 * median THEN 1.0 ELSE 0.0 END), 6) AS regularity FROM g JOIN m ON m.\"key\" = g.\"key\" WHERE gap > 0 GROUP BY 1",
     "win_second_levels": "SELECT \"key\", CAST(floor(epoch_us(t) / 3600e6) AS BIGINT) AS bin, round(20 * log10(sqrt(avg(value * value)) + 1e-9), 6) AS level_db FROM event GROUP BY 1, 2",
     "win_active_span": f"WITH {BARS}, p AS (SELECT playlist_id, quantile_cont(rel_db, 0.9) AS p90 FROM bars GROUP BY 1) SELECT playlist_id, min(bar) AS first_bar, max(bar) AS last_bar, count(*) AS bars FROM bars JOIN p USING (playlist_id) WHERE rel_db >= p90 - 3.0 GROUP BY 1",
-    "win_arrivals": f"WITH {BARS}, r AS (SELECT playlist_id, bar, round(avg(rel_db) OVER (w ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) - avg(rel_db) OVER (w ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 6) AS rise FROM bars WINDOW w AS (PARTITION BY playlist_id ORDER BY bar)) SELECT * FROM r WHERE rise >= 0.03",
     "win_rolling_median": f"WITH {BARS} SELECT playlist_id, bar, round(quantile_cont(level, 0.5) OVER (PARTITION BY playlist_id ORDER BY bar ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 6) AS median FROM bars",
     "win_join_jumps": f"WITH {BARS}, j AS (SELECT playlist_id, abs(level - lag(level) OVER (PARTITION BY playlist_id ORDER BY bar)) AS jump FROM bars) SELECT playlist_id, max(jump) AS worst_jump, count(jump) AS joins FROM j GROUP BY 1",
     "win_timeline": f"WITH {BARS} SELECT playlist_id, bar, round(coalesce(sum(level) OVER (PARTITION BY playlist_id ORDER BY bar ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 2.0 * (bar - 1), 6) AS start FROM bars",

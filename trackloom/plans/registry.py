@@ -43,6 +43,18 @@ def _vectors(s: S, d: str) -> DataFrame:
     return views.table(s, d, "embeddings")
 
 
+def _membership(s: S, d: str) -> DataFrame:
+    """Saved lists and three observations: short ones, confirmed, changed or cut off, and for some playlists a full one."""
+    o = views.occurrence(s, d)
+    p, q = F.col("playlist_id"), F.col("quantity")
+    shown = (q > F.when(p % 3 == 1, F.lit(10)).otherwise(F.lit(14)), q > 14, (p % 5 == 0) | ((p % 5 == 1) & (q > 14)) | ((p % 5 == 2) & (q > 45)) | ((p % 5 > 2) & (q > 25)))
+    parts = [o.where(x).select("playlist_id", F.lit(n).alias("obs"), "song_id", "seq") for n, x in enumerate(shown, 1)]
+    members = parts[0].union(parts[1]).union(parts[2])
+    declared = members.groupBy("playlist_id", "obs").agg((F.count("*") + F.max(F.when((p + F.col("obs")) % 4 == 3, 1).otherwise(0))).alias("declared"))
+    every = o.select("playlist_id").distinct().withColumn("obs", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
+    return catalog.observed_membership(o.where(q < 40), every.join(declared, ["playlist_id", "obs"], "left").withColumn("declared", F.coalesce("declared", F.col("playlist_id") % 2)), members)
+
+
 def coverage(s: S, d: str) -> DataFrame:
     """The flagship: per playlist, how many members have a length-compatible file in their folder."""
     open_lists = views.playlist(s, d).where("not skipped").select("playlist_id")
@@ -128,17 +140,16 @@ QUERIES = {
     "join_occurrence_compare": lambda s, d: _states(s, d).select("playlist_id", "seq", "state"),
     "join_reuse_url": lambda s, d: catalog.reuse_url(views.song(s, d), _urls(s, d)),
     "join_unmatched_coverage": lambda s, d: catalog.unmatched_coverage(views.song(s, d), views.file(s, d)),
-    "set_membership_diff": lambda s, d: catalog.membership_diff(views.occurrence(s, d).where("quantity < 40"), views.occurrence(s, d).where("quantity > 10")),
+    "set_membership_diff": _membership,
     "set_multiset_max": lambda s, d: catalog.multiset_max(*(e.where("type = 'block'").select("key") for e in _events_old_new(s, d)), "key"),
     "win_trailing_rates": lambda s, d: events.trailing_rates(views.event(s, d)),
     "win_overall_rate": lambda s, d: events.overall_rate(views.event(s, d)),
     "win_trip_episodes": lambda s, d: events.trip_episodes(views.event(s, d)).select("key", "episode", "blocks", "repeated"),
-    "win_phase_benchmark": lambda s, d: events.phase_benchmark(views.event(s, d)),
+    "win_phase_benchmark": lambda s, d: events.phase_benchmark(views.event(s, d), cool_min=720),
     "win_eta": lambda s, d: events.eta(views.event(s, d).groupBy("key").agg(F.count_if(F.col("type") != "mp3_verified").alias("remaining"), (F.count_if(F.col("type") == "mp3_verified") / 60).alias("rate"))),
     "win_tempo_from_beats": lambda s, d: events.tempo_from_beats(views.event(s, d)),
     "win_second_levels": lambda s, d: events.second_levels(views.event(s, d)),
     "win_active_span": lambda s, d: features.active_span(_bars(s, d), 3.0),
-    "win_arrivals": lambda s, d: features.arrivals(_bars(s, d)),
     "win_rolling_median": lambda s, d: features.rolling_median(_bars(s, d)),
     "win_join_jumps": lambda s, d: features.join_jumps(_bars(s, d)),
     "win_timeline": lambda s, d: features.timeline(_bars(s, d)),

@@ -162,6 +162,24 @@ def _repair(s: S, d: str) -> DataFrame:
     return stretches.join(after, "series")
 
 
+def _level_bars(s: S, d: str) -> DataFrame:
+    """Bars whose levels rise and fall often enough for every way in which a track arrives."""
+    quiet = F.when(F.floor(F.col("bar") / 6) % 3 == 0, 7.0).otherwise(0.0)
+    low_quiet = F.when(F.floor(F.col("bar") / 9) % 2 == 0, 9.0).otherwise(0.0)
+    return _lines(s, d).select("series", "bar", (F.col("l_discount") * -60 - quiet).alias("rel"), (F.col("l_tax") * -100 - low_quiet).alias("low"))
+
+
+ARRIVAL_SQL = f"""WITH {LINES}, b AS (SELECT series, bar, l_discount * -60 - CASE WHEN bar // 6 % 3 = 0 THEN 7.0 ELSE 0.0 END AS rel, l_tax * -100 - CASE WHEN bar // 9 % 2 = 0 THEN 9.0 ELSE 0.0 END AS low FROM lines),
+ r AS (SELECT *, count(*) OVER (PARTITION BY series) AS nb, avg(rel) OVER (w ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) - avg(rel) OVER (w ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS rise, avg(low) OVER (w ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) - avg(low) OVER (w ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS low_rise,
+  CASE WHEN rel >= -3.0 THEN rel - lag(rel) OVER w + 0.1 * (low - lag(low) OVER w) END AS step FROM b WINDOW w AS (PARTITION BY series ORDER BY bar)),
+ n AS (SELECT *, lag(step) OVER w AS before, lead(step) OVER w AS after FROM r WINDOW w AS (PARTITION BY series ORDER BY bar)),
+ c AS (SELECT *, CASE WHEN before IS NULL OR round(after, 9) > round(before, 9) THEN {{'k': bar + 1, 'sc': after}} ELSE {{'k': bar - 1, 'sc': before}} END AS best FROM n WHERE bar >= 4 AND bar < nb - 2 AND (round(rise, 9) >= 3 OR round(low_rise, 9) >= 6)),
+ h AS (SELECT series, bar AS heard_at, CASE WHEN best.sc IS NOT NULL AND (step IS NULL OR round(best.sc - step, 9) > 0.5) THEN best.k ELSE bar END AS bar, greatest(0.0, rise) AS rise FROM c),
+ l AS (SELECT series, list({{'heard_at': heard_at, 'bar': bar, 'rise': rise}} ORDER BY heard_at) AS heard FROM h GROUP BY 1),
+ f AS (SELECT series, unnest(list_reduce(list_transform(heard, lambda x: [x]), lambda kept, x: CASE WHEN len(list_filter(kept, lambda q: abs(q.bar - x[1].bar) <= 1)) > 0 THEN kept ELSE list_concat(kept, x) END)) AS h FROM l)
+ SELECT series, h.bar AS bar, h.heard_at AS heard_at, round(h.rise, 6) AS rise FROM f"""
+
+
 def _grid(s: S, d: str) -> DataFrame:
     width = one_of(F.col("series") % 3, F.lit(0.1), F.lit(0.4), F.lit(0.9))
     t = F.col("bar") * 0.5 + (F.col("l_discount") - 0.05) * width + F.when(F.col("l_quantity") >= 48, 0.2).otherwise(0.0)
@@ -185,6 +203,7 @@ QUERIES = {
     "win_blend_quality": _blends,
     "win_beat_repair": _repair,
     "win_grid_fit": _grid,
+    "win_arrivals": lambda s, d: signals.arrivals(_level_bars(s, d)),
 }
 
 SQL = {
@@ -201,5 +220,6 @@ SQL = {
         "win_blend_quality": BLEND_SQL,
         "win_beat_repair": REPAIR_SQL,
         "win_grid_fit": GRID_SQL,
+        "win_arrivals": ARRIVAL_SQL,
     }.items()
 }
