@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.sources.shared import materialize
+
 from trackloom.operators.features import dot, unit
 
 # Limits and weights of sections, landings, exits, blends, grids.
@@ -20,7 +22,7 @@ DROP_PRIOR, DROP_CONTRAST, DROP_LOW, EARLY_S, ARRIVAL_CONTRAST = 0.95, 3.0, 6.0,
 HIGHLIGHT, VERSE = ("chorus", "inst", "solo"), ("verse", "outro", "break")
 BLEND = {"dip_free": 3.0, "dip_per": 4.0, "hole_db": 9.0, "hole_w": 60.0, "jump_free": 3.0, "jump_per": 3.0, "clash_free": 0.3, "clash_w": 40.0}
 ARRIVAL = {"rise": 3.0, "low": 6.0, "loud": -3.0, "low_share": 0.1, "move": 0.5}
-GRID = {"outlier": 0.04, "least": 16, "locked_rms": 0.006, "locked_max": 0.015, "locked_keep": 0.9, "verify_rms": 0.015, "verify_keep": 0.8}
+GRID = {"rough": 0.25, "groove_min": 0.005, "groove_max": 0.025, "outlier": 0.04, "least": 16, "locked_rms": 0.006, "locked_max": 0.015, "locked_keep": 0.9, "verify_rms": 0.015, "verify_keep": 0.8}
 
 
 def _series(order: str = "bar"):
@@ -276,22 +278,72 @@ def repaired_beats(beats: DataFrame, stretches: DataFrame) -> DataFrame:
     return beats.join(inside, ["series", "beat"], "left_anti").select("series", "t").union(new)
 
 
-def grid_fit(beats: DataFrame, passes: int = 3) -> DataFrame:
-    """Per series a line of time over beat number, with beats off by more than the outlier bound left out pass by pass: period,
-    phase, rms, largest residual, share kept and class (locked, verify, free). ``beats``: (series, beat, t)."""
-    own = Window.partitionBy("series")
-    rows = beats.withColumn("keep", F.lit(True))
-    y, x = F.when(F.col("keep"), F.col("t")), F.col("beat").cast("double")
-    for _ in range(passes):
-        rows = rows.withColumn("slope", F.regr_slope(y, x).over(own)).withColumn("phase", F.regr_intercept(y, x).over(own))
-        rows = rows.withColumn("off", F.col("t") - F.col("phase") - F.col("slope") * x).withColumn("keep", F.abs("off") <= GRID["outlier"])
-    kept = F.when(F.col("keep"), F.col("off"))
-    of = rows.groupBy("series").agg(F.max("slope").alias("period"), F.max("phase").alias("phase"), F.sqrt(F.avg(kept * kept)).alias("rms"), F.max(F.abs(kept)).alias("most"), F.avg(F.col("keep").cast("double")).alias("keep"), F.count(kept).alias("n"))
+def _fit_pass(rows: DataFrame) -> DataFrame:
+    """One weighted fit of each window and what it says of its beats: ``off`` from the line or its groove, and the new ``keep`` and ``on``.
+
+    Beats of one groove offset are a class with a phase of its own, so the period is that of the pooled moments about the
+    classes' means, and the line goes through the mean of the class without an offset.
+    """
+    own, all_ = Window.partitionBy("series", "window", "cls"), Window.partitionBy("series", "window")
+    rows = rows.withColumn("cls", F.when(F.col("on") & F.col("has"), F.col("pos")).otherwise(0)).withColumn("wk", F.when(F.col("keep"), F.col("w")).otherwise(0.0))
+    share = lambda c: F.sum(F.col("wk") * F.col(c)).over(own) / F.nullif(F.sum("wk").over(own), F.lit(0.0))
+    rows = rows.withColumns({"xm": share("x"), "ym": share("t")})
+    dx = F.col("x") - F.col("xm")
+    rows = rows.withColumn("period", F.sum(F.col("wk") * dx * (F.col("t") - F.col("ym"))).over(all_) / F.nullif(F.sum(F.col("wk") * dx * dx).over(all_), F.lit(0.0)))
+    base = lambda c: F.max(F.when(F.col("cls") == 0, F.col(c))).over(all_)
+    rows = rows.withColumn("phase", base("ym") - F.col("period") * base("xm"))
+    lag = F.when((F.col("cls") == F.col("pos")) & (F.col("pos") > 0), F.col("ym") - F.col("period") * F.col("xm") - F.col("phase"))
+    rows = rows.withColumn("g", F.coalesce(F.max(lag).over(Window.partitionBy("series", "window", "pos")), F.lit(0.0)))
+    line = F.col("t") - F.col("phase") - F.col("period") * F.col("x")
+    groove = F.when(F.col("has"), line - F.col("g")).otherwise(line)
+    on = F.round(F.abs(groove), 9) <= F.round(F.abs(line), 9)
+    rows = rows.withColumns({"off": F.when(on, groove).otherwise(line), "was": F.col("keep"), "on": F.coalesce(on, F.lit(True))})
+    return rows.withColumn("keep", F.coalesce(F.round(F.abs("off"), 9) <= GRID["outlier"], F.lit(False)))
+
+
+def grid_fit(beats: DataFrame, window: int = 64, passes: int = 4) -> DataFrame:
+    """Per series and window of ``window`` beats a line of time over beat number with a groove: period, phase, the offsets g1 to g3 of
+    the places in the bar (null: on the line), rms, largest residual, share kept and class (locked, verify, free).
+
+    ``beats``: (series, beat from 0, t, pos in the bar from 0, refined). Unrefined beats weigh less and don't count for the
+    largest residual where there are refined ones. The start is the median period over half a window and the median phase;
+    in each pass beats off by more than the outlier bound are left out, and a beat follows its place's offset or the line,
+    whichever is nearer. Then offsets too small to be a groove are dropped, all of them if one is too large, and the window is
+    fitted again. All sums are weighted moments over windows.
+    """
+    all_ = Window.partitionBy("series", "window")
+    rows = beats.select("series", F.floor(F.col("beat") / window).cast("long").alias("window"), F.col("beat").cast("double").alias("x"), "t", F.col("pos").cast("int").alias("pos"), "refined", F.when(F.col("refined"), 1.0).otherwise(GRID["rough"]).alias("w"))
+    inside = all_.orderBy("x")
+    rows = rows.withColumns({"n": F.count("*").over(all_), "at": F.row_number().over(inside), "ahead": F.collect_list(F.struct("x", "t")).over(inside.rowsBetween(0, window // 2))})
+    half = F.greatest(F.floor(F.col("n") / 2), F.lit(1)).cast("int")
+    far = F.when(F.col("at") + half <= F.col("n"), F.element_at("ahead", half + 1))
+    rows = rows.withColumn("period0", F.percentile((far["t"] - F.col("t")) / (far["x"] - F.col("x")), 0.5).over(all_)).drop("ahead", "at")
+    start = F.col("t") - F.col("x") * F.col("period0")
+    near = F.round(F.abs(start - F.percentile(start, 0.5).over(all_)), 9) <= GRID["outlier"]
+    rows = rows.withColumn("near", F.coalesce(near, F.lit(True)))
+    rows = rows.withColumn("first", F.when(F.count_if("near").over(all_) >= GRID["least"], F.col("near")).otherwise(True))
+    rows = rows.withColumn("has", (F.col("pos") > 0) & (F.count("*").over(Window.partitionBy("series", "window", "pos")) >= 4))
+    for stage in (0, 1):
+        rows = rows.withColumns({"keep": F.col("first"), "on": F.lit(True)})
+        for _ in range(passes):
+            rows = _fit_pass(rows)
+        rows = materialize(rows, "fits")
+        if not stage:
+            size = F.round(F.abs("g"), 9)
+            most = F.max(F.when(F.col("has"), size)).over(all_)
+            rows = rows.withColumn("has", F.col("has") & (size >= GRID["groove_min"]) & (most <= GRID["groove_max"]))
+    kept = lambda c: F.when(F.col("was"), c)
+    sure = F.max(F.when(F.col("was") & F.col("refined"), F.abs("off")))
+    place = lambda p: F.round(F.max(F.when(F.col("has") & (F.col("pos") == p), F.col("g"))), 6).alias(f"g{p}")
+    of = rows.groupBy("series", "window").agg(
+        F.max("period").alias("period"), F.max("phase").alias("phase"), place(1), place(2), place(3), F.sqrt(F.sum(kept(F.col("w") * F.col("off") * F.col("off"))) / F.nullif(F.sum(kept(F.col("w"))), F.lit(0.0))).alias("rms"),
+        F.coalesce(sure, F.max(kept(F.abs("off")))).alias("most"), F.avg(F.col("was").cast("double")).alias("keep"), F.count_if("was").alias("n"),
+    )
     usable = (F.col("n") >= GRID["least"]) & (F.col("period") > 0)
     locked = (F.col("rms") <= GRID["locked_rms"]) & (F.col("most") <= GRID["locked_max"]) & (F.col("keep") >= GRID["locked_keep"])
     verify = (F.col("rms") <= GRID["verify_rms"]) & (F.col("keep") >= GRID["verify_keep"])
     kind = F.when(~F.coalesce(usable, F.lit(False)), "free").when(locked, "locked").when(verify, "verify").otherwise("free")
-    return of.select("series", F.round("period", 6).alias("period"), F.round("phase", 5).alias("phase"), F.round("rms", 6).alias("rms"), F.round("most", 6).alias("most"), F.round("keep", 6).alias("keep"), kind.alias("class"))
+    return of.select("series", "window", F.round("period", 6).alias("period"), F.round("phase", 5).alias("phase"), "g1", "g2", "g3", F.round("rms", 6).alias("rms"), F.round("most", 6).alias("most"), F.round("keep", 6).alias("keep"), kind.alias("class"))
 
 
 def arrivals(bars: DataFrame) -> DataFrame:

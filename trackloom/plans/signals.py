@@ -181,15 +181,36 @@ ARRIVAL_SQL = f"""WITH {LINES}, b AS (SELECT series, bar, l_discount * -60 - CAS
 
 
 def _grid(s: S, d: str) -> DataFrame:
-    width = one_of(F.col("series") % 3, F.lit(0.1), F.lit(0.4), F.lit(0.9))
-    t = F.col("bar") * 0.5 + (F.col("l_discount") - 0.05) * width + F.when(F.col("l_quantity") >= 48, 0.2).otherwise(0.0)
-    return signals.grid_fit(_lines(s, d).select("series", F.col("bar").alias("beat"), t.cast("double").alias("t")))
-
-
-_PASS = "SELECT series, beat, t, abs(t - phase - slope * beat) <= 0.04 AS keep, t - phase - slope * beat AS off, slope, phase FROM (SELECT series, beat, t, regr_slope(CASE WHEN keep THEN t END, beat) OVER (PARTITION BY series) AS slope, regr_intercept(CASE WHEN keep THEN t END, beat) OVER (PARTITION BY series) AS phase FROM {of})"
-GRID_SQL = f"""WITH {LINES}, g0 AS (SELECT series, CAST(bar AS DOUBLE) AS beat, bar * 0.5 + (l_discount - 0.05) * [0.1, 0.4, 0.9][series % 3 + 1] + CASE WHEN l_quantity >= 48 THEN 0.2 ELSE 0.0 END AS t, true AS keep FROM lines), g1 AS ({_PASS.format(of='g0')}), g2 AS ({_PASS.format(of='g1')}), g3 AS ({_PASS.format(of='g2')}),
- o AS (SELECT series, max(slope) AS period, max(phase) AS phase, sqrt(avg(off * off) FILTER (keep)) AS rms, max(abs(off)) FILTER (keep) AS most, avg(CASE WHEN keep THEN 1.0 ELSE 0.0 END) AS keep, count(*) FILTER (keep) AS n FROM g3 GROUP BY 1)
- SELECT series, round(period, 6) AS period, round(phase, 5) AS phase, round(rms, 6) AS rms, round(most, 6) AS most, round(keep, 6) AS keep, CASE WHEN n < 16 OR period <= 0 OR period IS NULL THEN 'free' WHEN rms <= 0.006 AND most <= 0.015 AND keep >= 0.9 THEN 'locked' WHEN rms <= 0.015 AND keep >= 0.8 THEN 'verify' ELSE 'free' END AS class FROM o"""
+    """Beats with jitter, outliers and a groove on some places of the bar."""
+    bar, series = F.col("bar"), F.col("series")
+    width = one_of(series % 3, F.lit(0.06), F.lit(0.25), F.lit(0.9))
+    groove = F.when(bar % 4 == 1, one_of(series % 4, F.lit(0.0), F.lit(0.012), F.lit(0.003), F.lit(0.03))).when((bar % 4 == 3) & (series % 5 == 0), -0.01).otherwise(0.0)
+    t = bar * 0.5 + (F.col("l_discount") - 0.05) * width + F.when(F.col("l_quantity") >= 49, 0.2).otherwise(0.0) + groove
+    return signals.grid_fit(_lines(s, d).select("series", bar.alias("beat"), t.cast("double").alias("t"), (bar % 4).alias("pos"), (F.col("l_quantity") > 10).alias("refined")))
+
+
+def _pass_sql(of: str, to: str) -> str:
+    """The tables of one weighted fit of each window of ``of``."""
+    return f"""{to}a AS (SELECT series, win, x, t, pos, refined, w, first, has, CASE WHEN on_g AND has THEN pos ELSE 0 END AS cls, CASE WHEN keep THEN w ELSE 0.0 END AS wk, keep FROM {of}),
+ {to}b AS (SELECT *, sum(wk * x) OVER c / nullif(sum(wk) OVER c, 0) AS xm, sum(wk * t) OVER c / nullif(sum(wk) OVER c, 0) AS ym FROM {to}a WINDOW c AS (PARTITION BY series, win, cls)),
+ {to}c AS (SELECT *, sum(wk * (x - xm) * (t - ym)) OVER v / nullif(sum(wk * (x - xm) * (x - xm)) OVER v, 0) AS period, max(CASE WHEN cls = 0 THEN ym END) OVER v AS y0, max(CASE WHEN cls = 0 THEN xm END) OVER v AS x0 FROM {to}b WINDOW v AS (PARTITION BY series, win)),
+ {to}d AS (SELECT *, y0 - period * x0 AS phase, coalesce(max(CASE WHEN cls = pos AND pos > 0 THEN ym - period * xm - (y0 - period * x0) END) OVER (PARTITION BY series, win, pos), 0.0) AS g FROM {to}c),
+ {to}e AS (SELECT *, t - phase - period * x AS line, t - phase - period * x - CASE WHEN has THEN g ELSE 0.0 END AS groove FROM {to}d),
+ {to} AS (SELECT series, win, x, t, pos, refined, w, first, has, period, phase, g, keep AS was, coalesce(round(abs(groove), 9) <= round(abs(line), 9), true) AS on_g, CASE WHEN round(abs(groove), 9) <= round(abs(line), 9) THEN groove ELSE line END AS off,
+  coalesce(round(abs(CASE WHEN round(abs(groove), 9) <= round(abs(line), 9) THEN groove ELSE line END), 9) <= 0.04, false) AS keep FROM {to}e)"""
+
+
+GRID_SQL = f"""WITH {LINES}, b AS (SELECT series, bar // 64 AS win, CAST(bar AS DOUBLE) AS x, bar * 0.5 + (l_discount - 0.05) * [0.06, 0.25, 0.9][series % 3 + 1] + CASE WHEN l_quantity >= 49 THEN 0.2 ELSE 0.0 END + CASE WHEN bar % 4 = 1 THEN [0.0, 0.012, 0.003, 0.03][series % 4 + 1] WHEN bar % 4 = 3 AND series % 5 = 0 THEN -0.01 ELSE 0.0 END AS t, CAST(bar % 4 AS INTEGER) AS pos, l_quantity > 10 AS refined, CASE WHEN l_quantity > 10 THEN 1.0 ELSE 0.25 END AS w FROM lines),
+ r AS (SELECT *, count(*) OVER (PARTITION BY series, win) AS n, row_number() OVER (PARTITION BY series, win ORDER BY x) AS at FROM b), h AS (SELECT a.*, (o.t - a.t) / (o.x - a.x) AS span FROM r a LEFT JOIN r o ON o.series = a.series AND o.win = a.win AND o.at = a.at + greatest(a.n // 2, 1)),
+ p AS (SELECT *, quantile_cont(span, 0.5) OVER (PARTITION BY series, win) AS p0 FROM h), q AS (SELECT *, coalesce(round(abs(t - x * p0 - quantile_cont(t - x * p0, 0.5) OVER (PARTITION BY series, win)), 9) <= 0.04, true) AS near FROM p),
+ s0 AS (SELECT series, win, x, t, pos, refined, w, CASE WHEN count(*) FILTER (near) OVER (PARTITION BY series, win) >= 16 THEN near ELSE true END AS first, pos > 0 AND count(*) OVER (PARTITION BY series, win, pos) >= 4 AS has FROM q), f0 AS (SELECT *, first AS keep, true AS on_g FROM s0),
+ {_pass_sql('f0', 'f1')}, {_pass_sql('f1', 'f2')}, {_pass_sql('f2', 'f3')}, {_pass_sql('f3', 'f4')},
+ k0 AS (SELECT series, win, x, t, pos, refined, w, first, first AS keep, true AS on_g, has AND round(abs(g), 9) >= 0.005 AND coalesce(max(CASE WHEN has THEN round(abs(g), 9) END) OVER (PARTITION BY series, win) <= 0.025, true) AS has FROM f4),
+ {_pass_sql('k0', 'k1')}, {_pass_sql('k1', 'k2')}, {_pass_sql('k2', 'k3')}, {_pass_sql('k3', 'k4')},
+ o AS (SELECT series, win, max(period) AS period, max(phase) AS phase, max(CASE WHEN has AND pos = 1 THEN g END) AS g1, max(CASE WHEN has AND pos = 2 THEN g END) AS g2, max(CASE WHEN has AND pos = 3 THEN g END) AS g3, sqrt(sum(w * off * off) FILTER (was) / nullif(sum(w) FILTER (was), 0)) AS rms,
+  coalesce(max(abs(off)) FILTER (was AND refined), max(abs(off)) FILTER (was)) AS most, avg(CASE WHEN was THEN 1.0 ELSE 0.0 END) AS keep, count(*) FILTER (was) AS n FROM k4 GROUP BY 1, 2)
+ SELECT series, win AS "window", round(period, 6) AS period, round(phase, 5) AS phase, round(g1, 6) AS g1, round(g2, 6) AS g2, round(g3, 6) AS g3, round(rms, 6) AS rms, round(most, 6) AS most, round(keep, 6) AS keep,
+ CASE WHEN n < 16 OR period <= 0 OR period IS NULL THEN 'free' WHEN rms <= 0.006 AND most <= 0.015 AND keep >= 0.9 THEN 'locked' WHEN rms <= 0.015 AND keep >= 0.8 THEN 'verify' ELSE 'free' END AS class FROM o"""
 
 QUERIES = {
     "win_section_stats": lambda s, d: signals.section_stats(_bars(s, d)),
