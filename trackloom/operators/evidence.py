@@ -169,8 +169,12 @@ def zero_shot(vectors: DataFrame, prompts: DataFrame, scale: float = 10.0) -> Da
 
 
 def nearest_section(pooled: DataFrame) -> DataFrame:
-    """Largest similarity of each group's pooled unit vector to another group's: rows (label, place, x), one row a dimension."""
-    a = pooled.select(F.col("label").alias("a"), "place", "x")
-    b = pooled.select(F.col("label").alias("b"), "place", F.col("x").alias("y"))
-    sims = a.join(b, "place").where("a <> b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("sim"))
-    return sims.groupBy(F.col("a").alias("label")).agg(F.round(1 - F.max("sim"), 4).alias("distance"))
+    """(series, section, distance) of each section's pooled unit vector to the nearest other section of its series.
+
+    ``pooled``: (series, section, place, x), a row a dimension. A series' sections are few; series never meet each other.
+    """
+    whole = pooled.groupBy("series", "section").agg(F.array_sort(F.collect_list(F.struct("place", "x"))).alias("v"))
+    other = whole.select("series", F.col("section").alias("near"), F.col("v").alias("u"))
+    sim = F.aggregate(F.zip_with("v", "u", lambda a, b: a["x"] * b["x"]), F.lit(0.0), lambda s, x: s + x)
+    met = whole.join(other, "series").where("section <> near").select("series", "section", sim.alias("sim"))
+    return met.groupBy("series", "section").agg(F.round(1 - F.max("sim"), 4).alias("distance"))

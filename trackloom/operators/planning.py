@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.functions import keys
 from trackloom.operators.ordering import placed
 
 # Names left out of a catalog, genre words by bucket in their order, energy target points.
@@ -14,7 +15,10 @@ GENRES = {
     "chill": ["ambient", "chill", "downtempo", "trip", "lounge", "psybient", "idm", "new age", "jazz", "bossa", "acoustic", "folk", "soul"],
     "dance": ["house", "techno", "trance", "edm", "dance", "electro", "pop", "drum", "dnb", "garage", "disco", "funk", "hip", "rap", "r&b"],
 }
-TRANSIENT = ["not a bot", "Sign in to confirm", "429", "timed out", "No route to host", "network is unreachable", "fetch failed", "bytes read"]
+TRANSIENT = ["not a bot", "Sign in to confirm", "429", "timed out", "YouTube search failed (", "No route to host", "network is unreachable", "fetch failed", "bytes read"]
+NETWORK = r"(?i)network|timed out|timeout|rate limit|bot check|Media URL rejected \(403\)"
+NO_CANDIDATE = ["YouTube candidate failed Spotify duration check", "No acceptable duration-matched YouTube candidate in the configured search results"]
+NO_MATCH = "No duration-matched YouTube candidate"
 TARGET = [(0.0, 0.35), (0.25, 0.55), (0.6, 0.9), (0.85, 1.0), (1.0, 0.7)]
 
 
@@ -31,8 +35,19 @@ def genre_bucket(c: Column) -> Column:
     return out
 
 
-def is_transient(c: Column) -> Column:
-    return F.coalesce(F.exists(F.array(*map(F.lit, TRANSIENT)), lambda w: F.contains(c, w)), F.lit(False))
+def retry_flags(error: Column) -> list[Column]:
+    """Whether an error is transient (its words in any case), comes from the network, or says that no candidate fits; a null is none."""
+    holds = F.exists(F.array(*(F.lit(w.lower()) for w in TRANSIENT)), lambda w: F.contains(F.lower(error), w))
+    outcome = error.isin(*NO_CANDIDATE) | error.startswith(NO_MATCH)
+    return [F.coalesce(c, F.lit(False)).alias(n) for n, c in (("transient", holds), ("network", error.rlike(NETWORK)), ("candidate", outcome))]
+
+
+def query_variants(artist: Column, name: Column, album: Column) -> Column:
+    """At most three distinct searches, the plain one first: with the album or "audio", and with "official audio"."""
+    clean = lambda *c: F.trim(F.regexp_replace(F.translate(F.replace(F.concat_ws(" ", *c), F.lit("&"), F.lit(" ")), '"', ""), r"\s+", " "))
+    first, title = keys.primary_artist(artist), keys.base_title(name)
+    more = F.when(F.coalesce(album, F.lit("")) != "", album).otherwise("audio")
+    return F.slice(F.array_distinct(F.filter(F.array(clean(artist, name), clean(first, title, more), clean(first, title, F.lit("official audio"))), lambda q: q != "")), 1, 3)
 
 
 def interpolate(x: Column, points: list[tuple[float, float]]) -> Column:
@@ -50,9 +65,14 @@ def tempo_match(a: Column, b: Column) -> Column:
     return F.when(off(1.0) <= other["stretch"] + 0.5, F.struct(F.lit(1.0).alias("ratio"), off(1.0).alias("stretch"))).otherwise(F.struct(other["ratio"].alias("ratio"), other["stretch"].alias("stretch")))
 
 
+def fingerprint(version: str) -> Column:
+    """Of a document (doc_id, text; a null text is empty) under a version of what works on it."""
+    return F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), F.sha2(F.coalesce("text", F.lit("")), 256), F.lit(version)), 256)
+
+
 def skip_done(inputs: DataFrame, results: DataFrame, version: str) -> DataFrame:
-    """Inputs (doc_id, text) whose fingerprint has no valid result: an anti join on the hash."""
-    mark = F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), F.length("text").cast("string"), F.lit(version)), 256)
+    """Inputs (doc_id, text) whose fingerprint has no valid result: an anti join on the hash, which any edit of the text changes."""
+    mark = fingerprint(version)
     return inputs.select("doc_id", mark.alias("mark")).join(results.select("mark"), "mark", "left_anti").select("doc_id", "mark")
 
 
@@ -121,8 +141,6 @@ def ready_order(playlists: DataFrame, k: int | None = None) -> DataFrame:
 
 def curve_bins(events: DataFrame, bin_min: int = 720) -> DataFrame:
     """Mean value of each time bin of a key, with null for the empty bins between its first and last."""
-    from trackloom.functions import keys
-
     at = F.floor(keys.micros("t") / (bin_min * 60_000_000)).cast("long")
     filled = events.groupBy("key", at.alias("bin")).agg(F.avg("value").alias("mean"))
     spine = filled.groupBy("key").agg(F.explode(F.sequence(F.min("bin"), F.max("bin"))).alias("bin"))
@@ -142,8 +160,6 @@ def kernel_regression(vectors: DataFrame, labelled: DataFrame, width: float = 0.
 
 def nearest_grid(points: DataFrame, grid: DataFrame, within_s: float) -> DataFrame:
     """The nearest grid time of each point of a key, if within ``within_s``: points and grid sorted together, both ways."""
-    from trackloom.functions import keys
-
     both = points.select("key", "event_id", keys.micros("t").alias("m"), F.lit(None).cast("long").alias("g")).unionByName(grid.select("key", F.lit(None).cast("long").alias("event_id"), keys.micros("t").alias("m"), keys.micros("t").alias("g")))
     # both frames start at the partition's first row: one that ends at its last is worked out anew for each row
     upto = lambda order: F.last("g", True).over(Window.partitionBy("key").orderBy(order).rangeBetween(Window.unboundedPreceding, 0))

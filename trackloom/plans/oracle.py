@@ -102,13 +102,13 @@ _SQL = {
     "vec_pool_normalize": f"WITH u AS ({UNIT}), p AS (SELECT label, CAST(i - 1 AS INTEGER) AS place, avg(v[i]) AS x FROM u, range(1, 65) r(i) GROUP BY 1, 2) SELECT label, place, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 6) AS x FROM p",
     "vec_knn_vote": f"WITH u AS ({UNIT}), s AS (SELECT a.vec_id, b.vec_id AS near, b.label, round(list_dot_product(a.v, b.v), 9) AS sim FROM u a JOIN u b ON b.vec_id % 3 = 0 AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, near) AS r FROM s), v AS (SELECT vec_id, label, round(sum(sim), 6) AS votes FROM r WHERE r <= 5 GROUP BY 1, 2) SELECT vec_id, label FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY votes DESC, label DESC) AS r FROM v) WHERE r = 1",
     "str_throughput": "WITH w AS (SELECT time_bucket(INTERVAL 10 MINUTE, t) - to_minutes(unnest([0, 10, 20])) AS start FROM event WHERE type = 'mp3_verified') SELECT start, count(*) AS done, round(count(*) / 30.0, 6) AS rate FROM w GROUP BY 1",
-    "ingest_skip_done": "SELECT doc_id, sha256(concat(doc_id, '|', length(text), '|v1')) AS mark FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "ingest_skip_done": "SELECT doc_id, sha256(concat(doc_id, '|', sha256(coalesce(text, '')), '|v1')) AS mark FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) OR doc_id % 7 = 0 AND coalesce(text, '') <> coalesce(reverse(text), '')",
     "fn_excluded_name": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN true WHEN 1 THEN true ELSE regexp_matches(trim(coalesce(text, '')), '(?i)^(daily mix(es)?(\\s.*)?|dj|discover weekly|release radar|on repeat|repeat rewind|(your )?daily drive)$') END AS excluded FROM documents",
     "fn_genre_bucket": "SELECT doc_id, CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + f" THEN '{name}'" for name, words in planning.GENRES.items()) + " END AS bucket FROM documents",
-    "fn_retry_class": "SELECT doc_id, " + " OR ".join(f"contains(text, '{w}')" for w in planning.TRANSIENT) + " AS transient FROM documents",
+    "fn_retry_class": "WITH e AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE ['HTTP Error 429: Too Many Requests', 'SIGN IN to confirm you are over 18', 'read TIMED OUT', 'youtube search failed (1)', 'got 5 Bytes Read', 'Media URL rejected (403)', 'network down', 'bot check', '" + planning.NO_CANDIDATE[0] + "', '" + planning.NO_CANDIDATE[1] + "', '" + planning.NO_MATCH + " for x', 'disk full'][doc_id % 12 + 1] END AS e FROM documents) SELECT doc_id, coalesce(" + " OR ".join(f"contains(lower(e), '{w.lower()}')" for w in planning.TRANSIENT) + ", false) AS transient, coalesce(regexp_matches(e, '(?i)network|timed out|timeout|rate limit|bot check|Media URL rejected \\(403\\)'), false) AS network, coalesce(e IN ('" + "', '".join(planning.NO_CANDIDATE) + "') OR starts_with(e, '" + planning.NO_MATCH + "'), false) AS candidate FROM e",
     "fn_tempo_match": "WITH o AS (SELECT p_partkey AS song_id, abs(p_size * 40.0 / p_retailprice - 1) * 100 AS one, abs(p_size * 40.0 / (0.5 * p_retailprice) - 1) * 100 AS half, abs(p_size * 40.0 / (2 * p_retailprice) - 1) * 100 AS two FROM part) SELECT song_id, CASE WHEN one <= least(half, two) + 0.5 THEN 1.0 WHEN half <= two THEN 0.5 ELSE 2.0 END AS ratio, round(CASE WHEN one <= least(half, two) + 0.5 THEN one ELSE least(half, two) END, 6) AS stretch FROM o",
     "fn_e_star": "WITH p AS (SELECT * FROM (VALUES (0.0, 0.25, 0.35, 0.55), (0.25, 0.6, 0.55, 0.9), (0.6, 0.85, 0.9, 1.0), (0.85, 1.0, 1.0, 0.7)) v(x0, x1, y0, y1)), n AS (SELECT DISTINCT l_linenumber AS n FROM lineitem) SELECT n, round(CAST(y0 AS DOUBLE) + (n / 7.0 - x0) * (y1 - y0) / (x1 - x0), 6) AS target FROM n JOIN p ON n / 7.0 > x0 AND n / 7.0 <= x1",
-    "fn_query_variants": "SELECT song_id, concat(artist, ' ', name, '|', artist, ' ', name, ' ', bucket) AS variants FROM song",
+    "fn_query_variants": "WITH q AS (SELECT song_id, artist, name, concat(artist, CASE song_id % 3 WHEN 0 THEN ' feat. Other' WHEN 1 THEN '   Second' ELSE '' END, ' ', name, CASE song_id % 4 WHEN 0 THEN ' - 2011 Remastered' WHEN 1 THEN ' live' ELSE '' END) AS plain, concat(artist, CASE WHEN song_id % 3 = 1 THEN '   Second' ELSE '' END, ' ', name, CASE WHEN song_id % 4 = 1 THEN ' live' ELSE '' END) AS short, CASE WHEN song_id % 2 = 0 THEN bucket ELSE 'audio' END AS more FROM song) SELECT song_id, array_to_string([trim(regexp_replace(x, '\\s+', ' ', 'g')) FOR x IN [plain, concat(short, ' ', more), concat(short, ' official audio')]], '|') AS variants FROM q",
     "fn_camelot_distance": "SELECT p_partkey AS song_id, CASE WHEN p_partkey % 5 = 0 THEN 6 ELSE least(abs(p_partkey % 12 - 7), 12 - abs(p_partkey % 12 - 7)) + CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 1 END END AS distance FROM part",
     "flt_playlist_view": "SELECT playlist_id, name FROM playlist WHERE name ILIKE '%#00000001%' AND status <> 4",
     "flt_eligibility": "SELECT doc_id, CASE WHEN n_chars IS NULL THEN 'needs_prep' WHEN n_chars < 200 THEN 'too_short' WHEN n_chars > 20000 THEN 'too_long' WHEN strpos(text, chr(10)) = 0 THEN 'no_excerpt' END AS reason FROM documents",
@@ -147,7 +147,7 @@ _SQL = {
     "join_queue_prune": "SELECT o.playlist_id, count(f.song_id) AS satisfied, count(*) - count(f.song_id) AS open FROM occurrence o LEFT JOIN (SELECT DISTINCT song_id FROM file WHERE seconds > 300) f ON f.song_id = o.song_id GROUP BY 1",
     "agg_conflict_files": f"WITH m AS (SELECT artist, name FROM song GROUP BY 1, 2 HAVING count(DISTINCT expected_ms) > 1) SELECT CASE WHEN f.path IS NULL THEN 'no-file' ELSE {reason('f.expected_ms', 'f.seconds')} END AS verdict, count(*) AS n, count(DISTINCT s.song_id) AS songs FROM song s JOIN m ON m.artist = s.artist AND m.name = s.name LEFT JOIN file f ON f.song_id = s.song_id AND f.song_id % 13 <> 0 GROUP BY 1",
     "vec_zero_shot": f"WITH u AS ({UNIT}), e AS (SELECT a.vec_id, b.vec_id AS prompt, exp(10 * list_dot_product(a.v, b.v)) AS e FROM u a JOIN u b ON b.vec_id < 4) SELECT vec_id, arg_max(prompt, e) AS prompt, round(max(e) / sum(e), 6) AS share FROM e GROUP BY 1",
-    "win_nearest_section": f"WITH u AS ({UNIT}), p AS (SELECT label, i AS place, avg(v[i]) AS x FROM u, range(1, 65) r(i) GROUP BY 1, 2), q AS (SELECT label, place, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 6) AS x FROM p), s AS (SELECT a.label, b.label AS other, sum(a.x * b.x) AS sim FROM q a JOIN q b ON a.place = b.place AND a.label <> b.label GROUP BY 1, 2) SELECT label, round(1 - max(sim), 4) AS distance FROM s GROUP BY 1",
+    "win_nearest_section": f"WITH u AS ({UNIT}), n AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos FROM u), p AS (SELECT concat(label, '-', pos // 40) AS series, pos % 40 // 8 AS section, i AS place, avg(v[i]) AS x FROM n, range(1, 65) r(i) GROUP BY 1, 2, 3), q AS (SELECT series, section, place, round(x / sqrt(sum(x * x) OVER (PARTITION BY series, section)), 6) AS x FROM p), s AS (SELECT a.series, a.section, b.section AS other, sum(a.x * b.x) AS sim FROM q a JOIN q b ON a.series = b.series AND a.place = b.place AND a.section <> b.section GROUP BY 1, 2, 3) SELECT series, section, round(1 - max(sim), 4) AS distance FROM s GROUP BY 1, 2",
 }
 
 SQL = {name: with_views(sql) for name, sql in _SQL.items()}

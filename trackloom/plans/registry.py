@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import keys
@@ -43,6 +43,43 @@ def _vectors(s: S, d: str) -> DataFrame:
     return views.table(s, d, "embeddings")
 
 
+def _to_do(s: S, d: str) -> DataFrame:
+    """Documents without a result; labelled ones have one, but every seventh of those from another text of the same length."""
+    docs = views.table(s, d, "documents")
+    stale = F.when(F.col("doc_id") % 7 == 0, F.reverse("text")).otherwise(F.col("text"))
+    done = docs.join(views.table(s, d, "labels").select("doc_id"), "doc_id", "left_semi").withColumn("text", stale)
+    return planning.skip_done(docs, done.select(planning.fingerprint("v1").alias("mark")), "v1")
+
+
+#: Error lines of each kind; other documents are their own text.
+ERRORS = [
+    "HTTP Error 429: Too Many Requests", "SIGN IN to confirm you are over 18", "read TIMED OUT", "youtube search failed (1)", "got 5 Bytes Read", "Media URL rejected (403)", "network down", "bot check",
+    planning.NO_CANDIDATE[0], planning.NO_CANDIDATE[1], planning.NO_MATCH + " for x", "disk full",
+]
+
+
+def _retries(s: S, d: str) -> DataFrame:
+    line = F.element_at(F.array(*map(F.lit, ERRORS)), (F.col("doc_id") % len(ERRORS) + 1).cast("int"))
+    error = F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(line)
+    return views.table(s, d, "documents").select("doc_id", *planning.retry_flags(error))
+
+
+def _variants(s: S, d: str) -> DataFrame:
+    n = F.col("song_id")
+    artist = F.concat("artist", F.when(n % 3 == 0, " feat. Other").when(n % 3 == 1, " & Second").otherwise(""))
+    name = F.concat("name", F.when(n % 4 == 0, " - 2011 Remastered").when(n % 4 == 1, ' "live"').otherwise(""))
+    return views.song(s, d).select("song_id", F.array_join(planning.query_variants(artist, name, F.when(n % 2 == 0, F.col("bucket"))), "|").alias("variants"))
+
+
+def _sections(s: S, d: str) -> DataFrame:
+    """Sections of eight vectors in series of forty."""
+    w = Window.partitionBy("label").orderBy("vec_id")
+    v = _vectors(s, d).withColumn("at", F.row_number().over(w) - 1)
+    v = v.select(F.concat_ws("-", "label", F.floor(F.col("at") / 40)).alias("series"), F.floor(F.col("at") % 40 / 8).alias("section"), "embedding")
+    pooled = features.pool(v.withColumn("of", F.struct("series", "section")), "of")
+    return evidence.nearest_section(pooled.select("of.series", "of.section", "place", "x"))
+
+
 def _membership(s: S, d: str) -> DataFrame:
     """Saved lists and three observations: short ones, confirmed, changed or cut off, and for some playlists a full one."""
     o = views.occurrence(s, d)
@@ -158,13 +195,13 @@ QUERIES = {
     "vec_pool_normalize": lambda s, d: features.pool(_vectors(s, d), "label"),
     "vec_knn_vote": lambda s, d: neighbours.knn_vote(_vectors(s, d), _vectors(s, d).where("vec_id % 3 = 0")),
     "str_throughput": lambda s, d: live.throughput(views.event(s, d)),
-    "ingest_skip_done": lambda s, d: planning.skip_done(views.table(s, d, "documents"), views.table(s, d, "documents").join(views.table(s, d, "labels").select("doc_id"), "doc_id", "left_semi").select(F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), F.length("text").cast("string"), F.lit("v1")), 256).alias("mark")), "v1"),
+    "ingest_skip_done": _to_do,
     "fn_excluded_name": lambda s, d: views.table(s, d, "documents").select("doc_id", planning.excluded_name(F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Daily Mix "), "doc_id")).when(F.col("doc_id") % 4 == 1, " dj ").otherwise(F.col("text"))).alias("excluded")),
     "fn_genre_bucket": lambda s, d: views.table(s, d, "documents").select("doc_id", planning.genre_bucket(F.col("text")).alias("bucket")),
-    "fn_retry_class": lambda s, d: views.table(s, d, "documents").select("doc_id", planning.is_transient(F.col("text")).alias("transient")),
+    "fn_retry_class": _retries,
     "fn_tempo_match": lambda s, d: views.table(s, d, "part").select(F.col("p_partkey").alias("song_id"), planning.tempo_match(F.col("p_retailprice"), F.col("p_size") * 40.0).alias("m")).select("song_id", "m.ratio", F.round("m.stretch", 6).alias("stretch")),
     "fn_e_star": lambda s, d: views.table(s, d, "lineitem").select(F.col("l_linenumber").alias("n")).distinct().select("n", F.round(planning.interpolate(F.col("n") / 7.0, planning.TARGET), 6).alias("target")),
-    "fn_query_variants": lambda s, d: views.song(s, d).select("song_id", F.array_join(F.slice(F.array_distinct(F.array(F.concat_ws(" ", "artist", "name"), F.concat_ws(" ", "artist", "name", "bucket"), F.concat_ws(" ", "artist", "name"))), 1, 3), "|").alias("variants")),
+    "fn_query_variants": _variants,
     "fn_camelot_distance": lambda s, d: _items(s, d).select("song_id", keys.camelot_distance(F.col("camelot"), F.when(F.col("song_id") % 5 == 0, "?").otherwise("8A")).alias("distance")),
     "flt_playlist_view": lambda s, d: views.playlist(s, d).where(F.contains(F.lower("name"), F.lit("#00000001")) & (F.col("status") != 4)).select("playlist_id", "name"),
     "flt_eligibility": lambda s, d: planning.eligibility(views.table(s, d, "documents")),
@@ -203,7 +240,7 @@ QUERIES = {
     "join_queue_prune": lambda s, d: evidence.queue_prune(views.occurrence(s, d), views.file(s, d).where("seconds > 300")),
     "agg_conflict_files": lambda s, d: evidence.conflict_files(views.song(s, d), views.file(s, d).where("song_id % 13 <> 0")),
     "vec_zero_shot": lambda s, d: evidence.zero_shot(_vectors(s, d), _vectors(s, d).where("vec_id < 4")),
-    "win_nearest_section": lambda s, d: evidence.nearest_section(features.pool(_vectors(s, d), "label")),
+    "win_nearest_section": _sections,
 }
 
 _PARTS = (ingest, bindings, profiles, followers, signals, streams, audits)
