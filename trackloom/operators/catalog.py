@@ -16,14 +16,19 @@ def explode_playlists(playlists: DataFrame, occurrences: DataFrame, songs: DataF
     return occurrences.join(playlists.where("not skipped").select("playlist_id"), "playlist_id").join(named, "song_id").select("playlist_id", "song_id", "n", "seq", "artist", "name", "expected_ms")
 
 
+def keyed(songs: DataFrame) -> DataFrame:
+    """``songs`` with ``song_key``; made here, a song's key is folded once and not for each of its occurrences."""
+    return songs.withColumn("song_key", F.lower(keys.file_base(F.col("artist"), F.col("name"))))
+
+
 def dedup(occurrences: DataFrame) -> DataFrame:
-    """One row per (artist, name): ids, first known length in input order, whether any length is over CONFLICT_MS from it.
+    """One row per ``song_key`` (see ``keyed``): ids, first known length in input order, whether any length is over CONFLICT_MS from it.
 
     ``conflict`` needs the extremes only, so one aggregate suffices: no join back, no list of lengths.
     """
     known = F.col("expected_ms") > 0
     first = F.min_by("expected_ms", F.when(known, F.struct("playlist_id", "seq")))
-    out = occurrences.groupBy(F.lower(keys.file_base(F.col("artist"), F.col("name"))).alias("song_key")).agg(
+    out = occurrences.groupBy("song_key").agg(
         F.count_distinct("song_id").alias("ids"), F.count("*").alias("occurrences"), F.count_distinct("playlist_id").alias("playlists"), first.alias("duration_ms"), F.min(F.when(known, F.col("expected_ms"))).alias("lo"), F.max(F.when(known, F.col("expected_ms"))).alias("hi"))
     wide = (F.col("hi") - F.col("duration_ms") > CONFLICT_MS) | (F.col("duration_ms") - F.col("lo") > CONFLICT_MS)
     return out.select("song_key", "ids", "occurrences", "playlists", "duration_ms", F.coalesce(wide, F.lit(False)).alias("conflict"))

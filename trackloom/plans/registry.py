@@ -14,10 +14,6 @@ from trackloom.streaming import live
 S = SparkSession
 
 
-def _songs_in(s: S, d: str) -> DataFrame:
-    return views.occurrence(s, d).join(views.song(s, d), "song_id")
-
-
 def _evidence(s: S, d: str) -> DataFrame:
     return matching.evidence(views.candidate(s, d), views.ledger(s, d))
 
@@ -158,7 +154,7 @@ QUERIES = {
     "fn_ordered_hash": lambda s, d: catalog.ordered_hash(views.occurrence(s, d)),
     "fn_normalize_title": lambda s, d: views.table(s, d, "documents").select("doc_id", F.length(keys.normalize_title(F.col("text"))).alias("n"), F.md5(keys.normalize_title(F.col("text"))).alias("title_md5")),
     "fn_normalize_identity": lambda s, d: views.table(s, d, "documents").select("doc_id", F.md5(keys.normalize_identity(F.col("text"))).alias("identity_md5")),
-    "agg_catalog_dedup": lambda s, d: catalog.dedup(_songs_in(s, d)),
+    "agg_catalog_dedup": lambda s, d: catalog.dedup(views.occurrence(s, d).join(catalog.keyed(views.song(s, d)), "song_id")),
     "agg_playlist_coverage": coverage,
     "agg_catalog_summary": lambda s, d: catalog.catalog_summary(views.playlist(s, d)),
     "agg_disjoint_windows": lambda s, d: catalog.disjoint_windows(views.song(s, d)),
