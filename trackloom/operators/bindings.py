@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.functions import keys
 from trackloom.operators import matching
+from trackloom.sources.shared import materialize
 
 SOURCE_ID = r"^[A-Za-z0-9]{22}$"
 ISRC = r"^[A-Z]{2}[A-Z0-9]{3}[0-9]{7}$"
@@ -68,15 +69,44 @@ def history_recovery(unknown: DataFrame, history: DataFrame) -> DataFrame:
     return bound.join(ids, "file_id", "left").select("file_id", "bindings", F.coalesce("ids", F.lit(0)).cast("long").alias("ids"), "observations")
 
 
-def source_completion(states: DataFrame, files: DataFrame, resolved: DataFrame) -> DataFrame:
-    """``file_state`` after uses that lacked a length are compared with the lengths since ``resolved`` (song_id, ms); all
-    other uses keep their state."""
-    seconds = files.select("path", "seconds")
-    met = states.join(seconds, "path", "left").join(resolved, "song_id", "left")
+def store_uses(states: DataFrame, path: str, parts: int = 32) -> None:
+    """Writes uses of files (dev, ino, path, song_id, state, ...) in ``parts`` partitions by physical file, so that a file's uses are
+    in one of them. A partition is a few files, not one task's."""
+    part = F.pmod(F.xxhash64("dev", "ino"), F.lit(parts)).cast("int")
+    states.withColumn("part", part).repartition("part", F.pmod(F.xxhash64("path"), F.lit(4))).write.partitionBy("part").parquet(path)
+
+
+def complete_stored(spark: SparkSession, path: str, files: DataFrame, resolved: DataFrame) -> list[int]:
+    """Compares the stored uses at ``path`` that lacked a length with the lengths since ``resolved`` (song_id, ms), and writes again
+    the partitions that hold one, no others; returns their numbers.
+
+    What changes is worked out and written elsewhere first, then the partitions are overwritten: if that is cut off, running it
+    again gives the same, as the uses that were compared no longer lack a length.
+    """
+    stored = spark.read.parquet(path)
+    lacking = stored.where("state = 'missing-source-metadata'").join(resolved.where("ms is not null"), "song_id", "left_semi")
+    touched = sorted(r.part for r in lacking.select("part").distinct().collect())  # at most a number a partition
+    if not touched:
+        return []
+    again = materialize(_compared_again(stored.where(F.col("part").isin(touched)), files, resolved).select(stored.columns), "completed")
+    again.repartition("part", F.pmod(F.xxhash64("path"), F.lit(4))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    spark.catalog.refreshByPath(path)
+    return touched
+
+
+def _compared_again(states: DataFrame, files: DataFrame, resolved: DataFrame) -> DataFrame:
+    met = states.join(files.select("path", "seconds"), "path", "left").join(resolved, "song_id", "left")
     reason = keys.length_reason(F.col("ms"), F.col("seconds"))
     new = F.when(reason == "match", "length-match").when(reason != "missing-source", "probable-bad-duration")
     again = F.when(F.col("state") == "missing-source-metadata", F.coalesce(new, F.col("state"))).otherwise(F.col("state"))
-    return matching.file_state(met.withColumn("state", again))
+    return met.withColumn("state", again)
+
+
+def source_completion(spark: SparkSession, path: str, files: DataFrame, resolved: DataFrame) -> DataFrame:
+    """``file_state`` of the uses stored at ``path`` after those that lacked a length are compared with the lengths since ``resolved``
+    (song_id, ms); all other uses keep their state, and partitions without one keep their files."""
+    complete_stored(spark, path, files, resolved)
+    return matching.file_state(spark.read.parquet(path))
 
 
 def _single(df: DataFrame, key: str, what: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession as S
 from trackloom.operators import bindings, matching
 from trackloom.plans.ingest import one_of
 from trackloom.plans.oracle import STATES, reason
-from trackloom.sources import views
+from trackloom.sources import shared, views
 from trackloom.sources.views import with_views
 
 # ---- exact bindings: songs are identities; two songs in four share a file name, a fifth of some paths has two owners
@@ -95,7 +95,9 @@ def _completion(s: S, d: str) -> DataFrame:
     near = F.when(F.col("song_id") % 2 == 0, F.lit(200_000)).otherwise(F.lit(None))
     resolved = views.song(s, d).where("song_id % 17 = 0").select("song_id", near.cast("long").alias("ms"))
     files = views.file(s, d).withColumn("seconds", F.when(F.col("expected_ms").isNull(), 195.0 + F.col("song_id") % 40).otherwise(F.col("seconds")))
-    return bindings.source_completion(states, files, resolved)
+    path = shared.shared_path(s, "uses")
+    bindings.store_uses(states, path)
+    return bindings.source_completion(s, path, files, resolved)
 
 
 COMPLETION_SQL = f"""WITH {STATES}, again AS (SELECT dev, ino, size, CASE WHEN state = 'missing-source-metadata' AND song_id % 17 = 0 AND song_id % 2 = 0 THEN CASE WHEN abs(200.0 - (195.0 + song_id % 40)) <= 10.000001 THEN 'length-match' ELSE 'probable-bad-duration' END ELSE state END AS state FROM states)
