@@ -12,21 +12,17 @@ from trackloom.sources.views import with_views
 from trackloom.streaming import journal, live, timed
 
 
-def _events(s: S, d: str, in_order: bool = True) -> DataFrame:
-    """The events as a stream of three micro-batches, cut by time, or dealt out so that older events come after newer ones."""
-    e = views.event(s, d)
-    us = keys.micros("t")
-    rows = e.select("event_id", F.timestamp_micros(us).alias("t"), F.col("key").cast("long").alias("key"), "type", F.col("k").cast("int").alias("k"))
-    lo, hi = e.agg(F.min(us), F.max(us)).first()
-    third = F.floor((F.unix_micros("t") - F.lit(lo)) * 3 / F.lit((hi or 0) - (lo or 0) + 1))
-    return live.in_files(rows, third if in_order else F.pmod(F.col("event_id"), F.lit(3)))
+def _events(s: S, d: str) -> DataFrame:
+    """The events as a stream of three micro-batches, dealt out so that older events come after newer ones."""
+    rows = views.event(s, d).select("event_id", F.timestamp_micros(keys.micros("t")).alias("t"), F.col("key").cast("long").alias("key"), "type", F.col("k").cast("int").alias("k"))
+    return live.in_files(rows, F.pmod(F.col("event_id"), F.lit(3)))
 
 
 def _requests(s: S, d: str) -> DataFrame:
-    e = _events(s, d)
-    k = F.coalesce("k", F.lit(0))
-    rows = e.select(F.concat_ws("-", F.col("key").cast("string"), (k % 3).cast("string")).alias("request"), F.when(F.col("event_id") % 7 == 0, "other").otherwise("same").alias("fingerprint"), (F.col("type") == "mp3_verified").alias("completes"), "t", "event_id")
-    return live.stream_to_table(journal.idempotent_requests(rows))
+    e = views.event(s, d)
+    request = F.concat_ws("-", F.col("key").cast("string"), (F.coalesce("k", F.lit(0)) % 3).cast("string"))
+    rows = e.select(request.alias("key"), "event_id", keys.micros("t").alias("t_us"), F.when(F.col("event_id") % 7 == 0, "other").otherwise("same").alias("type"), (F.col("type") == "mp3_verified").cast("long").alias("value"))
+    return timed.replayed(s, rows, timed.idempotent_requests)
 
 
 REQUEST_SQL = """WITH r AS (SELECT concat("key", '-', coalesce(k, 0) % 3) AS request, CASE WHEN event_id % 7 = 0 THEN 'other' ELSE 'same' END AS fp, type = 'mp3_verified' AS completes, t, event_id FROM event),
@@ -36,7 +32,7 @@ REQUEST_SQL = """WITH r AS (SELECT concat("key", '-', coalesce(k, 0) % 3) AS req
 
 
 def _checkpoints(s: S, d: str) -> DataFrame:
-    e = _events(s, d, in_order=False).where("type is not null")
+    e = _events(s, d).where("type is not null")
     rows = e.select("key", F.col("type").alias("state"), F.coalesce("k", F.lit(0)).alias("attempts"), F.when(F.col("type") == "block", "blocked").alias("error"), "t", "event_id")
     return journal.journal_upsert(rows, ["key"], ["t", "event_id"]).select("key", "state", "attempts", "error", "event_id")
 
@@ -46,7 +42,7 @@ CHECKPOINT_SQL = """SELECT "key", arg_max(type, (t, event_id)) AS state, arg_max
 
 def _coverage(s: S, d: str) -> DataFrame:
     state = F.when(F.col("type") == "mp3_verified", "saved").when(F.col("type") == "block", "failed").otherwise("open")
-    rows = _events(s, d, in_order=False).select(F.col("key").alias("playlist_id"), (F.coalesce("k", F.lit(0)) % 12).alias("track"), state.alias("state"), "t", "event_id")
+    rows = _events(s, d).select(F.col("key").alias("playlist_id"), (F.coalesce("k", F.lit(0)) % 12).alias("track"), state.alias("state"), "t", "event_id")
     return journal.live_coverage(rows)
 
 
@@ -57,9 +53,9 @@ QUIET_S = 6 * 3600
 
 
 def _alerts(s: S, d: str) -> DataFrame:
-    e = _events(s, d)
-    rows = e.select("key", F.when((F.col("type") == "block") & (F.coalesce("k", F.lit(0)) % 10 != 3), "block").otherwise("other").alias("kind"), F.when(F.col("type") == "search_ok", F.col("k").cast("long")).alias("errors"), "t", "event_id")
-    return live.stream_to_table(journal.error_alerts(rows, QUIET_S))
+    kind = F.when((F.col("type") == "block") & (F.coalesce("k", F.lit(0)) % 10 != 3), "block").otherwise("other")
+    rows = views.event(s, d).select(F.col("key").cast("long").alias("key"), "event_id", keys.micros("t").alias("t_us"), kind.alias("kind"), F.when(F.col("type") == "search_ok", F.col("k").cast("long")).alias("value"))
+    return timed.replayed(s, rows.withColumnRenamed("kind", "type"), lambda e: timed.error_alerts(e, QUIET_S))
 
 
 ALERT_SQL = f"""WITH r AS (SELECT "key" AS k2, t, event_id, type = 'block' AND coalesce(k, 0) % 10 <> 3 AS block, CASE WHEN type = 'search_ok' THEN k END AS errors FROM event),

@@ -1,4 +1,4 @@
-"""Streams whose results are kept by key: idempotent requests, a journal of checkpoints, live coverage, alerts by incident.
+"""Streams whose results are kept by key: a journal of checkpoints and live coverage.
 
 A journal is a folder of batches: each writes its latest row of each key under its own number, over what an earlier attempt
 of the same batch left, so a batch that runs twice counts once. Readers take each key's latest row by the order columns,
@@ -8,10 +8,9 @@ so far are written as one. The folder is all there is to a journal: a new driver
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,55 +94,3 @@ def coverage_of(states: DataFrame) -> DataFrame:
     of = states.groupBy("playlist_id").agg(F.count("*").alias("tracks"), F.count_if(F.col("state") == "saved").alias("on_disk"), F.count_if(F.col("state") == "failed").alias("failed"))
     percent = F.floor(F.col("on_disk") * 100 / F.col("tracks") + 0.5)
     return of.select("playlist_id", "tracks", "on_disk", "failed", percent.cast("long").alias("percent"), (F.col("on_disk") + F.col("failed") >= F.col("tracks")).alias("done"))
-
-
-def idempotent_requests(stream: DataFrame) -> DataFrame:
-    """(request, event_id, verdict) of each event (request, fingerprint, completes, t, event_id) of a stream, by a state per request.
-
-    The first event of a request is ``admitted``; one with another fingerprint is a ``conflict``; with the same it gets the
-    result if the request has ``completed``, else it is ``unfinished`` and nothing is done again.
-    """
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        first, completed = state.get if state.exists else (None, False)
-        rows = pd.concat(list(parts)).sort_values(["t", "event_id"])
-        out = []
-        for fingerprint, completes, event in zip(rows.fingerprint, rows.completes, rows.event_id):
-            if first is None:
-                first, verdict = fingerprint, "admitted"
-            else:
-                verdict = "conflict" if fingerprint != first else "completed" if completed else "unfinished"
-            completed = completed or bool(completes and fingerprint == first)
-            out.append((key[0], int(event), verdict))
-        state.update((first, completed))
-        yield pd.DataFrame(out, columns=["request", "event_id", "verdict"])
-
-    return stream.groupBy("request").applyInPandasWithState(step, "request string, event_id long, verdict string", "first string, completed boolean", "append", GroupStateTimeout.NoTimeout)
-
-
-def error_alerts(stream: DataFrame, quiet_s: int) -> DataFrame:
-    """(key, event_id, cause) of the first event of each incident in a stream of readings (key, kind, errors, t, event_id).
-
-    A ``block``, or an ``errors`` count above the reading before, belongs to an incident; one that comes ``quiet_s`` or less
-    after the last such event belongs to the same and raises nothing.
-    """
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last, errors = state.get if state.exists else (-(1 << 60), None)
-        rows = pd.concat(list(parts)).sort_values(["t", "event_id"])
-        out = []
-        for kind, n, t, event in zip(rows.kind, rows.errors, rows.t, rows.event_id):
-            counted = not pd.isna(n)
-            cause = "block" if kind == "block" else "errors" if counted and errors is not None and n > errors else None
-            errors = int(n) if counted else errors
-            if cause:
-                now = int(t.timestamp())
-                if now - last > quiet_s:
-                    out.append((key[0], int(event), cause))
-                last = now
-        state.update((last, errors))
-        yield pd.DataFrame(out, columns=["key", "event_id", "cause"])
-
-    return stream.groupBy("key").applyInPandasWithState(step, "key long, event_id long, cause string", "last long, errors long", "append", GroupStateTimeout.NoTimeout)

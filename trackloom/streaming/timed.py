@@ -1,4 +1,5 @@
-"""Streams in the order of event time, with timers: batches of fixed length from their first notice, and the search for a pace.
+"""Streams in the order of event time, with timers: batches of fixed length from their first notice, the search for a pace,
+idempotent requests and alerts by incident.
 
 Rows wait in their key's state until the watermark has passed them, so batches of a stream and rows of a batch may come in any
 order within the watermark's delay. A timer at the earliest waiting row, or at the next instant at which something is due
@@ -59,7 +60,8 @@ def replayed(spark: SparkSession, rows: DataFrame, run, slices: int = 2, by=None
         with timer_store(spark):
             stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").outputMode("append").trigger(availableNow=True).start().awaitTermination()
         out = stream
-    return spark.read.schema(out.schema).parquet(f"{base}/out").where(F.col("key") != HEARTBEAT)
+    of = out.schema[0]
+    return spark.read.schema(out.schema).parquet(f"{base}/out").where(F.col(of.name) != F.lit(HEARTBEAT).cast(of.dataType))
 
 
 class InOrder(StatefulProcessor):
@@ -218,6 +220,77 @@ def trip_state(events: DataFrame, pace: Pace, delay: str = "0 seconds") -> DataF
     return in_time(events, delay).groupBy("key").transformWithStateInPandas(TripState(pace), schema, "append", "eventtime")
 
 
+class Requests(InOrder):
+    """The first event of a request is admitted; the others get what has become of it."""
+
+    columns = ["request", "event_id", "verdict"]
+
+    def __init__(self, forget_us: int | None) -> None:
+        self.forget_us = forget_us
+
+    def start(self, handle) -> None:
+        self.kept = handle.getValueState("kept", "first string, completed boolean, seen long")
+
+    def due(self) -> int | None:
+        return self.kept.get()[2] + self.forget_us if self.forget_us and self.kept.exists() else None
+
+    def happen(self, at: int, out: list) -> None:
+        self.kept.clear()
+
+    def take(self, row: tuple, out: list) -> None:
+        t, event, fingerprint, completes = row
+        if not self.kept.exists():
+            first, completed, verdict = fingerprint, False, "admitted"
+        else:
+            first, completed, _ = self.kept.get()
+            verdict = "conflict" if fingerprint != first else "completed" if completed else "unfinished"
+        out.append((event, verdict))
+        self.kept.update((first, completed or bool(completes and fingerprint == first), t))
+
+
+def idempotent_requests(events: DataFrame, forget_us: int | None = None, delay: str = "0 seconds") -> DataFrame:
+    """(request, event_id, verdict) of each event of a stream (key, event_id, t_us, type, value): ``key`` is the request, ``type`` its
+    fingerprint, ``value`` 1 if the event completes it.
+
+    The first event of a request is ``admitted``; one with another fingerprint is a ``conflict``; with the same it gets the
+    result if the request has ``completed``, else it is ``unfinished`` and nothing is done again. After ``forget_us`` without
+    an event a request's state goes.
+    """
+    return in_time(events, delay).groupBy("key").transformWithStateInPandas(Requests(forget_us), "request string, event_id long, verdict string", "append", "eventtime")
+
+
+class Alerts(InOrder):
+    """The first sign of trouble of an incident."""
+
+    columns = ["key", "event_id", "cause"]
+
+    def __init__(self, quiet_s: int) -> None:
+        self.quiet_s = quiet_s
+
+    def start(self, handle) -> None:
+        self.kept = handle.getValueState("kept", "last long, errors long")
+
+    def take(self, row: tuple, out: list) -> None:
+        t, event, kind, n = row
+        last, errors = self.kept.get() if self.kept.exists() else (None, None)
+        cause = "block" if kind == "block" else "errors" if n is not None and errors is not None and n > errors else None
+        now = t // 1_000_000
+        if cause and (last is None or now - last > self.quiet_s):
+            out.append((event, cause))
+        if cause or n is not None:
+            self.kept.update((now if cause else last, errors if n is None else n))
+
+
+def error_alerts(events: DataFrame, quiet_s: int, delay: str = "0 seconds") -> DataFrame:
+    """(key, event_id, cause) of the first event of each incident in a stream (key, event_id, t_us, type, value): ``value`` is a count of
+    errors or null.
+
+    A ``block``, or a count above the reading before, belongs to an incident; one that comes ``quiet_s`` or less after the last
+    such event belongs to the same and raises nothing.
+    """
+    return in_time(events, delay).groupBy("key").transformWithStateInPandas(Alerts(quiet_s), "key long, event_id long, cause string", "append", "eventtime")
+
+
 def event_rows(events: DataFrame) -> DataFrame:
     """(key, event_id, t_us, type, value) of an event table (key, event_id, t, type, k); ``value`` is the setting that ``k`` stands for."""
     return events.select(F.col("key").cast("long").alias("key"), F.col("event_id").cast("long").alias("event_id"), keys.micros("t").alias("t_us"), "type", (8 * (F.col("k") % 12)).cast("long").alias("value"))
