@@ -1,4 +1,4 @@
-"""Event streams: reading, running to the end, rolling throughput. Batch and stream forms share their expressions."""
+"""Event streams: reading, tables as streams of several files, rolling throughput. Batch and stream forms share their expressions."""
 
 from __future__ import annotations
 
@@ -8,13 +8,6 @@ from pyspark.sql import functions as F
 from trackloom.sources.shared import shared_path
 
 
-def stream_to_table(stream: DataFrame) -> DataFrame:
-    """Runs a finite append stream to its end into Parquet in the shared folder, and reads that."""
-    base = shared_path(stream.sparkSession, "stream")
-    stream.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/log").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/rows")
-
-
 def read_events(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
     """The table at ``path`` (a file or a folder) as a stream; the pattern keeps a lone file from being taken for a folder."""
     schema = spark.read.parquet(path).schema
@@ -22,12 +15,13 @@ def read_events(spark: SparkSession, path: str, files_per_batch: int = 1) -> Dat
 
 
 def in_files(events: DataFrame, part: Column, parts: int = 3) -> DataFrame:
-    """A table as a stream of ``parts`` micro-batches, one a file: the rows of ``part`` 0, 1 and so on."""
+    """A table as a stream of about ``parts`` micro-batches: the files of ``part`` 0 come first, then those of 1 and so on."""
     spark = events.sparkSession
     path = shared_path(spark, "files")
     for n in range(parts):
-        events.where(part == n).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        events.where(part == n).write.mode("append").parquet(path)
+    files = len(spark.read.parquet(path).inputFiles())
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", max(1, -(-files // parts))).parquet(path)
 
 
 def _marked(events: DataFrame, late: str) -> DataFrame:
