@@ -58,15 +58,15 @@ def source_duration(songs: DataFrame, metadata: DataFrame) -> DataFrame:
 def history_recovery(unknown: DataFrame, history: DataFrame) -> DataFrame:
     """Per unknown file (file_id, key) that old records (artist, name, key, ids array, detail) name exactly: how many
     records bind it, the distinct ids they give, and how many name it without an id. Names come before keys; ``detail``,
-    free text, never binds."""
+    free text, never binds. What a key has is counted once, whatever the number of files of that key; a file has one row."""
     named = F.col("artist").isNotNull() & F.col("name").isNotNull()
     exact = F.lower(F.when(named, F.concat_ws(" - ", "artist", "name")).otherwise(F.col("key")))
     records = history.select(exact.alias("key"), F.array_distinct(F.filter("ids", lambda x: x.rlike(SOURCE_ID))).alias("ids"))
-    met = unknown.select("file_id", F.lower("key").alias("key")).join(records, "key")
-    per = met.select("file_id", F.size("ids").alias("n"), F.explode_outer("ids").alias("id"))
-    bound = met.groupBy("file_id").agg(F.count_if(F.size("ids") > 0).alias("bindings"), F.count_if(F.size("ids") == 0).alias("observations"))
-    ids = per.where("n > 0").groupBy("file_id").agg(F.count_distinct("id").alias("ids"))
-    return bound.join(ids, "file_id", "left").select("file_id", "bindings", F.coalesce("ids", F.lit(0)).cast("long").alias("ids"), "observations")
+    n = F.size("ids")
+    counts = records.groupBy("key").agg(F.count_if(n > 0).alias("bindings"), F.count_if(n == 0).alias("observations"))
+    ids = records.select("key", F.explode("ids").alias("id")).groupBy("key").agg(F.count_distinct("id").alias("ids"))
+    named = unknown.select("file_id", F.lower("key").alias("key")).join(counts.join(ids, "key", "left"), "key")
+    return named.select("file_id", "bindings", F.coalesce("ids", F.lit(0)).cast("long").alias("ids"), "observations")
 
 
 def store_uses(states: DataFrame, path: str, parts: int = 32) -> None:

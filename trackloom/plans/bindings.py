@@ -71,7 +71,7 @@ def _history(s: S, d: str) -> DataFrame:
     songs = views.song(s, d).select("song_id", "artist", "name")
     unknown = views.file(s, d).where("seconds is null").join(songs, "song_id").select(F.col("path").alias("file_id"), F.upper(F.concat_ws(" - ", "artist", "name")).alias("key"))
     lines = views.table(s, d, "lineitem").where("l_quantity < 4").select(F.col("l_partkey").alias("song_id"), "l_linenumber", "l_returnflag").join(songs, "song_id")
-    id_ = lambda pad: F.lpad(F.col("song_id").cast("string"), 22, pad)
+    id_ = lambda first: F.concat(F.lit(first), F.lpad(F.col("song_id").cast("string"), 21, "0"))
     how = F.col("l_linenumber") % 4
     key = F.concat_ws(" - ", "artist", "name")
     records = lines.select(
