@@ -378,7 +378,8 @@ def overlap_clash(frames: DataFrame, pairs: DataFrame, frame_s: float = 0.25, le
     both = pairs.join(side("a"), "a").join(side("b"), ["b", "frame"])
     overlap = both.groupBy("a", "b").agg((F.count("*") * frame_s).alias("overlap_s"))
     bins = both.select("a", "b", F.posexplode(F.arrays_zip("c_a", "c_b")).alias("bin", "c")).groupBy("a", "b", "bin").agg(F.avg("c.c_a").alias("x"), F.avg("c.c_b").alias("y"))
-    r = bins.groupBy("a", "b").agg(F.corr("x", "y").alias("r"))
+    spread = F.sqrt(F.var_pop("x") * F.var_pop("y"))  # corr() raises on a flat profile, which has none
+    r = bins.groupBy("a", "b").agg(F.try_divide(F.covar_pop("x", "y"), spread).alias("r"))
     out = pairs.join(overlap, ["a", "b"], "left").join(r, ["a", "b"], "left")
     seconds = F.coalesce("overlap_s", F.lit(0.0))
     return out.select("a", "b", F.round(seconds, 2).alias("overlap_s"), F.when(seconds >= least_s, F.round((1 - F.col("r")) / 2, 3)).alias("clash"))
