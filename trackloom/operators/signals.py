@@ -56,6 +56,25 @@ def _at_most(a: Column, b: Column) -> Column:
     return F.round(a, 9) <= F.round(b, 9)
 
 
+def _to_places(c: Column, n: int) -> Column:
+    """``c`` at ``n`` decimal places. The number is scaled first, so that a half which adding up left an ulp short is still a half."""
+    return F.round(c * 10.0**n) / 10.0**n
+
+
+def _quantile(c: Column, share: float) -> Column:
+    """The ``share`` quantile of a series' numbers, rounded once: ``percentile`` rounds both products and their sum, which ends an ulp
+    apart and then on the other side of a half. The product's error is exact (Dekker), and so is the sum's."""
+    values = F.array_sort(F.collect_list(c))
+    at = (F.size(values) - 1) * F.lit(share)
+    lower, upper = F.get(values, F.floor(at).cast("int")), F.get(values, F.ceil(at).cast("int"))
+    a, b, add = lower, 1 - (at - F.floor(at)), upper * (at - F.floor(at))
+    high = lambda x: 134217729.0 * x - (134217729.0 * x - x)
+    (ah, al), (bh, bl), product = (high(a), a - high(a)), (high(b), b - high(b)), a * b
+    lost = ((ah * bh - product) + ah * bl + al * bh) + al * bl
+    total = product + add
+    return total + ((product - (total - (total - product))) + (add - (total - product)) + lost)
+
+
 def starts_of(bars: DataFrame) -> DataFrame:
     """(series, bar, label, until): the bars where a label begins, and where the next one does."""
     marked = bars.withColumn("new", F.coalesce(F.lag("label").over(_series()) != F.col("label"), F.lit(True)))
@@ -394,14 +413,15 @@ def blend_quality(levels: DataFrame, regions: DataFrame) -> DataFrame:
     """
     w = _series("frame")
     rows = levels.withColumn("step", F.abs(F.lead("db").over(w) - F.lag("db").over(w))).join(regions, "series").withColumn("inside", F.col("frame").between(F.col("lo"), F.col("hi")))
-    ref = rows.where("not inside").groupBy("series").agg(F.percentile("db", 0.5).alias("ref"), F.percentile("low_db", 0.5).alias("ref_low"))
+    ref = rows.where("not inside").groupBy("series").agg(_quantile(F.col("db"), 0.5).alias("ref"), _quantile(F.col("low_db"), 0.5).alias("ref_low"))
     met = rows.join(ref, "series")
     of = met.groupBy("series").agg(
-        (F.max("ref") - F.percentile(F.when(F.col("inside"), F.col("db")), 0.1)).alias("dip"),
+        (F.max("ref") - _quantile(F.when(F.col("inside"), F.col("db")), 0.1)).alias("dip"),
         F.avg(F.when(F.col("inside"), (F.col("low_db") < F.col("ref_low") - BLEND["hole_db"]).cast("double"))).alias("holes"),
         F.coalesce(F.max(F.when(F.col("frame").between(F.col("lo") - 1, F.col("hi") + 1), F.col("step"))), F.lit(0.0)).alias("jump"),
         F.coalesce(F.max("clash"), F.lit(0.0)).alias("clash"),
     )
     over = lambda c, free: F.greatest(F.lit(0.0), F.col(c) - free)
-    lost = BLEND["dip_per"] * over("dip", BLEND["dip_free"]) + BLEND["hole_w"] * F.col("holes") + BLEND["jump_per"] * over("jump", BLEND["jump_free"]) + BLEND["clash_w"] * over("clash", BLEND["clash_free"])
-    return of.where("dip is not null").select("series", F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 - lost)), 1).alias("score"), F.round("dip", 2).alias("dip"), F.round("holes", 3).alias("holes"), F.round("jump", 2).alias("jump"))
+    score = 100 - BLEND["dip_per"] * over("dip", BLEND["dip_free"]) - BLEND["hole_w"] * F.col("holes") - BLEND["jump_per"] * over("jump", BLEND["jump_free"]) - BLEND["clash_w"] * over("clash", BLEND["clash_free"])
+    score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), score))
+    return of.where("dip is not null").select("series", _to_places(score, 1).alias("score"), _to_places(F.col("dip"), 2).alias("dip"), _to_places(F.col("holes"), 3).alias("holes"), _to_places(F.col("jump"), 2).alias("jump"))
