@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import keys
@@ -40,13 +40,29 @@ def keep_rejected(rejections: DataFrame, most: int = 128) -> DataFrame:
 def nearest_variant(files: DataFrame, songs: DataFrame) -> DataFrame:
     """For each file and the songs of its artist and name: a length that fits, else the nearest; the state and the gap.
 
-    Songs of one name and length are one variant with the smallest id, so a file meets its name's lengths, not its songs.
+    Songs of one name and length are one variant with the smallest id. What fits a file is a range of lengths round its own, as
+    the tolerance grows slower than the length, so only the next shorter and the next longer length count. They are found by
+    sorting a name's lengths and the distinct lengths of its files together: a file never meets its name's other lengths.
     """
     named = files.where("seconds > 0").join(songs.select("song_id", "artist", "name"), "song_id").select("path", "artist", "name", "seconds")
     lengths = songs.where("expected_ms is not null").groupBy("artist", "name", "expected_ms").agg(F.min("song_id").alias("variant"), F.count("*").alias("songs"))
-    pair = named.join(lengths, ["artist", "name"]).select("path", "variant", "songs", F.round(F.abs(F.col("seconds") - F.col("expected_ms") / 1000), 6).alias("gap"), (keys.length_reason(F.col("expected_ms"), F.col("seconds")) == "match").alias("ok"))
-    best = F.min_by(F.struct("variant", "ok", "gap"), F.struct(~F.col("ok"), F.col("gap"), F.col("variant")))
-    return pair.groupBy("path").agg(best.alias("b"), F.sum("songs").alias("variants")).select("path", "variants", "b.variant", "b.gap", F.when(F.col("b.ok"), "match").otherwise("mismatch").alias("state"))
+    name = ["artist", "name"]
+    point = F.struct("expected_ms", "variant")
+    here = lengths.select(*name, (F.col("expected_ms") / 1000).alias("seconds"), point.alias("point"))
+    asked = named.select(*name, "seconds").distinct().withColumn("point", F.lit(None).cast(here.schema["point"].dataType))
+    # both frames start at the partition's first row: one that ends at its last is worked out anew for each row
+    upto = lambda order: F.last("point", True).over(Window.partitionBy(*name).orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
+    found = here.unionByName(asked).select(*name, "seconds", "point", upto(F.asc("seconds")).alias("shorter"), upto(F.desc("seconds")).alias("longer")).where("point is null")
+
+    def judged(side: str) -> Column:
+        ms = F.col(side)["expected_ms"]
+        gap = F.round(F.abs(F.col("seconds") - ms / 1000), 6)
+        return F.when(F.col(side).isNotNull(), F.struct((keys.length_reason(ms, F.col("seconds")) != "match").alias("off"), gap.alias("gap"), F.col(side)["variant"].alias("variant")))
+
+    best = found.select(*name, "seconds", F.least(judged("shorter"), judged("longer")).alias("b")).where("b is not null")
+    total = lengths.groupBy(*name).agg(F.sum("songs").alias("variants"))
+    out = named.join(best.join(total, name), [*name, "seconds"])
+    return out.select("path", "variants", "b.variant", "b.gap", F.when(~F.col("b.off"), "match").otherwise("mismatch").alias("state"))
 
 
 def occurrence_states(occurrences: DataFrame, files: DataFrame) -> DataFrame:
