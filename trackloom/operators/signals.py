@@ -333,10 +333,14 @@ def grid_fit(beats: DataFrame, window: int = 64, passes: int = 4) -> DataFrame:
     all_ = Window.partitionBy("series", "window")
     rows = beats.select("series", F.floor(F.col("beat") / window).cast("long").alias("window"), F.col("beat").cast("double").alias("x"), "t", F.col("pos").cast("int").alias("pos"), "refined", F.when(F.col("refined"), 1.0).otherwise(GRID["rough"]).alias("w"))
     inside = all_.orderBy("x")
-    rows = rows.withColumns({"n": F.count("*").over(all_), "at": F.row_number().over(inside), "ahead": F.collect_list(F.struct("x", "t")).over(inside.rowsBetween(0, window // 2))})
+    # half a window ahead is a fixed step in full windows; only the short ones, at a series' end, need the list of what follows
+    rows = rows.withColumn("n", F.count("*").over(all_))
+    short = F.collect_list(F.when(F.col("n") != window, F.struct("x", "t"))).over(inside.rowsBetween(0, window // 2))
+    rows = rows.withColumns({"at": F.row_number().over(inside), "x1": F.lead("x", window // 2).over(inside), "t1": F.lead("t", window // 2).over(inside), "ahead": short})
     half = F.greatest(F.floor(F.col("n") / 2), F.lit(1)).cast("int")
-    far = F.when(F.col("at") + half <= F.col("n"), F.element_at("ahead", half + 1))
-    rows = rows.withColumn("period0", F.percentile((far["t"] - F.col("t")) / (far["x"] - F.col("x")), 0.5).over(all_)).drop("ahead", "at")
+    far = F.when(F.col("n") == window, F.struct(F.col("x1").alias("x"), F.col("t1").alias("t"))).when(F.col("at") + half <= F.col("n"), F.element_at("ahead", half + 1))
+    rows = rows.withColumn("span", (far["t"] - F.col("t")) / (far["x"] - F.col("x"))).drop("ahead", "at", "x1", "t1")
+    rows = rows.withColumn("period0", F.percentile("span", 0.5).over(all_)).drop("span")
     start = F.col("t") - F.col("x") * F.col("period0")
     near = F.round(F.abs(start - F.percentile(start, 0.5).over(all_)), 9) <= GRID["outlier"]
     rows = rows.withColumn("near", F.coalesce(near, F.lit(True)))
