@@ -262,6 +262,13 @@ def vocal_runs(frames: DataFrame, points: DataFrame, threshold: float, pause: in
     return out.select("series", "frame", F.round(run, 6).alias("run_s"))
 
 
+def _median(values: str) -> Column:
+    """The median of a short list; null of an empty one."""
+    v, at = F.array_sort(values), (F.size(values) - 1) / 2
+    lower, upper = (F.get(v, f(at).cast("int")) for f in (F.floor, F.ceil))
+    return lower * 0.5 + upper * 0.5
+
+
 def beat_repair(beats: DataFrame, merge: int = 4, context: int = 32) -> DataFrame:
     """The stretches of irregular gaps between beats (series, beat from 0, t) and what becomes of them.
 
@@ -277,8 +284,10 @@ def beat_repair(beats: DataFrame, merge: int = 4, context: int = 32) -> DataFram
     gaps = gaps.withColumn("good", F.abs(F.col("gap") / F.col("median") - 1) <= 0.15)
     gaps = gaps.withColumn("share", F.avg(F.col("good").cast("double")).over(own)).where("n >= 23 and share >= 0.5")
     kept = F.when(F.col("good"), F.col("gap"))
-    gaps = gaps.withColumn("left", F.percentile(kept, 0.5).over(w.rowsBetween(-context, -1))).withColumn("right", F.percentile(kept, 0.5).over(w.rowsBetween(1, context)))
-    bad = gaps.where("not good").withColumn("apart", F.col("beat") - F.lag("beat").over(w) - 1)
+    # the frames' gaps are gathered for every beat, but sorted only where a stretch may begin or end
+    near = lambda a, b: F.when(~F.col("good"), F.collect_list(kept).over(w.rowsBetween(a, b)))
+    gaps = gaps.select("series", "beat", "t", "gap", "n", "good", near(-context, -1).alias("left"), near(1, context).alias("right"))
+    bad = gaps.where("not good").withColumns({"left": _median("left"), "right": _median("right")}).withColumn("apart", F.col("beat") - F.lag("beat").over(w) - 1)
     runs = bad.withColumn("run", F.sum(F.when(F.coalesce(F.col("apart") < merge, F.lit(False)), 0).otherwise(1)).over(w))
     of = runs.groupBy("series", "run").agg(F.min("beat").alias("first"), (F.max("beat") + 1).alias("last"), F.min_by("t", "beat").alias("from"), F.max_by(F.col("t") + F.col("gap"), "beat").alias("to"), F.min_by("left", "beat").alias("left"), F.max_by("right", "beat").alias("right"), F.max("n").alias("n"))
     period = F.coalesce((F.col("left") + F.col("right")) / 2, "left", "right")
