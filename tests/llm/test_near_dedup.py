@@ -3,7 +3,8 @@ import random
 import pytest
 
 from trackloom.llm import near_dedup
-from trackloom.llm.components import components
+from trackloom.llm import components as component_tables
+from trackloom.llm.components import components, merged
 
 
 def brute(rows, k, num=80, den=100):
@@ -126,3 +127,17 @@ def test_comparisons_of_a_large_group_grow_with_its_members(spark):
         totals.append(counts)
     assert totals[1]["stars"] <= 3 * totals[0]["stars"], totals
     assert sum(totals[1].values()) < 300 * 299 / 2 / 5, totals
+
+
+@pytest.mark.parametrize("few", [0, 1_000])
+def test_labels_after_more_links(spark, monkeypatch, few):
+    monkeypatch.setattr(component_tables, "FEW", few)
+    rng = random.Random(5)
+    first, more = ([tuple(sorted(rng.sample(range(60), 2))) for _ in range(n)] for n in (20, 25))
+    rows = lambda links: spark.createDataFrame(links, "lo long, hi long")
+    labels = components(rows(first))
+    walked = []
+    monkeypatch.setattr(component_tables, "components", lambda links: walked.append(links.count()) or components(links))
+    got = {r.node: r.label for r in merged(labels, rows(more)).collect()}
+    assert got == {r.node: r.label for r in components(rows(first + more)).collect()}
+    assert walked == [len(more)]  # the links before are not walked again

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.llm import common
-from trackloom.llm.components import components
+from trackloom.llm.components import components, merged
 from trackloom.llm.shingles import mix, shingle_set
 
 SEED = 7
@@ -43,6 +43,8 @@ SEED = 7
 LARGE, BLOCK = 32, 64
 #: Bytes of shingle sets in a block, about; and star rounds after the first.
 BLOCK_BYTES, ROUNDS = 2 << 20, 2
+#: Bytes of signatures or sets that are sent to all executors rather than shuffled together with the pairs.
+SENT_BYTES = 8 << 20
 SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary, b0 long, b1 long"
 #: One-bit minima in the two bit columns: the first batch of the sequential test, made where candidates are joined.
 BITS = 128
@@ -129,8 +131,10 @@ def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, shingle: int
             yield batch.select(["lo", "hi"]).take(pa.array(keep, pa.int64()))
 
     def with_both(p: DataFrame, of: DataFrame, name: str) -> DataFrame:
+        few = (of.agg(F.sum(F.octet_length("of"))).first()[0] or 0) <= SENT_BYTES
         for side in ("lo", "hi"):
-            p = p.join(of.select(F.col("doc_id").alias(side), F.col("of").alias(f"{name}_{side}")), side)
+            one = of.select(F.col("doc_id").alias(side), F.col("of").alias(f"{name}_{side}"))
+            p = p.join(F.broadcast(one) if few else one, side)
         return p
 
     def ends(p: DataFrame) -> DataFrame:
@@ -250,8 +254,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         compared = compared.union(more)
         if found.isEmpty():
             break
-        links = links.union(found)
-        labels = components(links)
+        labels = merged(labels, found)
         open_rows = _open_buckets(shared, labels)
 
     # all pairs of a bucket that are still in different components and weren't compared
@@ -269,13 +272,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     close = F.bit_count(F.col("p0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("p1").bitwiseXOR(F.col("b1"))) <= apart
     cross = minor.join(open_rows, (minor.key == open_rows.key) & (F.col("p_label") != F.col("label")) & ((F.col("label") == F.col("major")) | (F.col("p") < F.col("node"))) & fits("p_n", "n") & F.coalesce(F.col("p_big") != F.col("big"), F.lit(True)) & close)
     rest = common.materialize(_pairs(cross, "p", "node").join(compared, ["lo", "hi"], "left_anti"), "rest")
-    before = links
     if not rest.isEmpty():
-        links = links.union(verify(rest))
+        labels = merged(labels, verify(rest))
     if not large.isEmpty():
-        links = links.union(_against_large(members, beside, signed, docs, shingle, num, den, miss))
-    if links is not before:
-        labels = components(links)
+        labels = merged(labels, _against_large(members, beside, signed, docs, shingle, num, den, miss))
     if compared_pairs is not None:
         groups = members.groupBy("label").agg(F.count("*").alias("m")).join(beside.groupBy("label").agg(F.count("*").alias("x")), "label")
         blocks = groups.agg(F.coalesce(F.sum((F.col("m") + F.col("x")) * F.col("x")), F.lit(0))).first()[0]
