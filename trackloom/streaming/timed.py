@@ -64,20 +64,46 @@ def replayed(spark: SparkSession, rows: DataFrame, run, slices: int = 2, by=None
     return spark.read.schema(out.schema).parquet(f"{base}/out").where(F.col(of.name) != F.lit(HEARTBEAT).cast(of.dataType))
 
 
+class Kept:
+    """A key's value state while rows are taken up: read once, written once by ``save``, whatever lies in between."""
+
+    def __init__(self, state) -> None:
+        self.state = state
+        self.before = self.value = tuple(state.get()) if state.exists() else None
+
+    def exists(self) -> bool:
+        return self.value is not None
+
+    def get(self) -> tuple | None:
+        return self.value
+
+    def update(self, value: tuple) -> None:
+        self.value = tuple(value)
+
+    def clear(self) -> None:
+        self.value = None
+
+    def save(self) -> None:
+        if self.value is None and self.before is not None:
+            self.state.clear()
+        elif self.value != self.before:
+            self.state.update(self.value)
+
+
 class InOrder(StatefulProcessor):
     """Takes a key's rows up in the order of (t_us, event_id) once the watermark has passed them.
 
     ``columns`` come out; ``take`` gets a row, ``due`` says at which microsecond something happens by itself, ``happen`` does it.
+    ``kept`` is the key's value of ``schema`` in the meantime: a timer asks the state store once, not for every row.
     """
 
     columns: list[str] = []
+    state, schema = "kept", ""
 
     def init(self, handle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", "t_us long, event_id long, type string, value long")
-        self.start(handle)
-
-    def start(self, handle) -> None: ...
+        self.value = handle.getValueState(self.state, self.schema)
 
     def take(self, row: tuple, out: list) -> None: ...
 
@@ -94,6 +120,7 @@ class InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now, out = timerValues.getCurrentWatermarkInMs() * 1000, []
+        self.kept = Kept(self.value)
         rows = sorted(self.waiting.get(), key=lambda r: (r[0], r[1] or 0)) if self.waiting.exists() else []
         ready = [r for r in rows if r[0] <= now]
         for row in ready:
@@ -102,6 +129,7 @@ class InOrder(StatefulProcessor):
             self.take(tuple(row), out)
         while (at := self.due()) is not None and at <= now:
             self.happen(at, out)
+        self.kept.save()
         rest = rows[len(ready) :]
         if rest:
             self.waiting.put([tuple(r) for r in rest])
@@ -119,24 +147,22 @@ class ChangeBatches(InOrder):
     """Notices within ``hold_us`` of the first are one batch; later ones don't extend it."""
 
     columns = ["key", "start_us", "notices", "kinds"]
+    state, schema = "open", "start_us long, notices long, kinds string"
 
     def __init__(self, hold_us: int) -> None:
         self.hold_us = hold_us
 
-    def start(self, handle) -> None:
-        self.open = handle.getValueState("open", "start_us long, notices long, kinds string")
-
     def due(self) -> int | None:
-        return self.open.get()[0] + self.hold_us if self.open.exists() else None
+        return self.kept.get()[0] + self.hold_us if self.kept.exists() else None
 
     def take(self, row: tuple, out: list) -> None:
         t, _, kind, _ = row
-        start, n, kinds = self.open.get() if self.open.exists() else (t, 0, "")
-        self.open.update((start, n + 1, ",".join(sorted({*filter(None, kinds.split(",")), kind or "none"}))))
+        start, n, kinds = self.kept.get() if self.kept.exists() else (t, 0, "")
+        self.kept.update((start, n + 1, ",".join(sorted({*filter(None, kinds.split(",")), kind or "none"}))))
 
     def happen(self, at: int, out: list) -> None:
-        out.append(tuple(self.open.get()))
-        self.open.clear()  # a key without an open batch has no state
+        out.append(tuple(self.kept.get()))
+        self.kept.clear()  # a key without an open batch has no state
 
 
 def change_batches(events: DataFrame, hold_ms: int = 350, delay: str = "0 seconds") -> DataFrame:
@@ -171,13 +197,11 @@ class TripState(InOrder):
     clean interval tries the midpoint."""
 
     columns = ["key", "at_us", "event_id", "kind", "was", "now", "good", "fail", "cool_until_us"]
+    schema = "cur long, good long, fail long, cool long, bot long, step long"
 
     def __init__(self, pace: Pace) -> None:
         self.pace = pace
 
-    def start(self, handle) -> None:
-        self.kept = handle.getValueState("kept", "cur long, good long, fail long, cool long, bot long, step long")
-
     def _get(self) -> list:
         return list(self.kept.get()) if self.kept.exists() else [FLOOR, None, None, None, None, None]
 
@@ -224,13 +248,11 @@ class Requests(InOrder):
     """The first event of a request is admitted; the others get what has become of it."""
 
     columns = ["request", "event_id", "verdict"]
+    schema = "first string, completed boolean, seen long"
 
     def __init__(self, forget_us: int | None) -> None:
         self.forget_us = forget_us
 
-    def start(self, handle) -> None:
-        self.kept = handle.getValueState("kept", "first string, completed boolean, seen long")
-
     def due(self) -> int | None:
         return self.kept.get()[2] + self.forget_us if self.forget_us and self.kept.exists() else None
 
@@ -263,13 +285,11 @@ class Alerts(InOrder):
     """The first sign of trouble of an incident."""
 
     columns = ["key", "event_id", "cause"]
+    schema = "last long, errors long"
 
     def __init__(self, quiet_s: int) -> None:
         self.quiet_s = quiet_s
 
-    def start(self, handle) -> None:
-        self.kept = handle.getValueState("kept", "last long, errors long")
-
     def take(self, row: tuple, out: list) -> None:
         t, event, kind, n = row
         last, errors = self.kept.get() if self.kept.exists() else (None, None)
