@@ -40,13 +40,6 @@ def _running(bars: DataFrame) -> DataFrame:
     return sums.join(ends, "series")
 
 
-def _at(rows: DataFrame, sums: DataFrame, at: Column, name: str) -> DataFrame:
-    """``rows`` with the running sums before bar ``at`` (kept within the series) as the struct ``name``."""
-    own = sums.select(F.col("series").alias("_s"), F.col("bar").alias("_b"), F.struct("bar", "rel", "low", "lull", "verse").alias(name))
-    place = F.greatest(F.lit(0), F.least(at, F.col("nb")))
-    return rows.join(own, (F.col("series") == F.col("_s")) & (place == F.col("_b"))).drop("_s", "_b")
-
-
 def _mean(of: str, a: str, b: str) -> Column:
     return (F.col(f"{b}.{of}") - F.col(f"{a}.{of}")) / F.nullif(F.col(f"{b}.bar") - F.col(f"{a}.bar"), F.lit(0))
 
@@ -83,46 +76,74 @@ def starts_of(bars: DataFrame) -> DataFrame:
     return starts.withColumn("until", F.coalesce(F.lead("bar").over(_series()), F.col("nb"))).drop("nb")
 
 
-def _exit_terms(rows: DataFrame, bars: DataFrame, sums: DataFrame) -> DataFrame:
-    """``rows`` (series, nb, last_loud, j, x) with level, natural, dip, tail, lull, fade and verse of the exit at bar x of a body from bar j."""
-    rows = _at(_at(_at(rows, sums, F.col("j"), "s_j"), sums, F.col("x"), "s_x"), sums, F.col("x") + TAIL_BARS, "s_t")
-    ahead = _series().rowsBetween(0, TAIL_BARS - 1)
-    near = bars.select(F.col("series").alias("_s"), F.col("bar").alias("_b"), F.min("rel_db").over(ahead).alias("t_lo"), F.max("rel_db").over(ahead).alias("t_hi"), F.count("*").over(ahead).alias("t_n"))
-    last = bars.select(F.col("series").alias("_s2"), (F.col("bar") + 1).alias("_b2"), F.col("rel_db").alias("last_rel"))
-    met = rows.join(near, (F.col("series") == F.col("_s")) & (F.col("x") == F.col("_b")), "left").join(last, (F.col("series") == F.col("_s2")) & (F.col("x") == F.col("_b2")), "left")
-    level = _mean("rel", "s_j", "s_x")
-    tail = (F.col("t_n") == TAIL_BARS) & _at_most(level - TAIL_DB, F.col("t_lo")) & _at_most(F.col("t_hi"), level + TAIL_DB)
-    return met.select(
-        *rows.columns, level.alias("level"), F.coalesce(_at_most(_mean("rel", "s_x", "s_t"), level - NATURAL), F.lit(False)).alias("natural"), F.coalesce(_at_most(F.col("last_rel"), level - DIP), F.lit(False)).alias("dip"), F.coalesce(tail, F.lit(False)).alias("tail"),
-        F.coalesce(_mean("lull", "s_j", "s_x"), F.lit(0.0)).alias("lull"), (F.col("x") >= F.col("last_loud") - 1).alias("fade"), (F.col("s_x.verse") - F.col("s_j.verse")).alias("verse_bars"),
+def _marked(bars: DataFrame) -> DataFrame:
+    """Bars with what bodies that start or end there are made of, from one sort of each series: ``last_loud``, the struct
+    ``here`` of the running sums before the bar, ``start`` (a label begins here), ``last_rel`` and ``last_label`` of the bar before,
+    and the lowest, highest and number (``t_lo``, ``t_hi``, ``t_n``) of the bars of a tail from here. Each series has one more row for its end."""
+    whole, ahead = Window.partitionBy("series"), _series().rowsBetween(0, TAIL_BARS - 1)
+    before = _series().rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0.0))
+    rows = bars.select("series", "bar", "rel_db", "low_db", "label", F.lit(False).alias("end"))
+    end = F.when(F.lead("bar").over(_series()).isNull(), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    rows = rows.withColumn("ends", end).select(*rows.columns[:-1], F.explode("ends").alias("end"))
+    real = lambda c: F.when(~F.col("end"), F.col(c))
+    rows = rows.select("series", (F.col("bar") + F.col("end").cast("int")).alias("bar"), real("rel_db").alias("rel_db"), real("low_db").alias("low_db"), real("label").alias("label"), "end")
+    sums = F.struct("bar", total(F.col("rel_db")).alias("rel"), total(F.col("low_db")).alias("low"), total((F.col("rel_db") < LULL_DB).cast("double")).alias("lull"), total(F.col("label").isin(*VERSE).cast("double")).alias("verse"))
+    last_label = F.lag("label").over(_series())
+    return rows.select(
+        "series", "bar", "label", "end", sums.alias("here"), F.coalesce(F.max(F.when(F.col("rel_db") >= LOUD_DB, F.col("bar"))).over(whole), F.lit(-1)).alias("last_loud"),
+        (~F.col("end") & F.coalesce(last_label != F.col("label"), F.lit(True))).alias("start"), F.lag("rel_db").over(_series()).alias("last_rel"), last_label.alias("last_label"),
+        F.min("rel_db").over(ahead).alias("t_lo"), F.max("rel_db").over(ahead).alias("t_hi"), F.count(F.when(~F.col("end"), 1)).over(ahead).alias("t_n"),
     )
 
 
+def _ahead(rows: DataFrame) -> DataFrame:
+    """Marked bars with ``there``: what is known of an exit at this bar, and the sums ``s_t`` a tail later (at most at the end)."""
+    tail = F.coalesce(F.lead("here", TAIL_BARS).over(_series()), F.last("here").over(_series().rowsBetween(0, TAIL_BARS)))
+    return rows.withColumn("there", F.struct("here", "start", "end", "last_rel", "last_label", "t_lo", "t_hi", "t_n", tail.alias("s_t")))
+
+
+def _exit_terms(rows: DataFrame) -> DataFrame:
+    """``rows`` (s_j, s_x: sums at the body's first bar and at its exit, last_loud, and ``out``, what is known of the exit) with level,
+    natural, dip, tail, lull, fade and verse."""
+    rows = rows.withColumns({"s_x": F.col("out.here"), "s_t": F.col("out.s_t")})
+    level = _mean("rel", "s_j", "s_x")
+    tail = (F.col("out.t_n") == TAIL_BARS) & _at_most(level - TAIL_DB, F.col("out.t_lo")) & _at_most(F.col("out.t_hi"), level + TAIL_DB)
+    return rows.withColumns({
+        "level": level, "natural": F.coalesce(_at_most(_mean("rel", "s_x", "s_t"), level - NATURAL), F.lit(False)), "dip": F.coalesce(_at_most(F.col("out.last_rel"), level - DIP), F.lit(False)), "tail": F.coalesce(tail, F.lit(False)),
+        "lull": F.coalesce(_mean("lull", "s_j", "s_x"), F.lit(0.0)), "fade": F.col("s_x.bar") >= F.col("last_loud") - 1, "verse_bars": F.col("s_x.verse") - F.col("s_j.verse"),
+    })
+
+
+def _sections(rows: DataFrame) -> DataFrame:
+    """Section starts among the bars of ``_ahead``, with the struct ``out`` of the next one (or the end), the terms of an exit there, and ``vetoed``."""
+    marks = rows.where("start or end").withColumn("out", F.lead("there").over(_series())).where("start")
+    marks = _exit_terms(marks.withColumn("s_j", F.col("here")))
+    return marks.withColumn("vetoed", _at_most(F.col("level"), F.lit(VETO_REL)) | _at_most(_mean("low", "s_j", "s_x"), F.lit(VETO_LOW)))
+
+
 def section_stats(bars: DataFrame) -> DataFrame:
     """Per section start: its end, whether it is vetoed as a landing (quiet or without bass), and the terms of an exit at its end."""
-    sums = _running(bars)
-    rows = starts_of(bars).join(sums.select("series", "nb", "last_loud").distinct(), "series").select("series", "label", "nb", "last_loud", F.col("bar").alias("j"), F.col("until").alias("x"))
-    out = _exit_terms(rows, bars, sums)
-    veto = _at_most(F.col("level"), F.lit(VETO_REL)) | _at_most(_mean("low", "s_j", "s_x"), F.lit(VETO_LOW))
-    return out.select("series", F.col("j").alias("bar"), "label", F.col("x").alias("until"), F.round("level", 8).alias("level"), veto.alias("vetoed"), "natural", "dip", "tail", F.round("lull", 6).alias("lull"), "fade")
+    out = _sections(_ahead(_marked(bars)))
+    return out.select("series", "bar", "label", F.col("s_x.bar").alias("until"), F.round("level", 8).alias("level"), "vetoed", "natural", "dip", "tail", F.round("lull", 6).alias("lull"), "fade")
 
 
 def highlight_scores(bars: DataFrame, bar_s: float = 2.0) -> DataFrame:
-    """(series, bar, until, score, place, contrast, low_jump, on_grid) of every valid body from a section start, best first in its series.
+    """(series, bar, until, score, place, contrast, low_jump) of every valid body from a section start, best first in its series.
 
     A body has an allowed number of bars and of seconds, ends on a section or phrase boundary before the last loud bar, and
-    doesn't start in a vetoed section.
+    doesn't start in a vetoed section. Ends lie a fixed number of bars ahead, so they are looked up in one sort of the
+    series, without a join. Bars of a series are numbered from 0 without gaps.
     """
-    sums = _running(bars)
-    starts = starts_of(bars)
-    landings = section_stats(bars).where("not vetoed").select("series", F.col("bar").alias("j"), "label")
-    bounds = starts.select("series", F.col("bar").alias("x"), F.lit(True).alias("bound"))
-    rows = landings.join(sums.select("series", "nb", "last_loud").distinct(), "series").select("*", F.explode(F.array(*map(F.lit, BODY_BARS))).alias("n")).withColumn("x", F.col("j") + F.col("n"))
-    rows = rows.where((F.col("n") * bar_s).between(*BODY_SECONDS) & (F.col("x") <= F.col("nb")) & (F.col("x") < F.col("last_loud"))).join(bounds, ["series", "x"], "left")
-    rows = rows.where(F.coalesce("bound", F.lit(False)) | (F.col("x") % PHRASE == 0))
-    rows = _at(_at(_exit_terms(rows, bars, sums), sums, F.col("j") + 2, "s_2"), sums, F.col("j") - 4, "s_4")
-    ends = bars.select(F.col("series").alias("_s"), (F.col("bar") + 1).alias("_b"), F.col("label").alias("end_label"))
-    rows = rows.join(ends, (F.col("series") == F.col("_s")) & (F.col("x") == F.col("_b")), "left")
+    lengths = [n for n in BODY_BARS if BODY_SECONDS[0] <= n * bar_s <= BODY_SECONDS[1]]
+    first = _series().rowsBetween(-4, 0)
+    rows = _ahead(_marked(bars))
+    ends = F.array(*(F.struct(F.lit(n).alias("n"), F.lead("there", n).over(_series()).alias("out")) for n in lengths))
+    fitting = F.filter(ends, lambda e: e["out"].isNotNull() & (F.col("bar") + e["n"] < F.col("last_loud")) & (e["out"]["start"] | ((F.col("bar") + e["n"]) % PHRASE == 0)))
+    s_2 = F.coalesce(F.lead("here", 2).over(_series()), F.last("here").over(_series().rowsBetween(0, 2)))
+    rows = rows.withColumns({"ends": fitting, "s_4": F.first("here").over(first), "s_2": s_2}).where("start or end")
+    rows = _sections(rows).where("not vetoed").select("series", F.col("bar").alias("j"), "label", "last_loud", "s_j", "s_2", "s_4", F.explode("ends").alias("e"))
+    rows = _exit_terms(rows.select("*", "e.n", "e.out").drop("e")).withColumns({"x": F.col("s_x.bar"), "bound": F.col("out.start"), "end_label": F.col("out.last_label")})
     contrast = F.coalesce(_mean("rel", "s_j", "s_2") - _mean("rel", "s_4", "s_j"), F.lit(0.0))
     low_jump = F.coalesce(_mean("low", "s_j", "s_2") - _mean("low", "s_4", "s_j"), F.lit(0.0))
     prior = F.coalesce(F.create_map(*(F.lit(v) for p in PRIOR.items() for v in p))[F.col("label")], F.lit(0.3))
