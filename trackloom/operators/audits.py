@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from trackloom.functions import keys
 from trackloom.operators import matching
 from trackloom.operators.ordering import placed
-from trackloom.sources.shared import materialize
+from trackloom.sources.shared import dealt, materialize
 
 
-def repair_manifest(states: DataFrame) -> DataFrame:
-    """Per physical file whether it is to be repaired: every use must fail; else the reason that speaks against it."""
+def repair_manifest(states: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Per physical file whether it is to be repaired: every use must fail; else the reason that speaks against it.
+    Uses of a path are put together first, in ``tasks`` if that is given, so paths are counted without a list of them."""
     is_ = lambda s: F.bool_or(F.col("state") == s)
-    of = states.groupBy("dev", "ino").agg(F.count("*").alias("uses"), F.count_distinct("path").alias("paths"), F.max("size").alias("size"), is_("length-match").alias("fits"), is_("missing-source-metadata").alias("unknown"))
+    of = dealt(states, tasks, "dev", "ino", "path").groupBy("dev", "ino", "path").agg(F.count("*").alias("uses"), F.max("size").alias("size"), is_("length-match").alias("fits"), is_("missing-source-metadata").alias("unknown"))
+    of = of.groupBy("dev", "ino").agg(F.sum("uses").alias("uses"), F.count("path").alias("paths"), F.max("size").alias("size"), F.bool_or("fits").alias("fits"), F.bool_or("unknown").alias("unknown"))
     reason = F.when(F.col("fits"), "some use matches").when(F.col("unknown"), "some length is unknown")
     return of.select("dev", "ino", "uses", "paths", "size", reason.isNull().alias("repair"), reason.alias("reason"))
 

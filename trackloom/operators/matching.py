@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import keys
+from trackloom.sources.shared import dealt, tasks_for
 
 
 def evidence(candidates: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -66,11 +67,15 @@ def nearest_variant(files: DataFrame, songs: DataFrame) -> DataFrame:
 
 
 def occurrence_states(occurrences: DataFrame, files: DataFrame) -> DataFrame:
-    """(playlist_id, seq, dev, ino, path, state): each use of a file against its own expected length."""
-    rows = occurrences.join(files.select("folder", "song_id", "path", "dev", "ino", "size", "expected_ms", "seconds"), ["folder", "song_id"])
+    """(playlist_id, seq, dev, ino, path, state): each use of a file against its own expected length.
+
+    The state is the file's, so it is worked out before the join, and large tables are dealt out by their number of rows.
+    """
+    on, tasks = ["folder", "song_id"], tasks_for(occurrences)
     reason = keys.length_reason(F.col("expected_ms"), F.col("seconds"))
     state = F.when(reason == "missing-source", "missing-source-metadata").when(reason == "match", "length-match").otherwise("probable-bad-duration")
-    return rows.select("playlist_id", "seq", "song_id", "folder", "dev", "ino", "path", "size", state.alias("state"))
+    rows = dealt(occurrences, tasks, *on).join(dealt(files.select(*on, "path", "dev", "ino", "size", state.alias("state")), tasks, *on), on)
+    return rows.select("playlist_id", "seq", "song_id", "folder", "dev", "ino", "path", "size", "state")
 
 
 def file_state(states: DataFrame) -> DataFrame:

@@ -201,7 +201,7 @@ QUERIES = {
     "join_candidate_select": lambda s, d: matching.select_candidate(_evidence(s, d)),
     "join_rejected_anti": lambda s, d: audits.rejections(matching.evidence(views.candidate(s, d), views.ledger(s, d))),
     "snk_playlist_text": _texts,
-    "agg_repair_manifest": lambda s, d: audits.repair_manifest(_states(s, d)),
+    "agg_repair_manifest": lambda s, d: audits.repair_manifest(_states(s, d), shared.tasks_for(views.table(s, d, "lineitem"))),
     "agg_file_state": lambda s, d: matching.file_state(_states(s, d)),
     "agg_edition_ambiguity": lambda s, d: audits.edition_ambiguity(_states(s, d)),
     "agg_full_audit": lambda s, d: audits.full_audit(_states(s, d)),
