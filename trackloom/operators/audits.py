@@ -33,8 +33,9 @@ def full_audit(states: DataFrame) -> DataFrame:
     """Per state of physical files: files, uses, bytes, and the distinct songs among their failing uses; and whether the audit
     is complete, that is, no file's state is unknown."""
     files = matching.file_state(states)
-    bad = states.where("state = 'probable-bad-duration'").select("dev", "ino", "song_id").distinct()
-    keys_of = files.join(bad, ["dev", "ino"]).groupBy("state").agg(F.count_distinct("song_id").alias("bad_songs"))
+    # a file with a failing use is in that state itself, so its songs need no join with the files
+    bad = states.where("state = 'probable-bad-duration' and dev is not null and ino is not null")
+    keys_of = bad.groupBy("state").agg(F.count_distinct("song_id").alias("bad_songs"))
     complete = files.agg((F.count_if(F.col("state") == "missing-source-metadata") == 0).alias("complete"))
     return matching.full_audit(files).join(keys_of, "state", "left").join(F.broadcast(complete)).select("state", "files", "uses", "bytes", F.coalesce("bad_songs", F.lit(0)).cast("long").alias("bad_songs"), "complete")
 
