@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import keys
 from trackloom.operators.ordering import placed
+from trackloom.sources.shared import materialize
 
 # Names left out of a catalog, genre words by bucket in their order, energy target points.
 EXCLUDED = r"(?i)^(daily mix(?:es)?(?:\s.*)?|dj|discover weekly|release radar|on repeat|repeat rewind|(?:your )?daily drive)$"
@@ -148,14 +153,38 @@ def curve_bins(events: DataFrame, bin_min: int = 720) -> DataFrame:
 
 
 def kernel_regression(vectors: DataFrame, labelled: DataFrame, width: float = 0.2) -> DataFrame:
-    """Mean label weighted by exp(-distance / width) over labelled vectors (a stated query set, in blocks)."""
-    from trackloom.operators.features import against, dot, unit
-
-    own = labelled.select("vec_id", "label", unit(F.col("embedding")).alias("v")).withColumnRenamed("vec_id", "near")
-    mine = vectors.select("vec_id", unit(F.col("embedding")).alias("u"))
-    w = F.exp(-(1 - dot(F.col("u"), F.col("v"))) / width)
-    sums = against(mine, own).groupBy("vec_id").agg(F.sum(w * F.col("label")).alias("a"), F.sum(w).alias("b"))
-    return sums.select("vec_id", F.round(F.col("a") / F.col("b"), 6).alias("value"))
+    """Mean label weighted by exp(-distance / width) over labelled vectors (a stated query set, in blocks).
+
+    Blocks of vectors meet blocks of the labelled set as matrices; a vector gets one row of sums a block of the set. A vector that
+    is unknown or has length zero has no value, and a labelled one counts for nothing.
+    """
+    from trackloom.operators.features import against, unit
+    from trackloom.operators.neighbours import BLOCK, _packed
+
+    def units(rows: DataFrame, name: str, kind: str) -> tuple[DataFrame, Column]:
+        rows = materialize(rows.select(F.col(name).cast(kind).alias(name), unit(F.col("embedding")).alias("v")), "units")
+        return rows, F.coalesce(~F.exists("v", lambda x: x.isNull()), F.lit(False))
+
+    def blocks(rows: DataFrame, name: str, as_: tuple[str, str]) -> DataFrame:
+        part = F.pmod(F.xxhash64("v", name), F.lit(max(1, -(-rows.count() // BLOCK))))
+        of = rows.groupBy(part.alias("part")).agg(F.collect_list(F.struct(name, "v")).alias("of"))
+        return of.select(F.col(f"of.{name}").alias(as_[0]), _packed(F.col("of.v")).alias(as_[1]))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, u, labels, v in zip(*(batch.column(c).to_pylist() for c in ("ids", "u", "labels", "v"))):
+                w = np.exp(-(1 - np.frombuffer(u).reshape(len(ids), -1) @ np.frombuffer(v).reshape(len(labels), -1).T) / width)
+                known = [x is not None for x in labels]
+                a = w @ np.array([x or 0 for x in labels], float)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(a, mask=np.full(len(a), not any(known))), pa.array(w.sum(1))], ["vec_id", "a", "b"])
+
+    mine, whole = units(vectors, "vec_id", "long")
+    own, usable = units(labelled, "label", "double")
+    met = against(blocks(mine.where(whole), "vec_id", ("ids", "u")), blocks(own.where(usable), "label", ("labels", "v")))
+    vectors.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))  # a row holds two blocks
+    sums = met.mapInArrow(run, "vec_id long, a double, b double").groupBy("vec_id").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    values = sums.select("vec_id", F.round(F.col("a") / F.col("b"), 6).alias("value"))
+    return values.unionByName(mine.where(~whole).select("vec_id", F.lit(None).cast("double").alias("value")))
 
 
 def nearest_grid(points: DataFrame, grid: DataFrame, within_s: float) -> DataFrame:
