@@ -3,8 +3,9 @@
 The index is a table of blocks (cell, part, ids, labels, matrix) and a small one of cells (cell, centre, radius), both
 written in the shared folder; every vector is in it. Searching asks the ``probe`` nearest cells first. For exact results the
 distance of the k-th neighbour found then rules cells out: a vector of a cell is no nearer than the distance to the
-centre less the cell's radius; all cells that this leaves are asked as well. Blocks of queries meet blocks of vectors, so a
-pair costs some bytes of shuffle, and a crowded cell is many blocks, never one task's group.
+centre less the cell's radius; all cells that this leaves are asked. In that step blocks of queries meet the index by broadcast,
+slice by slice, and pass on what is no farther than the bound, so the cells that a query asks add nothing to what is shuffled.
+A crowded cell is many blocks, never one task's group.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,6 +26,8 @@ from trackloom.sources.shared import materialize
 
 #: Vectors that centres are fitted on, cells at most, vectors of a block and queries of one.
 FIT_ROWS, MOST_CELLS, BLOCK, QUERIES = 20_000, 4096, 1024, 256
+#: Blocks of the index that are broadcast at once.
+SLICE = 128
 
 
 @dataclass
@@ -105,24 +109,19 @@ def _packed(lists: Column) -> Column:
     return pack(lists)
 
 
-def _asked_cells(index: Index, probe: int | None):
-    """The cells to ask: the ``probe`` nearest, or without it all that a bound leaves beyond those that were asked."""
+def _asked_cells(index: Index, probe: int):
+    """The ``probe`` nearest cells of each vector."""
     centres, radius = index.centres, index.radius
 
     @F.pandas_udf("array<int>")
-    def asked(v: pd.Series, bound: pd.Series, known: pd.Series) -> pd.Series:
+    def asked(v: pd.Series) -> pd.Series:
         x = _rows(v)
         if not len(x):
             return pd.Series([], dtype=object)
         d = _distances(x, centres)
         d[:, ~np.isfinite(radius)] = np.inf
-        first = np.argsort(d, axis=1, kind="stable")[:, : int(known.iloc[0])]
-        if probe is not None:
-            return pd.Series([row[np.isfinite(d[i, row])].tolist() for i, row in enumerate(first)])
-        left = d - radius <= np.nan_to_num(bound.to_numpy(float), nan=np.inf)[:, None] + 1e-6
-        left[~np.isfinite(d)] = False
-        np.put_along_axis(left, first, False, axis=1)
-        return pd.Series([np.flatnonzero(row).tolist() for row in left])
+        first = np.argsort(d, axis=1, kind="stable")[:, :probe]
+        return pd.Series([row[np.isfinite(d[i, row])].tolist() for i, row in enumerate(first)])
 
     return asked
 
@@ -151,6 +150,37 @@ def _compared(queries: DataFrame, index: Index, k: int) -> DataFrame:
     return met.mapInArrow(run, "id long, near long, label long, sim double")
 
 
+def _within(queries: DataFrame, index: Index, k: int) -> DataFrame:
+    """(id, near, label, sim): of each block of the index the ``k`` nearest to each query (id, v, least) that are no farther than
+    the known cosine ``least`` (null: all), itself left out. Cells that the bound rules out aren't compared."""
+    centres, radius = index.centres, index.radius
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q_ids, least, q_matrix, cell, ids, labels, matrix in zip(*(batch.column(c).to_pylist() for c in ("q_ids", "least", "q_matrix", "cell", "ids", "labels", "matrix"))):
+                q, x, known = np.array(q_ids), np.array(ids), np.array([-2.0 if v is None else v for v in least])
+                u = np.frombuffer(q_matrix).reshape(len(q), -1)
+                far = _distances(u, centres[cell : cell + 1])[:, 0] - radius[cell]
+                asks = np.flatnonzero(far <= np.sqrt(np.maximum(0, 2 - 2 * known)) + 1e-6)
+                sim = u[asks] @ np.frombuffer(matrix).reshape(len(x), -1).T
+                row, at = np.nonzero(sim >= known[asks][:, None] - 2e-9)
+                found, row = np.round(sim[row, at], 9), asks[row]
+                kept = (found >= known[row]) & (q[row] != x[at])
+                row, at, found = row[kept], at[kept], found[kept]
+                order = np.lexsort((x[at], -found, row))  # ties go to the smaller id
+                row, at, found = row[order], at[order], found[order]
+                few = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, at, found = row[few], at[few], found[few]
+                yield pa.RecordBatch.from_arrays([pa.array(q[row]), pa.array(x[at]), pa.array([labels[i] for i in at], pa.int64()), pa.array(found)], ["id", "near", "label", "sim"])
+
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = queries.groupBy(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-queries.count() // BLOCK)))).alias("q_part")).agg(F.collect_list(F.struct("id", "v", "least")).alias("of"))
+    packed = materialize(groups.select(F.col("of.id").alias("q_ids"), F.col("of.least").alias("least"), _packed(F.col("of.v")).alias("q_matrix")).repartition(parts), "asking")
+    slices = max(1, -(-index.blocks.count() // SLICE))
+    met = [packed.crossJoin(F.broadcast(index.blocks.where(F.pmod(F.xxhash64("cell", "part"), F.lit(slices)) == n))) for n in range(slices)]
+    return reduce(DataFrame.unionByName, met).mapInArrow(run, "id long, near long, label long, sim double")
+
+
 def _first(found: DataFrame, k: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "near"))
     return found.withColumn("place", place).where(F.col("place") <= k)
@@ -165,16 +195,14 @@ def nearest(vectors: DataFrame, index: Index, k: int, probe: int = 4, exact: boo
     queries = materialize(queries.repartition(parts, "id"), "queries")
     if not len(index.centres):
         return spark.createDataFrame([], "id long, near long, label long, sim double, place int")
-    known, none = F.lit(probe), F.lit(None).cast("double")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))  # a row holds two blocks
-    first = _compared(queries.withColumn("cells", _asked_cells(index, probe)("v", none, known)), index, k)
-    first = materialize(_first(first, k), "first-neighbours")
+    first = _compared(queries.withColumn("cells", _asked_cells(index, probe)("v")), index, k)
+    first = _first(first, k)
     if not exact:
-        return first
-    bound = first.where(F.col("place") == k).select("id", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("sim"))).alias("bound"))
-    again = queries.join(bound, "id", "left").repartition(parts, "id")
-    more = _compared(again.withColumn("cells", _asked_cells(index, None)("v", "bound", known)).where(F.size("cells") > 0), index, k)
-    return _first(first.drop("place").unionByName(more), k)
+        return materialize(first, "first-neighbours")
+    least = first.where(F.col("place") == k).select("id", F.col("sim").alias("least"))
+    asking = materialize(queries.join(least, "id", "left"), "bounded")
+    return _first(_within(asking, index, k), k)
 
 
 def vote(neighbours: DataFrame) -> DataFrame:
