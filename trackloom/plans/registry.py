@@ -96,6 +96,13 @@ def coverage(s: S, d: str) -> DataFrame:
     return catalog.playlist_coverage(rows, views.file(s, d))
 
 
+def _titles(s: S, d: str, norm) -> DataFrame:
+    """Whole texts with their normal form ``title``. Texts may be long, so Python gets few at once."""
+    s.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    s.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    return views.table(s, d, "documents").select("doc_id", norm(F.col("text")).alias("title"))
+
+
 def _credits(s: S, d: str) -> DataFrame:
     """Ten saved credits of a song's artist against the same, more, fewer, others, and a list of another length."""
     n, credit = F.col("song_id") % 5, lambda k: F.concat("artist", F.lit(f" {k}"))
@@ -152,8 +159,8 @@ QUERIES = {
     "fn_length_match": lambda s, d: views.candidate(s, d).select("song_id", "place", keys.length_reason(F.col("expected_ms"), F.col("seconds")).alias("reason"), F.round(keys.tolerance(F.col("expected_ms")), 6).alias("tolerance")),
     "fn_fold_tempo": lambda s, d: views.table(s, d, "part").select(F.col("p_partkey").alias("song_id"), F.round(keys.fold_tempo(F.col("p_retailprice") / 10), 6).alias("tempo")),
     "fn_ordered_hash": lambda s, d: catalog.ordered_hash(views.occurrence(s, d)),
-    "fn_normalize_title": lambda s, d: views.table(s, d, "documents").select("doc_id", F.length(keys.normalize_title(F.col("text"))).alias("n"), F.md5(keys.normalize_title(F.col("text"))).alias("title_md5")),
-    "fn_normalize_identity": lambda s, d: views.table(s, d, "documents").select("doc_id", F.md5(keys.normalize_identity(F.col("text"))).alias("identity_md5")),
+    "fn_normalize_title": lambda s, d: _titles(s, d, keys.normalize_title).select("doc_id", F.length("title").alias("n"), F.md5("title").alias("title_md5")),
+    "fn_normalize_identity": lambda s, d: _titles(s, d, keys.normalize_identity).select("doc_id", F.md5("title").alias("identity_md5")),
     "agg_catalog_dedup": lambda s, d: catalog.dedup(views.occurrence(s, d).join(catalog.keyed(views.song(s, d)), "song_id")),
     "agg_playlist_coverage": coverage,
     "agg_catalog_summary": lambda s, d: catalog.catalog_summary(views.playlist(s, d)),
