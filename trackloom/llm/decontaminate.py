@@ -3,9 +3,9 @@
 1. Terms are the words of the benchmark items (lower-cased, outer punctuation off). One pass over all documents counts how
    often each occurs. Retrieval uses the terms that are rarer than one in ``COMMON`` passages, and each item's
    ``RAREST`` rarest whatever their counts; passages are windows of ``WINDOW`` words, half a window apart.
-2. A randomised SVD gives the latent basis: with A the TF-IDF rows of the benchmark's passages and of a bounded sample
-   of the corpus's (documents with the ``SAMPLE_DOCS`` smallest hashes of their ids), tasks add up A'(A G) for a random G
-   and later A'(A Q); only matrices of terms x RANK are summed, and orthonormalised on the driver.
+2. A randomised SVD gives the latent basis: with A the TF-IDF rows of the passages of the benchmark and of all documents,
+   tasks add up A'(A G) for a random G and later A'(A Q); only matrices of terms x RANK are summed, and orthonormalised on
+   the driver.
 3. Every passage of every document is projected (sums of basis rows over half windows, so each word is looked up once)
    and compared with all benchmark passages in one matrix product; cosines of ``COSINE`` or more are candidates.
 4. A candidate is checked word by word: the longest common subsequence of the item and stretches of the document about
@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from trackloom.llm import common
 WINDOW, RANK, COSINE = 48, 64, 0.55
 COMMON, RAREST = 50, 6
 LEAK, PARAPHRASE, ANSWER, RARE = 0.75, 0.5, 0.75, 0.5
-BLOCK, SAMPLE_DOCS = 2000, 4000
+BLOCK, WORDS, SEEN = 2000, 1 << 15, 1 << 17
 HALF = WINDOW // 2
 EDGES = ".,;:!?\"'()[]|*#$%&<>"
 _STRIP = EDGES.encode()
@@ -54,6 +55,19 @@ class Item:
     distinct: frozenset[bytes]
 
 
+class Seen(dict):
+    """Term ids of words as they stand in texts, at most SEEN of them kept."""
+
+    def __init__(self, terms: dict[bytes, int]) -> None:
+        self.terms = terms
+
+    def __missing__(self, word: bytes) -> int:
+        k = self.terms.get(word.strip(_STRIP), -1)
+        if len(self) < SEEN:
+            self[word] = k
+        return k
+
+
 @dataclass
 class Index:
     """What a task needs to search one block of items: bounded by BLOCK items."""
@@ -65,10 +79,18 @@ class Index:
     basis: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     passages: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     owner: np.ndarray = field(default_factory=lambda: np.zeros(0, int))
+    seen: Seen | None = None
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         get = self.terms.get
-        return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        return np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+
+    def known(self, text: str) -> np.ndarray:
+        """``ids`` of the ``tokens`` of a text, most of them looked up without taking the punctuation off."""
+        if self.seen is None:
+            self.seen = Seen(self.terms)
+        words = text.encode("utf-8", "replace").lower().split()
+        return np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
 
 
 def make_items(rows: list) -> list[Item]:
@@ -98,11 +120,13 @@ def windows_of(first: np.ndarray) -> np.ndarray:
 
 
 def _sums(values: np.ndarray, half: np.ndarray, n: int) -> np.ndarray:
-    """Row sums of ``values`` by ``half`` (ascending)."""
+    """Row sums of ``values`` by ``half`` (ascending): the first rows of all halves, then the second; a half has HALF words at most."""
     out = np.zeros((n, values.shape[1]), np.float32)
-    if len(half):
-        at = np.flatnonzero(np.diff(half, prepend=-1))
-        out[half[at]] = np.add.reduceat(values, at, axis=0)
+    at = np.flatnonzero(np.diff(half, prepend=-1))
+    place = np.arange(len(half)) - np.repeat(at, np.diff(np.append(at, len(half))))
+    for k in range(place.max(initial=-1) + 1):
+        nth = np.flatnonzero(place == k)
+        out[half[nth]] += values[nth]
     return out
 
 
@@ -118,23 +142,37 @@ def project(index: Index, batch_ids: list[np.ndarray], matrix: np.ndarray) -> tu
     return v, doc, (w - first[doc]) * HALF
 
 
-def _rows_of(index: Index, batch_ids: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Sparse normalised TF-IDF rows of the passages: (terms, weights)."""
-    for x in batch_ids:
-        for s in range(0, max(1, len(x) - HALF), HALF):
-            t, n = np.unique(x[s : s + WINDOW][x[s : s + WINDOW] >= 0], return_counts=True)
-            if len(t):
-                v = n * index.idf[t]
-                norm = np.sqrt((v * v).sum())
-                if norm > 0:
-                    yield t, v / norm
-
-
 def _gram_times(index: Index, batch_ids: list[np.ndarray], m: np.ndarray) -> np.ndarray:
-    """A'(A m) over the passages of a batch."""
-    out = np.zeros(m.shape)
-    for t, v in _rows_of(index, batch_ids):
-        out[t] += v[:, None] * (v @ m[t])
+    """A'(A m) over the passages of a batch, A their normalised TF-IDF rows; some WORDS words at a time.
+
+    A passage's row times ``m`` is the sum of its two halves', over its norm; what a passage gives back goes to the terms of both.
+    """
+    out, right = np.zeros(m.shape), (m * index.idf[:, None]).astype(np.float32)
+    upto = np.cumsum([len(x) for x in batch_ids]) // WORDS
+    for part in np.split(np.arange(len(batch_ids)), np.flatnonzero(np.diff(upto)) + 1):
+        flat, half, first = halves([batch_ids[k] for k in part])
+        if not len(flat):
+            continue
+        n = int(first[-1])
+        key, count = np.unique(half * len(index.terms) + flat, return_counts=True)
+        half, term = np.divmod(key, len(index.terms))
+        weight = count * index.idf[term]
+        in_next = np.minimum(np.searchsorted(key, key + len(index.terms)), len(key) - 1)
+        also = key[in_next] == key + len(index.terms)
+        own = np.bincount(half, weight * weight, n)
+        shared = np.bincount(half, np.where(also, 2 * weight * weight[in_next], 0.0), n)  # with the half behind
+        h = _sums(right[term] * count[:, None].astype(np.float32), half, n)
+        w = windows_of(first)
+        paired = w[w + 1 < first[np.searchsorted(first, w, side="right")]]
+        alone = w[w + 1 >= first[np.searchsorted(first, w, side="right")]]
+        norm = np.maximum(own[paired] + own[paired + 1] + shared[paired], 1e-30)[:, None]
+        v, back = (h[paired] + h[paired + 1]) / norm.astype(np.float32), np.zeros((n, m.shape[1]), np.float32)
+        back[paired] = v
+        back[paired + 1] += v
+        back[alone] = h[alone] / np.maximum(own[alone], 1e-30)[:, None]
+        order = np.argsort(term, kind="stable")
+        at = np.flatnonzero(np.diff(term[order], prepend=-1))
+        out[term[order][at]] += np.add.reduceat(back[half[order]] * weight[order, None].astype(np.float32), at, axis=0)
     return out
 
 
@@ -145,7 +183,7 @@ def _frequency(docs: DataFrame, terms: dict[bytes, int]) -> tuple[np.ndarray, in
         df, n, index = np.zeros(n_terms, np.int64), 0, Index([], shared.value)
         for batch in batches:
             for t in batch.column("text").to_pylist():
-                x = index.ids(tokens(t))
+                x = index.known(t)
                 df += np.bincount(x[x >= 0], minlength=n_terms)
                 n += -(-len(x) // HALF)
         at = np.flatnonzero(df)
@@ -169,7 +207,7 @@ def _sum_over(docs: DataFrame, index: Index, m: np.ndarray) -> np.ndarray:
         own, right = shared.value
         total = np.zeros(right.shape)
         for batch in batches:
-            total += _gram_times(own, [own.ids(tokens(t)) for t in batch.column("text").to_pylist()], right)
+            total += _gram_times(own, [own.known(t) for t in batch.column("text").to_pylist()], right)
         at = np.flatnonzero(total.any(axis=1))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * right.shape[1]), pa.array(total[at].ravel()))
         yield pa.RecordBatch.from_arrays([pa.array(at), lists], ["term", "v"])
@@ -191,14 +229,12 @@ def build_index(docs: DataFrame, items: list[Item]) -> Index:
     rare |= {w for i in items for w in sorted(set(i.words), key=lambda w: (count[every[w]], w))[:RAREST]}
     terms = {w: k for k, w in enumerate(w for w in every if w in rare)}
     index = Index(items, terms, {w: float(weight[k]) for w, k in every.items()}, np.array([weight[every[w]] for w in terms]))
-    ids = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).distinct()
-    sample = common.materialize(docs.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text"), "lsi-sample")
     own = [index.ids(i.words) for i in items]
     rank = min(RANK, len(terms))
     q = np.random.default_rng(3).standard_normal((len(terms), rank))
     for _ in range(2):
-        # the benchmark's passages weigh as much as the sample's, else rare items would be lost below the cut
-        mine, theirs = _gram_times(index, own, q), _sum_over(sample, index, q)
+        # the benchmark's passages weigh as much as the corpus's, else rare items would be lost below the cut
+        mine, theirs = _gram_times(index, own, q), _sum_over(docs, index, q)
         scale = np.linalg.norm(mine) / max(np.linalg.norm(theirs), 1e-9)
         q, _ = np.linalg.qr(mine + min(1.0, scale) * theirs)
     index.basis = q.astype(np.float32)
